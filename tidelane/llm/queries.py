@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelane.llm.decontamination import OP2_SQL, op2_decontamination
 from tidelane.llm.mixing import OP1_SQL, op1_mixing
+from tidelane.llm.quality_rules import op4_quality_rules
 from tidelane.llm.sharding import op10_sharding
+from tidelane.llm.toxicity import op7_toxicity
 from tidelane.llm.warc import OP9_SQL, op9_warc_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op4_quality_rules": op4_quality_rules,
+    "op7_toxicity": op7_toxicity,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_sharding": op10_sharding,
 }
