@@ -212,12 +212,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = MA
 
 def add_toxicity(docs: DataFrame, model: ToxicModel, *, text_col: str = "text", score_col: str = "score", keep_text: bool = True) -> DataFrame:
     """Add the score to every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.settings, model.weight, model.bias))  # buckets * 4 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(model.weight)  # 4 bytes a bucket
+    settings, bias = model.settings, model.bias
     passed = [f for f in docs.schema.fields if f.name != score_col and (keep_text or f.name != text_col)]
     names = [f.name for f in passed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, held = TextKernel("symbol", lower=True), ToxicModel(*shared.value)
+        kernel, held = TextKernel("symbol", lower=True), ToxicModel(settings, shared.value, bias)
         for batch in batches:
             for a, b, buf, offsets in text_slices(batch.column(text_col)):
                 rows = batch.slice(a, b - a)
