@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelane.llm.decontamination import OP2_SQL, op2_decontamination
+from tidelane.llm.jaccard_join import OP3_SQL, op3_jaccard_join
 from tidelane.llm.mixing import OP1_SQL, op1_mixing
 from tidelane.llm.quality_rules import op4_quality_rules
 from tidelane.llm.sharding import op10_sharding
@@ -16,10 +17,11 @@ from tidelane.llm.warc import OP9_SQL, op9_warc_revisits
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op7_toxicity": op7_toxicity,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op2_decontamination": OP2_SQL, "op9_warc_revisits": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_warc_revisits": OP9_SQL}

@@ -57,3 +57,23 @@ class Scratch:
         for name in names:
             at = jvm.org.apache.hadoop.fs.Path(self.path(name))
             at.getFileSystem(conf).delete(at, True)
+
+
+class arrow_rows:
+    """Within the block, jobs hand at most ``n`` rows to Python at once (wide rows: keep batches small)."""
+
+    KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def __init__(self, spark: SparkSession, n: int):
+        self.spark, self.n = spark, n
+
+    def __enter__(self) -> None:
+        self.before = self.spark.conf.get(self.KEY)
+        self.spark.conf.set(self.KEY, str(self.n))
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.conf.set(self.KEY, self.before)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
