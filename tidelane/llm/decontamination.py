@@ -1,9 +1,10 @@
 """Benchmark decontamination in DataFrame operations only.
 
 Benchmark texts are cut into windows of 13 consecutive normalised words (a shorter text is one
-window).  The distinct windows' hashes are broadcast while their count is below a checked bound and
-shuffled beyond it; every training token window is hashed, looked up, and each hit verified word by
-word.  Hit words are the union of the occurrences.
+window).  While their count is below a checked bound, the distinct windows are broadcast in a hash
+table under their longest word: the scan looks every training token up and verifies the whole window
+around each hit, word by word.  Beyond the bound, all training windows are hashed and joined by
+shuffle, and hits verified likewise.  Hit words are the union of the occurrences.
 
 Defined results: a null or wordless text has no words and no hits; repeated rows each get their own
 row; a null item id contaminates but is not counted among the items; an empty benchmark hits nothing;
@@ -35,12 +36,14 @@ def window_hashes(words: Column, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows of the benchmark: h, b_words and the ids of the items that hold them."""
+    """Distinct windows of the benchmark: b_words, its hash h, its longest word (anchor, at offset) and the ids of the items that hold it."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), normal_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(window))
     wins = items.select("item", "words", length.alias("len"), F.explode(F.sequence(F.lit(1), F.size("words") - length + 1)).alias("pos"))
     wins = wins.select("item", F.slice("words", F.col("pos"), F.col("len")).alias("b_words"))
-    return wins.groupBy("b_words").agg(F.collect_set("item").alias("items")).withColumns({"h": F.xxhash64("b_words"), "b_len": F.size("b_words")})
+    wins = wins.groupBy("b_words").agg(F.collect_set("item").alias("items")).withColumns({"h": F.xxhash64("b_words"), "b_len": F.size("b_words")})
+    longest = F.array_max(F.transform("b_words", lambda w, i: F.struct(F.length(w).alias("size"), (-i).alias("at"))))
+    return wins.withColumn("offset", -longest["at"]).withColumn("anchor", F.element_at("b_words", F.col("offset") + 1))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -49,19 +52,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     n, lengths = wins.agg(F.count(F.lit(1)), F.collect_set("b_len")).first()
     words = F.col("words")
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), normal_words(F.col("text")).alias("words"))
-    marker = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h")))
-    spots = F.concat(marker, *[window_hashes(words, k) for k in sorted(lengths)])
-    rows = base.select("doc_id", "text_hash", "words", F.explode(spots).alias("s"))
-    rows = rows.select("doc_id", "text_hash", F.when(F.col("s.pos") == 0, F.size("words")).alias("n"), "s.pos", "s.len", "s.h", "words")
     if n <= broadcast_windows:
-        wins = F.broadcast(wins)
-        found = rows.join(wins, "h", "left")
-        same = F.slice(words, F.col("pos"), F.greatest("len", F.lit(1))) == F.col("b_words")
+        rows = base.select("doc_id", "text_hash", "words", F.posexplode(F.concat(words, F.array(F.lit(None).cast("string")))).alias("at", "word"))
+        found = rows.join(F.broadcast(wins), F.col("word") == F.col("anchor"), "left")
+        found = found.withColumn("pos", F.when(F.col("word").isNull(), 0).otherwise(F.col("at") + 1 - F.col("offset"))).withColumnRenamed("b_len", "len")
+        same = F.slice(words, F.greatest("pos", F.lit(1)), F.col("len")) == F.col("b_words")
+        found = found.where(F.col("word").isNull() | ((F.col("pos") > 0) & same)).withColumn("n", F.when(F.col("pos") == 0, F.col("at")))
     else:
-        cut = F.when(F.col("pos") > 0, F.slice(words, F.col("pos"), F.greatest("len", F.lit(1))))
-        found = rows.withColumn("win", cut).drop("words").join(wins, "h", "left")
-        same = F.col("win") == F.col("b_words")
-    found = found.where((F.col("pos") == 0) | same)
+        marker = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h")))
+        spots = F.concat(marker, *[window_hashes(words, k) for k in sorted(lengths)])
+        rows = base.select("doc_id", "text_hash", F.size("words").alias("size"), "words", F.explode(spots).alias("s"))
+        cut = F.when(F.col("s.pos") > 0, F.slice(words, F.col("s.pos"), F.greatest(F.col("s.len"), F.lit(1))))
+        rows = rows.select("doc_id", "text_hash", F.when(F.col("s.pos") == 0, F.col("size")).alias("n"), "s.pos", "s.len", "s.h", cut.alias("win"))
+        found = rows.join(wins.drop("anchor"), "h", "left").where((F.col("pos") == 0) | (F.col("win") == F.col("b_words")))
     per = found.groupBy("doc_id", "text_hash").agg(
         F.max("n").alias("n_words"),
         F.sum((F.col("pos") == 0).cast("long")).alias("rows"),
