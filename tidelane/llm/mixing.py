@@ -91,12 +91,16 @@ def mix(docs: DataFrame, *, quality: DataFrame | None = None, weights: tuple[int
     """Add size, source_size, target, copies and taken to every document.
 
     ``quality`` (doc_id, quality_weight > 0) scales the sampling keys; documents without a weight
-    have 1.  ``carry`` names the columns to keep beside doc_id and source (default: all).
+    have 1.  ``carry`` names the columns to keep beside doc_id and source (default: all); those that clash with
+    a result get the prefix ``__own_``.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     carry = [c for c in docs.columns if c not in ("doc_id", "source", "text")] if carry is None else carry
     text = ["text"] if keep_text else []
-    sized = docs.select("doc_id", "source", *text, *carry, word_count(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", *[c for c in dict.fromkeys(["text", *carry])], word_count(F.col("text")).alias("__size")).drop(*([] if text else ["text"]))
+    clash = [c for c in carry if c in ("size", "key", "k24", "source_size", "target", "copies", "taken", "quality_weight", "m_source", "q_id")]
+    sized = sized.withColumnsRenamed({c: f"__own_{c}" for c in clash}).withColumnRenamed("__size", "size")
+    carry = [f"__own_{c}" if c in clash else c for c in carry]
     if quality is not None:
         q = quality.groupBy(F.col("doc_id").alias("q_id")).agg(F.max("quality_weight").alias("quality_weight"))
         sized = sized.join(q, F.col("doc_id") == F.col("q_id"), "left").drop("q_id")
@@ -104,8 +108,11 @@ def mix(docs: DataFrame, *, quality: DataFrame | None = None, weights: tuple[int
         sized = sized.withColumn("quality_weight", F.lit(1.0))
     sized = sized.withColumn("key", sampling_key(F.col("doc_id"), F.coalesce("quality_weight", F.lit(1.0)), seed))
     sized = sized.withColumn("k24", F.least(F.floor((1 - F.exp(-F.col("key"))) * (1 << 24)), F.lit((1 << 24) - 1))).drop("quality_weight")
-    sized = scratch.keep(sized, "sized")
-    plan = plan_mix(sized.select("source", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), "size", "key", "k24"), scratch, weights=weights, max_epochs=max_epochs)
+    narrow = sized.select("doc_id", "source", "size", "key", "k24")
+    narrow = scratch.keep(narrow, "narrow")
+    if not text and not carry:
+        sized = narrow
+    plan = plan_mix(narrow.select("source", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), "size", "key", "k24"), scratch, weights=weights, max_epochs=max_epochs)
     placed = sized.join(plan, F.col("source").eqNullSafe(F.col("m_source")), "left")
     at_cut = (F.col("k24") == F.col("cut")) & (F.struct("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id")) <= F.struct(F.col("end_key").alias("key"), F.col("end_id").alias("id")))
     sampled = F.coalesce((F.col("k24") < F.col("cut")) | at_cut, F.lit(False))
@@ -114,6 +121,13 @@ def mix(docs: DataFrame, *, quality: DataFrame | None = None, weights: tuple[int
     return placed.withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def repeat_rows(docs: DataFrame, **options) -> DataFrame:
+    """Every row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
+    mixed = mix(docs, **options).where("copies > 0")
+    mixed = mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return mixed.select(*[F.col(f"__own_{c}").alias(c) if f"__own_{c}" in mixed.columns else F.col(c) for c in docs.columns])
+
+
 def label_weights(labels: DataFrame) -> DataFrame:
     """Quality weights from labels: 2 for good documents, a half for bad ones."""
     return labels.where("quality is not null").select("doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("quality_weight"))

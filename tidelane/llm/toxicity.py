@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from tidelane.llm.textkernel import U64, TextKernel, Words, mix64, text_slices
 
-MAX_TRAIN_DOCS = 6000
+MAX_TRAIN_DOCS = 4000
 
 
 @dataclass(frozen=True)
@@ -119,19 +119,33 @@ def train(texts: pa.Array, labels: np.ndarray, settings: BagSettings = BagSettin
         odds = -20.0 if share == 0 else 20.0
         return ToxicModel(settings, np.zeros(settings.buckets, np.float32), odds)
     kernel = TextKernel("symbol", lower=True)
-    parts = list(text_slices(texts, 1 << 40))
-    words = kernel.cut(parts[0][2], parts[0][3])
-    inverse, bucket, owner = word_bags(kernel, words, settings)
-    per_word = np.bincount(owner, minlength=inverse.max(initial=-1) + 1).astype(np.float64)
-    order = np.argsort(owner, kind="stable")
-    bucket = bucket[order]
-    begin = np.concatenate([[0], np.cumsum(per_word)]).astype(np.int64)
-    doc, start, end = passages(words.first, settings.width, settings.stride)
+    hashes, counts, known, bags, sizes_of = [], [], np.zeros(0, U64), [], []
+    for _, _, buf, offsets in text_slices(texts):  # subwords are kept once for each distinct word
+        words = kernel.cut(buf, offsets)
+        h = kernel.word_hashes(words)
+        hashes.append(h)
+        counts.append(np.diff(words.first))
+        value, first_at = np.unique(h, return_index=True)
+        new = ~np.isin(value, known)
+        b, owner = subwords(kernel, words, first_at[new], settings)
+        order = np.argsort(owner, kind="stable")
+        bags.append(b[order].astype(np.int32))
+        sizes_of.append(np.bincount(owner, minlength=int(new.sum())))
+        known = np.concatenate([known, value[new]])
+    rank = np.argsort(known)
+    inverse = rank[np.searchsorted(known, np.concatenate(hashes), sorter=rank)].astype(np.int32)
+    del hashes
+    n_words = np.concatenate(counts)
+    first = np.concatenate([[0], np.cumsum(n_words)])
+    bucket = np.concatenate(bags)
+    per_word = np.concatenate(sizes_of).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(per_word)])
+    doc, start, end = passages(first, settings.width, settings.stride)
     sums = lambda x: np.concatenate([[0.0], np.cumsum(x[inverse])])
     sizes = sums(per_word)
     size = sizes[end] - sizes[start]
     # the first round's passages: words that stand in more texts of class 1 than chance has it
-    pairs = np.unique(inverse * np.int64(len(labels)) + words.doc)
+    pairs = np.unique(inverse * np.int64(len(labels)) + np.repeat(np.arange(len(labels)), n_words))
     seen, by = pairs // len(labels), labels[pairs % len(labels)] == 1
     hits, texts_with = np.bincount(seen[by], minlength=len(per_word)), np.bincount(seen, minlength=len(per_word))
     excess = (hits - share * texts_with) / np.sqrt(share * texts_with + 1)
@@ -139,7 +153,7 @@ def train(texts: pa.Array, labels: np.ndarray, settings: BagSettings = BagSettin
     score = total[end] - total[start]
     rng = np.random.default_rng(settings.seed)
     # subwords of fewer than min_docs texts tell nothing about others; their vectors stay 0
-    common = np.bincount(bucket, np.repeat(texts_with, per_word.astype(np.int64)), settings.buckets) >= settings.min_docs
+    common = np.bincount(bucket, np.repeat(texts_with.astype(np.int32), per_word), settings.buckets) >= settings.min_docs
     emb = (rng.random((settings.buckets, settings.dim)) - 0.5) / settings.dim * common[:, None]
     soft, bias = rng.normal(0, 0.5, (settings.dim, 2)), np.log(np.array([1 - share, share]))
     g_soft, g_bias = np.full((settings.dim, 2), 1e-8), np.full(2, 1e-8)
@@ -152,7 +166,7 @@ def train(texts: pa.Array, labels: np.ndarray, settings: BagSettings = BagSettin
             rows = chosen[i : i + settings.batch]
             length = end[rows] - start[rows]
             word = inverse[np.arange(int(length.sum())) + np.repeat(start[rows] - (np.cumsum(length) - length), length)]
-            count = per_word[word].astype(np.int64)
+            count = per_word[word]
             b = bucket[np.arange(int(count.sum())) + np.repeat(begin[word] - (np.cumsum(count) - count), count)]
             owner_row = np.repeat(np.repeat(np.arange(len(rows)), length), count)
             left = rng.random(len(b)) >= settings.dropout
@@ -174,7 +188,7 @@ def train(texts: pa.Array, labels: np.ndarray, settings: BagSettings = BagSettin
             g_bias += d_bias**2
             bias -= 0.1 * settings.rate * d_bias / np.sqrt(g_bias)
         line = emb @ (soft[:, 1] - soft[:, 0])
-        total = sums(np.bincount(np.repeat(np.arange(len(per_word)), per_word.astype(np.int64)), line[bucket], len(per_word)))
+        total = sums(np.add.reduceat(line.astype(np.float32)[bucket], begin[:-1], dtype=np.float64))
         score = (total[end] - total[start]) / size
     return ToxicModel(settings, line.astype(np.float32), float(bias[1] - bias[0]))
 
