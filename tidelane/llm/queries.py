@@ -11,6 +11,7 @@ from tidelane.llm.jaccard_join import OP3_SQL, op3_jaccard_join
 from tidelane.llm.mixing import OP1_SQL, op1_mixing
 from tidelane.llm.quality_rules import op4_quality_rules
 from tidelane.llm.sharding import op10_sharding
+from tidelane.llm.suffix_dedup import op8_suffix_dedup
 from tidelane.llm.toxicity import op7_toxicity
 from tidelane.llm.warc import OP9_SQL, op9_warc_revisits
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op7_toxicity": op7_toxicity,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_sharding": op10_sharding,
 }
