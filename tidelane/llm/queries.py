@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelane.llm.chain_dedup import op6_chain_dedup
 from tidelane.llm.decontamination import OP2_SQL, op2_decontamination
 from tidelane.llm.jaccard_join import OP3_SQL, op3_jaccard_join
 from tidelane.llm.mixing import OP1_SQL, op1_mixing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
+    "op6_chain_dedup": op6_chain_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc_revisits": op9_warc_revisits,
