@@ -10,6 +10,7 @@ from tidelane.llm.chain_dedup import op6_chain_dedup
 from tidelane.llm.decontamination import OP2_SQL, op2_decontamination
 from tidelane.llm.jaccard_join import OP3_SQL, op3_jaccard_join
 from tidelane.llm.mixing import OP1_SQL, op1_mixing
+from tidelane.llm.quality_lm import op5_quality_lm
 from tidelane.llm.quality_rules import op4_quality_rules
 from tidelane.llm.sharding import op10_sharding
 from tidelane.llm.suffix_dedup import op8_suffix_dedup
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_lm": op5_quality_lm,
     "op6_chain_dedup": op6_chain_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
