@@ -9,15 +9,16 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
     T = min(l, l') with the partner's first ones.  Inverted lists are built over these prefixes:
     postings go to list shards as packed sorted blobs, one for each map task and shard.
 3.  Lists with the same members are one list with a weight.  A class whose lists weigh less than the
-    smallest possible T is done.  Short lists (at most ``SHORT`` members) are merged: common weight by
-    pair; the long lists both members stand in are added as a bound, and pairs that can reach T are
-    candidates.
-4.  A pair without a common short list must reach T on long lists alone, so only members whose long
-    lists weigh T matter there.  They are probed through pivots: one member of each long list against
-    all others, then, as soon as a list has few members outside its largest component, those outsiders
-    against all.  Members already in one component need no comparison, so a group of near copies costs
-    a multiple of its size, not its square.
-5.  Every candidate is verified on whole sets by binary probes of the shorter set into the longer.
+    smallest possible T is done.  Every other class is first compared with one pivot, the member that
+    leads most of its lists; what links there forms components, and two members of one component need
+    no further comparison.  A group of near copies so costs a multiple of its size, not its square.
+4.  Short lists (at most ``SHORT`` members) are merged: common weight by pair of components' members;
+    the long lists both stand in are added as a bound, and pairs that can reach T are candidates.
+    Every candidate is verified on whole sets by binary probes of the shorter set into the longer.
+5.  A pair without a common short list must reach T on long lists alone, so only members whose long
+    lists weigh T matter there.  Where such members are outside the largest component of their family,
+    they ask all members of other components: blocks of outsiders are inverted into lists, and each
+    member's occurrences are counted over them.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing; a text of
 fewer than five words is one shingle; repeated rows are copies of one class; an empty table gives no
@@ -42,6 +43,9 @@ SHORT = 32
 SAMPLE_CLASSES = 4096
 HOT_IN_SAMPLE = 8
 CHUNK_TOKENS = 1_500_000
+BLOCK = 128
+#: Representatives (16 bytes each) that are broadcast at most; beyond, they meet their texts by shuffle.
+BROADCAST_REPS = 1_000_000
 
 
 def shingle_sets(kernel: TextKernel, buf: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -186,8 +190,8 @@ def _lists(table: pa.Table) -> pa.Table:
     picked = many[first]
     m = members[picked]
     at = np.arange(int(m.sum())) + np.repeat(start[picked] - (np.cumsum(m) - m), m)
-    columns = {"list": np.repeat(name, m), "class": cls[at], "n": size[at].astype(np.int64), "w": np.repeat(weight, m).astype(np.int64)}
-    return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
+    columns = {"list": np.repeat(name, m), "class": cls[at], "n": size[at].astype(np.int32), "w": np.repeat(weight, m).astype(np.int32)}
+    return pa.table(columns)
 
 
 def inverted_lists(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -225,8 +229,8 @@ def inverted_lists(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             yield flush()
 
     packed = docs.select("text").mapInArrow(run, "shard int, tokens binary, owners binary, classes binary, sizes binary")
-    lists = packed.groupBy("shard").applyInArrow(_lists, "list long, class long, n long, w long")
-    return lists.groupBy("list", "class").agg(F.max("n").alias("n"), F.sum("w").alias("w"))
+    lists = packed.groupBy("shard").applyInArrow(_lists, "list long, class long, n int, w int")
+    return lists.groupBy("list", "class").agg(F.max("n").alias("n"), F.sum("w").cast("int").alias("w"))
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,31 +253,71 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(_overlaps, "a long, b long")
 
 
-def _long_list_links(lists: DataFrame, links: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Add the links between classes that share long lists only."""
-    spark, at, few = sets.sparkSession, 0, SHORT
-    roots = connected_components(links, scratch, "cc0")
-    while True:
-        placed = lists.join(roots, F.col("class") == F.col("node"), "left").select("list", "class", "n", F.coalesce("root", "class").alias("comp"))
-        open_lists = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("list", "m")
-        placed = scratch.keep(placed.join(scratch.keep(open_lists, f"open{at}"), "list"), f"placed{at}")
-        if placed.isEmpty():
-            return links
-        sizes = placed.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("list").agg(F.max(F.struct("c", "comp")).alias("top"))
-        pivots = placed.groupBy("list").agg(F.min(F.struct(F.xxhash64(F.lit(at), "class").alias("h"), "class")).alias("p"), F.max("m").alias("m"))
-        plan = scratch.keep(sizes.join(pivots, "list").select(F.col("list").alias("l"), F.col("top.comp").alias("top"), (F.col("m") - F.col("top.c")).alias("others"), F.col("p.class").alias("pivot")), f"plan{at}")
-        planned = placed.join(plan, F.col("list") == F.col("l"))
-        # few members outside the largest component: those against all; else one pivot against all
-        probes = scratch.keep(planned.where(((F.col("others") <= few) & (F.col("comp") != F.col("top"))) | ((F.col("others") > few) & (F.col("class") == F.col("pivot")))).select("list", F.col("class").alias("pc"), F.col("comp").alias("pcomp"), F.col("n").alias("pn")).distinct(), f"probes{at}")
-        near = (4 * F.least("n", "pn") >= 3 * F.greatest("n", "pn")) & (F.col("comp") != F.col("pcomp"))
-        pairs = placed.join(probes, "list").where(near).select(F.least("class", "pc").alias("a"), F.greatest("class", "pc").alias("b")).distinct()
-        with arrow_rows(spark, 256):
-            found = scratch.keep(verified(pairs, sets), f"found{at}")
-        links = scratch.keep(links.unionByName(found), f"links{at}")
-        roots = connected_components(links, scratch, f"cc{at + 1}")
-        rest = planned.where((F.col("others") > few) & (F.col("class") != F.col("pivot"))).select("list", "class", "n")
-        lists = scratch.keep(rest, f"rest{at}")
-        at, few = at + 1, few * 8 if at >= 2 else few
+def best_pivots(lists: DataFrame, scratch: Scratch) -> DataFrame:
+    """For each class the pivot (the least member by hash) that most of its lists, by weight, have."""
+    pivots = scratch.keep(lists.groupBy("list").agg(F.min(F.struct(F.xxhash64("class").alias("h"), F.col("class").alias("p"), F.col("n").alias("pn"))).alias("top")).select(F.col("list").alias("l"), "top.p", "top.pn"), "pivots")
+    met = lists.join(pivots, F.col("list") == F.col("l")).where((F.col("class") != F.col("p")) & (4 * F.least("n", "pn") >= 3 * F.greatest("n", "pn")))
+    weights = met.groupBy("class", "p").agg(F.sum("w").alias("w"))
+    top = weights.groupBy("class").agg(F.max(F.struct("w", "p")).alias("top"))
+    return top.select(F.least("class", "top.p").alias("a"), F.greatest("class", "top.p").alias("b")).distinct()
+
+
+def _probe(table: pa.Table) -> pa.Table:
+    """Links that span those between the outsiders and the members of a block: T-occurrence counts over the outsiders' inverted lists."""
+    asks = table.column("asks").to_numpy()
+    cls, comp = table.column("class").to_numpy(), table.column("comp").to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), U64) for x in table.column("tokens")]
+    q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+    up: dict[int, int] = {}
+    out: list[tuple[int, int]] = []
+
+    def root(c: int) -> int:
+        while up.get(c, c) != c:
+            up[c] = up.get(up[c], up[c])
+            c = up[c]
+        return c
+
+    if len(q) and len(m):
+        size = np.array([len(sets[i]) for i in q])
+        token, owner = np.concatenate([sets[i] for i in q]), np.repeat(np.arange(len(q)), size)
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        for i in m:
+            x = sets[i]
+            lo, hi = np.searchsorted(token, x), np.searchsorted(token, x, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            common = np.bincount(owner[at], minlength=len(q))
+            for j in np.flatnonzero((100 * common >= 75 * (size + len(x) - common)) & (comp[q] != comp[i])):
+                one, two = root(int(comp[q[j]])), root(int(comp[i]))
+                if one != two:  # a link that the block's other links do not imply
+                    up[one] = two
+                    out.append((int(cls[q[j]]), int(cls[i])))
+    links = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table({"a": links[:, 0], "b": links[:, 1]})
+
+
+def long_list_links(members: DataFrame, families: DataFrame, roots: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between classes that share long lists only.
+
+    Families are what long lists connect.  In each, the members outside the family's largest
+    component are compared with all members of other components, both in blocks of ``BLOCK``.
+    """
+    placed = members.join(families, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("family"))
+    placed = scratch.keep(placed, "in_family").join(roots, F.col("class") == F.col("node"), "left").select("class", "family", F.coalesce("root", "class").alias("comp"))
+    placed = scratch.keep(placed, "in_component")
+    sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("family").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select(F.col("family").alias("f"), F.col("top.comp").alias("top"), blocks(F.col("m") - F.col("top.c")).alias("asking"), blocks(F.col("m")).alias("asked"))
+    open_ = placed.join(scratch.keep(sizes, "families"), F.col("family") == F.col("f")).join(sets.dropDuplicates(["class"]), "class")
+    open_ = scratch.keep(open_, "open")
+    dealt = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = open_.where(F.col("comp") != F.col("top")).withColumn("i", dealt("asking")).withColumn("j", numbers("asked")).withColumn("asks", F.lit(True))
+    asked = open_.withColumn("j", dealt("asked")).withColumn("i", numbers("asking")).withColumn("asks", F.lit(False))
+    both = asks.unionByName(asked).select("family", "i", "j", "asks", "class", "comp", "tokens")
+    return both.groupBy("family", "i", "j").applyInArrow(_probe, "a long, b long")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -282,29 +326,46 @@ def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataF
     with arrow_rows(spark, 2000):
         hot = frequent_shingles(docs, classes)
         lists = scratch.keep(inverted_lists(docs, hot), "lists0")
+    scratch.release()
     for again in range(2):
         alive = lists.groupBy("class").agg(F.sum("w").alias("weight"), F.max("n").alias("n")).where(F.col("weight") >= t_least(F.col("n"))).select("class")
         lists = lists.join(scratch.keep(alive, f"alive{again}"), "class", "left_semi")
-        members = scratch.keep(lists.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"members{again}")
-        lists = scratch.keep(lists.join(members, "list"), f"lists{again + 1}").select("list", "class", "n", "w", "m")
-        lists = lists.drop("m") if not again else lists
-    reps = classes.join(lists.select("class").distinct(), "class", "left_semi")
+        members = scratch.keep(lists.groupBy("list").agg(F.count(F.lit(1)).cast("int").alias("m")).where("m > 1"), f"members{again}")
+        lists = scratch.keep(lists.join(members, "list"), f"lists{again + 1}").select("list", "class", "n", "w", *(["m"] if again else []))
+        scratch.drop(f"lists{again}")
+    reps = scratch.keep(classes.join(scratch.keep(lists.select("class").distinct(), "listed"), "class", "left_semi"), "reps")
     with arrow_rows(spark, 2000):
-        sets = scratch.keep(sets_of(docs, scratch.keep(reps, "reps")), "sets")
-    long_weight = scratch.keep(lists.where(F.col("m") > SHORT).groupBy("class").agg(F.sum("w").alias("lw"), F.max("n").alias("n")), "long_weight")
-    short = lists.where(F.col("m") <= SHORT).select("list", "class", "n", "w")
-    x, y = (short.select("list", F.col("class").alias(c), F.col("n").alias(f"n{c}"), *(["w"] if c == "a" else [])) for c in "ab")
-    pairs = x.join(y, "list").where((F.col("a") < F.col("b")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("w"))
+        sets = scratch.keep(sets_of(docs, F.broadcast(reps) if reps.count() <= BROADCAST_REPS else reps), "sets")
+    with arrow_rows(spark, 256):
+        links = scratch.keep(verified(scratch.keep(best_pivots(lists, scratch), "pivot_pairs"), sets), "pivot_links")
+    roots = connected_components(links, scratch, "cc0")
+    scratch.release()
+    # members of one component need no comparison
+    open_lists = scratch.keep(lists.join(roots, F.col("class") == F.col("node"), "left").select("list", "class", "n", "w", "m", F.coalesce("root", "class").alias("comp")), "lists_by_root")
+    scratch.drop("lists2")
+    unsettled = open_lists.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
+    open_lists = scratch.keep(open_lists.join(scratch.keep(unsettled, "unsettled"), "list", "left_semi"), "open_lists")
+    scratch.drop("lists_by_root")
+    long_weight = scratch.keep(open_lists.where(F.col("m") > SHORT).groupBy("class").agg(F.sum("w").alias("lw"), F.max("n").alias("n")), "long_weight")
+    short = open_lists.where(F.col("m") <= SHORT)
+    x, y = (short.select("list", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"comp{c}"), *(["w"] if c == "a" else [])) for c in "ab")
+    pairs = x.join(y, "list").where((F.col("a") < F.col("b")) & (F.col("compa") != F.col("compb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")))
+    pairs = scratch.keep(pairs.groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("w")), "merged")
     lw = lambda c: long_weight.select(F.col("class").alias(f"c{c}"), F.col("lw").alias(f"lw{c}"))
-    pairs = scratch.keep(pairs, "merged").join(lw("a"), F.col("a") == F.col("ca"), "left").join(lw("b"), F.col("b") == F.col("cb"), "left")
+    pairs = pairs.join(lw("a"), F.col("a") == F.col("ca"), "left").join(lw("b"), F.col("b") == F.col("cb"), "left")
     bound = F.col("w") + F.least(F.coalesce("lwa", F.lit(0)), F.coalesce("lwb", F.lit(0)))
     pairs = scratch.keep(pairs.where(bound >= F.least(t_of(F.col("na")), t_of(F.col("nb")))).select("a", "b"), "pairs")
     with arrow_rows(spark, 256):
-        links = scratch.keep(verified(pairs, sets), "short_links")
+        links = scratch.keep(links.unionByName(verified(pairs, sets)), "short_links")
+    roots = connected_components(links, scratch, "cc1")
     heavy = scratch.keep(long_weight.where(F.col("lw") >= t_least(F.col("n"))).select("class"), "heavy")
-    long_lists = scratch.keep(lists.where(F.col("m") > SHORT).select("list", "class", "n").join(heavy, "class", "left_semi"), "long_lists")
-    return _long_list_links(long_lists, links, sets, scratch)
+    long_lists = scratch.keep(open_lists.where(F.col("m") > SHORT).select("list", "class").join(heavy, "class", "left_semi"), "long_lists")
+    scratch.drop("open_lists", "merged")
+    scratch.release()
+    heads = scratch.keep(long_lists.groupBy(F.col("list").alias("l")).agg(F.min("class").alias("head")), "heads_of_lists")
+    families = connected_components(long_lists.join(heads, F.col("list") == F.col("l")).select(F.col("class").alias("a"), F.col("head").alias("b")), scratch, "families")
+    with arrow_rows(spark, 256):
+        return scratch.keep(links.unionByName(long_list_links(heavy, families, roots, sets, scratch)), "links")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:

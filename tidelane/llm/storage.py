@@ -8,6 +8,7 @@ notebook) is a folder of our own used.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,11 @@ class Scratch:
             at = jvm.org.apache.hadoop.fs.Path(self.path(name))
             at.getFileSystem(conf).delete(at, True)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs now, not when the driver next collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 class arrow_rows:
     """Within the block, jobs hand at most ``n`` rows to Python at once (wide rows: keep batches small)."""
