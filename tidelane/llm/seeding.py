@@ -16,9 +16,9 @@ import pyarrow as pa
 from tidelane.llm.textkernel import U64, mix64
 
 CHUNK_ENTRIES = 1_500_000
-PACKED = "doc_id long, shard int, keys binary, owners binary, docs binary, pos binary, flags binary, partners binary"
+PACKED = "shard int, keys binary, owners binary, docs binary, pos binary, flags binary, partners binary"
 PACKED_NAMES = [x.split()[0] for x in PACKED.split(", ")]
-PACKED_TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
+PACKED_TYPES = [pa.int32(), *[pa.binary()] * 6]
 
 
 def run_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,12 +63,23 @@ def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PACKED_TYPES)], names=PACKED_NAMES)
 
 
-def by_document(doc: np.ndarray, pos: np.ndarray, partner: np.ndarray) -> list[tuple]:
-    """One row a document: positions and the partner documents of settled entries."""
-    order = np.lexsort((pos, doc))
-    doc, pos, partner = doc[order], pos[order], partner[order]
-    cuts = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]]) if len(doc) else np.zeros(1, int)
-    return [_row(doc_id=int(doc[a]), shard=-1, pos=pos[a:b].astype(np.uint32).tobytes(), partners=partner[a:b].astype(np.int64).tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+def by_bucket(doc: np.ndarray, pos: np.ndarray, partner: np.ndarray, buckets: int) -> list[tuple]:
+    """One row a bucket of documents: settled entries with their partner documents."""
+    bucket = (mix64(doc.view(U64)) % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(doc)]]) if len(doc) else np.zeros(1, int)
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        at = order[a:b]
+        rows.append(_row(shard=int(-1 - bucket[at[0]]), docs=doc[at].tobytes(), pos=pos[at].astype(np.uint32).tobytes(), partners=partner[at].astype(np.int64).tobytes()))
+    return rows
+
+
+def bucket_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, position, partner) of all entries of a bucket, by document and position."""
+    doc, pos, partner = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), k) for c, k in (("docs", np.int64), ("pos", np.uint32), ("partners", np.int64)))
+    order = np.lexsort((partner, pos, doc))
+    return doc[order], pos[order].astype(np.int64), partner[order]
 
 
 def grouped(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +127,7 @@ def unpack_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def settle_chunk(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, shards: int) -> list[tuple]:
-    """Rows of a chunk: settled entries by document, the others and one of each settled key by shard."""
+    """Rows of a chunk: settled entries by bucket of documents, the others and one of each settled key by shard."""
     order, start, least, second = grouped(key >> U64(16), doc)
     size = np.diff(np.concatenate([start, [len(order)]]))
     group = np.repeat(np.arange(len(start)), size)
@@ -125,11 +136,11 @@ def settle_chunk(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, shards: int)
     partner = np.where(d == least[group], second[group], least[group])
     send = ~shared
     send[start] = True
-    return by_document(d[shared], p[shared], partner[shared]) + pack_entries(k[send], d[send], p[send], shared[send], shards)
+    return by_bucket(d[shared], p[shared], partner[shared], shards) + pack_entries(k[send], d[send], p[send], shared[send], shards)
 
 
-def settle_shard(table: pa.Table) -> pa.Table:
-    """Entries of a shard whose key another document holds, by document."""
+def settle_shard(table: pa.Table, buckets: int) -> pa.Table:
+    """Entries of a shard whose key another document holds, by bucket of documents."""
     key, doc, pos, flag = unpack_entries(table)
     order, start, least, second = grouped(key, doc)
     size = np.diff(np.concatenate([start, [len(order)]]))
@@ -137,7 +148,7 @@ def settle_shard(table: pa.Table) -> pa.Table:
     d, p, f = doc[order], pos[order], flag[order]
     shared = (second < np.iinfo(np.int64).max)[group] & ~f
     partner = np.where(d == least[group], second[group], least[group])
-    return pa.Table.from_batches([packed_batch(by_document(d[shared], p[shared], partner[shared]))])
+    return pa.Table.from_batches([packed_batch(by_bucket(d[shared], p[shared], partner[shared], buckets))])
 
 
 def chunked(pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], finish: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple]]) -> Iterator[pa.RecordBatch]:

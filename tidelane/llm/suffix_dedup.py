@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm.seeding import PACKED, chunked, minimizers, run_hashes, settle_chunk, settle_shard
+from tidelane.llm.seeding import PACKED, bucket_entries, chunked, minimizers, run_hashes, settle_chunk, settle_shard
 from tidelane.llm.storage import Scratch, arrow_rows, shuffle_partitions
 from tidelane.llm.textkernel import U64, TextKernel, text_slices
 
@@ -42,12 +42,19 @@ def _sparse_suffixes(h: np.ndarray, first: np.ndarray, min_words: int) -> tuple[
     return starts[fits], anchors[fits], ends
 
 
-def settled(entries: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Rows (doc_id, pos, partners) of the entries whose key another document holds."""
+def settled(entries: DataFrame, shards: int, scratch: Scratch, name: str) -> DataFrame:
+    """Rows (shard: bucket of documents, docs, pos, partners) of the entries whose key another document holds."""
     rows = scratch.keep(entries, name)
-    local = rows.where("shard < 0").select("doc_id", "pos", "partners")
-    met = rows.where("shard >= 0").groupBy("shard").applyInArrow(settle_shard, PACKED)
-    return local.unionByName(met.select("doc_id", "pos", "partners"))
+    met = rows.where("shard >= 0").groupBy("shard").applyInArrow(lambda t: settle_shard(t, shards), PACKED)
+    return rows.where("shard < 0").unionByName(met).select("shard", "docs", "pos", "partners")
+
+
+def _marks(table: pa.Table) -> pa.Table:
+    """(doc_id, marks) of a bucket: the surviving positions of each document."""
+    doc, pos, _ = bucket_entries(table)
+    start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    ends = np.concatenate([start[1:], [len(doc)]])
+    return pa.table({"doc_id": doc[start], "marks": pa.array([pos[a:b].astype(np.uint32).tobytes() for a, b in zip(start, ends)], pa.binary())})
 
 
 def repeated_spans(docs: DataFrame, *, min_words: int = 51) -> DataFrame:
@@ -90,7 +97,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 51) -> DataFrame:
                     h = kernel.word_hashes(words)
                     alive = np.zeros(len(h) + 1, bool)
                     for i in range(a, b):
-                        at = np.frombuffer(b"".join(x.as_py() for x in marks[i].values), np.uint32) + words.first[i - a]
+                        at = np.frombuffer(marks[i].as_py(), np.uint32) + words.first[i - a]
                         alive[at[at < words.first[i - a + 1]]] = True
                     starts, anchors, _ = _sparse_suffixes(h, words.first, min_words)
                     starts = starts[alive[anchors]]
@@ -101,23 +108,19 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 51) -> DataFrame:
         yield from chunked(pieces(), lambda k, d, p: settle_chunk(k, d, p, shards))
 
     def united(table: pa.Table) -> pa.Table:
-        pos = np.frombuffer(b"".join(x.as_py() for x in table.column("pos")), np.uint32).astype(np.int64)
-        partner = np.frombuffer(b"".join(x.as_py() for x in table.column("partners")), np.int64)
-        order = np.lexsort((partner, pos))
-        pos, partner = pos[order], partner[order]
+        doc, pos, partner = bucket_entries(table)
         new = np.ones(len(pos), bool)
-        new[1:] = pos[1:] > pos[:-1] + min_words
+        new[1:] = (pos[1:] > pos[:-1] + min_words) | (doc[1:] != doc[:-1])
         start = np.flatnonzero(new)
         last = np.concatenate([start[1:], [len(pos)]]) - 1
-        other = np.minimum.reduceat(partner, start)
-        return pa.table({"doc_id": pa.array(np.repeat(table.column("doc_id")[0].as_py(), len(start)), pa.int64()), "start_word": pos[start], "end_word": pos[last] + min_words, "other_doc_id": other})
+        return pa.table({"doc_id": doc[start], "start_word": pos[start], "end_word": pos[last] + min_words, "other_doc_id": np.minimum.reduceat(partner, start)})
 
     with arrow_rows(spark, 2000):
-        marks = settled(base.mapInArrow(suffixes, PACKED), scratch, "suffixes")
-        marks = scratch.keep(marks.groupBy("doc_id").agg(F.collect_list("pos").alias("marks")), "marks")
+        alive = settled(base.mapInArrow(suffixes, PACKED), shards, scratch, "suffixes")
+        marks = scratch.keep(alive.groupBy("shard").applyInArrow(_marks, "doc_id long, marks binary"), "marks")
         scratch.drop("suffixes")
-        found = settled(base.join(marks, "doc_id").mapInArrow(extensions, PACKED), scratch, "extensions")
-        return scratch.keep(found.groupBy("doc_id").applyInArrow(united, "doc_id long, start_word long, end_word long, other_doc_id long"), "spans")
+        found = settled(base.join(marks, "doc_id").mapInArrow(extensions, PACKED), shards, scratch, "extensions")
+        return scratch.keep(found.groupBy("shard").applyInArrow(united, "doc_id long, start_word long, end_word long, other_doc_id long"), "spans")
 
 
 def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
