@@ -17,7 +17,8 @@ def _title(c: Column) -> Column:
     c = F.regexp_replace(c, r"[(\[]\s*[)\]]", " ")
     c = F.regexp_replace(c, r"\s+", " ")
     c = F.regexp_replace(c, "\u0001", ".")
-    return F.regexp_replace(F.trim(c), r"^[\s\-]+|[\s\-]+$", "")
+    c = F.regexp_replace(F.trim(c), r"^[\s\-]+|[\s\-]+$", "")
+    return F.regexp_replace(c, r"(\.\p{Lu})$", "$1.")  # an acronym keeps its last point
 
 
 def _folder_title(path: Column) -> Column:

@@ -12,13 +12,18 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def strip(c: Column) -> Column:
+    """Trim all whitespace, line breaks included."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def strip_html(c: Column) -> Column:
     """Breaks and paragraph ends become line breaks, other tags go, the common entities are decoded."""
     c = F.regexp_replace(c, r"(?i)<br\s*/?>|</p>", "\n")
     c = F.regexp_replace(c, r"<[^>]*>", "")
     for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(plain))
-    return F.trim(c)
+    return strip(c)
 
 
 def clean_names(names: Column) -> Column:

@@ -430,7 +430,7 @@ def q_time_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>|</p>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), ' ') AS plain FROM pages
+SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>|</p>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS plain FROM pages
 """)
 def q_strip_html(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", text.strip_html(F.col("html")).alias("plain"))

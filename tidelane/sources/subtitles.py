@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelane.functions.text import strip
 from tidelane.functions.times import format_centi, format_ms, parse_ms
 
 
@@ -22,13 +23,13 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _blocks(files: DataFrame) -> DataFrame:
-    return files.select("path", F.posexplode(F.split(F.trim("text"), r"\n[ \t]*\n+")).alias("n", "block"))
+    return files.select("path", F.posexplode(F.split(strip(F.col("text")), r"\n[ \t]*\n+")).alias("n", "block"))
 
 
 def _cues(blocks: DataFrame, arrow: str) -> DataFrame:
     found = blocks.where(F.rlike("block", F.lit(arrow)))
     cell = lambda g: F.regexp_extract("block", arrow, g)
-    cues = found.select("path", "n", parse_ms(cell(1)).alias("start_ms"), parse_ms(cell(2)).alias("end_ms"), F.trim(cell(3)).alias("settings"), F.trim(cell(4)).alias("text"))
+    cues = found.select("path", "n", parse_ms(cell(1)).alias("start_ms"), parse_ms(cell(2)).alias("end_ms"), strip(cell(3)).alias("settings"), strip(cell(4)).alias("text"))
     return _numbered(cues)
 
 
@@ -54,7 +55,7 @@ def parse_ass(files: DataFrame) -> DataFrame:
     section = F.last(F.nullif(F.regexp_extract("line", r"^\[(.+)\]", 1), F.lit("")), True).over(w)
     layout = F.last(F.nullif(F.regexp_extract("line", r"^Format:\s*(.*)$", 1), F.lit("")), True).over(w)
     rows = lines.withColumns({"section": section, "layout": layout}).where("section = 'Events' and line like 'Dialogue:%'")
-    rows = rows.withColumns({"names": F.transform(F.split("layout", ","), lambda x: F.trim(x)), "body": F.regexp_replace("line", r"^Dialogue:\s*", "")})
+    rows = rows.withColumns({"names": F.transform(F.split("layout", ","), lambda x: strip(x)), "body": F.regexp_replace("line", r"^Dialogue:\s*", "")})
     rows = rows.withColumn("cells", F.split(F.col("body"), ",", F.size("names")))
     cell = lambda name: F.trim(F.try_element_at("cells", F.array_position("names", name).cast("int")))
     text = F.regexp_replace(F.regexp_replace(cell("Text"), r"\{[^}]*\}", ""), r"\\[Nn]", "\n")

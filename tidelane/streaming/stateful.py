@@ -24,8 +24,9 @@ def sessions(events: DataFrame, time: str, key: str, gap: str, late: str = "10 m
     return events.groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def reorder_stream(events: DataFrame, key: str, pts: str, depth: int = 16, flush_ms: int = 60_000) -> DataFrame:
-    """Emit (key, dts) in order from a heap of ``depth`` times for each key; what is left goes out on timeout."""
+def reorder_stream(events: DataFrame, key: str, pts: str, depth: int = 16, flush_ms: int | None = 60_000) -> DataFrame:
+    """Emit (key, dts) in order from a heap of ``depth`` times for each key; what is left goes out
+    after ``flush_ms`` without input (None: it stays)."""
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
@@ -38,8 +39,9 @@ def reorder_stream(events: DataFrame, key: str, pts: str, depth: int = 16, flush
         held.sort()
         out, held = held[: max(0, len(held) - depth)], held[max(0, len(held) - depth) :]
         state.update((held,))
-        state.setTimeoutDuration(flush_ms)
+        if flush_ms is not None:
+            state.setTimeoutDuration(flush_ms)
         yield pd.DataFrame({key: [group[0]] * len(out), "dts": out})
 
     kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, dts long", "held array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, dts long", "held array<long>", "append", GroupStateTimeout.NoTimeout if flush_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
