@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tidelane.plans import media_queries
 from tidelane.plans import queries as plans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -48,3 +49,8 @@ def test_entry(spark):
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ratings_golden(spark):
+    got = {r.id: r.rating for r in media_queries.q_ratings(spark, SF).collect()}
+    assert got == {1: "mpaa|PG-13|300", 2: "mpaa|PG|200", 3: "us-tv|TV-MA|600", 4: "us-tv|TV-PG|400", 5: "de-movie|Ab 16 Jahren|500", 6: "de-movie|Ab 12 Jahren|200", 7: "", 8: ""}
