@@ -96,3 +96,18 @@ def test_detection(spark, tmp_path):
 def test_text_decoding(spark):
     for raw, want in (("é".encode(), "é"), (b"\xe9", "é"), ("é".encode("utf-16"), "é"), (b"\xef\xbb\xbfa\r\nb", "a\nb")):
         assert one(spark, subtitles.decode_text(F.lit(bytearray(raw)))) == want
+
+
+def test_nfo(spark):
+    from tidelane.sources import nfo
+
+    xml = "<?xml version='1.0'?>\n<episodedetails><title>Pilot</title><season>1</season><episode>2</episode><director>A</director><director>B</director><actor><name>C</name><role>D</role></actor></episodedetails>\nhttp://x/"
+    got = nfo.parse_nfo(spark.createDataFrame([("a", xml), ("b", "no xml")], "path string, text string")).orderBy("path").collect()
+    assert (got[0].title, got[0].season, got[0].director, got[0].actor[0].role) == ("Pilot", 1, ["A", "B"], "D") and got[1].title is None
+    where = nfo.nfo_candidates(spark.createDataFrame([("/tv/Show/S1/e1.mkv",)], "path string")).orderBy("ord")
+    assert [r.nfo for r in where.collect()] == ["/tv/Show/S1/e1.nfo", "/tv/Show/S1/movie.nfo", "/tv/Show/S1/tvshow.nfo", "/tv/Show/tvshow.nfo"]
+    e = spark.createDataFrame([("s", "Pilot", None)], "show string, title string, plot string")
+    s = spark.createDataFrame([("s", "Show", "Plot")], "show string, title string, plot string")
+    assert tuple(nfo.fill_from_show(e, s, "show").first()) == ("s", "Pilot", "Plot")
+    back = spark.range(1).select(F.lit("a").alias("path"), nfo.to_nfo({"title": F.lit("T & U"), "season": F.lit(3)}).alias("text"))
+    assert nfo.parse_nfo(back).select("title", "season").first() == ("T & U", 3)

@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a dimension that is broadcast at most; a larger one meets its partner by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if a count proves it small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str]) -> DataFrame:
     """For each left row the last right row with right_on <= left_on: one sort of the union, no range join."""
     kinds = {f.name: f.dataType for f in right.schema.fields}
@@ -36,14 +45,14 @@ def first_match(candidates: DataFrame, key: list[str], rank: list[Column]) -> Da
 def most_specific(rows: DataFrame, rules: DataFrame, pairs: list[tuple[str, str]], rule_order: str, values: list[str], key: list[str]) -> DataFrame:
     """The rule whose given fields all match, by the number and weight of given fields, then first given.
 
-    A null field of a rule matches anything; field i weighs 2**i.  Rules are few (checked by Spark's own
-    broadcast threshold) and joined once.
+    A null field of a rule matches anything; field i weighs 2**i.  Rules are broadcast while a count
+    proves them few, and joined once.
     """
     on, weight = F.lit(True), F.lit(0)
     for i, (column, rule) in enumerate(pairs):
         on = on & (F.col(f"u.{rule}").isNull() | (F.col(f"r.{column}") == F.col(f"u.{rule}")))
         weight = weight + F.when(F.col(f"u.{rule}").isNotNull(), 1 << i).otherwise(0)
-    joined = rows.alias("r").join(F.broadcast(rules).alias("u"), on, "left").select("r.*", *[F.col(f"u.{v}").alias(v) for v in values], weight.alias("__weight"), F.col(f"u.{rule_order}").alias("__order"))
+    joined = rows.alias("r").join(small_side(rules).alias("u"), on, "left").select("r.*", *[F.col(f"u.{v}").alias(v) for v in values], weight.alias("__weight"), F.col(f"u.{rule_order}").alias("__order"))
     return first_match(joined, key, [F.col("__weight").desc(), F.col("__order").asc_nulls_last()]).drop("__weight", "__order")
 
 

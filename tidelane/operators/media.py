@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.operators.joins import asof_join, first_match
+from tidelane.operators.joins import asof_join, first_match, small_side
 from tidelane.operators.timeline import expand_runs, prefix_sum
 
 
@@ -43,7 +43,7 @@ def consume_by_rules(tags: DataFrame, rules: DataFrame, by: list[str], rule_key:
 
     ``rules`` (rule_key, target, ord) is a small dimension, ``tags`` has by, tag_key and pos.
     """
-    joined = tags.join(F.broadcast(rules), F.upper(F.col(tag_key)) == F.upper(F.col(rule_key)))
+    joined = tags.join(small_side(rules), F.upper(F.col(tag_key)) == F.upper(F.col(rule_key)))
     once = first_match(joined, [*by, "pos"], [F.asc("ord")])
     return first_match(once, [*by, "target"], [F.asc("ord"), F.asc("pos")])
 
@@ -68,7 +68,7 @@ def lookup_ratings(rows: DataFrame, ratings: DataFrame, key: list[str]) -> DataF
     """Rating of (certification, country, media): exact code, then name, then compacted code; the row's media before any other."""
     norm = rows.withColumn("__c", normal_certification(F.col("certification")))
     compact = lambda c: F.regexp_replace(F.upper(c), r"[^A-Z0-9]", "")
-    r = F.broadcast(ratings.withColumnsRenamed({c: f"r_{c}" for c in ratings.columns}))
+    r = small_side(ratings.withColumnsRenamed({c: f"r_{c}" for c in ratings.columns}))
     rank = F.when(F.col("__c") == F.upper("r_code"), 0).when(F.col("__c") == F.upper("r_name"), 1).when(compact(F.col("__c")) == compact(F.col("r_code")), 2)
     joined = norm.join(r, (F.col("country") == F.col("r_country")) & rank.isNotNull(), "left")
     return first_match(joined.withColumn("__rank", rank), key, [(F.col("r_media") == F.col("media")).desc_nulls_last(), F.asc_nulls_last("__rank"), F.asc_nulls_last("r_value")]).drop("__c", "__rank")

@@ -206,7 +206,7 @@ FROM documents LEFT JOIN l x ON lower(lang) = x.tag LEFT JOIN l y ON lower(lang)
 def q_dim_chain(spark: SparkSession, d: str) -> DataFrame:
     dim = spark.createDataFrame(_LANGUAGES, "tag string, t string, b string")
     docs = _t(spark, d, "documents").select("doc_id", F.lower("lang").alias("code"))
-    x, y = F.broadcast(dim).alias("x"), F.broadcast(dim).alias("y")
+    x, y = joins.small_side(dim).alias("x"), joins.small_side(dim).alias("y")
     j = docs.join(x, F.col("code") == F.col("x.tag"), "left").join(y, F.concat("code", F.lit("u")) == F.col("y.t"), "left")
     return j.select("doc_id", F.coalesce("x.t", "y.t", F.lit("und")).alias("iso_t"), F.coalesce("x.b", "y.b", F.lit("und")).alias("iso_b"))
 
