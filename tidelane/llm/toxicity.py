@@ -140,6 +140,7 @@ def train(texts: pa.Array, labels: np.ndarray, settings: BagSettings = BagSettin
     bucket = np.concatenate(bags)
     per_word = np.concatenate(sizes_of).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(per_word)])
+    runs = [(a, min(a + 50_000, len(per_word))) for a in range(0, len(per_word), 50_000)]  # of distinct words, to bound memory
     doc, start, end = passages(first, settings.width, settings.stride)
     sums = lambda x: np.concatenate([[0.0], np.cumsum(x[inverse])])
     sizes = sums(per_word)
@@ -153,7 +154,10 @@ def train(texts: pa.Array, labels: np.ndarray, settings: BagSettings = BagSettin
     score = total[end] - total[start]
     rng = np.random.default_rng(settings.seed)
     # subwords of fewer than min_docs texts tell nothing about others; their vectors stay 0
-    common = np.bincount(bucket, np.repeat(texts_with.astype(np.int32), per_word), settings.buckets) >= settings.min_docs
+    in_texts = np.zeros(settings.buckets)
+    for a, b in runs:
+        in_texts += np.bincount(bucket[begin[a] : begin[b]], np.repeat(texts_with[a:b], per_word[a:b]), settings.buckets)
+    common = in_texts >= settings.min_docs
     emb = (rng.random((settings.buckets, settings.dim)) - 0.5) / settings.dim * common[:, None]
     soft, bias = rng.normal(0, 0.5, (settings.dim, 2)), np.log(np.array([1 - share, share]))
     g_soft, g_bias = np.full((settings.dim, 2), 1e-8), np.full(2, 1e-8)
@@ -188,7 +192,7 @@ def train(texts: pa.Array, labels: np.ndarray, settings: BagSettings = BagSettin
             g_bias += d_bias**2
             bias -= 0.1 * settings.rate * d_bias / np.sqrt(g_bias)
         line = emb @ (soft[:, 1] - soft[:, 0])
-        total = sums(np.add.reduceat(line.astype(np.float32)[bucket], begin[:-1], dtype=np.float64))
+        total = sums(np.concatenate([np.add.reduceat(line[bucket[begin[a] : begin[b]]], begin[a:b] - begin[a]) for a, b in runs]))
         score = (total[end] - total[start]) / size
     return ToxicModel(settings, line.astype(np.float32), float(bias[1] - bias[0]))
 
