@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.llm.components import connected_components
-from tidelane.llm.storage import Scratch, arrow_rows, shuffle_partitions
+from tidelane.llm.storage import Scratch, arrow_rows, shard_count
 from tidelane.llm.textkernel import U64, TextKernel, mix64, text_slices, window_hashes
 
 SHINGLE = 5
@@ -197,7 +197,7 @@ def _lists(table: pa.Table) -> pa.Table:
 def inverted_lists(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """(list, class, n, w) of the prefix postings of all documents."""
     spark = docs.sparkSession
-    shards = 2 * shuffle_partitions(spark)
+    shards = shard_count(docs)
     shared = spark.sparkContext.broadcast(hot)  # at most the tokens of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

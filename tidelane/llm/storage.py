@@ -83,3 +83,10 @@ class arrow_rows:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shard_count(df: DataFrame, shard_bytes: int = 32 << 20) -> int:
+    """Shards for an exchange of ``df``'s texts: two for each shuffle partition, more where the plan's size estimate asks for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 50 else 0  # a plan without statistics claims exabytes
+    return max(2 * shuffle_partitions(df.sparkSession), -(-known // shard_bytes))

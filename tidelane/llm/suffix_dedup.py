@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.llm.seeding import PACKED, bucket_entries, chunked, minimizers, run_hashes, settle_chunk, settle_shard
-from tidelane.llm.storage import Scratch, arrow_rows, shuffle_partitions
+from tidelane.llm.storage import Scratch, arrow_rows, shard_count
 from tidelane.llm.textkernel import U64, TextKernel, text_slices
 
 RUN = 12
@@ -65,7 +65,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 51) -> DataFrame:
     if min_words < SPREAD + RUN:
         raise ValueError(f"min_words is {SPREAD + RUN} at least")
     spark = docs.sparkSession
-    scratch, shards = Scratch(spark, "suffix"), 2 * shuffle_partitions(spark)
+    scratch, shards = Scratch(spark, "suffix"), shard_count(docs)
     tail = min_words - SPREAD + 1
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
 
