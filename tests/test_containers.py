@@ -56,6 +56,7 @@ def test_mp4_broken_off():
     whole = mp4_file()
     for n in range(0, len(whole), 7):
         assert len(list(C.mp4_tables(whole[:n]))) <= len(list(C.mp4_tables(whole)))
+    assert list(C.mp4_tables(box(b"moov", box(b"trak", box(b"tkhd", bytes(8)))))) == []
 
 
 def element(kind: int, body: bytes, unknown: bool = False) -> bytes:

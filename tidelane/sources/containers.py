@@ -5,8 +5,8 @@ A parser is a generator over one file's bytes that yields rows; ``scan`` maps it
 more than one row (packets from pages, units from packets, samples from runs) is left to DataFrame
 operators on the result.  ``binaryFile`` hands over whole files, so a file is at most 2 GB.
 
-Defined results: null or empty content and files of another format give no rows; a file that breaks
-off gives the rows before the break.
+Defined results: null or empty content and files of another format give no rows (ADTS and Annex B
+have no magic, so chance matches count); a file that breaks off gives the rows before the break.
 """
 
 from __future__ import annotations
@@ -91,6 +91,13 @@ def mp4_tables(data: bytes) -> Iterator[tuple]:
     chunk, b samples a chunk), ``chunk`` (a offset), ``size`` (a bytes; b samples of that size), ``sync``
     (a sample from 1), ``edit`` (a duration, b media time).
     """
+    try:
+        yield from _mp4_rows(data)
+    except (IndexError, struct.error):  # a box too short for its kind
+        return
+
+
+def _mp4_rows(data: bytes) -> Iterator[tuple]:
     track = -1
     for name, at, head, size in mp4_boxes(data):
         body, leaf = at + head, name[-4:]
