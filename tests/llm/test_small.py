@@ -160,6 +160,52 @@ def test_edit_distance_and_chains():
         assert chain_dedup.edit_distance(a, b) == plain(a.tolist(), b.tolist())
 
 
+def test_chains_reach_back_within_the_gap_only():
+    rng, s = random.Random(9), chain_dedup.ChainSettings()
+
+    def plain(x, y):
+        score, root, count, best = [], [], [], {}
+        for i in range(len(x)):
+            near = [(score[j] - s.gap_cost * (x[i] - x[j] + y[i] - y[j]), -j) for j in range(i) if 0 < x[i] - x[j] <= s.max_gap and 0 < y[i] - y[j] <= s.max_gap]
+            top, j = max(near, default=(0, 0))
+            score.append(1 + max(top, 0))
+            root.append(root[-j] if top > 0 else i)
+            count.append(count[-j] + 1 if top > 0 else 1)
+            if root[i] not in best or score[i] > score[best[root[i]]]:
+                best[root[i]] = i
+        return sorted((r, e, count[e]) for r, e in best.items())
+
+    for _ in range(50):
+        points = sorted({(rng.randrange(400), -rng.randrange(400)) for _ in range(60)})
+        x, y = (np.array(v) for v in zip(*points))
+        assert sorted(chain_dedup.chain_pair(x, -y, s)) == plain(x.tolist(), (-y).tolist())
+    # a second block 100 words after a first one of 13 seeds is one chain of its own
+    x = np.array([*range(0, 52, 4), *range(150, 202, 4)])
+    assert sorted(chain_dedup.chain_pair(x, x + 7, s)) == [(0, 12, 13), (13, 25, 13)]
+
+
+def test_extension_over_edits(spark):
+    def plain(a, b):
+        best, row = 0, [-j for j in range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            new = [-i]
+            for j, y in enumerate(b, 1):
+                new.append(max(row[j] - 1, new[-1] - 1, row[j - 1] + (1 if x == y else -1)))
+            row, best = new, max(best, *new)
+        return best
+
+    rng = random.Random(10)
+    for _ in range(100):
+        a, b = (np.array([rng.randrange(4) for _ in range(rng.randrange(20))], np.uint32) for _ in "ab")
+        i, j = chain_dedup.extension(a, b)
+        assert plain(a.tolist(), b.tolist()) == plain(a[:i].tolist(), b[:j].tolist())
+    passage = words(60, 21, 5000)
+    edited = [*passage[:7], "one", *passage[8:52], "two", *passage[53:]]
+    rows = [(1, " ".join(words(40, 22, 10**6) + passage + words(40, 23, 10**6))), (2, " ".join(words(40, 24, 10**6) + edited + words(40, 25, 10**6)))]
+    r = chain_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).first()
+    assert (r.start_word, r.end_word, r.other_start, r.other_end) == (40, 100, 40, 100)
+
+
 def test_fuzzy_passages(spark, odd):
     passage, rows = words(90, 20, 5000), []
     for i in range(20):
