@@ -220,6 +220,18 @@ def test_fuzzy_passages(spark, odd):
     assert chain_dedup.fuzzy_passages(odd.limit(0)).count() == 0
 
 
+def test_passages_of_other_partners(spark):
+    """B and C share 60 words; smaller documents hold parts of them that are too short for passages."""
+    p, rows = words(60, 26, 10**6), []
+    fill = lambda i: words(30, 300 + i, 10**6)
+    for i, part in enumerate([p[:40], p[20:], p[:45], p[15:], p, p, p[:30] + fill(50)[:1] + p[31:]]):
+        rows.append((i, " ".join(fill(2 * i) + part + fill(2 * i + 1))))
+    found = chain_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert all(r.other_doc_id < r.doc_id and r.other_doc_id in (4, 5) for r in found)
+    covered = {d: {x for r in found if r.doc_id == d for x in range(r.start_word, r.end_word)} for d in (5, 6)}
+    assert all(set(range(30, 90)) <= covered[d] for d in covered)
+
+
 def test_suffix_dedup_is_exact(spark, odd):
     rng, parts = random.Random(11), [words(n, 40 + n, 600) for n in (50, 51, 60, 130)]
     rows = []
