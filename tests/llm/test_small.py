@@ -261,6 +261,20 @@ def test_suffix_dedup_is_exact(spark, odd):
     assert suffix_dedup.repeated_spans(odd.limit(0)).count() == 0
 
 
+def test_remove_repeats_keeps_one_copy_overall(spark, monkeypatch):
+    from tidelane.llm import seeding
+
+    monkeypatch.setattr(seeding, "CHUNK_ENTRIES", 1)
+    passage = words(80, 450, 10**6)
+    rows = [(i, " ".join(words(20, 460 + i, 10**6) + passage + words(20, 500 + i, 10**6) + (passage if i == 7 else []))) for i in range(24)]
+    for n in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        spans = suffix_dedup.repeated_spans(docs)
+        assert all(r.other_doc_id == (0 if r.doc_id else 1) for r in spans.collect())
+        clean = suffix_dedup.remove_repeats(docs, spans).collect()
+        assert [r.doc_id for r in clean if passage[0] in r.text.split()] == [0]
+
+
 def test_toxicity_learns_and_generalises(spark, odd):
     rng = random.Random(13)
     texts, labels = [], []

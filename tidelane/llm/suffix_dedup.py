@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm.seeding import PACKED, bucket_entries, chunked, minimizers, run_hashes, settle_chunk, settle_shard
+from tidelane.llm.seeding import PACKED, bucket_entries, chunked, minimizers, pack_entries, run_hashes, settle_chunk, settle_shard
 from tidelane.llm.storage import Scratch, arrow_rows, shard_count
 from tidelane.llm.textkernel import U64, TextKernel, text_slices
 
@@ -60,7 +60,7 @@ def _marks(table: pa.Table) -> pa.Table:
 def repeated_spans(docs: DataFrame, *, min_words: int = 51) -> DataFrame:
     """(doc_id, start_word, end_word, other_doc_id) of every maximal repeated span, words from 0.
 
-    ``other_doc_id`` is the least document seen to share a part of the span.
+    ``other_doc_id`` is the least other document that shares a part of the span, whatever the partitions.
     """
     if min_words < SPREAD + RUN:
         raise ValueError(f"min_words is {SPREAD + RUN} at least")
@@ -105,7 +105,8 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 51) -> DataFrame:
                     doc = words.doc[starts]
                     yield key[np.searchsorted(place, starts)], ids[a + doc], starts - words.first[doc]
 
-        yield from chunked(pieces(), lambda k, d, p: settle_chunk(k, d, p, shards))
+        # none is settled in its chunk: partners are the least documents of all chunks
+        yield from chunked(pieces(), lambda k, d, p: pack_entries(k, d, p, np.zeros(len(k), bool), shards))
 
     def united(table: pa.Table) -> pa.Table:
         doc, pos, partner = bucket_entries(table)
