@@ -117,6 +117,18 @@ def test_jaccard_keeps_one_and_empty(spark, odd):
     assert jaccard_join.similar_groups(odd.limit(0)).count() == 0
 
 
+def test_jaccard_keeps_texts_without_an_id_of_their_own(spark):
+    text = lambda seed: " ".join(words(60, seed, 10**6))
+    near = text(403).rsplit(" ", 1)[0]
+    rows = [(None, text(400)), (None, text(401)), (None, text(401)), (None, text(403)), (None, near), (1, text(404)), (1, text(405)), (1, text(405)), (2, text(406)), (None, text(406)), (3, text(405)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in jaccard_join.keep_one_of_each(docs).collect()]
+    linked = [r for r in kept if r[1] in (text(403), near)]
+    assert len(linked) == 1 and linked[0][0] is None
+    want = [(None, text(400)), (None, text(401)), (1, text(404)), (1, text(405)), (2, text(406)), (None, None)]
+    assert sorted(map(str, kept)) == sorted(map(str, want + linked))
+
+
 def test_quality_rules(spark, odd):
     line = " ".join(words(12, 9))
     rows = [(1, line + "\n" + line + "\n" + " ".join(words(200, 10, 10**6))), (2, "#*$ a | b")]

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelane.llm.components import connected_components
 from tidelane.llm.storage import Scratch, arrow_rows, shard_count
@@ -110,7 +111,10 @@ def read_sets(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, tokens: sorted hashes as bytes) of the documents ``wanted`` (rep, class)."""
+    """(class, tokens: sorted hashes as bytes) of the documents ``wanted`` (rep, class).
+
+    A class whose documents all lack an id (null rep) is met by its shingles instead.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = TextKernel("space", lower=True)
@@ -118,13 +122,19 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for a, b, buf, offsets in text_slices(batch.column("text")):
                 g, _, n, digest = shingle_sets(kernel, buf, offsets)
                 upto = np.concatenate([[0], np.cumsum(n)])
-                due = batch.column("class").slice(a, b - a).to_numpy(zero_copy_only=False)
-                rows = np.flatnonzero(due == digest)
+                due = batch.column("class").slice(a, b - a).fill_null(0).to_numpy(zero_copy_only=False)
+                nameless = batch.column("class").slice(a, b - a).is_null().to_numpy(zero_copy_only=False)
+                rows = np.flatnonzero((due == digest) | ((n > 0) & nameless))
                 tokens = [g[upto[i] : upto[i + 1]].tobytes() for i in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(digest[rows]), pa.array(tokens, pa.binary())], names=["class", "tokens"])
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("rep", "class"), F.col("doc_id") == F.col("rep"))
-    return joined.select("text", "class").mapInArrow(run, "class long, tokens binary")
+    sets = joined.select("text", "class").mapInArrow(run, "class long, tokens binary")
+    unnamed = wanted.where("rep is null").select("class")
+    if unnamed.isEmpty():
+        return sets
+    nameless = docs.where("doc_id is null").select("text", F.lit(None).cast("long").alias("class")).mapInArrow(run, "class long, tokens binary")
+    return sets.unionByName(nameless.join(unnamed, "class", "left_semi").dropDuplicates(["class"]))
 
 
 def frequent_shingles(docs: DataFrame, classes: DataFrame) -> np.ndarray:
@@ -368,8 +378,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataF
         return scratch.keep(links.unionByName(long_list_links(heavy, families, roots, sets, scratch)), "links")
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every row of ``docs``."""
+def _rooted_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id, root: the component's least class) of every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     with arrow_rows(docs.sparkSession, 2000):
         heads = scratch.keep(read_sets(docs), "heads")
@@ -379,20 +389,52 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     placed = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("root", "class").alias("comp"))
     placed = scratch.keep(placed, "placed")
     least = scratch.keep(placed.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
-    named = scratch.keep(placed.join(least, "comp").select(F.col("class").alias("c"), "component_id"), "named")
+    named = scratch.keep(placed.join(least, "comp").select(F.col("class").alias("c"), "component_id", F.col("comp").alias("root")), "named")
     joined = heads.join(named, F.col("class") == F.col("c"), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id) of every row of ``docs``."""
+    return _rooted_groups(docs).drop("root")
+
+
+def _with_class(docs: DataFrame) -> DataFrame:
+    """``docs`` with the class of each text as ``__class``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = TextKernel("space", lower=True)
+        for batch in batches:
+            for a, b, buf, offsets in text_slices(batch.column("text")):
+                rows = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(shingle_sets(kernel, buf, offsets)[3])], names=[*batch.schema.names, "__class"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__class", T.LongType())]))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each group of linked documents; repeated rows stay once."""
-    groups = similar_groups(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counts = Scratch(docs.sparkSession, "first").keep(first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")), "first")
-    kept = docs.join(counts.select(F.col("doc_id").alias("k_id"), "copies"), F.col("doc_id").eqNullSafe(F.col("k_id")))
-    if not counts.where("copies > 1").isEmpty():
-        kept = kept.where("copies = 1").unionByName(kept.where("copies > 1").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    """One row of each group of linked documents, of its smallest doc_id (null only where the group has no other).
+
+    Rows without shingles stay once for each doc_id.  Rows that share a doc_id, or lack one, are told
+    apart by their texts.
+    """
+    scratch = Scratch(docs.sparkSession, "first")
+    groups = scratch.keep(_rooted_groups(docs), "groups")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "class_id"))
+    linked = groups.where("n_shingles > 0").groupBy("root").agg(least.alias("first")).select("first.doc_id", "first.class_id")
+    blank = groups.where("n_shingles = 0").select("doc_id", "class_id").distinct()
+    first = scratch.keep(linked.unionByName(blank).select(F.col("doc_id").alias("k_id"), F.col("class_id").alias("k_class")), "first")
+    repeated = scratch.keep(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("r_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r_id"), "repeated")
+    doc_id = F.col("doc_id").cast("long")
+    named = first.join(repeated, F.col("k_id") == F.col("r_id"), "left_anti").where("k_id is not null")
+    kept = docs.join(named.select("k_id"), doc_id == F.col("k_id")).select(*docs.columns)
+    shared = docs.where(doc_id.isNull())
+    if not repeated.isEmpty():
+        shared = shared.unionByName(docs.join(repeated, doc_id == F.col("r_id"), "left_semi"))
+    elif first.where("k_id is null").isEmpty():
+        return kept
+    told = _with_class(shared).join(first, doc_id.eqNullSafe(F.col("k_id")) & (F.col("__class") == F.col("k_class")), "left_semi")
+    return kept.unionByName(told.dropDuplicates(["doc_id", "__class"]).select(*docs.columns))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
