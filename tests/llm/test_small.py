@@ -331,3 +331,29 @@ def test_sharding(spark, odd):
     assert len(counts) == 24 and max(counts) - min(counts) <= 1
     assert sorted(sharding.fisher_yates(50, 1)) == list(range(50))
     assert sharding.external_shuffle(odd.limit(0), F.lit(32)).count() == 0
+
+
+@pytest.mark.parametrize("most", [10**6, 2])
+def test_warc_writes_groups_of_files(spark, tmp_path, most):
+    """Revisits over the bound of one scan: the files are written in groups, or joined by shuffle where there are none."""
+    rows = [(i if i % 9 else None, f"http://h/{i}", f"{i % 7}" * 1200 if i % 2 else str(i), 1) for i in range(60)]
+    rows += rows[:3]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int").withColumn("file", F.lit("x"))
+    pages.repartition(5).write.parquet(f"{tmp_path}/p")
+    best = {}
+    for k, _, t, _ in rows:
+        best[t] = max(best.get(t, -1), -1 if k is None else k)
+    want = sorted((str(k), "revisit" if len(t) >= 1000 and (-1 if k is None else k) < best[t] else "response") for k, _, t, _ in rows)
+    for name, table in (("files", spark.read.parquet(f"file://{tmp_path}/p")), ("rows", pages)):
+        warc.write_archive(table, f"file://{tmp_path}/{name}", scan_revisits=most)
+        got = warc.resolve_revisits(warc.read_archive(spark, f"file://{tmp_path}/{name}")).collect()
+        assert sorted((str(r.page_id), r.record_type) for r in got) == want
+        assert all(r.refers_to is not None and r.payload_bytes == 1200 for r in got if r.record_type == "revisit")
+
+
+def test_broken_archives_raise():
+    record = b"WARC/1.1\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+    assert [b for _, b in warc.parse_records(record * 2)] == [b"abcd"] * 2
+    for bad in (record[:20], record[:-6], record + b"x\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(bad))

@@ -1,23 +1,30 @@
 """WARC archives with revisit resolution.
 
-``write_archive`` turns a page table into WARC/1.1 records: payload headers are shuffled by digest
-(never the payloads), the record with the largest id of each group of equal payloads stays a
-``response`` and the others become ``revisit`` records that refer to it.  Records are written by
-Spark's text sink with the record terminator as line separator, which is exactly the WARC layout and
-commits atomically on any file system that Spark reaches.  ``read_archive`` parses the files again,
+``write_archive`` turns a page table into WARC/1.1 records: headers (id, digest, file) are shuffled by
+digest, the record with the largest id of each group of equal payloads stays a ``response`` and the
+others become ``revisit`` records that refer to it.  Payloads are never shuffled: the ids of revisits
+go to the scan that writes the records, in groups of input files small enough to be broadcast, so
+each file is read once however many revisits there are.  Records are written by Spark's text sink with
+the record terminator as line separator, which is exactly the WARC layout, as gzip files, and commits
+atomically on any file system that Spark reaches.  ``read_archive`` parses the files again,
 ``resolve_revisits`` joins revisits to their originals.
 
 Defined results: a null payload is empty; a null url becomes ``urn:page:<id>``; repeated rows that all
 hold the largest id are all responses; a null id sorts below every other id; an empty table gives an
-empty archive; extra columns are ignored.
+empty archive; extra columns are ignored, whatever their names; equal payloads that tie on the largest
+id are all responses.  Very long payloads are whole; a file of the archive holds about ``FILE_BYTES``
+and must stay below 2 GB, so a single payload must too.  A file that ends inside a record, or holds
+none where one should begin, raises ``ValueError``.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +32,8 @@ from tidelane.llm.storage import Scratch
 
 CRLF = "\r\n"
 FILE_BYTES = 32 << 20
+#: Revisits (an id, an original and a digest, about 100 bytes each) that one scan gets by broadcast.
+SCAN_REVISITS = 1_000_000
 ARCHIVE_SCHEMA = "page_id long, record_id string, record_type string, payload_digest string, payload_bytes long, refers_to_record string, target_uri string, digest_ok boolean"
 
 
@@ -36,57 +45,91 @@ def record_id(page_id: Column) -> Column:
 
 
 def plan_revisits(pages: DataFrame, scratch: Scratch, min_bytes: int) -> DataFrame:
-    """(page_id, digest, original_id) of the pages that become revisits."""
-    heads = scratch.keep(pages.where(F.col("payload_bytes") >= min_bytes).select("page_id", "digest"), "heads")
+    """(page_id, digest, original_id, file) of the pages that become revisits."""
+    heads = scratch.keep(pages.where(F.col("payload_bytes") >= min_bytes).select("page_id", "digest", "file"), "heads")
     originals = heads.groupBy("digest").agg(F.max("page_id").alias("original_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     originals = scratch.keep(originals, "originals")
     revisits = heads.join(originals, "digest").where(F.col("page_id").isNull() | (F.col("page_id") < F.col("original_id")))
-    return revisits.dropDuplicates(["page_id", "digest"])
+    return scratch.keep(revisits.groupBy("page_id", "digest", "file").agg(F.max("original_id").alias("original_id")), "revisits")
 
 
-def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 1000) -> None:
-    """Write one record for each row of ``pages`` below ``path``."""
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "warc")
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    base = base.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
-    revisits = plan_revisits(base, scratch, min_revisit_bytes).alias("r")
-    on = F.col("b.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("b.digest") == F.col("r.digest"))
-    rows = base.alias("b").join(revisits, on, "left").select("b.*", "r.original_id")
-    uri = F.coalesce(F.regexp_replace("url", r"[\x00-\x20]", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))) 
+def archive_records(rows: DataFrame, date: str) -> DataFrame:
+    """The text of each record; rows with an ``original_id`` are revisits."""
+    uri = F.coalesce(F.regexp_replace("url", r"[\x00-\x20]", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes"), F.lit(CRLF * 2))
     block = F.concat(http, F.when(F.col("original_id").isNull(), F.col("payload")).otherwise(F.lit("")))
     kind = F.when(F.col("original_id").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
     extra = F.when(
         F.col("original_id").isNotNull(),
-        F.concat(F.lit(f"WARC-Refers-To: "), record_id(F.col("original_id")), F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}")),
+        F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("original_id")), F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}")),
     ).otherwise(F.lit(""))
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), kind, F.lit(f"{CRLF}WARC-Record-ID: "), record_id(F.col("page_id")), F.lit(f"{CRLF}WARC-Date: {date}{CRLF}WARC-Target-URI: "), uri,
         F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit(CRLF), extra, F.lit("X-Page-Id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length("block").cast("string"), F.lit(CRLF * 2),
     )
+    return rows.withColumn("block", block).select(F.concat(head, F.col("block")).alias("value"))
+
+
+def _file_of(pages: DataFrame) -> tuple[Column, bool]:
+    """The file of each row, and whether the scan can be cut by it (a table that is no plain scan has no files)."""
+    try:
+        pages.select("_metadata.file_path")
+        return F.col("_metadata.file_path"), True
+    except AnalysisException:
+        return F.lit(""), False
+
+
+def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 1000, scan_revisits: int = SCAN_REVISITS) -> None:
+    """Write one record for each row of ``pages`` below ``path``.
+
+    With more than ``scan_revisits`` revisits, the input files are written in groups, each with its
+    own revisits; a table that is no scan of files is joined with them by shuffle instead.
+    """
+    scratch = Scratch(pages.sparkSession, "warc")
+    file, has_files = _file_of(pages)
+    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
+    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), file.alias("file"))
+    base = base.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
+    revisits = plan_revisits(base, scratch, min_revisit_bytes)
+    most = revisits.count()
+    groups = max(1, -(-2 * most // scan_revisits)) if most > scan_revisits else 1
     n, mean = base.agg(F.count(F.lit(1)), F.avg("payload_bytes")).first()
     per_file = max(1, int(FILE_BYTES / (1000 + (mean or 0)))) if n else 1
-    records = rows.withColumn("block", block).select(F.concat(head, F.col("block")).alias("value"))
-    records.write.mode("errorifexists").option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).text(path)
+    on = F.col("b.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("b.digest") == F.col("r.digest"))
+    for g in range(groups if has_files else 1):
+        part = (lambda t: t) if groups == 1 or not has_files else (lambda t, g=g: t.where(F.pmod(F.xxhash64("file"), F.lit(groups)) == g))
+        due = part(revisits).groupBy("page_id", "digest").agg(F.max("original_id").alias("original_id"))
+        due = F.broadcast(due) if groups == 1 or has_files else due
+        rows = part(base).alias("b").join(due.alias("r"), on, "left").select("b.*", "r.original_id")
+        records = archive_records(rows, date).write.mode("append" if g else "errorifexists")
+        records.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    scratch.drop("heads", "originals", "revisits")
 
 
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower-case names) and block of each record."""
     at = 0
     while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
+        end = content.find(b"\r\n\r\n", at)
+        if end < 0:
+            raise ValueError(f"the archive ends inside the record at byte {at}")
         lines = content[at:end].decode("utf-8").split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = int(fields["content-length"])
+        if end + 4 + size > len(content):
+            raise ValueError(f"the archive ends inside the record at byte {at}")
         yield fields, content[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
 
 
+def _plain(content: bytes) -> bytes:
+    """The bytes of a file, gzip members of whole files or of single records undone."""
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in ARCHIVE_SCHEMA.split(", ")]
     types = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
@@ -94,7 +137,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for cell in batch.column(0):
             out: dict[str, list] = {k: [] for k in names}
-            for fields, block in parse_records(cell.as_buffer().to_pybytes()):
+            for fields, block in parse_records(_plain(cell.as_buffer().to_pybytes())):
                 _, _, payload = block.partition(b"\r\n\r\n")
                 kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                 response = kind == "response"
