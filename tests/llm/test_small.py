@@ -178,9 +178,9 @@ def test_chains_reach_back_within_the_gap_only():
     def plain(x, y):
         score, root, count, best = [], [], [], {}
         for i in range(len(x)):
-            near = [(score[j] - s.gap_cost * (x[i] - x[j] + y[i] - y[j]), -j) for j in range(i) if 0 < x[i] - x[j] <= s.max_gap and 0 < y[i] - y[j] <= s.max_gap]
+            near = [(score[j] - (x[i] - x[j] + y[i] - y[j]), -j) for j in range(i) if 0 < x[i] - x[j] <= s.max_gap and 0 < y[i] - y[j] <= s.max_gap]
             top, j = max(near, default=(0, 0))
-            score.append(1 + max(top, 0))
+            score.append(round(1 / s.gap_cost) + max(top, 0))
             root.append(root[-j] if top > 0 else i)
             count.append(count[-j] + 1 if top > 0 else 1)
             if root[i] not in best or score[i] > score[best[root[i]]]:
@@ -244,6 +244,49 @@ def test_passages_of_other_partners(spark):
     assert all(set(range(30, 90)) <= covered[d] for d in covered)
 
 
+def test_passages_beside_fragments_in_smaller_documents(spark):
+    """Two documents share 90 words exactly; fragments of 20, 25 or 40 words stand in smaller documents."""
+    rows, k = [], 0
+    for case, size in enumerate((20, 25, 40)):
+        p = words(90, 700 + case, 10**6)
+        for at in range(0, 90 - size + 1, size // 2):
+            rows.append((k, " ".join(words(40, 2000 + k, 10**6) + p[at : at + size] + words(40, 3000 + k, 10**6))))
+            k += 1
+        rows += [(1000 + 10 * case + j, " ".join(words(30, 4000 + 10 * case + j, 10**6) + p + words(30, 5000 + 10 * case + j, 10**6))) for j in (0, 1)]
+    found = chain_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.other_doc_id) for r in found} == {(1001 + 10 * c, 30, 120, 1000 + 10 * c) for c in range(3)}
+
+
+def test_recall_on_edited_families_beside_fragments(spark):
+    """Families of four copies of a passage, 4 % of words changed in each; half of them beside fragments in documents all around."""
+    rng, rows, truth = random.Random(31), [], set()
+    ids = list(range(2000))
+    rng.shuffle(ids)
+    fill = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    for family in range(60):
+        p = words(rng.randrange(60, 120), 6000 + family, 10**6)
+        for _ in range(4):
+            i = ids.pop()
+            truth.add(i)
+            rows.append((i, " ".join(fill(30) + [w if rng.random() > 0.04 else f"e{rng.randrange(10**6)}" for w in p] + fill(30))))
+        for _ in range(4 * (family % 2)):
+            size = rng.choice((20, 25, 40))
+            at = rng.randrange(len(p) - size)
+            rows.append((ids.pop(), " ".join(fill(30) + p[at : at + size] + fill(30))))
+    found = chain_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    seen = {x for r in found for x in (r.doc_id, r.other_doc_id)}
+    print("recall", len(truth & seen) / len(truth))
+    assert len(truth & seen) >= 0.9 * len(truth) and seen <= truth
+
+
+def test_rows_without_ids_are_documents_of_their_own(spark):
+    p = words(80, 33, 10**6)
+    rows = [(None, " ".join(words(20, 8000 + i, 10**6) + p)) for i in range(2)] + [(-1, " ".join(p + words(20, 8010, 10**6))), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in suffix_dedup.repeated_spans(docs).collect()) == ["-1", "None", "None"]
+    assert {(r.doc_id, r.other_doc_id) for r in chain_dedup.fuzzy_passages(docs).collect()} >= {(None, -1)}
+
+
 def test_suffix_dedup_is_exact(spark, odd):
     rng, parts = random.Random(11), [words(n, 40 + n, 600) for n in (50, 51, 60, 130)]
     rows = []

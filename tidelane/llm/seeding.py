@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from tidelane.llm.textkernel import U64, mix64
 
@@ -19,6 +21,18 @@ CHUNK_ENTRIES = 1_500_000
 PACKED = "shard int, keys binary, owners binary, docs binary, pos binary, flags binary, partners binary"
 PACKED_NAMES = [x.split()[0] for x in PACKED.split(", ")]
 PACKED_TYPES = [pa.int32(), *[pa.binary()] * 6]
+#: Rows without an id get numbers at or above this one, by their texts.
+NAMELESS = 1 << 62
+
+
+def own_id(doc_id: Column, text: Column) -> Column:
+    """The id of a row, or for a row without one a number by its text; so ids are below ``NAMELESS``."""
+    return F.coalesce(doc_id.cast("long"), F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2) + F.lit(NAMELESS))
+
+
+def known_id(number: Column) -> Column:
+    """The id that ``own_id`` got, null for a row without one."""
+    return F.when(number < F.lit(NAMELESS), number)
 
 
 def run_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

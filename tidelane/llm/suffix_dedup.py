@@ -9,12 +9,16 @@
     length of the passage.  Extended suffixes are sorted again, and neighbours that agree are
     repeats; overlapping ones unite to spans, so a span is as long as the match.
 
-The result is exact: a word is in a span if and only if it lies in a run of ``min_words`` words that
-another document holds too (words compared by 64-bit hashes, runs by 48 bits after sorting).
+A word is in a span if and only if it lies in a run of ``min_words`` words that another document holds
+too.  Words are compared by 64-bit hashes and runs by the leading 48 bits of theirs, so among n runs a
+false match is to be expected once n is near 2^24 in one key, or 10^7 to 10^8 in all; callers that cut
+text at that scale compare the spans' words first.
 
 Defined results: null and short texts have no spans; repeats inside one document, and rows that
-repeat a doc_id, are no repeats across documents; a null doc_id counts as document -1; an empty table
-gives no rows; extra columns are ignored.
+repeat a doc_id, are no repeats across documents; rows without a doc_id (null in the result, too) are
+told apart by their texts; very long texts are read whole; among ties the least document is the
+partner; an empty table gives no rows; extra columns are ignored, whatever their names.
+``remove_repeats`` keeps them, and leaves rows without a doc_id whole.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm.seeding import PACKED, bucket_entries, chunked, minimizers, pack_entries, run_hashes, settle_chunk, settle_shard
+from tidelane.llm.seeding import PACKED, bucket_entries, chunked, known_id, minimizers, own_id, pack_entries, run_hashes, settle_chunk, settle_shard
 from tidelane.llm.storage import Scratch, arrow_rows, shard_count
 from tidelane.llm.textkernel import U64, TextKernel, text_slices
 
@@ -67,7 +71,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 51) -> DataFrame:
     spark = docs.sparkSession
     scratch, shards = Scratch(spark, "suffix"), shard_count(docs)
     tail = min_words - SPREAD + 1
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
+    base = docs.select(own_id(F.col("doc_id"), F.col("text")).alias("doc_id"), "text")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = TextKernel("space")
@@ -121,19 +125,21 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 51) -> DataFrame:
         marks = scratch.keep(alive.groupBy("shard").applyInArrow(_marks, "doc_id long, marks binary"), "marks")
         scratch.drop("suffixes")
         found = settled(base.join(marks, "doc_id").mapInArrow(extensions, PACKED), shards, scratch, "extensions")
-        return scratch.keep(found.groupBy("shard").applyInArrow(united, "doc_id long, start_word long, end_word long, other_doc_id long"), "spans")
+        spans = scratch.keep(found.groupBy("shard").applyInArrow(united, "doc_id long, start_word long, end_word long, other_doc_id long"), "spans")
+        return spans.withColumns({c: known_id(F.col(c)) for c in ("doc_id", "other_doc_id")})
 
 
 def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` without the words of spans that a document with a smaller id holds too; separators stay."""
-    cut = spans.where("other_doc_id < doc_id").groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-    pieces = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"), F.lit(0))
-    leading = F.rlike("text", F.lit(r"\A[^\x20\x09-\x0D]")).cast("int")
-    inside = lambda n: F.exists("spans", lambda s: (n >= s["start_word"]) & (n < s["end_word"]))
+    cut = spans.where("other_doc_id < doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    text, held = F.col("d.row.text"), F.col("c.spans")
+    pieces = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"), F.lit(0))
+    leading = F.rlike(text, F.lit(r"\A[^\x20\x09-\x0D]")).cast("int")
+    inside = lambda n: F.exists(held, lambda s: (n >= s["start_word"]) & (n < s["end_word"]))
     kept = F.filter(pieces, lambda x, i: ~(((i + leading) % 2 == 1) & inside(F.floor((i + 1 + leading) / 2) - 1)))
-    joined = docs.join(cut, F.col("doc_id") == F.col("s_id"), "left")
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return joined.select(*[clean.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    joined = docs.select(F.struct("*").alias("row")).alias("d").join(cut.alias("c"), F.col("d.row.doc_id") == F.col("c.id"), "left")
+    clean = F.when(held.isNull(), text).otherwise(F.array_join(kept, ""))
+    return joined.select(*[(clean if c == "text" else F.col(f"d.row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
