@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
 Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` and reading it again, so a
-lost executor never loses an intermediate result.  Only where that setting is empty (tests, a
-notebook) is a folder of our own used.
+lost executor never loses an intermediate result.  A session with neither that setting nor a checkpoint
+folder uses a folder of our own in local mode (tests, a notebook), and raises on a cluster.
 """
 
 from __future__ import annotations
@@ -12,16 +12,22 @@ import gc
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a local one when none is configured."""
+    """The folder that driver and executors share; a local one of our own in local mode only."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    held = spark._jsc.sc().getCheckpointDir()
+    if named or held.isDefined():
+        return (named or held.get()).rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tidelane-"))
         atexit.register(_forget)
@@ -81,12 +87,20 @@ class arrow_rows:
         self.spark.conf.set(self.KEY, self.before)
 
 
+def has_files(df: DataFrame) -> bool:
+    """Whether ``df`` is a plain scan of files, so that rows stay in their file splits."""
+    try:
+        df.select("_metadata.file_path")
+        return True
+    except AnalysisException:
+        return False
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shard_count(df: DataFrame, shard_bytes: int = 32 << 20) -> int:
-    """Shards for an exchange of ``df``'s texts: two for each shuffle partition, more where the plan's size estimate asks for it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = size if size < 1 << 50 else 0  # a plan without statistics claims exabytes
-    return max(2 * shuffle_partitions(df.sparkSession), -(-known // shard_bytes))
+def shard_count(docs: DataFrame, text: str = "text", shard_bytes: int = 32 << 20) -> int:
+    """Shards for an exchange of the texts: two for each shuffle partition, more where their bytes ask for it."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return max(2 * shuffle_partitions(docs.sparkSession), -(-int(size) // shard_bytes))

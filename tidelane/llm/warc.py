@@ -24,11 +24,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm.storage import Scratch
+from tidelane.llm.storage import Scratch, has_files
 
 CRLF = "\r\n"
 FILE_BYTES = 32 << 20
@@ -71,15 +70,6 @@ def archive_records(rows: DataFrame, date: str) -> DataFrame:
     return rows.withColumn("block", block).select(F.concat(head, F.col("block")).alias("value"))
 
 
-def _file_of(pages: DataFrame) -> tuple[Column, bool]:
-    """The file of each row, and whether the scan can be cut by it (a table that is no plain scan has no files)."""
-    try:
-        pages.select("_metadata.file_path")
-        return F.col("_metadata.file_path"), True
-    except AnalysisException:
-        return F.lit(""), False
-
-
 def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 1000, scan_revisits: int = SCAN_REVISITS) -> None:
     """Write one record for each row of ``pages`` below ``path``.
 
@@ -87,7 +77,8 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     own revisits; a table that is no scan of files is joined with them by shuffle instead.
     """
     scratch = Scratch(pages.sparkSession, "warc")
-    file, has_files = _file_of(pages)
+    scan = has_files(pages)
+    file = F.col("_metadata.file_path") if scan else F.lit("")
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), file.alias("file"))
     base = base.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
@@ -97,10 +88,10 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     n, mean = base.agg(F.count(F.lit(1)), F.avg("payload_bytes")).first()
     per_file = max(1, int(FILE_BYTES / (1000 + (mean or 0)))) if n else 1
     on = F.col("b.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("b.digest") == F.col("r.digest"))
-    for g in range(groups if has_files else 1):
-        part = (lambda t: t) if groups == 1 or not has_files else (lambda t, g=g: t.where(F.pmod(F.xxhash64("file"), F.lit(groups)) == g))
+    for g in range(groups if scan else 1):
+        part = (lambda t: t) if groups == 1 or not scan else (lambda t, g=g: t.where(F.pmod(F.xxhash64("file"), F.lit(groups)) == g))
         due = part(revisits).groupBy("page_id", "digest").agg(F.max("original_id").alias("original_id"))
-        due = F.broadcast(due) if groups == 1 or has_files else due
+        due = F.broadcast(due) if groups == 1 or scan else due
         rows = part(base).alias("b").join(due.alias("r"), on, "left").select("b.*", "r.original_id")
         records = archive_records(rows, date).write.mode("append" if g else "errorifexists")
         records.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
