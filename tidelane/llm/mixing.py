@@ -20,12 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelane.llm.prefix import numbered
 from tidelane.llm.storage import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 17
 MAX_EPOCHS = 3
 LEVELS = (16, 8, 0)
+#: Rows of a side table (sources, quality weights; about 100 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -33,8 +36,8 @@ def word_count(text: Column) -> Column:
 
 
 def sampling_key(doc_id: Column, weight: Column, seed: int = SEED) -> Column:
-    """-ln(u) / weight with u in (0, 1) from 52 bits of a seeded MD5 of the id."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
+    """-ln(u) / weight with u in (0, 1) from 52 bits of a seeded MD5 of the id as text."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), doc_id)), 1, 13), 16, 10).cast("long")
     return -F.ln((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / weight
 
 
@@ -59,7 +62,8 @@ def water_level(sources: DataFrame, budget: int, max_epochs: int) -> float:
 def plan_mix(keyed: DataFrame, scratch: Scratch, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row a source: its size, target, complete epochs and where the sampled prefix ends.
 
-    ``keyed`` has source, id, size, key and k24 (leading bits of the key's distribution function).
+    ``keyed`` has source, id, tie, size, key and k24 (leading bits of the key's distribution function).
+    The prefix ends with ``last_taken`` of the ``last_of`` equal documents (end_key, end_id, end_tie).
     """
     sources = scratch.keep(cycle_weights(keyed.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "sources")
     budget = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
@@ -80,11 +84,46 @@ def plan_mix(keyed: DataFrame, scratch: Scratch, *, weights: tuple[int, ...] = (
         state = scratch.keep(state, f"state{level_no + 1}")
     s = state.select(F.col("source").alias("s_source"), "rest", "prefix").where("rest > 0")
     last = keyed.join(s, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("k24") == F.col("prefix")))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("s_source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = last.withColumn("before", before).where(F.col("before") + F.col("size") / 2 <= F.col("rest"))
-    ends = last.groupBy("s_source").agg(F.max(F.struct("key", "id")).alias("end"))
+    last = last.groupBy("s_source", "rest", "key", "id", "tie", "size").agg(F.count(F.lit(1)).alias("of"))
+    order = Window.partitionBy("s_source").orderBy("key", "id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("of")).over(order), F.lit(0)))
+    fits = F.floor((F.col("rest") - F.col("before") - F.col("size") / 2) / F.col("size")) + 1
+    last = last.withColumn("taken", F.when(F.col("size") > 0, F.least("of", fits)).when(F.col("before") <= F.col("rest"), F.col("of"))).where("taken > 0")
+    ends = last.groupBy("s_source").agg(F.max(F.struct("key", "id", "tie", "taken", "of")).alias("end"))
     state = state.join(ends, F.col("source").eqNullSafe(F.col("s_source")), "left").drop("s_source")
-    return scratch.keep(state.select(F.col("source").alias("m_source"), "source_size", "target", "epochs", F.col("prefix").alias("cut"), F.col("end.key").alias("end_key"), F.col("end.id").alias("end_id")), "mix")
+    end = [F.col(f"end.{c}").alias(n) for c, n in (("key", "end_key"), ("id", "end_id"), ("tie", "end_tie"), ("taken", "last_taken"), ("of", "last_of"))]
+    return scratch.keep(state.select("source", "source_size", "target", "epochs", F.col("prefix").alias("cut"), *end), "mix")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """``table`` with a broadcast hint where its rows are few enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _placed(docs: DataFrame, row: Column, quality: DataFrame | None, weights: tuple[int, ...], max_epochs: int, seed: int) -> DataFrame:
+    """(row, size, source_size, target, copies) of every document."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
+    rows = docs.select(row.alias("row"), F.col("source").alias("source"), F.col("doc_id").cast("long").alias("doc"), name.alias("name"), F.xxhash64("text").alias("tie"), word_count(F.col("text")).alias("size"))
+    if quality is None:
+        rows = rows.withColumn("q", F.lit(1.0))
+    else:
+        q = scratch.keep(quality.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("q_doc")).agg(F.max("quality_weight").cast("double").alias("q")), "quality")
+        rows = rows.join(_small(q), F.col("doc") == F.col("q_doc"), "left").drop("q_doc").fillna(1.0, ["q"])
+    rows = rows.withColumn("key", sampling_key(F.col("name"), F.col("q"), seed)).drop("q", "name")
+    rows = rows.withColumns({"id": F.coalesce("doc", F.lit(-1)), "k24": F.least(F.floor((1 - F.exp(-F.col("key"))) * (1 << 24)), F.lit((1 << 24) - 1))})
+    narrow = scratch.keep(rows.select("source", "id", "tie", "size", "key", "k24"), "narrow")
+    plan = plan_mix(narrow, scratch, weights=weights, max_epochs=max_epochs)
+    placed = rows.alias("d").join(_small(plan).alias("m"), F.col("d.source").eqNullSafe(F.col("m.source")), "left")
+    here, end = (F.struct(*(F.col(c).alias(n) for c, n in zip(x, "kit"))) for x in (("key", "id", "tie"), ("end_key", "end_id", "end_tie")))
+    inside = F.coalesce((F.col("k24") < F.col("cut")) | ((F.col("k24") == F.col("cut")) & (here <= end)), F.lit(False))
+    result = lambda d, sampled: d.select("row", "size", "source_size", "target", (F.col("epochs") + sampled.cast("long")).alias("copies"))
+    if plan.where("last_taken < last_of").isEmpty():
+        return result(placed, inside)
+    parted = F.coalesce((here == end) & (F.col("last_taken") < F.col("last_of")), F.lit(False))
+    ends = placed.where(parted).select("row", F.col("m.source").alias("source"), "size", "source_size", "target", "epochs", "last_taken")
+    ends = numbered(ends, ["source"], "nth", scratch, "ends")
+    return result(placed.where(~parted), inside).unionByName(result(ends, F.col("nth") < F.col("last_taken")))
 
 
 def mix(docs: DataFrame, *, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, seed: int = SEED, carry: list[str] | None = None, keep_text: bool = True) -> DataFrame:
@@ -94,38 +133,19 @@ def mix(docs: DataFrame, *, quality: DataFrame | None = None, weights: tuple[int
     have 1.  ``carry`` names the columns to keep beside doc_id and source (default: all); those that clash with
     a result get the prefix ``__own_``.
     """
-    scratch = Scratch(docs.sparkSession, "mix")
     carry = [c for c in docs.columns if c not in ("doc_id", "source", "text")] if carry is None else carry
-    text = ["text"] if keep_text else []
-    sized = docs.select("doc_id", "source", *[c for c in dict.fromkeys(["text", *carry])], word_count(F.col("text")).alias("__size")).drop(*([] if text else ["text"]))
-    clash = [c for c in carry if c in ("size", "key", "k24", "source_size", "target", "copies", "taken", "quality_weight", "m_source", "q_id")]
-    sized = sized.withColumnsRenamed({c: f"__own_{c}" for c in clash}).withColumnRenamed("__size", "size")
-    carry = [f"__own_{c}" if c in clash else c for c in carry]
-    if quality is not None:
-        q = quality.groupBy(F.col("doc_id").alias("q_id")).agg(F.max("quality_weight").alias("quality_weight"))
-        sized = sized.join(q, F.col("doc_id") == F.col("q_id"), "left").drop("q_id")
-    else:
-        sized = sized.withColumn("quality_weight", F.lit(1.0))
-    sized = sized.withColumn("key", sampling_key(F.col("doc_id"), F.coalesce("quality_weight", F.lit(1.0)), seed))
-    sized = sized.withColumn("k24", F.least(F.floor((1 - F.exp(-F.col("key"))) * (1 << 24)), F.lit((1 << 24) - 1))).drop("quality_weight")
-    narrow = sized.select("doc_id", "source", "size", "key", "k24")
-    narrow = scratch.keep(narrow, "narrow")
-    if not text and not carry:
-        sized = narrow
-    plan = plan_mix(narrow.select("source", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), "size", "key", "k24"), scratch, weights=weights, max_epochs=max_epochs)
-    placed = sized.join(plan, F.col("source").eqNullSafe(F.col("m_source")), "left")
-    at_cut = (F.col("k24") == F.col("cut")) & (F.struct("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id")) <= F.struct(F.col("end_key").alias("key"), F.col("end_id").alias("id")))
-    sampled = F.coalesce((F.col("k24") < F.col("cut")) | at_cut, F.lit(False))
-    copies = (F.col("epochs") + sampled.cast("long")).alias("copies")
-    placed = placed.select("doc_id", "source", *text, *carry, "size", "source_size", "target", copies)
-    return placed.withColumn("taken", F.col("size") * F.col("copies"))
-
-
-def repeat_rows(docs: DataFrame, **options) -> DataFrame:
+    kept = ["doc_id", "source", *(["text"] if keep_text else []), *carry]
+    placed = _placed(docs, F.struct(*[F.col(f"`{c}`") for c in kept]), quality, weights, max_epochs, seed)
+    results = ["size", "source_size", "target", "copies", "taken"]
+    placed = placed.withColumn("taken", F.col("size") * F.col("copies"))
+    return placed.select(*[F.col(f"row.`{c}`").alias(f"__own_{c}" if c in results else c) for c in kept], *results)
+
+
+def repeat_rows(docs: DataFrame, *, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """Every row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
-    mixed = mix(docs, **options).where("copies > 0")
-    mixed = mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return mixed.select(*[F.col(f"__own_{c}").alias(c) if f"__own_{c}" in mixed.columns else F.col(c) for c in docs.columns])
+    placed = _placed(docs, F.struct("*"), quality, weights, max_epochs, seed).where("copies > 0")
+    repeated = placed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
