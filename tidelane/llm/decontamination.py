@@ -1,14 +1,15 @@
 """Benchmark decontamination in DataFrame operations only.
 
 Benchmark texts are cut into windows of 13 consecutive normalised words (a shorter text is one
-window).  While their count is below a checked bound, the distinct windows are broadcast in a hash
-table under their longest word: the scan looks every training token up and verifies the whole window
-around each hit, word by word.  Beyond the bound, all training windows are hashed and joined by
-shuffle, and hits verified likewise.  Hit words are the union of the occurrences.
+window).  The distinct windows are broadcast in a hash table keyed by the hash of the whole window; the
+scan hashes every window of the training texts, looks it up and verifies a hit word by word.  Hit words
+are the union of the occurrences.  A benchmark above ``BROADCAST_BYTES`` is dealt into slices by the
+hash, each broadcast to a scan of its own; the work grows with their number and nothing else changes.
 
 Defined results: a null or wordless text has no words and no hits; repeated rows each get their own
 row; a null item id contaminates but is not counted among the items; an empty benchmark hits nothing;
-extra columns are ignored, and kept by ``decontaminate``.
+very long texts are scanned whole; equal windows of several items count for each of them; extra columns
+are ignored by the report, and kept by ``decontaminate`` whatever their names.
 """
 
 from __future__ import annotations
@@ -16,11 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelane.llm.storage import Scratch
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
-#: Windows that are broadcast at most; 13 words and a hash take about 200 bytes.
-BROADCAST_WINDOWS = 200_000
+#: The separators of words in text that is not lower-cased yet, as a character class.
+BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+#: Bytes of windows, their hashes and item ids that one scan gets by broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Contaminated documents that are broadcast at most.
+BROADCAST_ROWS = 500_000
 
 
 def normal_words(text: Column) -> Column:
@@ -36,35 +43,33 @@ def window_hashes(words: Column, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows of the benchmark: b_words, its hash h, its longest word (anchor, at offset) and the ids of the items that hold it."""
+    """Distinct windows of the benchmark: b_words, their hash b_hash and the ids of the items that hold them."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), normal_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(window))
     wins = items.select("item", "words", length.alias("len"), F.explode(F.sequence(F.lit(1), F.size("words") - length + 1)).alias("pos"))
     wins = wins.select("item", F.slice("words", F.col("pos"), F.col("len")).alias("b_words"))
-    wins = wins.groupBy("b_words").agg(F.collect_set("item").alias("items")).withColumns({"h": F.xxhash64("b_words"), "b_len": F.size("b_words")})
-    longest = F.array_max(F.transform("b_words", lambda w, i: F.struct(F.length(w).alias("size"), (-i).alias("at"))))
-    return wins.withColumn("offset", -longest["at"]).withColumn("anchor", F.element_at("b_words", F.col("offset") + 1))
+    return wins.groupBy("b_words").agg(F.collect_set("item").alias("items")).withColumn("b_hash", F.xxhash64("b_words"))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: doc_id, text_hash, n_words, hits (sorted spans of words, 1-based) and items."""
     wins = benchmark_windows(benchmark, window)
-    n, lengths = wins.agg(F.count(F.lit(1)), F.collect_set("b_len")).first()
+    size = F.octet_length(F.array_join("b_words", " ")) + F.octet_length(F.array_join("items", " ")) + 64
+    total, lengths = wins.agg(F.coalesce(F.sum(size), F.lit(0)), F.collect_set(F.size("b_words"))).first()
+    slices = max(1, -(-total // broadcast_bytes))
     words = F.col("words")
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), normal_words(F.col("text")).alias("words"))
-    if n <= broadcast_windows:
-        rows = base.select("doc_id", "text_hash", "words", F.posexplode(F.concat(words, F.array(F.lit(None).cast("string")))).alias("at", "word"))
-        found = rows.join(F.broadcast(wins), F.col("word") == F.col("anchor"), "left")
-        found = found.withColumn("pos", F.when(F.col("word").isNull(), 0).otherwise(F.col("at") + 1 - F.col("offset"))).withColumnRenamed("b_len", "len")
-        same = F.slice(words, F.greatest("pos", F.lit(1)), F.col("len")) == F.col("b_words")
-        found = found.where(F.col("word").isNull() | ((F.col("pos") > 0) & same)).withColumn("n", F.when(F.col("pos") == 0, F.col("at")))
-    else:
-        marker = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h")))
-        spots = F.concat(marker, *[window_hashes(words, k) for k in sorted(lengths)])
-        rows = base.select("doc_id", "text_hash", F.size("words").alias("size"), "words", F.explode(spots).alias("s"))
-        cut = F.when(F.col("s.pos") > 0, F.slice(words, F.col("s.pos"), F.greatest(F.col("s.len"), F.lit(1))))
-        rows = rows.select("doc_id", "text_hash", F.when(F.col("s.pos") == 0, F.col("size")).alias("n"), "s.pos", "s.len", "s.h", cut.alias("win"))
-        found = rows.join(wins.drop("anchor"), "h", "left").where((F.col("pos") == 0) | (F.col("win") == F.col("b_words")))
+    found = None
+    for k in range(slices):
+        marker = [F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h")))] if k == 0 else []
+        spots = F.concat(*marker, *[window_hashes(words, n) for n in sorted(lengths)]) if marker or lengths else None
+        rows = base.select("doc_id", "text_hash", "words", F.explode(spots).alias("s"))
+        rows = rows.select("doc_id", "text_hash", "words", "s.pos", "s.len", "s.h")
+        due = wins if slices == 1 else wins.where(F.pmod("b_hash", F.lit(slices)) == k)
+        hits = rows.join(F.broadcast(due), F.col("h") == F.col("b_hash"), "left")
+        hits = hits.where((F.col("pos") == 0) | (F.slice(words, F.greatest("pos", F.lit(1)), F.col("len")) == F.col("b_words")))
+        hits = hits.select("doc_id", "text_hash", F.when(F.col("pos") == 0, F.size("words")).alias("n"), "pos", "len", "items")
+        found = hits if found is None else found.unionByName(hits)
     per = found.groupBy("doc_id", "text_hash").agg(
         F.max("n").alias("n_words"),
         F.sum((F.col("pos") == 0).cast("long")).alias("rows"),
@@ -90,22 +95,30 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """``table`` (a hash and an id, or the spans of a document, each row) with a broadcast hint where its rows are few enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", **options) -> DataFrame:
-    """``docs`` without contaminated documents, or (``remove="spans"``) without the hit words."""
+    """``docs`` without contaminated documents, or (``remove="spans"``) without the hit words; separators stay."""
+    scratch = Scratch(docs.sparkSession, "contamination")
     report = contamination_report(docs, benchmark, **options)
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("hash")).alias("d")
+    on = F.col("d.row.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.hash") == F.col("c.text_hash"))
     if remove == "documents":
-        bad = report.where("contaminated").select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.xxhash64("text") == F.col("c_hash")), "left_anti").select(*docs.columns)
-    hit = report.where("n_hit > 0").select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["end"] - 1)))).alias("c_words")).dropDuplicates(["c_id", "c_hash"])
-    joined = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.xxhash64("text") == F.col("c_hash")), "left")
-    inner = WORD[1:-2].lstrip("^")
-    pieces = F.regexp_extract_all("text", F.lit(rf"[^{inner}]+|[{inner}]+"), F.lit(0))
-    first_is_word = F.rlike("text", F.lit(rf"\A[^{inner}]")).cast("int")
-    number = lambda i: F.floor((i + 1 + first_is_word) / 2)
-    is_word = lambda i: (i + first_is_word) % 2 == 1
-    kept = F.filter(pieces, lambda x, i: ~(is_word(i) & F.array_contains("c_words", number(i).cast("int"))))
-    clean = F.when(F.col("c_words").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return joined.select(*[clean.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+        bad = scratch.keep(report.where("contaminated").select("doc_id", "text_hash").distinct(), "documents")
+        left = rows.join(_small(bad).alias("c"), on, "left_anti")
+        return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["end"] - 1))))
+    hit = scratch.keep(report.where("n_hit > 0").select("doc_id", "text_hash", places.alias("places")).dropDuplicates(["doc_id", "text_hash"]), "spans")
+    joined = rows.join(_small(hit).alias("c"), on, "left")
+    text, held = F.col("d.row.text"), F.col("c.places")
+    pieces = F.regexp_extract_all(text, F.lit(rf"[^{BETWEEN}]+|[{BETWEEN}]+"), F.lit(0))
+    leading = F.rlike(text, F.lit(rf"\A[^{BETWEEN}]")).cast("int")
+    kept = F.filter(pieces, lambda x, i: ~(((i + leading) % 2 == 1) & F.array_contains(held, F.floor((i + 1 + leading) / 2).cast("int"))))
+    clean = F.when(held.isNull(), text).otherwise(F.array_join(kept, ""))
+    return joined.select(*[(clean if c == "text" else F.col(f"d.row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
