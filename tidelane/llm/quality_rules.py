@@ -6,11 +6,13 @@ in the text), sorted by prefix doubling.  Adjacent suffixes' longest common pref
 intervals, whose substrings are the maximal repeats; every occurrence's longest repeat is the larger
 of its two neighbours' prefixes.  The spans of repeats of ``min_repeat`` words or more are united; a
 text is rejected when they cover more than ``max_covered`` of it or when one repeat is longer than
-``max_longest`` words.
+``max_longest`` words.  (Words of these spans are repeated words of the base rule, too, so ``max_covered``
+decides below that rule's share of a fifth.)
 
 A map over Arrow batches: no shuffle, memory bounded by a slice of texts or one text.  Defined
 results: null or blank texts have zeros everywhere and fail the base rule; repeated rows are judged
-each; an empty table gives no rows; columns of the input that clash with results are replaced.
+each; repeats that tie in length all count; very long texts are judged whole; an empty table gives no
+rows; columns of the input that clash with results are replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ RESULTS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_
 @dataclass(frozen=True)
 class RepetitionLimits:
     min_repeat: int = 10
-    max_covered: float = 0.2
+    max_covered: float = 0.1
     max_longest: int = 50
 
 

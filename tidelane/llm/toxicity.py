@@ -3,17 +3,19 @@
 A word is the bag of its hashed character n-grams (3 to 6 bytes, with word edges) and itself, so an
 unseen misspelling shares most vectors with the word it distorts.  A passage of ``width`` words is
 the average of all its subword vectors; a linear softmax over that average gives the classes.  The
-embeddings and the softmax are trained jointly in numpy (AdaGrad).  A text is as toxic as its most
+embeddings and the softmax are trained jointly in numpy, the embeddings by plain steps and the softmax by
+AdaGrad.  A text is as toxic as its most
 toxic passage; in training, each round picks every text's most suspicious passage under the model so
 far, so labels of whole texts suffice.
 
-Training texts are a bounded sample (``max_train_docs``, by a hash of the id) of labelled rows;
-scoring is a map over all rows without a shuffle.  As the model is linear in subword vectors, scoring
+Training texts are a bounded sample (``max_train_docs`` rows and ``max_train_bytes`` of text, by a hash
+of the id) of labelled rows; scoring is a map over all rows without a shuffle.  As the model is linear in subword vectors, scoring
 keeps one number for each bucket.
 
 Defined results: null, empty and wordless texts get the score of an empty bag (the bias alone) and
 are never predicted toxic; repeated rows score alike; without both labels all scores are the labelled
-share (0 without labels); columns of the input that clash with results are replaced.
+share (0 without labels); of texts that share an id the one with the least hash is learned from; very
+long texts are scored whole; columns of the input that clash with results are replaced.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelane.llm.textkernel import U64, TextKernel, Words, mix64, text_slices
 
 MAX_TRAIN_DOCS = 4000
+MAX_TRAIN_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -219,12 +222,13 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 != 0
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = MAX_TRAIN_DOCS, settings: BagSettings = BagSettings()) -> ToxicModel:
-    """Train on at most ``max_train_docs`` labelled rows outside the held-out fifth, chosen by a hash of the id."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = MAX_TRAIN_DOCS, max_train_bytes: int = MAX_TRAIN_BYTES, settings: BagSettings = BagSettings()) -> ToxicModel:
+    """Train on labelled rows outside the held-out fifth, in the order of a hash of the id, up to the bounds."""
     known = labels.where("toxic is not null and doc_id is not null").where(in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(max_train_docs)
-    table = rows.select("text", "toxic").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # max_train_docs rows at most
+    table = rows.withColumn("upto", upto).where(F.coalesce("upto", F.lit(0)) <= max_train_bytes).orderBy("doc_id").select("text", "toxic").toArrow()
     return train(table.column("text").combine_chunks(), table.column("toxic").to_numpy().astype(np.int64), settings)
 
 
