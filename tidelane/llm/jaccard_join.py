@@ -22,7 +22,8 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing; a text of
 fewer than five words is one shingle; repeated rows are copies of one class; an empty table gives no
-rows.  Sets are compared by 64-bit hashes of shingles.
+rows; very long texts are read whole; extra columns are ignored, whatever their names.  Sets are compared by
+64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ CHUNK_TOKENS = 1_500_000
 BLOCK = 128
 #: Representatives (16 bytes each) that are broadcast at most; beyond, they meet their texts by shuffle.
 BROADCAST_REPS = 1_000_000
+#: Ids of dropped documents (8 bytes each) that are broadcast at most; beyond, they meet their texts by shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def shingle_sets(kernel: TextKernel, buf: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -400,23 +403,24 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def _with_class(docs: DataFrame) -> DataFrame:
-    """``docs`` with the class of each text as ``__class``."""
+    """(row, doc, cls: the class of its text) of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = TextKernel("space", lower=True)
         for batch in batches:
             for a, b, buf, offsets in text_slices(batch.column("text")):
                 rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(shingle_sets(kernel, buf, offsets)[3])], names=[*batch.schema.names, "__class"])
+                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc"), pa.array(shingle_sets(kernel, buf, offsets)[3])], names=["row", "doc", "cls"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__class", T.LongType())]))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("text"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField("cls", T.LongType())]))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group of linked documents, of its smallest doc_id (null only where the group has no other).
 
     Rows without shingles stay once for each doc_id.  Rows that share a doc_id, or lack one, are told
-    apart by their texts.
+    apart by their texts.  All columns of ``docs`` are kept, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "first")
     groups = scratch.keep(_rooted_groups(docs), "groups")
@@ -424,17 +428,25 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     linked = groups.where("n_shingles > 0").groupBy("root").agg(least.alias("first")).select("first.doc_id", "first.class_id")
     blank = groups.where("n_shingles = 0").select("doc_id", "class_id").distinct()
     first = scratch.keep(linked.unionByName(blank).select(F.col("doc_id").alias("k_id"), F.col("class_id").alias("k_class")), "first")
-    repeated = scratch.keep(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("r_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r_id"), "repeated")
-    doc_id = F.col("doc_id").cast("long")
-    named = first.join(repeated, F.col("k_id") == F.col("r_id"), "left_anti").where("k_id is not null")
-    kept = docs.join(named.select("k_id"), doc_id == F.col("k_id")).select(*docs.columns)
-    shared = docs.where(doc_id.isNull())
+    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = scratch.keep(ids.where("n > 1").select("doc_id"), "repeated")
+    dropped = groups.where("doc_id is not null").join(first, F.col("doc_id") == F.col("k_id"), "left_anti").select("doc_id")
+    dropped = scratch.keep(dropped.unionByName(repeated).distinct(), "dropped")
+    doc = F.col("d.doc_id").cast("long")
+    told = docs.where(F.col("doc_id").isNull())
+    kept = docs.where(F.col("doc_id").isNotNull()).alias("d").join(_small(dropped).alias("x"), doc == F.col("x.doc_id"), "left_anti")
     if not repeated.isEmpty():
-        shared = shared.unionByName(docs.join(repeated, doc_id == F.col("r_id"), "left_semi"))
+        told = told.unionByName(docs.alias("d").join(_small(repeated).alias("x"), doc == F.col("x.doc_id"), "left_semi"))
     elif first.where("k_id is null").isEmpty():
         return kept
-    told = _with_class(shared).join(first, doc_id.eqNullSafe(F.col("k_id")) & (F.col("__class") == F.col("k_class")), "left_semi")
-    return kept.unionByName(told.dropDuplicates(["doc_id", "__class"]).select(*docs.columns))
+    own = _with_class(told).join(first, F.col("doc").eqNullSafe(F.col("k_id")) & (F.col("cls") == F.col("k_class")), "left_semi")
+    own = own.dropDuplicates(["doc", "cls"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return kept.unionByName(own)
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """``ids`` with a broadcast hint where they are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
