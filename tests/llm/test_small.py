@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidelane.llm import chain_dedup, decontamination, jaccard_join, mixing, quality_lm, quality_rules, sharding, suffix_dedup, toxicity, warc
+from tidelane.llm import chain_dedup, components, decontamination, jaccard_join, mixing, prefix, quality_lm, quality_rules, seeding, sharding, storage, suffix_dedup, toxicity, warc
 from tidelane.llm.storage import Scratch
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,6 +52,20 @@ def test_mixing_comes_near_targets(spark):
     assert abs(sum(r.target for r in got) - sum(r["size"] for r in got)) < 1e-6
 
 
+@pytest.mark.parametrize("kind", ["null ids", "one id", "equal rows", "equal rows without text"])
+def test_mixing_comes_near_targets_without_ids_of_their_own(spark, kind):
+    """300 of a source's 400 rows share an id or have none; targets are met to half a document."""
+    text = lambda i: None if kind == "equal rows without text" else " ".join(["w"] * 10 + ([] if kind == "equal rows" else [f"x{i}"]))
+    rows = [(i if i >= 300 else None if kind == "null ids" else 7, text(i), "en", "a", 0) for i in range(400)] + [(1000 + i, " ".join(words(12, i)), "en", "b", 0) for i in range(500)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = mixing.mix(docs).collect()
+    assert len(got) == 900
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 6.5
+    assert mixing.repeat_rows(docs).count() == sum(r.copies for r in got)
+
+
 def test_decontamination(spark, odd):
     bench = spark.createDataFrame([(1, " ".join(words(90, 1)[10:40])), (2, "a null id"), (3, None), (None, "x")], "item_id long, text string")
     items = {1: words(90, 1)[10:40], 2: ["a", "null", "id"], None: ["x"]}
@@ -67,14 +81,23 @@ def test_decontamination(spark, odd):
                         hit |= set(range(i, i + k))
                         found |= {str(item)} if item is not None else set()
         want.append((str(r.doc_id), len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    for bound in (10**6, 0):
-        got = decontamination.contamination_report(odd, bench, broadcast_windows=bound).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    for bound in (10**6, 2000):
+        got = decontamination.contamination_report(odd, bench, broadcast_bytes=bound).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
         assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
     assert decontamination.decontaminate(odd, bench).count() == sum(not x[-1] for x in want)
     assert decontamination.decontaminate(odd, bench, remove="spans").columns == odd.columns
     assert decontamination.decontaminate(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_decontamination_removes_hit_words_only(spark):
+    item = "alpha beta gamma delta internationalisation epsilon"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, "Foo ALPHA beta, gamma delta internationalisation epsilon! bar"), (2, "ALPHA beta GAMMA delta, INTERNATIONALISATION Epsilon"), (3, "(Alpha beta)"), (None, "x " + item.upper()), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in decontamination.decontaminate(docs, bench, remove="spans").collect()}
+    assert {k: (v or "").split() for k, v in got.items()} == {1: ["Foo", ",", "!", "bar"], 2: [","], 3: ["(Alpha", "beta)"], None: ["x"], 5: []}
+
+
 def brute_groups(rows):
     sets = []
     for _, t in rows:
@@ -131,7 +154,7 @@ def test_jaccard_keeps_texts_without_an_id_of_their_own(spark):
 
 def test_quality_rules(spark, odd):
     line = " ".join(words(12, 9))
-    rows = [(1, line + "\n" + line + "\n" + " ".join(words(200, 10, 10**6))), (2, "#*$ a | b")]
+    rows = [(1, line + "\n" + line + "\n" + " ".join(words(260, 10, 10**6))), (2, "#*$ a | b")]
     got = {r.doc_id: r for r in quality_rules.apply_quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[1].n_dup_lines, got[1].n_repeat_words, got[1].longest_repeat, got[1].covered_words, got[1].kept) == (1, 24, 12, 24, True)
     assert (got[2].n_symbols, got[2].word_chars, got[2].base_failed) == (4, 6, True)
@@ -142,17 +165,121 @@ def test_quality_rules(spark, odd):
     assert quality_rules.apply_quality_rules(odd.limit(0)).count() == 0
 
 
-def test_kneser_ney_sums_to_one_and_keeps_clean_text(spark, odd):
-    clean = [(i, " ".join(words(80, i)), "en") for i in range(60)]
-    junk = [(100 + i, " ".join(f"%%{x}!!$" for x in words(60, i)).upper(), "en") for i in range(5)]
-    docs = spark.createDataFrame([*clean, *junk, (200, None, None), (201, "ab", "en")], "doc_id long, text string, lang string")
-    trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
-    log_p = quality_lm.kneser_ney(quality_lm.count_runs(docs.join(trusted, "doc_id")), Scratch(spark, "test"))
-    assert np.allclose(np.exp(log_p.reshape(-1, 64)).sum(1), 1, atol=1e-4)
+def brute_rules(text):
+    """All result columns of the quality rules, by comparing every two positions."""
+    w = SPACE_WORD.findall(text or "")
+    n, lines, seen, dup = len(w), (text or "").split("\n"), set(), 0
+    for x in lines:
+        if SPACE_WORD.search(x):
+            dup += x in seen
+            seen.add(x)
+    where = defaultdict(list)
+    for i in range(n - 4):
+        where[tuple(w[i : i + 5])].append(i)
+    repeated, longest, spans = set(), 0, set()
+    for places in where.values():
+        for i in places if len(places) > 1 else ():
+            repeated |= set(range(i, i + 5))
+            best = 0
+            for j in places:
+                k = 0
+                while i != j and max(i, j) + k < n and w[i + k] == w[j + k]:
+                    k += 1
+                best = max(best, k)
+            longest = max(longest, best)
+            if best >= 10:
+                spans |= set(range(i, i + best))
+    failed = n < 10 or 100 * len(repeated) > 20 * n
+    kept = not failed and len(spans) <= 0.1 * n and longest <= 50
+    return n, sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(repeated), failed, kept, len(spans), longest
+
+
+def test_quality_rules_against_brute_force(spark, odd):
+    rng = random.Random(41)
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    for i in range(150):
+        w = words(rng.randrange(10, 700), 9000 + i, rng.choice((3, 40, 10**6, 10**6)))
+        for _ in range(rng.randrange(4)):
+            a, k, b = rng.randrange(len(w)), rng.choice((4, 5, 9, 10, 11, 40, 60)), rng.randrange(len(w))
+            w[b:b] = w[a : a + k]
+        glue = [" ", " ", " ", "\n", "\t", " & ", "  "]
+        rows.append((100 + i, "".join(x + rng.choice(glue) for x in w)))
+    rows += [(900, "é#\nx\nx\n\n\nx y"), (901, "\n".join(["same line here"] * 5))]
+    got = quality_rules.apply_quality_rules(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep_text=False).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(str((k, *brute_rules(t))) for k, t in rows)
+    assert any(r.base_failed for r in got) and any(not r.base_failed and not r.kept and r.longest_repeat <= 50 for r in got) and any(r.kept for r in got)
+
+
+def brute_kneser_ney(texts, order=5):
+    """log P(byte | up to four bytes before) by plain dictionaries, and the discounts of each order."""
+    counts = {order: defaultdict(int)}
+    for t in texts:
+        for i in range(len(t) - order + 1):
+            counts[order][t[i : i + order]] += 1
+    for k in range(order - 1, 0, -1):
+        counts[k] = defaultdict(int)
+        for g in counts[k + 1]:
+            counts[k][g[1:]] += 1
+    cuts, totals = {}, {k: defaultdict(int) for k in counts}
+    masses = {k: defaultdict(float) for k in counts}
+    for k, table in counts.items():
+        n = [sum(c == j for c in table.values()) for j in range(5)]
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
+            d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 0.9]
+            d = [min(max(v, 0.05), i + 1) for i, v in enumerate(d)]
+        else:
+            d = [0.5, 0.75, 0.9]
+        cuts[k] = lambda c, d=d: d[min(c, 3) - 1]
+        for g, c in table.items():
+            totals[k][g[:-1]] += c
+            masses[k][g[:-1]] += cuts[k](c)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        total = totals[k][g[:-1]]
+        lower = p(g[1:])
+        if not total:
+            return lower
+        c = counts[k].get(g, 0)
+        return max(c - cuts[k](c), 0) / total + masses[k][g[:-1]] / total * lower if c else masses[k][g[:-1]] / total * lower
+
+    return p
+
+
+def test_kneser_ney_against_brute_force(spark, tmp_path):
+    rng = random.Random(17)
+    vocabulary = ["abba", "bab", "cab", "naïve", "日本", "dad", "a"]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 60)))) for i in range(40)]
+    docs += [(50, None), (51, ""), (52, "abb"), (53, "XYZ " * 400), (None, "cab dad cab"), (3, docs[3][1])]
+    table = spark.createDataFrame([(k, t, "en") for k, t in docs], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(25)], "doc_id long")
+    train = {r.doc_id for r in trusted.where(~quality_lm.for_thresholds(F.col("doc_id"))).collect()}
+    p = brute_kneser_ney([t.encode() for k, t in docs if k in train])
+    assert all(abs(sum(p(c + bytes([x])) for x in range(256)) - 1) < 1e-9 for c in (b"", b"a", b"ab", b"abba", b"zzzz"))
+    want = []
+    for k, t in docs:
+        b = (t or "").encode()
+        logs = [np.log(p(b[i : i + 5])) for i in range(len(b) - 4)]
+        want.append((str(k), len(logs), round(float(np.exp(-np.mean(logs))), 3) if logs else None))
+    for parts in (1, 5):  # in memory, and as files in several chunks
+        table.repartition(parts).write.parquet(f"{tmp_path}/{parts}")
+        for source in (table, spark.read.parquet(f"{tmp_path}/{parts}")):
+            got = quality_lm.classify(source.withColumn("chunk", F.lit(1)), trusted).collect()
+            assert sorted(map(str, ((str(r.doc_id), r.n_grams, None if r.perplexity is None else round(r.perplexity, 3)) for r in got))) == sorted(map(str, want))
+
+
+def test_quality_lm_keeps_clean_text(spark, odd):
+    clean = [(i, " ".join(words(80, i)), "en") for i in range(150)]
+    junk = [(1000 + i, " ".join(f"%%{x}!!$" for x in words(60, i)).upper(), "en") for i in range(5)]
+    docs = spark.createDataFrame([*clean, *junk, (2000, None, None), (2001, "ab", "en")], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(100)], "doc_id long")
     kept = {r.doc_id: r.kept for r in quality_lm.classify(docs, trusted).collect()}
-    assert all(kept[i] for i in range(60)) and not any(kept[i] for i in (100, 101, 102, 103, 104, 200, 201))
+    assert all(kept[i] for i in range(150)) and not any(kept[i] for i in (1000, 1001, 1002, 1003, 1004, 2000, 2001))
     assert quality_lm.classify(docs.limit(0), trusted).count() == 0
-    assert quality_lm.classify(odd.where("doc_id is not null"), trusted.limit(0)).count() == odd.count() - 1
+    assert quality_lm.classify(odd, trusted.limit(0)).count() == odd.count()
 
 
 def test_edit_distance_and_chains():
@@ -400,3 +527,95 @@ def test_broken_archives_raise():
     for bad in (record[:20], record[:-6], record + b"x\r\n\r\n"):
         with pytest.raises(ValueError):
             list(warc.parse_records(bad))
+
+
+LONG_TEXT = " ".join(words(180_000, 77, 10**6))
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, odd):
+    """``odd`` and a text above one slice, with every name that the modules use inside as a column."""
+    import inspect
+
+    modules = [chain_dedup, decontamination, jaccard_join, mixing, quality_lm, quality_rules, sharding, suffix_dedup, toxicity, warc, components, prefix, seeding, storage]
+    names = {n for m in modules for n in re.findall(r"""["']([A-Za-z_]\w*)["']""", inspect.getsource(m))}
+    names |= {f"{a}{b}" for a in ("n", "comp", "lw", "c", "d", "l", "h", "w", "k", "p") for b in "ab"} | {"a", "b"}
+    assert len(LONG_TEXT) > 1 << 20
+    plain = odd.unionByName(spark.createDataFrame([(50, LONG_TEXT, "en", "a", 1)], DOCS))
+    taken = {c.lower() for c in plain.columns} | {"html", "url", "page_id"}
+    own = {n.lower(): n for n in sorted(names) if n.lower() not in taken and len(n) < 20}
+    return plain, plain.withColumns({n: F.lit("own") for n in own.values()})
+
+
+def outputs(spark):
+    bench = spark.createDataFrame([(1, " ".join(words(90, 1)[10:40])), (2, "a null id")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    spans = lambda d: suffix_dedup.repeated_spans(d)
+    return {
+        "repeat_rows": lambda d: mixing.repeat_rows(d, quality=mixing.label_weights(labels)),
+        "decontaminate": lambda d: decontamination.decontaminate(d, bench),
+        "decontaminate spans": lambda d: decontamination.decontaminate(d, bench, remove="spans"),
+        "keep_one_of_each": lambda d: jaccard_join.keep_one_of_each(d),
+        "quality_rules": lambda d: quality_rules.apply_quality_rules(d),
+        "classify": lambda d: quality_lm.classify(d, quality_lm.trusted_ids(labels)),
+        "fuzzy_passages": lambda d: chain_dedup.fuzzy_passages(d),
+        "drop_toxic": lambda d: toxicity.drop_toxic(d, labels),
+        "remove_repeats": lambda d: suffix_dedup.remove_repeats(d, spans(d)),
+        "external_shuffle": lambda d: sharding.external_shuffle(d, F.lit(32), text_crc=sharding.text_crc32(F.col("text"))),
+    }
+
+
+@pytest.mark.parametrize("name", ["repeat_rows", "decontaminate", "decontaminate spans", "keep_one_of_each", "quality_rules", "classify", "fuzzy_passages", "drop_toxic", "remove_repeats", "external_shuffle"])
+def test_clashing_columns_change_nothing(spark, crowded, name):
+    plain, full = crowded
+    run = outputs(spark)[name]
+    want, got = run(plain), run(full)
+    same = [c for c in want.columns if not (name == "external_shuffle" and c in ("shard", "slot"))]
+    own = [c for c in full.columns if c not in plain.columns and c in got.columns and c not in want.columns]
+    rows = got.select(*same, *own).collect()
+    assert sorted(str(tuple(r)[: len(same)]) for r in rows) == sorted(str(tuple(r)) for r in want.select(*same).collect())
+    assert all(set(tuple(r)[len(same) :]) <= {"own"} for r in rows)
+    if name in ("repeat_rows", "decontaminate", "decontaminate spans", "keep_one_of_each", "drop_toxic", "remove_repeats"):
+        assert got.columns == full.columns
+
+
+def test_warc_with_clashing_columns(spark, crowded, tmp_path):
+    pages = crowded[1].select(F.col("doc_id").alias("page_id"), F.lit("http://x/").alias("url"), F.col("text").alias("html"), *[c for c in crowded[1].columns if c not in crowded[0].columns])
+    warc.write_archive(pages, f"file://{tmp_path}/w")
+    got = warc.resolve_revisits(warc.read_archive(spark, f"file://{tmp_path}/w")).collect()
+    assert len(got) == crowded[0].count() and max(r.payload_bytes for r in got) == len(LONG_TEXT)
+
+
+def test_equal_rows_fill_no_bucket(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") < 4000, F.lit(7)).otherwise(F.col("id")).alias("doc_id"))
+    tasks = [sharding.external_shuffle(rows.repartition(n), F.lit(32), bucket_rows=500) for n in (2, 5)]
+    one, two = (t.collect() for t in tasks)
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and len(one) == 6000
+    shards = defaultdict(list)
+    for r in one:
+        shards[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(250)) for x in shards.values()) and len(shards) == 24
+    keyed = sharding.numbered(rows, ["doc_id"], "nth", Scratch(spark, "test"), "rows").collect()
+    assert sorted(r.nth for r in keyed if r.doc_id == 7) == list(range(4000))
+
+
+def test_shards_are_written_in_slot_order(spark, odd, tmp_path):
+    dealt = sharding.external_shuffle(odd, F.lit(32), text_crc=sharding.text_crc32(F.col("text")), bucket_rows=3, shards=3)
+    back = sharding.write_shards(dealt, f"file://{tmp_path}/s")
+    assert sorted(map(str, back.collect())) == sorted(map(str, dealt.collect())) and back.columns == dealt.columns
+    files = back.withColumn("f", F.input_file_name()).groupBy("f").agg(F.collect_list("slot").alias("slots")).collect()
+    assert all(list(r.slots) == sorted(r.slots) for r in files)
+    none = sharding.write_shards(sharding.external_shuffle(odd.limit(0), F.lit(32)), f"file://{tmp_path}/none")
+    assert none.count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Held:
+        isDefined = staticmethod(lambda: False)
+
+    class Session:
+        sparkContext = type("C", (), {"getConf": lambda self: {}, "master": "spark://host:7077"})()
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Held()})()})()
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session())

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidelane.llm.textkernel import U64, mix64
 
-CHUNK_ENTRIES = 1_500_000
+CHUNK_ENTRIES = 1_000_000
 PACKED = "shard int, keys binary, owners binary, docs binary, pos binary, flags binary, partners binary"
 PACKED_NAMES = [x.split()[0] for x in PACKED.split(", ")]
 PACKED_TYPES = [pa.int32(), *[pa.binary()] * 6]
