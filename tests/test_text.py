@@ -19,8 +19,9 @@ def test_times(spark):
 
 
 def test_name_format(spark):
-    tags = {"Name": F.lit("Pilot / Part 1"), "TV Show": F.lit("The Show: Reborn"), "TV Season": F.lit(2), "TV Episode #": F.lit(5), "Nothing": F.lit(None)}
+    tags = {"Name": F.lit("Pilot / Part 1"), "TV Show": F.lit("The Show: Reborn"), "TV Season": F.lit(2), "TV Episode #": F.lit(5), "Nothing": F.lit(None), "Kind": F.lit("hELLO  woRLD"), "Day": F.lit("2008-01-20")}
     for pattern, want in (
+        ("{Kind|capitalize}", "Hello World"), ("{Day:yyyy}", "2008"), ("{Kind|train}", "Hello-World"),
         ("{Name}", "Pilot - Part 1"), ("{Name|upper}", "PILOT - PART 1"), ("{TV Show|snake}", "the_show_reborn"),
         ("{TV Show|dot}.S{TV Season:00}E{TV Episode #:000}", "The.Show.Reborn.S02E005"), ("{TV Show|camel}", "theShowReborn"), ("{Nothing}", None),
     ):
@@ -28,28 +29,55 @@ def test_name_format(spark):
     assert one(spark, text.template("{Name} {Nothing}", tags)) is None
 
 
+#: Fixed values, goldens that any reader of release names must give: name, title, season, episode.
+TV_NAMES = [
+    ("Breaking.Bad.S01E02.720p.HDTV.x264-CTU.mkv", "Breaking Bad", 1, 2), ("breaking.bad.s1e2.mkv", "breaking bad", 1, 2), ("The Office (US) - S02E01 - The Dundies.mp4", "The Office (US)", 2, 1),
+    ("Game of Thrones S08E06 1080p WEB H264-MEMENTO.mkv", "Game of Thrones", 8, 6), ("game_of_thrones_s03e09_the_rains_of_castamere.mkv", "game of thrones", 3, 9), ("Lost.1x02.Pilot.Part.2.avi", "Lost", 1, 2), ("Lost 1x02.avi", "Lost", 1, 2),
+    ("Friends - 10x17-18 - The Last One.avi", "Friends", 10, 17), ("Twin Peaks Season 2 Episode 7.mkv", "Twin Peaks", 2, 7), ("Twin.Peaks.Season.2.Episode.7.mkv", "Twin Peaks", 2, 7), ("Twin Peaks - Season 2 - Episode 07.mkv", "Twin Peaks", 2, 7),
+    ("The.Expanse.S02.E03.1080p.mkv", "The Expanse", 2, 3), ("The Expanse S02 E03.mkv", "The Expanse", 2, 3), ("Sherlock.S01E01E02.mkv", "Sherlock", 1, 1), ("Sherlock.S01E01-E02.mkv", "Sherlock", 1, 1), ("Sherlock.S01E01-02.mkv", "Sherlock", 1, 1),
+    ("Doctor.Who.2005.S10E01.The.Pilot.mkv", "Doctor Who", 10, 1), ("Doctor Who (2005) - S10E01.mkv", "Doctor Who", 10, 1), ("Marvels.Agents.of.S.H.I.E.L.D.S05E01.720p.mkv", "Marvels Agents of S.H.I.E.L.D.", 5, 1),
+    ("Star Trek - The Next Generation - S03E15 - Yesterday's Enterprise.mkv", "Star Trek - The Next Generation", 3, 15), ("The.Simpsons.S35E100.mkv", "The Simpsons", 35, 100), ("one_piece_s01e1071.mkv", "one piece", 1, 1071), ("Mr. Robot S04E13.mkv", "Mr. Robot", 4, 13),
+    ("[Group] Breaking Bad S01E02 [720p].mkv", "Breaking Bad", 1, 2), ("24.S01E01.12.00.A.M.-1.00.A.M.DVDRip.avi", "24", 1, 1), ("Shogun.2024.S01E01.Anjin.2160p.DSNP.WEB-DL.DDP5.1.H.265-NTb.mkv", "Shogun", 1, 1),
+    ("[HorribleSubs] One Punch Man - 05 [1080p].mkv", "One Punch Man", 1, 5), ("[SubsPlease] Frieren - 12 (1080p) [ABCD1234].mkv", "Frieren", 1, 12), ("[Erai-raws] Kimetsu no Yaiba - 03v2 [720p][Multiple Subtitle].mkv", "Kimetsu no Yaiba", 1, 3),
+    ("[Group] Shingeki no Kyojin S3 - 01 [BD 1080p].mkv", "Shingeki no Kyojin", 3, 1), ("[Judas] Cowboy Bebop - 026 [1080p][HEVC x265 10bit].mkv", "Cowboy Bebop", 1, 26),
+    ("/media/TV/Breaking Bad/Season 1/S01E02.mkv", "Breaking Bad", 1, 2), ("/media/TV/Doctor Who (2005)/Season 10/S10E01 - The Pilot.mkv", "Doctor Who", 10, 1), ("/media/TV/The Wire/S02/1x02.mkv", "The Wire", 1, 2),
+]
+#: Name, title, year.
+MOVIE_NAMES = [
+    ("The Matrix (1999).mkv", "The Matrix", 1999), ("The.Matrix.1999.1080p.BluRay.x264-GROUP.mkv", "The Matrix", 1999), ("Inception.2010.720p.BRRip.XviD.AC3-ViSiON.avi", "Inception", 2010), ("Blade_Runner_2049_2017_2160p_UHD_BluRay_x265.mkv", "Blade Runner 2049", 2017),
+    ("2001.A.Space.Odyssey.1968.Remastered.1080p.mkv", "2001 A Space Odyssey", 1968), ("1917 (2019) [1080p].mp4", "1917", 2019), ("Alien [1979] Director's Cut.mkv", "Alien", 1979), ("Amélie.2001.FRENCH.1080p.mkv", "Amélie", 2001),
+    ("Spider-Man.Into.the.Spider-Verse.2018.WEB-DL.mkv", "Spider-Man Into the Spider-Verse", 2018), ("Mad Max Fury Road 2015.mp4", "Mad Max Fury Road", 2015), ("Dune.Part.Two.2024.2160p.WEB-DL.DDP5.1.Atmos.DV.HDR.H.265-FLUX.mkv", "Dune Part Two", 2024),
+    ("Pulp.Fiction.1080p.BluRay.x264.mkv", "Pulp Fiction", None), ("Casablanca.mkv", "Casablanca", None), ("Some Home Video", "Some Home Video", None), ("Ocean's.Eleven.2001.DVDRip.avi", "Ocean's Eleven", 2001), ("Star Wars Episode IV - A New Hope (1977).mkv", "Star Wars Episode IV - A New Hope", 1977),
+]
+#: Name, title, air date.
+DAILY_NAMES = [("The.Daily.Show.2024.03.05.Guest.Name.720p.WEB.h264.mkv", "The Daily Show", "2024-03-05"), ("Last Week Tonight with John Oliver 2023-11-12.mkv", "Last Week Tonight with John Oliver", "2023-11-12"), ("Jeopardy_2019_01_31.mp4", "Jeopardy", "2019-01-31")]
+
+
+def parsed(spark, given):
+    return {r.input: r for r in names.parse_names(spark.createDataFrame([(x,) for x in given], "input string"), "input", 2026).collect()}
+
+
 def test_release_names(spark):
-    want = {
-        "Breaking.Bad.S01E02.720p.HDTV.x264-CTU.mkv": ("tv", "Breaking Bad", None, 1, 2, None),
-        "Lost 1x02.avi": ("tv", "Lost", None, 1, 2, None),
-        "Sherlock.S01E01E02.mkv": ("tv", "Sherlock", None, 1, 1, 2),
-        "Friends - 10x17-18 - The Last One.avi": ("tv", "Friends", None, 10, 17, 18),
-        "Doctor Who (2005) - S10E01.mkv": ("tv", "Doctor Who", None, 10, 1, None),
-        "Marvels.Agents.of.S.H.I.E.L.D.S05E01.720p.mkv": ("tv", "Marvels Agents of S.H.I.E.L.D.", None, 5, 1, None),
-        "[SubsPlease] Frieren - 12 (1080p) [ABCD1234].mkv": ("tv", "Frieren", None, 1, 12, None),
-        "2001.A.Space.Odyssey.1968.Remastered.1080p.mkv": ("movie", "2001 A Space Odyssey", 1968, None, None, None),
-        "Blade_Runner_2049_2017_2160p_UHD_BluRay_x265.mkv": ("movie", "Blade Runner 2049", 2017, None, None, None),
-        "Casablanca.mkv": ("movie", "Casablanca", None, None, None, None),
-        "/media/TV/Doctor Who (2005)/Season 10/S10E01 - The Pilot.mkv": ("tv", "Doctor Who", None, 10, 1, None),
-    }
-    got = names.parse_names(spark.createDataFrame([(x,) for x in want], "input string"), "input", 2025).collect()
-    assert {r.input: (r.kind, r.title, r.year, r.season, r.episode, r.last_episode) for r in got} == want
-    daily = names.parse_names(spark.createDataFrame([("The.Daily.Show.2024.03.05.Guest.Name.720p.WEB.h264.mkv",)], "input string"), "input", 2025).first()
-    assert (daily.kind, daily.title, daily.air_date) == ("tv", "The Daily Show", "2024-03-05")
+    tv = parsed(spark, [x[0] for x in TV_NAMES])
+    assert [(x[0], tv[x[0]].title, tv[x[0]].season, tv[x[0]].episode, tv[x[0]].kind) for x in TV_NAMES] == [(*x, "tv") for x in TV_NAMES]
+    movies = parsed(spark, [x[0] for x in MOVIE_NAMES])
+    assert [(x[0], movies[x[0]].title, movies[x[0]].year, movies[x[0]].kind, movies[x[0]].season) for x in MOVIE_NAMES] == [(*x, "movie", None) for x in MOVIE_NAMES]
+    daily = parsed(spark, [x[0] for x in DAILY_NAMES])
+    assert [(x[0], daily[x[0]].title, daily[x[0]].air_date, daily[x[0]].kind, str(daily[x[0]].year)) for x in DAILY_NAMES] == [(*x, "tv", x[2][:4]) for x in DAILY_NAMES]
+
+
+def test_release_names_of_our_own(spark):
+    got = parsed(spark, ["Sherlock.S01E01E02.mkv", "Show.S02E01-E02-E03.mkv", "Show.S02E05.mkv", "Tide 3x04-3x06.mkv", "[Tide] Low Water - 05 - 06.mkv", "Tide.Tables.1999.1080p.x264-LANE.mkv", "Low.Water.2031.mkv", "A.2019.02.31.mkv", "", "Tide Episode 9.mkv", "Room.2015.S01E03.mkv"])
+    assert [got[x].last_episode for x in list(got)[:5]] == [2, 3, None, 6, 6]
+    assert got["Tide.Tables.1999.1080p.x264-LANE.mkv"].release_group == "LANE" and got["Low.Water.2031.mkv"].year is None
+    assert got["A.2019.02.31.mkv"].kind == "movie" and got[""].title == "" and got["Tide Episode 9.mkv"][1:5] == ("tv", "Tide", None, None)
+    assert (got["Room.2015.S01E03.mkv"].title, got["Room.2015.S01E03.mkv"].year) == ("Room", 2015)
 
 
 def test_titles_and_html(spark):
     assert one(spark, text.normal_title(F.lit("Amélie & Co.!"))) == "amelie and co"
+    assert one(spark, text.normal_title(F.lit("Война и мир: Æon №5, Ελλάδα—ŁÓDŹ"))) == "воина и мир æon 5 ελλαδα łodz"
+    assert one(spark, text.same_title(F.lit("Война и мир"), F.lit("Другая книга"))) is False
     assert one(spark, text.same_title(F.lit("The Office"), F.lit("office"))) is True
     assert one(spark, text.same_title(F.lit(""), F.lit(""))) is False
     assert one(spark, text.strip_html(F.lit("<p>a&amp;b<br/>c</p>"))) == "a&b\nc"
@@ -58,9 +86,10 @@ def test_titles_and_html(spark):
 
 
 def test_resolution(spark):
-    for w, h, want in ((720, 480, 0), (960, 720, 1), (1280, 720, 1), (1280, 721, 2), (1920, 1088, 2)):
+    for w, h, want in ((720, 480, 0), (960, 720, 1), (1280, 536, 1), (1280, 720, 1), (1280, 721, 2), (1920, 1088, 2), (1920, 1090, 2)):
         assert one(spark, text.hd_class(F.lit(w), F.lit(h))) == want
     assert one(spark, text.hd_class(F.lit(3840), F.lit(2160), detect_4k=True)) == 3
+    assert one(spark, text.hd_class(F.lit(1920), F.lit(1090), detect_4k=True)) == 3
 
 
 def test_srt_vtt_ass_and_back(spark):

@@ -1,75 +1,116 @@
-"""Release names: an ordered cascade of patterns gives kind, title, season, episodes, year or air date."""
+"""Release names: an ordered cascade of patterns gives kind, title, season, episodes, year, air date and group."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TAGS = r"(?i)[ ._\-\[(]+(?:480p|576p|720p|1080[pi]|2160p|4k|uhd|hdtv|webrip|web[ ._-]?dl|web|blu[ ._-]?ray|brrip|bdrip|dvdrip|dvd|x26[45]|h[ ._]?26[45]|hevc|xvid|remastered|extended|proper|repack|internal)\b.*$"
+#: File extensions that are cut off.
+MEDIA_EXTENSIONS = "mkv mk3d mp4 m4v mov avi wmv ts m2ts mts webm mpg mpeg ogm ogv flv 3gp divx vob nfo srt ass ssa sub idx m4a mka".split()
+#: The words of release names that end a title, as patterns.
+RELEASE_WORDS = [
+    r"\d{3,4}[pi]", "4k", "8k", "uhd", r"hdr(?:10)?(?:\+|plus)?", "dv", "dovi", "sdr", "blu-?ray", "bdrip", "brrip", "bdremux", "bd", "dvd(?:rip|scr|r|9|5)?", "web(?:-?dl|-?rip)?",
+    "hdtv", "pdtv", "sdtv", "dsr", "hdrip", "tvrip", "vhsrip", "cam", "ts", "telesync", "screener", r"[xh][\. ]?26[45]", "hevc", "avc", "xvid", "divx", "vc-?1", "mpeg-?2", "av[12]", "vp9", "10-?bit", "8-?bit",
+    r"aac(?:2[\. ]0|5[\. ]1)?", "ac-?3", "e-?ac-?3", "dts(?:-?hd|-?x|-?ma)?", r"dd(?:p|\+)?[257][\. ][01]", r"dd(?:p|\+)?", "truehd", "atmos", "flac", "mp3", "opus", "lpcm",
+    "remux", "proper", "repack", "rerip", "extended", "unrated", "uncut", r"directors[\. ]?cut", "theatrical", "limited", "internal", "multi", "multisubs", "subbed", "dubbed", r"dual[\. ]?audio", "complete",
+    "nf", "amzn", "dsnp", "hmax", "atvp", "hulu", "pcok", "itunes", "criterion", "remastered", "imax",
+]
+#: How seasons' folders are called.
+SEASON_FOLDERS = "Season Series Staffel Saison Temporada S".split()
 
+_TAG = rf"(?:{'|'.join(RELEASE_WORDS)})(?![A-Za-z0-9])"
+_GAP = r"[\s._\-]"
+_YEAR = r"(?:19|20)\d{2}"
+#: Patterns after a lazily matched title: season (group 2), episode (3) and further episodes (4).
+_EPISODES = [
+    rf"(?<![A-Za-z0-9])s(\d{{1,4}}){_GAP}?e(\d{{1,4}})((?:(?:{_GAP}?-?{_GAP}?e|-)\d{{1,4}})*)(?!\d)",
+    r"(?<![A-Za-z0-9])(\d{1,2})x(\d{1,3})((?:(?:-\d{1,2}x|-|x)\d{1,3})*)(?![\dp])",
+    rf"(?<![A-Za-z])season{_GAP}*(\d{{1,4}}){_GAP}*[,\-]?{_GAP}*(?:episode|ep\.?){_GAP}*(\d{{1,4}})()",
+    rf"(?<![A-Za-z])s(\d{{1,2}}){_GAP}+(?:episode|ep\.?){_GAP}*(\d{{1,4}})()(?!\d)",
+    rf"(?<![A-Za-z0-9])(?:episode|ep\.?|e)(){_GAP}*(\d{{1,4}})()(?![\dA-Za-z])",
+]
+_ANIME = r"(?i)^\s*\[([^\]]+)\]\s*(.+?)\s+-\s+(?:ep?\s*)?(\d{1,4})(?:\s*-\s*(\d{1,4}))?(?:v\d)?(?:\s*(?:end|final))?\s*(?:[\[(].*)?(?:\.\w{2,4})?$"
+_DATE = rf"^(.+?)(?<!\d)({_YEAR})[.\-_ ](0[1-9]|1[0-2])[.\-_ ](0[1-9]|[12]\d|3[01])(?!\d)"
+_LAST_YEAR = rf"^(.+)(?<![\dA-Za-z])[(\[]?({_YEAR})[)\]]?(?![\dA-Za-z])"
+_TRAILING_YEAR = rf"^(.+?)[(\[]?({_YEAR})[)\]]?$"
 
-def _title(c: Column) -> Column:
-    """Cut at a release tag, keep acronyms, turn separators into blanks, drop empty brackets."""
-    c = F.regexp_replace(c, TAGS, "")
-    c = F.regexp_replace(c, r"(?<=\b\p{Lu})\.(?=\p{Lu}\.)", "\u0001")
-    c = F.regexp_replace(c, r"(?<=\u0001\p{Lu})\.", "\u0001")
-    c = F.regexp_replace(c, r"[._]+", " ")
-    c = F.regexp_replace(c, r"[(\[]\s*[)\]]", " ")
-    c = F.regexp_replace(c, r"\s+", " ")
-    c = F.regexp_replace(c, "\u0001", ".")
-    c = F.regexp_replace(F.trim(c), r"^[\s\-]+|[\s\-]+$", "")
-    return F.regexp_replace(c, r"(\.\p{Lu})$", "$1.")  # an acronym keeps its last point
 
+def _part(c: Column, pattern: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
-def _folder_title(path: Column) -> Column:
-    parts = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
-    good = F.filter(parts, lambda x: (x != "") & ~F.rlike(x, F.lit(r"(?i)^(season|series|specials?|disc|s)[ ._-]?\d*$")))
-    return F.when(F.size(good) > 0, F.element_at(good, -1))
+
+def clean_title(c: Column) -> Column:
+    """Cut at a release word, keep the points of acronyms, turn separators into blanks, drop empty brackets and loose ends."""
+    starts = F.rlike(c, F.lit(rf"(?i)^{_TAG}"))
+    c = F.when(starts, c).otherwise(F.regexp_replace(c, rf"(?is)^(.+?)(?<![A-Za-z0-9]){_TAG}.*$", "$1"))
+    acronyms = F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9])(?:[A-Za-z]\.){2,}(?:[A-Za-z](?![A-Za-z0-9]))?"), F.lit(0))
+    c = F.aggregate(acronyms, c, lambda text, a: F.replace(text, a, F.translate(a, ".", "\u0001")))
+    c = F.regexp_replace(c, r"(?:_|\.(?!\s))+|\s+", " ")
+    c = F.regexp_replace(F.replace(c, F.lit("\u0001"), F.lit(".")), r"\(\s*\)|\[\s*\]", " ")
+    return F.regexp_replace(F.regexp_replace(c, r"\s{2,}", " "), r"^[ \-–,(\[{~]+|[ \-–,(\[{~]+$", "")
+
+
+def without_year(title: Column) -> tuple[Column, Column]:
+    """(title, year) of a title that may end in a year."""
+    year = _part(title, _TRAILING_YEAR, 2).cast("int")
+    rest = F.regexp_replace(F.regexp_extract(title, _TRAILING_YEAR, 1), r"^[ \-(\[]+|[ \-(\[]+$", "")
+    return F.when(year.isNotNull(), rest).otherwise(title), year
+
+
+def folder_title(path: Column) -> Column:
+    """The title in the nearest folder that is no season's folder."""
+    folders = F.slice(F.split(path, r"[/\\]"), 1, F.greatest(F.size(F.split(path, r"[/\\]")) - 1, F.lit(0)))
+    season = rf"(?i)^(?:{'|'.join(SEASON_FOLDERS)})\s*\d{{1,4}}$|^specials?$"
+    named = F.filter(folders, lambda x: (x != "") & ~F.rlike(x, F.lit(season)))
+    return without_year(clean_title(F.when(F.size(named) > 0, F.element_at(named, -1))))[0]
 
 
 def parse_names(df: DataFrame, column: str, this_year: int) -> DataFrame:
     """Add kind, title, year, season, episode, last_episode, air_date and release_group."""
-    base = F.element_at(F.split(F.col(column), "/"), -1)
-    stem = F.regexp_replace(base, r"\.(?:[A-Za-z][A-Za-z0-9]{1,3}|3gp|7z)$", "")
-    ex = lambda p, g: F.nullif(F.regexp_extract(F.col("__s"), p, g), F.lit(""))
-    anime = r"^\[([^\]]+)\][ _.]*(.+?)[ _.]*-[ _.]*(\d{1,4})(?:v\d)?(?:[ _.\[(].*)?$"
-    sxe = r"(?i)^(.*?)[ ._\-(\[]*\bs(\d{1,2})[ ._-]*e(\d{1,3})((?:[ ._-]*e\d{1,3}|-\d{1,3})*)(?!\d)"
-    nxn = r"(?i)^(.*?)[ ._\-(\[]*\b(\d{1,2})x(\d{2,3})((?:-\d{2,3}|x\d{2,3})*)(?!\d)"
-    spelt = r"(?i)^(.*?)[ ._-]*\bseason[ ._]*(\d{1,2})[ ._,-]*episode[ ._]*(\d{1,3})()"
-    short = r"(?i)^(.*?)[ ._-]*\bs[ ._](\d{1,2})[ ._-]*ep[ ._](\d{1,3})()"
-    alone = r"(?i)^(.*?)[ ._-]*\bepisode[ ._]*(\d{1,3})"
-    date = r"^(.*?)[ ._\-(\[]*\b((?:19|20)\d\d)[ ._-](0[1-9]|1[0-2])[ ._-](0[1-9]|[12]\d|3[01])\b"
-    year = r"^(.+)[ ._(\[\-]((?:19|20)\d\d)(?!\d)(?!p)"
-    out = df.withColumn("__s", stem)
-    for name, pattern in (("anime", anime), ("sxe", sxe), ("nxn", nxn), ("spelt", spelt), ("short", short), ("alone", alone), ("date", date)):
-        out = out.withColumn(f"__{name}", F.rlike(F.col("__s"), F.lit(pattern)))
-    out = out.withColumn("__y", ex(year, 2).cast("int"))
-    out = out.withColumn("__year", F.col("__y").between(1900, this_year + 2))
-    forms = [(F.col("__sxe"), sxe), (F.col("__nxn"), nxn), (F.col("__spelt"), spelt), (F.col("__short"), short)]
-    tail = _case([(c, F.regexp_extract(F.col("__s"), p, 4)) for c, p in forms], F.lit(""))
-    last = F.try_element_at(F.transform(F.regexp_extract_all(tail, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int")), F.lit(-1))
-    raw = _case([(F.col("__anime"), ex(anime, 2)), *[(c, ex(p, 1)) for c, p in forms], (F.col("__alone"), ex(alone, 1)), (F.col("__date"), ex(date, 1)), (F.col("__year"), ex(year, 1))], F.col("__s"))
-    tv = F.col("__anime") | F.col("__sxe") | F.col("__nxn") | F.col("__spelt") | F.col("__short") | F.col("__alone") | F.col("__date")
-    title = F.coalesce(F.nullif(_title(F.coalesce(raw, F.lit(""))), F.lit("")), _title(_folder_title(F.col(column))))
-    title = F.when(tv, F.regexp_replace(title, r" \((?:19|20)\d\d\)$", "")).otherwise(title)
-    season = _case([(F.col("__anime"), F.lit(1)), *[(c, ex(p, 2).cast("int")) for c, p in forms], (F.col("__alone"), F.lit(1))], F.lit(None).cast("int"))
-    episode = _case([(F.col("__anime"), ex(anime, 3).cast("int")), *[(c, ex(p, 3).cast("int")) for c, p in forms], (F.col("__alone"), ex(alone, 2).cast("int"))], F.lit(None).cast("int"))
-    is_date = F.col("__date") & ~(F.col("__anime") | F.col("__sxe") | F.col("__nxn") | F.col("__spelt") | F.col("__short") | F.col("__alone"))
-    return out.select(
+    name = F.regexp_extract(F.col(column), r"([^/\\]*)$", 1)
+    stem = F.regexp_replace(name, rf"(?i)\.(?:{'|'.join(MEDIA_EXTENSIONS)})$", "")
+    lead = r"^\s*\[([^\]]+)\]\s*"
+    rows = df.withColumn("__stem", stem)
+    bare = F.regexp_replace(F.regexp_replace("__stem", lead, ""), rf"\[(?!{_YEAR}\])[^\]]*\]", " ")
+    rows = rows.withColumns({"__s": bare, "__group": F.trim(_part(F.col("__stem"), lead, 1)), "__anime": F.rlike("__stem", F.lit(_ANIME))})
+    s, numbers = F.col("__s"), F.regexp_extract_all
+    forms = [rf"(?is)^(.*?){p}" for p in _EPISODES]
+    form = F.when(F.col("__anime"), -1)
+    for i, p in enumerate(forms):
+        form = form.when(F.rlike(s, F.lit(p)), i)
+    aired = F.concat_ws("-", *[F.regexp_extract(s, _DATE, g) for g in (2, 3, 4)])
+    form = form.when(F.try_to_date(F.nullif(aired, F.lit("--"))).isNotNull(), 10)
+    last_year = _part(s, _LAST_YEAR, 2).cast("int")
+    form = form.when((last_year <= this_year + 2) & (clean_title(F.regexp_extract(s, _LAST_YEAR, 1)) != ""), 11).otherwise(12)
+    rows = rows.withColumn("__form", form)
+    f = F.col("__form")
+
+    def by_form(get: list[Column], other: Column) -> Column:
+        out = F.when(f == 0, get[0])
+        for i in range(1, len(get)):
+            out = out.when(f == i, get[i])
+        return out.otherwise(other)
+
+    before = by_form([F.regexp_extract(s, p, 1) for p in forms], F.when(f == -1, F.regexp_extract("__stem", _ANIME, 2)).when(f == 10, F.regexp_extract(s, _DATE, 1)).when(f == 11, F.regexp_extract(s, _LAST_YEAR, 1)).otherwise(s))
+    rows = rows.withColumn("__clean", clean_title(before))
+    tv_title, tv_year = without_year(F.col("__clean"))
+    season_at = r"(?i)^(.*?)\s+(?:s|season\s*)(\d{1,2})$"
+    anime_season = _part(F.col("__clean"), season_at, 2).cast("int")
+    title = F.when(f == -1, F.when(anime_season.isNotNull(), F.trim(F.regexp_extract("__clean", season_at, 1))).otherwise(F.col("__clean"))).when(f <= 10, tv_title).otherwise(F.col("__clean"))
+    title = F.when(title != "", title).otherwise(F.when(f <= 10, F.coalesce(folder_title(F.col(column)), F.lit(""))).otherwise(clean_title(F.col("__stem"))))
+    episode = by_form([_part(s, p, 3).cast("int") for p in forms], F.when(f == -1, _part(F.col("__stem"), _ANIME, 3).cast("int")))
+    season = by_form([_part(s, p, 2).cast("int") for p in forms], F.when(f == -1, F.coalesce(anime_season, F.lit(1))))
+    tail = by_form([F.regexp_extract(s, p, 4) for p in forms[:2]], F.when(f == -1, F.regexp_extract("__stem", _ANIME, 4)).otherwise(F.lit("")))
+    last = F.try_element_at(numbers(F.regexp_replace(tail, r"\d+x", ""), F.lit(r"\d+"), F.lit(0)), F.lit(-1)).cast("int")
+    group = F.coalesce(F.col("__group"), F.when((f < 12) | F.rlike(s, F.lit(rf"(?is)(?<![A-Za-z0-9]){_TAG}")), _part(s, r"-([A-Za-z0-9]+)$", 1)))
+    return rows.select(
         *df.columns,
-        F.when(tv, "tv").otherwise("movie").alias("kind"),
+        F.when(f <= 10, "tv").otherwise("movie").alias("kind"),
         title.alias("title"),
-        F.when(~tv & F.col("__year"), F.col("__y")).alias("year"),
+        F.when(f.between(0, 4), tv_year).when(f == 10, _part(s, _DATE, 2).cast("int")).when(f == 11, last_year).alias("year"),
         season.alias("season"),
         episode.alias("episode"),
-        F.when(~F.col("__anime"), last).alias("last_episode"),
-        F.when(is_date, F.concat_ws("-", ex(date, 2), ex(date, 3), ex(date, 4))).alias("air_date"),
-        F.when(F.col("__anime"), ex(anime, 1)).alias("release_group"),
+        F.when((f == -1) | (last != episode), last).alias("last_episode"),
+        F.when(f == 10, aired).alias("air_date"),
+        F.when(f == -1, F.trim(F.regexp_extract("__stem", _ANIME, 1))).otherwise(group).alias("release_group"),
     )
-
-
-def _case(pairs: list[tuple[Column, Column]] | tuple, other: Column) -> Column:
-    out = F.when(pairs[0][0], pairs[0][1])
-    for test, value in pairs[1:]:
-        out = out.when(test, value)
-    return out.otherwise(other)

@@ -35,14 +35,26 @@ def joined_names(names: Column) -> Column:
     return F.nullif(F.array_join(clean_names(names), ", "), F.lit(""))
 
 
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+def _unaccented() -> tuple[str, str]:
+    """Letters that decompose into one base letter and marks, and the base letters; made by Unicode's rule."""
+    import unicodedata
+
+    pairs = []
+    for code in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]:
+        base = [c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn"]
+        if len(base) == 1 and base[0] != chr(code):
+            pairs.append((chr(code), base[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTS = _unaccented()
 
 
 def normal_title(c: Column) -> Column:
-    """Lower case, accents folded, ``&`` spelt out, everything else but letters and digits one space."""
-    c = F.translate(F.lower(c), *ACCENTS)
+    """Lower case, accents and marks dropped, ``&`` spelt out, everything else but letters and digits one space."""
+    c = F.lower(F.regexp_replace(F.translate(c, *ACCENTS), r"\p{Mn}", ""))
     c = F.replace(c, F.lit("&"), F.lit(" and "))
-    return F.trim(F.regexp_replace(c, r"[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{Nd}]+", " "))
 
 
 def same_title(a: Column, b: Column) -> Column:
@@ -64,28 +76,40 @@ def template(pattern: str, columns: dict[str, Column]) -> Column:
 
 
 def _words(c: Column) -> Column:
-    return F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.split(strip(c), r"\s+")
+
+
+def _capital(c: Column) -> Column:
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
 
 
 TRANSFORMS = {
     "upper": F.upper,
     "lower": F.lower,
-    "capitalize": lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30)),
+    "capitalize": lambda c: F.array_join(F.transform(_words(c), _capital), " "),
     "snake": lambda c: F.lower(F.array_join(_words(c), "_")),
-    "train": lambda c: F.array_join(F.transform(_words(c), F.initcap), "-"),
+    "train": lambda c: F.array_join(F.transform(_words(c), _capital), "-"),
     "dot": lambda c: F.array_join(_words(c), "."),
-    "camel": lambda c: F.array_join(F.transform(_words(c), lambda x, i: F.when(i == 0, F.lower(x)).otherwise(F.initcap(x))), ""),
+    "camel": lambda c: F.array_join(F.transform(_words(c), lambda x, i: F.when(i == 0, F.lower(x)).otherwise(_capital(x))), ""),
 }
 
 
+def _formatted(value: Column, form: str) -> Column:
+    """A number padded with zeros, or a part of an ISO date."""
+    if set(form) == {"0"}:
+        return F.when(F.length(value) < len(form), F.lpad(value, len(form), "0")).otherwise(value)
+    short = F.when((F.length(value) >= 4) & F.lit(form == "yyyy"), F.substring(value, 1, 4)).otherwise(value)
+    return F.coalesce(F.date_format(F.try_to_timestamp(value), form), short)
+
+
 def name_format(pattern: str, columns: dict[str, Column]) -> Column:
-    """``{Tag:000|transform}``: blanks for missing tags, null only when all tags are missing."""
+    """``{Tag:000|transform}`` or ``{Tag:yyyy}``: blanks for missing tags, null only when all tags are missing."""
     parts, found, at = [], [], 0
     for m in _TOKEN.finditer(pattern):
         value = blank_to_null(columns.get(m[1], F.lit(None)).cast("string"))
         found.append(value.isNotNull())
-        if m[2] and set(m[2]) == {"0"}:
-            value = F.when(F.length(value) < len(m[2]), F.lpad(value, len(m[2]), "0")).otherwise(value)
+        if m[2]:
+            value = _formatted(value, m[2])
         if m[3]:
             value = TRANSFORMS[m[3]](value)
         parts += [F.lit(pattern[at : m.start()]), F.coalesce(value, F.lit(""))]
@@ -113,9 +137,9 @@ def redact(url: Column, names: tuple[str, ...] = ("api_key", "apikey", "token"))
 
 
 def hd_class(width: Column, height: Column, *, detect_4k: bool = False) -> Column:
-    """0 standard, 1 up to 1280x720, 2 full HD, 3 beyond (when 4K is told apart)."""
-    big = F.when((width > 1920) & (height > 1088), 3 if detect_4k else 2) if detect_4k else F.when(F.lit(False), 3)
-    return big.when((width > 1280) | (height > 720), 2).when((width >= 960) & (height >= 720), 1).otherwise(0).cast("int")
+    """0 below 1280 wide and 720 high, 1 up to 1280x720, 2 full HD up to 1920x1088, 3 beyond (2 unless 4K is told apart)."""
+    beyond = F.when((width > 1920) | (height > 1088), 3 if detect_4k else 2)
+    return beyond.when((width > 1280) | (height > 720), 2).when((width >= 1280) | (height >= 720), 1).otherwise(0).cast("int")
 
 
 def channel_name(channels: Column) -> Column:
