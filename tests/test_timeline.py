@@ -40,7 +40,7 @@ def test_strictly_increasing_and_unwrap_match_loops(spark):
         at += random.randint(0, 1000)
         true.append(at)
     raw = spark.createDataFrame([(0, i, t % (1 << 33)) for i, t in enumerate(true)], "k int, i int, raw long")
-    got = [r[0] for r in rows_of(timeline.unwrap_counter(raw, ["k"], ["i"], "raw", 1 << 33).orderBy("i"), "unwrapped")]
+    got = [r[0] for r in rows_of(timeline.unwrap_counter(raw, ["k"], "i", "raw", 1 << 33, block=7).orderBy("i"), "unwrapped")]
     assert [x - got[0] for x in got] == [x - true[0] for x in true]
 
 
@@ -75,11 +75,40 @@ def test_bounded_reorder_and_closed_form_agree_when_shallow(spark):
 
 def test_greedy_cut_and_snap(spark):
     df = spark.createDataFrame([(0, i, t, 3) for i, t in enumerate([0, 4, 9, 10, 11, 25])], "k int, i int, t long, size int")
-    assert [r[0] for r in rows_of(stateful.greedy_cut(df, ["k"], ["i"], "t", 10).orderBy("i"), "chunk")] == [0, 0, 0, 1, 1, 2]
+    assert [r[0] for r in rows_of(stateful.greedy_cut(df, ["k"], ["i"], "t", 10).orderBy("i"), "chunk")] == [0, 0, 0, 0, 1, 2]
     assert [r[0] for r in rows_of(stateful.greedy_cut(df, ["k"], ["i"], "t", 100, "size", 6).orderBy("i"), "chunk")] == [0, 0, 1, 1, 2, 2]
     assert [r[0] for r in rows_of(stateful.snap_contiguous(df.withColumn("d", F.lit(5)), ["k"], ["i"], "t", "d", 1).orderBy("i"), "snapped")] == [0, 5, 10, 10, 11, 25]
 
 
+def test_segments_match_loops(spark):
+    rng = random.Random(5)
+    t = sorted(rng.randrange(3000) for _ in range(400))
+    size, track, key = ([rng.randrange(1, 9) for _ in t], [rng.randrange(3) // 2 for _ in t], [rng.random() < 0.2 for _ in t])
+    df = spark.createDataFrame([(0, i, *x) for i, x in enumerate(zip(t, size, track, key))], "k int, i int, t long, size long, track int, key boolean").repartition(3)
+    chunks, first, total, n = [], None, 0, -1
+    for j, x in enumerate(t):
+        if first is None or x - first > 40 or total + size[j] > 30 or track[j] != track[j - 1]:
+            n, first, total = n + 1, x, 0
+        total += size[j]
+        chunks.append(n)
+    got = stateful.greedy_cut(df, ["k"], ["i"], "t", 40, "size", 30, source="track").orderBy("i")
+    assert [r[0] for r in rows_of(got, "chunk")] == chunks
+    clusters, first, total, n = [], None, 0, -1
+    for j, x in enumerate(t):
+        if first is None or x - first >= 60 or total + size[j] > 50 or (key[j] and x - first >= 20):
+            n, first, total = n + 1, x, 0
+        total += size[j]
+        clusters.append(n)
+    got = stateful.cluster_cut(df, ["k"], ["i"], "t", "size", "key", max_ms=60, video_ms=20, max_bytes=50).orderBy("i")
+    assert [r[0] for r in rows_of(got, "cluster")] == clusters
+    snapped, end = [], None
+    for x, d in zip(t, size):
+        at = end if end is not None and abs(x - end) <= 6 else x
+        snapped.append(at)
+        end = at + d
+    assert [r[0] for r in rows_of(stateful.snap_contiguous(df, ["k"], ["i"], "t", "size", 6).orderBy("i"), "snapped")] == snapped
+
+
 def test_missing_durations_and_merge_touching(spark):
     df = spark.createDataFrame([(0, 0, 0), (0, 10, 5), (0, 20, 0)], "k int, t long, d long")
     assert [r[0] for r in rows_of(timeline.missing_durations(df, ["k"], ["t"], "t", "d", 2000).orderBy("t"), "end_time")] == [10, 15, 2020]
@@ -98,7 +127,7 @@ def test_asof_region_and_nearest(spark):
     assert sorted(rows_of(joins.asof_join(left, right, ["k"], "t", "rt", ["v"]), "t", "v"), key=str) == [(1, None), (10, "b"), (5, "a")]
     regions = spark.createDataFrame([(0, 0, 10, "x"), (0, 20, 30, "y")], "k int, s int, e int, v string")
     at = spark.createDataFrame([(0, 0), (0, 9), (0, 10), (0, 15), (0, 29)], "k int, p int")
-    assert sorted(rows_of(joins.region_lookup(at, regions, ["k"], "p", "s", "e", ["v"]), "p", "v")) == [(0, "x"), (9, "x"), (10, "x"), (15, None), (29, "y")]
+    assert sorted(rows_of(joins.region_lookup(at, regions, ["k"], "p", "s", "e", ["v"], 7), "p", "v")) == [(0, "x"), (9, "x"), (10, "x"), (15, None), (29, "y")]
     tracks = spark.createDataFrame([(0, 2, "en", "AAC"), (0, 3, "en", "AC-3"), (0, 4, "en", "AAC"), (0, 5, "fr", "AC-3")], "f int, id int, lang string, fmt string")
     got = joins.nearest_preferred(tracks, ["f"], "id", "id", F.col("fmt") == "AC-3", F.col("fmt") == "AAC", "lang")
     assert dict(rows_of(got, "id", "fallback")) == {2: None, 3: 2, 4: None, 5: 4}

@@ -29,12 +29,28 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     return found.select(*left.columns, *[F.col(f"__m.{v}").alias(v) for v in values])
 
 
-def region_lookup(rows: DataFrame, regions: DataFrame, by: list[str], position: str, start: str, end: str, values: list[str]) -> DataFrame:
-    """The disjoint half-open region that holds a position; a position that only equals a region's end takes that region."""
-    found = asof_join(rows, regions, by, position, start, [*dict.fromkeys([start, end, *values])])
-    inside = F.col(position) < F.col(end)
-    at_end = F.col(position) == F.col(end)
-    return found.select(*rows.columns, *[F.when(inside | at_end, F.col(v)).alias(v) for v in values])
+def region_lookup(rows: DataFrame, regions: DataFrame, by: list[str], position: str, start: str, end: str, values: list[str], cell: int) -> DataFrame:
+    """The disjoint half-open region that holds a position; a position that only equals a region's end takes that region.
+
+    Regions are dealt into cells of ``cell`` positions, each into all cells that it touches, and met by equality of the
+    cell: two hash joins without a sort of ``rows`` while the regions are few, two shuffle joins beyond.  Choose ``cell`` near a
+    region's usual length.
+    """
+    own, at = [F.col(c).alias(f"__{c}") for c in by], lambda c: F.floor(F.col(c) / cell)
+    spans = regions.select(*own, F.col(start).alias("__s"), F.col(end).alias("__e"), F.struct(*values).alias("__v"))
+    inside = small_side(spans.withColumn("__cell", F.explode(F.sequence(at("__s"), F.greatest(at("__s"), F.floor((F.col("__e") - 1) / cell))))))
+    ends = small_side(spans.select(*[f"__{c}" for c in by], F.col("__e").alias("__at"), F.col("__v").alias("__w")))
+    same = [F.col(c) == F.col(f"__{c}") for c in by]
+
+    def join(left: DataFrame, right: DataFrame, *tests: Column) -> DataFrame:
+        on = F.lit(True)
+        for t in (*same, *tests):
+            on = on & t
+        return left.join(right, on, "left").drop(*[f"__{c}" for c in by])
+
+    found = join(rows, inside, at(position) == F.col("__cell"), F.col(position) >= F.col("__s"), F.col(position) < F.col("__e")).drop("__s", "__e", "__cell")
+    found = join(found, ends, F.col("__v").isNull() & (F.col(position) == F.col("__at"))).withColumn("__v", F.coalesce("__v", "__w"))
+    return found.select(*rows.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
 def first_match(candidates: DataFrame, key: list[str], rank: list[Column]) -> DataFrame:
@@ -42,18 +58,30 @@ def first_match(candidates: DataFrame, key: list[str], rank: list[Column]) -> Da
     return candidates.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*rank))).where("__r = 1").drop("__r")
 
 
-def most_specific(rows: DataFrame, rules: DataFrame, pairs: list[tuple[str, str]], rule_order: str, values: list[str], key: list[str]) -> DataFrame:
+def most_specific(rows: DataFrame, rules: DataFrame, pairs: list[tuple[str, str]], rule_order: str, values: list[str]) -> DataFrame:
     """The rule whose given fields all match, by the number and weight of given fields, then first given.
 
-    A null field of a rule matches anything; field i weighs 2**i.  Rules are broadcast while a count
-    proves them few, and joined once.
+    A null field of a rule matches anything; field i weighs 2**i.  Rules with the same fields given are one
+    equality join (at most 2**fields of them, each broadcast while a count proves its rules few); rules that give
+    no field are one row.  No row meets more than one rule of a join, so nothing is ranked.
     """
-    on, weight = F.lit(True), F.lit(0)
-    for i, (column, rule) in enumerate(pairs):
-        on = on & (F.col(f"u.{rule}").isNull() | (F.col(f"r.{column}") == F.col(f"u.{rule}")))
-        weight = weight + F.when(F.col(f"u.{rule}").isNotNull(), 1 << i).otherwise(0)
-    joined = rows.alias("r").join(small_side(rules).alias("u"), on, "left").select("r.*", *[F.col(f"u.{v}").alias(v) for v in values], weight.alias("__weight"), F.col(f"u.{rule_order}").alias("__order"))
-    return first_match(joined, key, [F.col("__weight").desc(), F.col("__order").asc_nulls_last()]).drop("__weight", "__order")
+    given = F.lit(0)
+    for i, (_, rule) in enumerate(pairs):
+        given = given + F.when(F.col(rule).isNotNull(), 1 << i).otherwise(0)
+    marked = rules.withColumn("__given", given)
+    found, out = [], rows
+    for mask in sorted((r[0] for r in marked.select("__given").distinct().collect()), reverse=True):
+        used = [(column, rule) for i, (column, rule) in enumerate(pairs) if mask >> i & 1]
+        mine = marked.where(F.col("__given") == mask)
+        pick = F.min_by(F.struct(*values), rule_order).alias(f"__u{mask}")
+        mine = mine.groupBy(*[F.col(rule).alias(f"__r_{rule}") for _, rule in used]).agg(pick) if used else mine.agg(pick)
+        on = F.lit(True)
+        for column, rule in used:
+            on = on & (F.col(column) == F.col(f"__r_{rule}"))
+        out = (out.join(small_side(mine), on, "left") if used else out.crossJoin(F.broadcast(mine))).drop(*[f"__r_{rule}" for _, rule in used])
+        found.append(f"__u{mask}")
+    best = F.coalesce(*found) if found else None
+    return out.select(*rows.columns, *[(best[v] if found else F.lit(None)).alias(v) for v in values])
 
 
 def nearest_preferred(rows: DataFrame, by: list[str], ident: str, position: str, wanted: Column, takes: Column, same: str) -> DataFrame:

@@ -48,52 +48,76 @@ def consume_by_rules(tags: DataFrame, rules: DataFrame, by: list[str], rule_key:
     return first_match(once, [*by, "target"], [F.asc("ord"), F.asc("pos")])
 
 
-#: (system, media, code, name, value); fixed values of three rating systems
+#: Fixed values of rating systems: (system, country, media, code, value).
 RATINGS = [
-    ("mpaa", "movie", "G", "G", 100), ("mpaa", "movie", "PG", "PG", 200), ("mpaa", "movie", "PG-13", "PG-13", 300), ("mpaa", "movie", "R", "R", 400), ("mpaa", "movie", "NC-17", "NC-17", 500),
-    ("us-tv", "tv", "TV-PG", "TV-PG", 400), ("us-tv", "tv", "TV-14", "TV-14", 500), ("us-tv", "tv", "TV-MA", "TV-MA", 600),
-    ("de-movie", "movie", "12", "Ab 12 Jahren", 200), ("de-movie", "movie", "16", "Ab 16 Jahren", 500),
+    ("mpaa", "US", "movie", "NR", 0), ("mpaa", "US", "movie", "G", 100), ("mpaa", "US", "movie", "PG", 200), ("mpaa", "US", "movie", "PG-13", 300), ("mpaa", "US", "movie", "R", 400), ("mpaa", "US", "movie", "NC-17", 500),
+    ("us-tv", "US", "tv", "TV-Y", 100), ("us-tv", "US", "tv", "TV-Y7", 200), ("us-tv", "US", "tv", "TV-G", 300), ("us-tv", "US", "tv", "TV-PG", 400), ("us-tv", "US", "tv", "TV-14", 500), ("us-tv", "US", "tv", "TV-MA", 600),
+    ("de-movie", "DE", "movie", "Ab 12 Jahren", 200), ("de-movie", "DE", "movie", "Ab 16 Jahren", 500), ("de-tv", "DE", "tv", "Ab 12 Jahren", 200), ("de-tv", "DE", "tv", "Ab 16 Jahren", 500),
+    ("uk-movie", "GB", "movie", "12A", 325), ("uk-movie", "GB", "movie", "15", 350),
 ]
-SYSTEMS = {"mpaa": "US", "us-tv": "US", "de-movie": "DE"}
 
 
-def normal_certification(c: Column) -> Column:
-    """Without a country prefix, a leading ``Rated`` or ``FSK``, and with dashes."""
-    c = F.regexp_replace(F.trim(c), r"^[A-Z]{2}:", "")
-    c = F.regexp_replace(c, r"(?i)^(rated|fsk)\s+", "")
-    return F.upper(F.replace(c, F.lit("_"), F.lit("-")))
+def normal_certification(c: Column) -> tuple[Column, Column]:
+    """(country prefix, certification without it, without a leading ``Rated``, and with ``TV-`` for ``TV_``)."""
+    c = F.trim(c)
+    country = F.nullif(F.regexp_extract(c, r"^([^:]{1,3}):", 1), F.lit(""))
+    c = F.trim(F.regexp_replace(c, r"^[^:]{1,3}:", ""))
+    c = F.trim(F.regexp_replace(c, r"(?i)^rated ", ""))
+    return country, F.nullif(F.regexp_replace(c, r"(?i)^tv_", "TV-"), F.lit(""))
 
 
 def lookup_ratings(rows: DataFrame, ratings: DataFrame, key: list[str]) -> DataFrame:
-    """Rating of (certification, country, media): exact code, then name, then compacted code; the row's media before any other."""
-    norm = rows.withColumn("__c", normal_certification(F.col("certification")))
-    compact = lambda c: F.regexp_replace(F.upper(c), r"[^A-Z0-9]", "")
+    """Rating of (certification, country, media); no country means the US, and a US ``TV-`` code is one of TV whatever the media.
+
+    Within the row's media, then within any: the same code, else the same name, else the same letters and digits, else
+    for a mere number (with FSK or a plus at most) the first code with that number; an unrated row gets the entry of country ``*``.
+    """
+    country, certification = normal_certification(F.col("certification"))
+    asked = rows.withColumns({"__c": certification, "__country": F.upper(F.coalesce(country, F.nullif(F.trim("country"), F.lit("")), F.lit("US")))})
+    tv = (F.col("__country") == "US") & F.upper("__c").startswith("TV-")
+    asked = asked.withColumn("__media", F.when(tv, "tv").otherwise(F.col("media")))
+    compact = lambda c: F.regexp_replace(F.upper(c), r"[^\p{L}\p{Nd}]", "")
+    first_number = lambda c: F.regexp_extract(c, r"(\d+)", 1)
+    mere = F.rlike(F.trim(F.regexp_replace("__c", "(?i)fsk", "")), F.lit(r"^[-+]?\s*\d+\s*\+?$"))
     r = small_side(ratings.withColumnsRenamed({c: f"r_{c}" for c in ratings.columns}))
-    rank = F.when(F.col("__c") == F.upper("r_code"), 0).when(F.col("__c") == F.upper("r_name"), 1).when(compact(F.col("__c")) == compact(F.col("r_code")), 2)
-    joined = norm.join(r, (F.col("country") == F.col("r_country")) & rank.isNotNull(), "left")
-    return first_match(joined.withColumn("__rank", rank), key, [(F.col("r_media") == F.col("media")).desc_nulls_last(), F.asc_nulls_last("__rank"), F.asc_nulls_last("r_value")]).drop("__c", "__rank")
+    rank = F.when(F.upper("__c") == F.upper("r_code"), 0).when(F.upper("__c") == F.upper("r_name"), 1).when(compact(F.col("__c")) == compact(F.col("r_code")), 2).when(mere & (first_number("__c") == first_number("r_code")), 3)
+    unrated = F.when(F.upper("__c").isin("NR", "UNRATED", "NOT RATED") & (F.col("r_country") == "*"), 9)
+    rank = F.when(F.col("__country") == F.col("r_country"), rank + F.when(F.col("r_media") == F.col("__media"), 0).otherwise(4)).otherwise(unrated)
+    joined = asked.join(r, rank.isNotNull(), "left").withColumn("__rank", rank)
+    return first_match(joined, key, [F.asc_nulls_last("__rank"), F.asc_nulls_last("r_ord")]).drop("__c", "__country", "__media", "__rank")
+
 
+#: Words of names of auxiliary tracks.
+AUXILIARY = ("director", "commentary", "lyric", "karaoke", "sign")
 
-def characteristics(name: Column) -> Column:
-    """Media characteristics that a track's name tells."""
-    low = F.lower(name)
+
+def characteristics(name: Column, kind: Column, forced: Column | None = None, auxiliary: tuple[str, ...] = AUXILIARY) -> Column:
+    """Media characteristics that a track's name and kind tell."""
+    low = F.lower(F.coalesce(name, F.lit("")))
     has = lambda *w: F.greatest(*[low.contains(x).cast("int") for x in w], F.lit(0)) == 1
-    parts = [F.when(has("commentary"), "commentary"), F.when(has("sdh", "hearing"), "transcribes-dialog"), F.when(has("descri"), "describes-video"), F.when(has("forced"), "forced-only")]
+    text, captions = kind.isin("subtitle", "captions"), kind == "captions"
+    heard = text & (has("sdh", "hearing") | captions)
+    only = text & (has("forced") | (F.coalesce(forced, F.lit(False)) if forced is not None else F.lit(False)))
+    parts = [F.when(has(*auxiliary), "auxiliary"), F.when(heard, "transcribes-dialog"), F.when(heard, "describes-music-and-sound"), F.when(only, "forced-only")]
     return F.filter(F.array(*parts), lambda x: x.isNotNull())
 
 
 def chinese_script(language: Column, name: Column) -> Column:
-    """zh-Hans or zh-Hant where the name tells."""
-    low = F.lower(name)
-    return F.when((language == "zh") & low.contains("traditional"), "zh-Hant").when((language == "zh") & low.contains("simplified"), "zh-Hans").otherwise(language)
-
-
-def video_timescale(frame_us: Column) -> Column:
-    """The usual time scale for a frame duration; NTSC rates keep their 1001 denominators."""
-    out = F.lit(90000)
-    for scale in (60000, 30000, 24000):
-        out = F.when(F.abs(F.lit(scale) * frame_us - 1001 * 1_000_000) <= scale, scale).otherwise(out)
-    return out
+    """zh-Hans or zh-Hant where the name tells and the language has no script yet."""
+    low, open_ = F.lower(name), F.lower(language).startswith("zh") & ~language.contains("-")
+    return F.when(open_ & low.contains("simplified"), "zh-Hans").when(open_ & low.contains("traditional"), "zh-Hant").otherwise(language)
+
+
+def video_timescale(frame_ns: Column) -> Column:
+    """(timescale, ticks) on which a frame's duration is an integer: NTSC rates over 1001, whole rates over 1000, else 90 kHz."""
+    fps = F.lit(1e9) / F.nullif(frame_ns, F.lit(0))
+    answer = lambda scale, ticks: F.struct(scale.cast("long").alias("timescale"), ticks.cast("long").alias("ticks"))
+    out = F.when(fps.isNull(), answer(F.lit(90000), F.lit(0)))
+    for scale in (24000, 30000, 48000, 60000, 120000):
+        out = out.when(F.abs(fps - scale / 1001) < 0.0005, answer(F.lit(scale), F.lit(1001)))
+    whole = F.bround(fps)
+    out = out.when((whole > 0) & (F.abs(fps - whole) < 0.0005), answer(whole * 1000, F.lit(1000)))
+    return out.otherwise(answer(F.lit(90000), F.bround(frame_ns * 90000 / F.lit(1e9))))
 
 
 def nearest_rate(wanted: Column, supported: list[int]) -> Column:

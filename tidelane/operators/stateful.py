@@ -1,9 +1,14 @@
-"""Operators whose state depends on their own earlier decisions: one group is one track."""
+"""Operators whose state depends on their own earlier decisions: one group is one track, one step is one run of rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -11,37 +16,93 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*[f for f in df.schema.fields if f.name != name], T.StructField(name, kind)])
 
 
-def greedy_cut(df: DataFrame, by: list[str], order: list[str], time: str, span: int, size: str | None = None, max_size: int = 0, out: str = "chunk") -> DataFrame:
-    """Cut a track into chunks: a row opens a new chunk when it lies ``span`` or more after the chunk's first row,
-    or when the chunk would exceed ``max_size``."""
+def run_starts(n: int, opens: Callable[[int, int, int], np.ndarray]) -> np.ndarray:
+    """First rows of runs: ``opens(start, lo, hi)`` tells which rows in [lo, hi) would open a new run after one from ``start``.
 
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        times, sizes = rows[time].to_numpy(), rows[size].to_numpy() if size else None
-        ids, chunk, first, total = [], -1, None, 0
-        for i, t in enumerate(times):
-            if first is None or t - first >= span or (sizes is not None and total + sizes[i] > max_size):
-                chunk, first, total = chunk + 1, t, 0
-            total += sizes[i] if sizes is not None else 0
-            ids.append(chunk)
-        return rows.assign(**{out: ids})
+    Each run costs a few vector tests over twice its length, not a step a row.
+    """
+    starts, at, step = [0][:n], 1, 64
+    while at < n:
+        hit = opens(starts[-1], at, min(n, at + step))
+        if hit.any():
+            starts.append(at + int(hit.argmax()))
+            at, step = starts[-1] + 1, 64
+        else:
+            at, step = at + len(hit), step * 2
+    return np.array(starts, np.int64)
+
+
+def _by_track(df: DataFrame, by: list[str], order: list[str], out: str, value: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """Add ``out`` to every row; ``value`` sees one track in order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in order])
+        return table.drop_columns([out] if out in table.column_names else []).append_column(out, pa.array(value(table), pa.int64()))
+
+    return df.groupBy(*by).applyInArrow(run, _with(df, out, T.LongType()))
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def greedy_cut(df: DataFrame, by: list[str], order: list[str], time: str, span: int, size: str | None = None, max_size: int = 0, out: str = "chunk", source: str | None = None) -> DataFrame:
+    """Cut a track into chunks: a row opens a new chunk when it lies more than ``span`` after the chunk's first row,
+    when the chunk would exceed ``max_size``, or when ``source`` (the track of an interleaved stream) changes.
 
-    return df.groupBy(*by).applyInPandas(cut, _with(df, out, T.LongType()))
+    Rows more than ``span`` after the one before always open a chunk, so tracks are dealt in pieces between such gaps.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    gap = F.coalesce(F.col(time) - F.lag(time).over(w) > span, F.lit(True))
+    if source is not None:
+        gap = gap | ~F.col(source).eqNullSafe(F.lag(source).over(w))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    pieces = df.withColumn("__gap", gap).withColumn("__piece", F.sum(F.col("__gap").cast("long")).over(upto)).drop("__gap")
+
+    def opening(table: pa.Table) -> np.ndarray:
+        t = _column(table, time)
+        total = np.concatenate([[0], np.cumsum(_column(table, size))]) if size else None
+        late = lambda s, lo, hi: t[lo:hi] - t[s] > span
+        opens = late if total is None else (lambda s, lo, hi: late(s, lo, hi) | (total[lo + 1 : hi + 1] - total[s] > max_size))
+        first = np.zeros(len(t), np.int64)
+        first[run_starts(len(t), opens)] = 1
+        return first
+
+    cut = _by_track(pieces, [*by, "__piece"], order, "__first", opening).drop("__piece")
+    return cut.withColumn(out, F.sum("__first").over(upto) - 1).drop("__first")
+
+
+def cluster_cut(df: DataFrame, by: list[str], order: list[str], time: str, size: str, video_sync: str, *, max_ms: int = 5000, video_ms: int = 1000, max_bytes: int = 32 << 20, out: str = "cluster") -> DataFrame:
+    """Clusters of a stream: a row opens one when the open one is ``max_ms`` old, when its relative time leaves 16 bits, when
+    the bytes would exceed ``max_bytes``, or when it is a video key frame and the cluster is ``video_ms`` old."""
+
+    def number(table: pa.Table) -> np.ndarray:
+        t, key = np.maximum(_column(table, time), 0), table.column(video_sync).to_numpy(zero_copy_only=False).astype(bool)
+        raw = _column(table, time)
+        total = np.concatenate([[0], np.cumsum(_column(table, size))])
+
+        def opens(s: int, lo: int, hi: int) -> np.ndarray:
+            age = raw[lo:hi] - t[s]
+            return (age >= max_ms) | (age < -(1 << 15)) | (age >= 1 << 15) | (total[lo + 1 : hi + 1] - total[s] > max_bytes) | (key[lo:hi] & (age >= video_ms))
+
+        first = np.zeros(len(t), np.int64)
+        first[run_starts(len(t), opens)] = 1
+        return np.cumsum(first) - 1
+
+    return _by_track(df, by, order, out, number)
 
 
 def snap_contiguous(df: DataFrame, by: list[str], order: list[str], time: str, duration: str, tolerance: int, out: str = "snapped") -> DataFrame:
-    """Move a start to the end of the row before when it is within ``tolerance`` of it."""
+    """Move a start to the end of the row before, as moved itself, when it is within ``tolerance`` of it."""
 
-    def snap(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        result, end = [], None
-        for t, d in zip(rows[time].to_numpy(), rows[duration].to_numpy()):
-            at = end if end is not None and abs(t - end) <= tolerance else t
-            result.append(at)
-            end = at + d
-        return rows.assign(**{out: result})
+    def snapped(table: pa.Table) -> np.ndarray:
+        t, d = _column(table, time).astype(np.int64), _column(table, duration).astype(np.int64)
+        before = np.cumsum(d) - d
+        drift = t - before
+        starts = run_starts(len(t), lambda s, lo, hi: np.abs(drift[lo:hi] - drift[s]) > tolerance)
+        return before + np.repeat(drift[starts], np.diff(np.concatenate([starts, [len(t)]])))
 
-    return df.groupBy(*by).applyInPandas(snap, _with(df, out, T.LongType()))
+    return _by_track(df, by, order, out, snapped)
 
 
 def bounded_reorder(df: DataFrame, by: list[str], order: list[str], pts: str, depth: int = 16, out: str = "dts") -> DataFrame:

@@ -33,13 +33,23 @@ def strictly_increasing(df: DataFrame, by: list[str], order: list[str], time: st
     return shifted.withColumn(out, F.max("__d").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__rn")).drop("__rn", "__d")
 
 
-def unwrap_counter(df: DataFrame, by: list[str], order: list[str], raw: str, modulus: int, out: str = "unwrapped") -> DataFrame:
-    """Undo wraparound of a counter: each step is the one of least size modulo ``modulus``."""
-    w = _w(by, order)
-    step = F.col(raw) - F.lag(raw).over(w)
-    near = step - F.bround(step / modulus).cast("long") * modulus
-    steps = df.withColumn("__s", F.coalesce(near, F.col(raw)))
-    return steps.withColumn(out, F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__s")
+def unwrap_counter(df: DataFrame, by: list[str], order: str, raw: str, modulus: int, out: str = "unwrapped", block: int = 1 << 16) -> DataFrame:
+    """Undo wraparound of a counter: each step is the one of least size modulo ``modulus``.
+
+    ``order`` is an integer; its blocks of ``block`` values are unwrapped by themselves and then shifted by what the
+    blocks before add up to, so one long track is the work of many tasks.
+    """
+    rows = df.withColumn("__b", F.floor(F.col(order) / block))
+    inner = _w([*by, "__b"], [order])
+    near = lambda step: step - F.bround(step / modulus).cast("long") * modulus
+    rows = rows.withColumn("__s", near(F.col(raw) - F.lag(raw).over(inner)))
+    ends = rows.groupBy(*by, "__b").agg(F.min_by(raw, order).alias("__first"), F.max_by(raw, order).alias("__last"), F.coalesce(F.sum("__s"), F.lit(0)).alias("__t"))
+    chain = _w(by, ["__b"])
+    jump = F.coalesce(near(F.col("__first") - F.lag("__last").over(chain)), F.col("__first"))
+    ends = ends.withColumn("__j", jump).withColumn("__o", F.sum(F.col("__j") + F.col("__t")).over(chain.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__t"))
+    rows = rows.join(ends.select(*by, "__b", "__o"), [*by, "__b"])
+    inside = F.sum(F.coalesce("__s", F.lit(0))).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(out, F.col("__o") + inside).select(*df.columns, out)
 
 
 def reorder_by_presentation(df: DataFrame, by: list[str], order: list[str], pts: str, out: str = "dts") -> DataFrame:
@@ -74,16 +84,26 @@ def merge_touching(df: DataFrame, by: list[str], start: str, end: str, ident: st
     return joined.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("__dup", "island")
 
 
-def overlap_slices(df: DataFrame, by: list[str], start: str, end: str, ident: str) -> DataFrame:
-    """Elementary slices between all boundaries with the sorted ids active in each; gaps are kept, trailing ones cannot arise."""
+def overlap_slices(df: DataFrame, by: list[str], start: str, end: str, ident: str, cell: int | None = None) -> DataFrame:
+    """Elementary slices between all boundaries with the sorted ids active in each; gaps are kept, trailing ones cannot arise.
+
+    Events are dealt into time cells, each into all that it touches, and a slice meets the events of the cell in which
+    it begins.  A cell is as wide as the mean event (or ``cell``), so events make about two rows each.
+    """
+    if cell is None:
+        mean = df.agg(F.avg(F.col(end) - F.col(start))).first()[0]
+        cell = max(1, int(mean or 1))
     edges = df.select(*by, F.explode(F.array(start, end)).alias("__at")).distinct()
     slices = edges.withColumn("__to", F.lead("__at").over(_w(by, ["__at"]))).where("__to is not null")
-    s, e = slices.alias("s"), df.select(*by, start, end, ident).alias("e")
-    on = (F.col(f"e.{start}") <= F.col("s.__at")) & (F.col(f"e.{end}") >= F.col("s.__to"))
+    slices = slices.withColumn("__cell", F.floor(F.col("__at") / cell))
+    events = df.select(*by, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(ident).alias("__id"))
+    events = events.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__s") / cell), F.floor(F.col("__e") / cell))))
+    s, e = slices.alias("s"), events.alias("e")
+    on = (F.col("s.__cell") == F.col("e.__cell")) & (F.col("e.__s") <= F.col("s.__at")) & (F.col("e.__e") >= F.col("s.__to"))
     for c in by:
         on = on & (F.col(f"s.{c}") == F.col(f"e.{c}"))
     grouped = s.join(e, on, "left").groupBy(*[F.col(f"s.{c}").alias(c) for c in by], F.col("s.__at").alias("slice_from"), F.col("s.__to").alias("slice_to"))
-    return grouped.agg(F.count(f"e.{ident}").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(f"e.{ident}")), lambda x: x.cast("string")), ",").alias("ids"))
+    return grouped.agg(F.count("e.__id").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("e.__id")), lambda x: x.cast("string")), ",").alias("ids"))
 
 
 def missing_durations(df: DataFrame, by: list[str], order: list[str], time: str, duration: str, default: int, out: str = "end_time") -> DataFrame:
@@ -124,9 +144,3 @@ def group_contiguous(df: DataFrame, by: list[str], order: list[str], position: s
     runs = islands(df.withColumn("__g", gap), by, order, F.col("__g"), "__run").drop("__g")
     inside = F.floor((F.row_number().over(_w([*by, "__run"], order)) - 1) / cap)
     return runs.withColumn("part", inside).withColumnRenamed("__run", "run")
-
-
-def sync_positions(table: DataFrame, by: list[str], order: list[str], step: Column) -> DataFrame:
-    """Edit lists: the sum of empty edits before the first media edit."""
-    w = _w(by, order).rowsBetween(Window.unboundedPreceding, -1)
-    return table.withColumn("start_offset", F.coalesce(F.sum(step).over(w), F.lit(0)))
