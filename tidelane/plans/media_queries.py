@@ -80,22 +80,31 @@ def q_tag_rules(spark: SparkSession, d: str) -> DataFrame:
     return media.consume_by_rules(tags, u, ["user_id"], "rule_name", "event_type").select("user_id", "target", "pos")
 
 
-@query()
+@query("""
+WITH want(k, rating) AS (VALUES (0, 'mpaa|PG-13|300'), (1, 'mpaa|R|400'), (2, 'mpaa|PG-13|300'), (3, 'mpaa|PG|200'), (4, 'us-tv|TV-14|500'), (5, 'us-tv|TV-MA|600'), (6, 'us-tv|TV-PG|400'), (7, 'de-movie|Ab 16 Jahren|500'),
+  (8, 'de-tv|Ab 12 Jahren|200'), (9, 'uk-movie|15|350'), (10, 'uk-movie|12A|325'), (11, 'mpaa|NR|0'), (12, NULL), (13, NULL), (14, NULL), (15, 'de-movie|Ab 16 Jahren|500'))
+SELECT o_orderkey, rating FROM orders JOIN want ON o_orderkey % 16 = k
+""")
 def q_ratings(spark: SparkSession, d: str) -> DataFrame:
-    asked = [(1, "PG-13", "US", "movie"), (2, "US:PG", "US", "movie"), (3, "TV_MA", "US", "tv"), (4, "TV-PG", "US", "movie"), (5, "16", "DE", "movie"), (6, "FSK 12", "DE", "tv"), (7, "XYZ", "US", "movie"), (8, "", "US", "tv")]
-    table = spark.createDataFrame([(*r, media.SYSTEMS[r[0]]) for r in media.RATINGS], "system string, media string, code string, name string, value int, country string")
-    rows = spark.createDataFrame(asked, "id int, certification string, country string, media string")
-    return media.lookup_ratings(rows, table, ["id"]).select("id", F.concat_ws("|", "r_system", "r_name", "r_value").alias("rating"))
+    asked = [("PG-13", "US", "movie"), ("Rated R", "US", "movie"), ("pg-13", None, "movie"), ("US:PG", "DE", "movie"), ("TV-14", "US", "tv"), ("TV_MA", "US", "tv"), ("TV-PG", "US", "movie"), ("16", "DE", "movie"), ("FSK 12", "DE", "tv"),
+             ("15", "GB", "movie"), ("12A", "GB", "movie"), ("NR", "US", "movie"), ("Not Rated", "ES", "movie"), ("", "US", "movie"), ("XYZ", "US", "movie"), ("16+", "DE", "movie")]
+    table = spark.createDataFrame([(*r[:4], r[3], r[4], i) for i, r in enumerate(media.RATINGS)], "system string, country string, media string, code string, name string, value int, ord int")
+    forms = F.array(*[F.struct(F.lit(c).alias("certification"), F.lit(n).cast("string").alias("country"), F.lit(m).alias("media")) for c, n, m in asked])
+    rows = _t(spark, d, "orders").select("o_orderkey", F.element_at(forms, (F.col("o_orderkey") % 16 + 1).cast("int")).alias("a")).select("o_orderkey", "a.*")
+    found = media.lookup_ratings(rows, table, ["o_orderkey"])
+    return found.select("o_orderkey", F.when(F.col("r_code").isNotNull(), F.concat_ws("|", "r_system", "r_name", "r_value")).alias("rating"))
 
 
 @query("""
-SELECT p_partkey, CASE WHEN abs(24000 * f - 1001000000) <= 24000 THEN 24000 WHEN abs(30000 * f - 1001000000) <= 30000 THEN 30000 WHEN abs(60000 * f - 1001000000) <= 60000 THEN 60000 ELSE 90000 END AS timescale,
-       CASE WHEN r <= 33050 THEN 22050 WHEN r <= 46050 THEN 44100 ELSE 48000 END AS rate
-FROM (SELECT p_partkey, CAST(CASE p_size % 4 WHEN 0 THEN 41708 WHEN 1 THEN 33367 WHEN 2 THEN 16683 ELSE 40000 END AS BIGINT) AS f, p_size * 1000 + 10 AS r FROM part)
+WITH w(k, timescale, ticks) AS (VALUES (0, 24000, 1001), (1, 30000, 1001), (2, 48000, 1001), (3, 60000, 1001), (4, 120000, 1001), (5, 25000, 1000), (6, 50000, 1000), (7, 24000, 1000), (8, 90000, 0), (9, 90000, 6300), (10, 90000, 2700000))
+SELECT p_partkey, CAST(timescale AS BIGINT) AS timescale, CAST(ticks AS BIGINT) AS ticks, CASE WHEN r <= 33050 THEN 22050 WHEN r <= 46050 THEN 44100 ELSE 48000 END AS rate
+FROM (SELECT p_partkey, p_partkey % 11 AS k, p_size * 1000 + 10 AS r FROM part) JOIN w USING (k)
 """)
 def q_timescale(spark: SparkSession, d: str) -> DataFrame:
-    f = F.element_at(F.array(F.lit(41708), F.lit(33367), F.lit(16683), F.lit(40000)), F.col("p_size") % 4 + 1).cast("long")
-    return _t(spark, d, "part").select("p_partkey", media.video_timescale(f).alias("timescale"), media.nearest_rate(F.col("p_size") * 1000 + 10, [22050, 44100, 48000]).alias("rate"))
+    durations = [41708333, 33366667, 20854167, 16683333, 8341667, 40000000, 20000000, 41666667, 0, 70000000, 30000000000]
+    f = F.element_at(F.array(*[F.lit(x).cast("long") for x in durations]), (F.col("p_partkey") % 11 + 1).cast("int"))
+    scale = media.video_timescale(f)
+    return _t(spark, d, "part").select("p_partkey", scale["timescale"].alias("timescale"), scale["ticks"].alias("ticks"), media.nearest_rate(F.col("p_size") * 1000 + 10, [22050, 44100, 48000]).alias("rate"))
 
 
 @query("""
@@ -120,16 +129,17 @@ def q_import_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, 1 + event_id % 5 AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
-r AS (SELECT user_id, event_id, i, t AS first, size AS total, CAST(0 AS BIGINT) AS cluster FROM e WHERE i = 1
-      UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN e.t - first >= 172800000000 OR total + e.size > 9 THEN e.t ELSE first END, CASE WHEN e.t - first >= 172800000000 OR total + e.size > 9 THEN e.size ELSE total + e.size END,
-                       cluster + CASE WHEN e.t - first >= 172800000000 OR total + e.size > 9 THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
-SELECT user_id, cluster, min(event_id) AS cue FROM r GROUP BY user_id, cluster
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 60000000 AS t, 1 + event_id % 5 AS size, event_id % 3 = 0 AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, key, t AS first, size AS total, CAST(0 AS BIGINT) AS cluster FROM e WHERE i = 1
+      UNION ALL SELECT e.user_id, e.event_id, e.i, e.key, CASE WHEN c THEN e.t ELSE first END, CASE WHEN c THEN e.size ELSE total + e.size END, cluster + CASE WHEN c THEN 1 ELSE 0 END
+      FROM (SELECT e.*, r.first, r.total, r.cluster, e.t - r.first >= 5000 OR r.total + e.size > 14 OR (e.key AND e.t - r.first >= 1000) AS c FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) e)
+SELECT user_id, event_id, cluster, key OR row_number() OVER (PARTITION BY user_id, cluster ORDER BY i) = 1 AS cue FROM r
 """)
 def q_cluster_cues(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d).select("user_id", "event_id", "t", (1 + F.col("event_id") % 5).alias("size"))
-    cut = stateful.greedy_cut(e, ["user_id"], ["t", "event_id"], "t", 48 * HOUR, "size", 9, "cluster")
-    return cut.groupBy("user_id", "cluster").agg(F.min("event_id").alias("cue"))
+    e = _events(spark, d).select("user_id", "event_id", "t", F.floor(F.col("t") / 60_000_000).alias("ms"), (1 + F.col("event_id") % 5).alias("size"), (F.col("event_id") % 3 == 0).alias("key"))
+    cut = stateful.cluster_cut(e, ["user_id"], ["t", "event_id"], "ms", "size", "key", max_bytes=14)
+    first = F.row_number().over(Window.partitionBy("user_id", "cluster").orderBy("t", "event_id")) == 1
+    return cut.select("user_id", "event_id", "cluster", (F.col("key") | first).alias("cue"))
 
 
 @query("""

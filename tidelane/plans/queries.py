@@ -87,7 +87,7 @@ SELECT event_type, event_id, CAST(sum(coalesce(step - CAST(round_even(step / 104
 """)
 def q_unwrap(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).select("event_type", "event_id", (F.floor(F.col("t") / 1_000_000) % (1 << 20)).alias("raw"))
-    return timeline.unwrap_counter(e, ["event_type"], ["event_id"], "raw", 1 << 20).drop("raw")
+    return timeline.unwrap_counter(e, ["event_type"], "event_id", "raw", 1 << 20).drop("raw")
 
 
 @query("""
@@ -163,9 +163,7 @@ def q_range_join(spark: SparkSession, d: str) -> DataFrame:
     r = _t(spark, d, "part").groupBy((F.floor(F.col("p_retailprice") / 100) * 10000).alias("lo")).agg(F.count(F.lit(1)).alias("parts"))
     r = r.withColumn("hi", F.col("lo") + 5000)
     x = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round("l_extendedprice").cast("long").alias("off"))
-    # regions are fewer than the checked broadcast bound: partition both sides by the grid cell instead of sorting all rows at once
-    grid = lambda c: F.floor(c / 10000).alias("cell")
-    return joins.region_lookup(x.withColumn("cell", grid(F.col("off"))), r.withColumn("cell", grid(F.col("lo"))), ["cell"], "off", "lo", "hi", ["lo", "parts"]).select("l_orderkey", "l_linenumber", "lo", "parts")
+    return joins.region_lookup(x, r, [], "off", "lo", "hi", ["lo", "parts"], 5000).select("l_orderkey", "l_linenumber", "lo", "parts")
 
 
 @query("""
@@ -192,23 +190,25 @@ SELECT c_custkey, choice FROM j WHERE r = 1
 """)
 def q_most_specific(spark: SparkSession, d: str) -> DataFrame:
     u = spark.createDataFrame(_RULES, "ord int, nk int, seg string, choice string")
-    return joins.most_specific(_t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), u, [("c_nationkey", "nk"), ("c_mktsegment", "seg")], "ord", ["choice"], ["c_custkey"]).select("c_custkey", "choice")
+    return joins.most_specific(_t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), u, [("c_nationkey", "nk"), ("c_mktsegment", "seg")], "ord", ["choice"]).select("c_custkey", "choice")
 
 
 _LANGUAGES = [("en", "eng", "eng"), ("de", "deu", "ger"), ("fr", "fra", "fre"), ("zh", "zho", "chi")]
 
 
 @query("""
-WITH l(tag, t, b) AS (VALUES ('en', 'eng', 'eng'), ('de', 'deu', 'ger'), ('fr', 'fra', 'fre'), ('zh', 'zho', 'chi'))
-SELECT doc_id, coalesce(x.t, y.t, 'und') AS iso_t, coalesce(x.b, y.b, 'und') AS iso_b
-FROM documents LEFT JOIN l x ON lower(lang) = x.tag LEFT JOIN l y ON lower(lang) || 'u' = y.t
+WITH l(tag, t, b) AS (VALUES ('en', 'eng', 'eng'), ('de', 'deu', 'ger'), ('fr', 'fra', 'fre'), ('zh', 'zho', 'chi')),
+c AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'EN' WHEN 1 THEN 'de' WHEN 2 THEN 'ger' WHEN 3 THEN 'FRA' WHEN 4 THEN 'fre' WHEN 5 THEN 'zho' WHEN 6 THEN 'chi' WHEN 7 THEN 'xx' END AS code FROM orders)
+SELECT o_orderkey, coalesce((SELECT t FROM l WHERE lower(code) IN (tag, l.t, l.b)), 'und') AS iso_t, coalesce((SELECT b FROM l WHERE lower(code) IN (tag, l.t, l.b)), 'und') AS iso_b FROM c
 """)
 def q_dim_chain(spark: SparkSession, d: str) -> DataFrame:
-    dim = spark.createDataFrame(_LANGUAGES, "tag string, t string, b string")
-    docs = _t(spark, d, "documents").select("doc_id", F.lower("lang").alias("code"))
-    x, y = joins.small_side(dim).alias("x"), joins.small_side(dim).alias("y")
-    j = docs.join(x, F.col("code") == F.col("x.tag"), "left").join(y, F.concat("code", F.lit("u")) == F.col("y.t"), "left")
-    return j.select("doc_id", F.coalesce("x.t", "y.t", F.lit("und")).alias("iso_t"), F.coalesce("x.b", "y.b", F.lit("und")).alias("iso_b"))
+    dim = joins.small_side(spark.createDataFrame(_LANGUAGES, "tag string, t string, b string"))
+    codes = F.array(*[F.lit(c) for c in ("EN", "de", "ger", "FRA", "fre", "zho", "chi", "xx", None)])
+    rows = _t(spark, d, "orders").select("o_orderkey", F.lower(F.element_at(codes, (F.col("o_orderkey") % 9 + 1).cast("int"))).alias("code"))
+    for c in ("tag", "t", "b"):
+        rows = rows.join(dim.select(F.struct("t", "b").alias(f"by_{c}"), F.col(c).alias("key")).dropDuplicates(["key"]), F.col("code") == F.col("key"), "left").drop("key")
+    found = F.coalesce("by_tag", "by_t", "by_b")
+    return rows.select("o_orderkey", F.coalesce(found["t"], F.lit("und")).alias("iso_t"), F.coalesce(found["b"], F.lit("und")).alias("iso_b"))
 
 
 @query("""
@@ -224,9 +224,10 @@ def q_tag_merge(spark: SparkSession, d: str) -> DataFrame:
     return joins.upsert_tags(old, new, ["id"], "v", overwrite=True, drop_missing=F.col("v") == "BUILDING")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 150000)")
 def q_anti(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "customer").join(_t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    urgent = _t(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 150000").select("o_custkey").distinct()
+    return _t(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("""
@@ -403,12 +404,13 @@ def q_template(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, upper(p_brand) || ' s' || CASE WHEN length(CAST(p_size AS VARCHAR)) < 2 THEN lpad(CAST(p_size AS VARCHAR), 2, '0') ELSE CAST(p_size AS VARCHAR) END || 'e' ||
-       CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 4 THEN lpad(CAST(p_partkey AS VARCHAR), 4, '0') ELSE CAST(p_partkey AS VARCHAR) END AS name FROM part
+SELECT p_partkey, upper(p_brand) || ' s' || CASE WHEN p_size < 10 THEN '0' ELSE '' END || p_size || 'e' || CASE WHEN p_partkey < 10 THEN '000' WHEN p_partkey < 100 THEN '00' WHEN p_partkey < 1000 THEN '0' ELSE '' END || p_partkey || ' ' ||
+       upper(p_type[1]) || lower(p_type[2:]) || ' ' || upper(split_part(p_name, ' ', 1)[1]) || lower(split_part(p_name, ' ', 1)[2:]) || '-' || upper(split_part(p_name, ' ', 2)[1]) || lower(split_part(p_name, ' ', 2)[2:]) || ' ' ||
+       lower(split_part(p_name, ' ', 1)) || upper(split_part(p_name, ' ', 2)[1]) || lower(split_part(p_name, ' ', 2)[2:]) || ' ' || 1990 + p_size AS name FROM part
 """)
 def q_name_format(spark: SparkSession, d: str) -> DataFrame:
-    columns = {"Brand": F.col("p_brand"), "Season": F.col("p_size"), "Episode": F.col("p_partkey")}
-    return _t(spark, d, "part").select("p_partkey", text.name_format("{Brand|upper} s{Season:00}e{Episode:0000}", columns).alias("name"))
+    columns = {"Brand": F.col("p_brand"), "Season": F.col("p_size"), "Episode": F.col("p_partkey"), "Type": F.col("p_type"), "Name": F.col("p_name"), "Date": F.concat((F.col("p_size") + 1990).cast("string"), F.lit("-03-09"))}
+    return _t(spark, d, "part").select("p_partkey", text.name_format("{Brand|upper} s{Season:00}e{Episode:0000} {Type|capitalize} {Name|train} {Name|camel} {Date:yyyy}", columns).alias("name"))
 
 
 @query(r"""
@@ -437,18 +439,21 @@ def q_strip_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, nullif(array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(substr(text, 1, 200), ','), lambda x: trim(x, ' ')), lambda x: x <> ''))), '; '), '') AS names FROM documents
+SELECT doc_id, nullif(array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ')), lambda x: x <> ''))), '; '), '') AS names FROM documents
 """)
 def q_names(spark: SparkSession, d: str) -> DataFrame:
-    parts = text.clean_names(F.split(F.substring("text", 1, 200), ","))
+    parts = text.clean_names(F.split("text", ","))
     return _t(spark, d, "documents").select("doc_id", F.nullif(F.array_join(F.array_sort(parts), "; "), F.lit("")).alias("names"))
 
 
 @query("""
-SELECT p_partkey, CAST(CASE WHEN p_size * 40 > 1280 OR p_size * 22 > 720 THEN 2 WHEN p_size * 40 >= 960 AND p_size * 22 >= 720 THEN 1 ELSE 0 END AS INTEGER) AS hd FROM part
+WITH r AS (SELECT p_partkey, p_size * 128 AS w, (p_partkey % 25) * 67 AS h FROM part)
+SELECT p_partkey, CASE WHEN w <= 1920 AND h <= 1088 THEN CASE WHEN w <= 1280 AND h <= 720 THEN CASE WHEN w = 1280 OR h = 720 THEN 1 ELSE 0 END ELSE 2 END ELSE 2 END AS hd,
+       CASE WHEN w <= 1920 AND h <= 1088 THEN CASE WHEN w <= 1280 AND h <= 720 THEN CASE WHEN w = 1280 OR h = 720 THEN 1 ELSE 0 END ELSE 2 END ELSE 3 END AS hd4k FROM r
 """)
 def q_hd_class(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "part").select("p_partkey", text.hd_class(F.col("p_size") * 40, F.col("p_size") * 22).alias("hd"))
+    w, h = F.col("p_size") * 128, F.col("p_partkey") % 25 * 67
+    return _t(spark, d, "part").select("p_partkey", text.hd_class(w, h).alias("hd"), text.hd_class(w, h, detect_4k=True).alias("hd4k"))
 
 
 @query("""
@@ -463,39 +468,56 @@ def q_cache_key(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", text.cache_key(F.col("source"), F.col("lang"), F.coalesce("text", F.lit(""))).alias("key"))
 
 
-_NAMES = [
-    "Breaking.Bad.S01E02.720p.HDTV.x264-CTU.mkv", "Lost 1x02.avi", "Sherlock.S01E01E02.mkv", "Friends - 10x17-18 - The Last One.avi", "Doctor Who (2005) - S10E01.mkv",
-    "Marvels.Agents.of.S.H.I.E.L.D.S05E01.720p.mkv", "[SubsPlease] Frieren - 12 (1080p) [ABCD1234].mkv", "The.Daily.Show.2024.03.05.Guest.Name.720p.WEB.h264.mkv", "2001.A.Space.Odyssey.1968.Remastered.1080p.mkv",
-    "Blade_Runner_2049_2017_2160p_UHD_BluRay_x265.mkv", "Casablanca.mkv", "/media/TV/Doctor Who (2005)/Season 10/S10E01 - The Pilot.mkv",
-]
-
-
-@query()
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderkey % 11 AS f, o_orderkey % 97 AS no, 1 + o_orderkey % 12 AS s, 1 + o_orderkey % 140 AS e, 1950 + o_orderkey % 70 AS y FROM orders)
+SELECT o_orderkey, CASE WHEN f IN (3, 4, 10) THEN 'movie' ELSE 'tv' END AS kind,
+       CASE f WHEN 4 THEN 'Quiet Harbour' WHEN 7 THEN 'A.B.C.Files' WHEN 8 THEN 'Dr. Vale' ELSE 'River ' || no || 'th Gate' END AS title,
+       CASE WHEN f IN (2, 3, 6, 10) THEN y END AS year, CASE f WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 6 THEN NULL WHEN 10 THEN NULL WHEN 5 THEN 1 ELSE s END AS season,
+       CASE WHEN f IN (3, 4, 6, 10) THEN NULL ELSE e END AS episode, CASE WHEN f IN (1, 9) THEN e + 1 END AS last_episode,
+       CASE WHEN f = 6 THEN y || '-0' || 1 + s % 9 || '-1' || e % 10 END AS air_date, CASE f WHEN 0 THEN 'TIDE' WHEN 3 THEN 'TIDE' WHEN 5 THEN 'Tide' WHEN 10 THEN 'Tide' WHEN 9 THEN 'E' || CASE WHEN e < 9 THEN '0' ELSE '' END || e + 1 END AS release_group FROM o
+""")
 def q_name_parse(spark: SparkSession, d: str) -> DataFrame:
-    return names.parse_names(spark.createDataFrame([(x,) for x in _NAMES], "input string"), "input", 2025)
+    """Names of eleven forms, made from a show's number, season, episode and year; the SQL knows what went into them."""
+    forms = [
+        "River.%1$dth.Gate.S%2$02dE%3$02d.1080p.WEB-DL.x264-TIDE.mkv", "river_%1$dth_gate_s%2$02de%3$de%5$d_uncut.mkv", "River %1$dth Gate (%4$d) - %2$dx%3$02d - Low Water.avi", "River.%1$dth.Gate.%4$d.2160p.BluRay-TIDE.mkv",
+        "Quiet.Harbour.1080p.WEB.h264.mkv", "[Tide] River %1$dth Gate - %3$02dv2 (720p) [0A1B2C3D].mkv", "River.%1$dth.Gate.%4$d.%6$s.Guest.Name.720p.mkv", "A.B.C.Files.Season.%2$d.Episode.%3$d.mkv",
+        "Dr. Vale S%2$02dE%3$02d.mkv", "/media/TV/River %1$dth Gate (1999)/Season %2$d/S%2$02dE%3$02d-E%5$02d.mkv", "[Tide] River %1$dth Gate [%4$d] [1080p].mp4",
+    ]
+    k = F.col("o_orderkey")
+    show, season, episode, year = k % 97, k % 12 + 1, k % 140 + 1, k % 70 + 1950
+    day = F.format_string("0%d.1%d", season % 9 + 1, episode % 10)
+    shown = F.array(*[F.format_string(x, show, season, episode, year, episode + 1, day) for x in forms])
+    rows = _t(spark, d, "orders").select("o_orderkey", F.element_at(shown, (k % 11 + 1).cast("int")).alias("input"))
+    lower = F.when(k % 11 == 1, F.regexp_replace("title", "^river (.*) gate$", "River $1 Gate")).otherwise(F.col("title"))
+    return names.parse_names(rows, "input", 2025).withColumn("title", lower).drop("input")
 
 
-@query("""
-SELECT doc_id, trim(regexp_replace(replace(translate(lower(substr(text, 1, 120)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), ' ') AS title FROM documents
+@query(r"""
+SELECT doc_id, trim(regexp_replace(replace(lower(strip_accents(text)), '&', ' and '), '[^\p{L}\p{Nd}]+', ' ', 'g'), ' ') AS title FROM documents
 """)
 def q_title_norm(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", text.normal_title(F.substring("text", 1, 120)).alias("title"))
+    return _t(spark, d, "documents").select("doc_id", text.normal_title(F.col("text")).alias("title"))
 
 
 @query("""
 WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 r AS (SELECT user_id, event_id, i, t, t AS first, CAST(0 AS BIGINT) AS chunk FROM e WHERE i = 1
-      UNION ALL SELECT e.user_id, e.event_id, e.i, e.t, CASE WHEN e.t - r.first >= 86400000000 THEN e.t ELSE r.first END, r.chunk + CASE WHEN e.t - r.first >= 86400000000 THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+      UNION ALL SELECT e.user_id, e.event_id, e.i, e.t, CASE WHEN e.t - r.first > 86400000000 THEN e.t ELSE r.first END, r.chunk + CASE WHEN e.t - r.first > 86400000000 THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
 SELECT user_id, event_id, chunk FROM r
 """)
 def q_greedy_cut(spark: SparkSession, d: str) -> DataFrame:
     return stateful.greedy_cut(_events(spark, d).select("user_id", "event_id", "t"), ["user_id"], ["t", "event_id"], "t", 24 * HOUR).select("user_id", "event_id", "chunk")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, t AS snapped FROM e WHERE i = 1
+      UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN abs(e.t - r.snapped - 3600000000) <= 28800000000 THEN r.snapped + 3600000000 ELSE e.t END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, event_id, snapped FROM r
+""")
 def q_audio_snap(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).select("user_id", "event_id", "t", F.lit(HOUR).cast("long").alias("dur"))
-    return stateful.snap_contiguous(e, ["user_id"], ["t", "event_id"], "t", "dur", 2 * HOUR).select("user_id", "event_id", "snapped")
+    return stateful.snap_contiguous(e, ["user_id"], ["t", "event_id"], "t", "dur", 8 * HOUR).select("user_id", "event_id", "snapped")
 
 
 @query("""
