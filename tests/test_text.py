@@ -82,7 +82,16 @@ def test_titles_and_html(spark):
     assert one(spark, text.same_title(F.lit(""), F.lit(""))) is False
     assert one(spark, text.strip_html(F.lit("<p>a&amp;b<br/>c</p>"))) == "a&b\nc"
     assert one(spark, text.redact(F.lit("http://x/?api_key=abc&q=1"))) == "http://x/?api_key=***&q=1"
-    assert one(spark, text.language_from_name(F.lit("film.de.srt"))) == "de"
+    for suffix, tag in ((".de", "de"), (".forced.ENG", "en"), ("_French-sdh", "fr"), (".xx.1", None), ("", None)):
+        assert one(spark, text.language_from_name(F.lit(suffix))) == tag
+
+
+def test_ocr_cleaning(spark):
+    for raw, want in (
+        (None, ""), ("  \n ", ""), (" a \t b \r\n\n c ", "a b\nc"), (".\nHi\n-", "Hi"), ("-- ok", "-- ok"), ("l am", "I am"), ("l'm l'll l'eau", "I'm I'll l'eau"), ("heIlo MacIntyre", "hello MacIntyre"),
+        ("lT'S", "IT'S"), ("1|2 \u201cx\u201d it\u2019s", '1I2 "x" it\'s'), ("J Take on me I", "\u266a Take on me \u266a"), ("f La la\nla la J", "\u266a La la\nla la \u266a"), ("J Jones", "J Jones"), ("A plan B", "A plan B"), ("J x", "J x"),
+    ):
+        assert one(spark, text.clean_ocr(F.lit(raw))) == want
 
 
 def test_resolution(spark):

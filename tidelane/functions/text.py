@@ -150,17 +150,43 @@ def channel_name(channels: Column) -> Column:
     return out
 
 
+def _fixed_line(c: Column) -> Column:
+    """Words of a line that recognition misreads: a lone l, its contractions, an inner capital I, an l before capitals."""
+    c = F.regexp_replace(c, r"(?<![\p{L}\p{N}'])l(?![\p{L}\p{N}'])", "I")
+    c = F.regexp_replace(c, r"(?<![\p{L}\p{N}])l'(m|ll|ve|d)(?!\p{L})", "I'$1")
+    c = F.regexp_replace(c, r"(?<!\p{L})([\p{L}&&[^\p{Lu}]]*\p{Ll})I(\p{Ll}[\p{L}&&[^\p{Lu}]]*)(?!\p{L})", "$1l$2")
+    return F.regexp_replace(c, r"(?<![\p{L}\p{N}])l(?=\p{Lu}[\p{Lu}']*(?!\p{L}))", "I")
+
+
+#: Characters that recognition gives for others, and what they stand for.
+OCR_CHARACTERS = {"|": "I", "‘": "'", "’": "'", "ʼ": "'", "′": "'", "“": '"', "”": '"', "″": '"', " ": " ", " ": " ", " ": " "}
+
+
 def clean_ocr(c: Column) -> Column:
-    """Usual misreadings of recognised subtitles."""
-    c = F.regexp_replace(c, r"(?m)^[^\p{L}\p{N}\n]{1,2}$\n?", "")
-    c = F.regexp_replace(c, r"\|", "I")
-    c = F.regexp_replace(c, r"\bl(?=['’]|[tnsm]\b)(?=['’]ll|['’]m|['’]ve|['’]d)", "I")
-    c = F.regexp_replace(c, r"(?<=\p{Ll})I(?=\p{Ll})", "l")
-    c = F.regexp_replace(c, r"\bl(?=['’]?\p{Lu})", "I")
-    return c
-
-
-def language_from_name(name: Column) -> Column:
-    """The last dot-separated part before the extension, when it looks like a language tag."""
-    part = F.regexp_extract(name, r"\.([A-Za-z]{2,3}(?:-[A-Za-z]{2,4})?)\.[^.]+$", 1)
-    return F.nullif(F.lower(part), F.lit(""))
+    """Recognised subtitles with plain quotes, trimmed lines, no specks, the usual misreadings mended, and music notes around sung lines."""
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?|\f|\x0B", "\n")
+    plain = F.translate(plain, "".join(OCR_CHARACTERS), "".join(OCR_CHARACTERS.values()))
+    lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t　]+", " ")))
+    lines = F.filter(lines, lambda x: (x != "") & ~((F.length(x) <= 2) & ~F.rlike(x, F.lit(r"[\p{L}\p{N}]"))))
+    text, note = F.array_join(F.transform(lines, _fixed_line), "\n"), F.lit("♪")
+    lone = F.rlike(text, F.lit(r"(?s)^. .* .$")) & F.rlike(text, F.lit(r"(?s)^J.*[JI\[\]'SsNf]$|^[JI\[\]'SsNf].*J$"))
+    framed = lone & (text.contains("\n") | F.rlike(text, F.lit(r"^\S+ .+ \S+$")))
+    return F.when(framed, F.concat(note, F.substring(text, F.lit(2), F.length(text) - 2), note)).otherwise(text)
+
+
+#: Fixed values: (tag, three-letter code, English name) of languages that suffixes of file names tell.
+LANGUAGE_NAMES = [
+    ("en", "eng", "English"), ("de", "deu", "German"), ("fr", "fra", "French"), ("es", "spa", "Spanish"), ("it", "ita", "Italian"), ("pt", "por", "Portuguese"),
+    ("nl", "nld", "Dutch"), ("sv", "swe", "Swedish"), ("ru", "rus", "Russian"), ("ja", "jpn", "Japanese"), ("ko", "kor", "Korean"), ("zh", "zho", "Chinese"),
+]
+
+
+def language_from_name(suffix: Column, languages: list[tuple[str, str, str]] = LANGUAGE_NAMES) -> Column:
+    """The tag of the first part of a name's suffix (``.fr``, ``_eng``, ``English``) that is a language's code or name."""
+    known: list[Column] = []
+    for tag, code, name in languages:
+        for key in (tag, code, name.lower()):
+            known += [F.lit(key), F.lit(tag)]
+    table = F.create_map(*known)
+    parts = F.transform(F.split(suffix, r"[._\- ]"), lambda x: F.try_element_at(table, F.lower(x)))
+    return F.try_element_at(F.filter(parts, lambda x: x.isNotNull()), F.lit(1))

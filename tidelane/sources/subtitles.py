@@ -104,6 +104,13 @@ def parse_chapters(files: DataFrame) -> DataFrame:
     return chapters.withColumn("seq", seq.cast("long")).select("path", "seq", "start_ms", F.coalesce("title", F.concat(F.lit("Chapter "), F.col("seq").cast("string"))).alias("title"))
 
 
+def parse_chapter_titles(files: DataFrame) -> DataFrame:
+    """(path, seq, title) of ``number,title`` or plain title lines; quotes around a title and blank lines go."""
+    lines = files.select("path", F.posexplode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("n", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
+    title = F.regexp_replace(strip(F.regexp_replace("line", r"^\s*[+-]?\d{1,9}\s*,", "")), r'^"+|"+$', "")
+    return lines.select("path", F.row_number().over(Window.partitionBy("path").orderBy("n")).cast("long").alias("seq"), title.alias("title"))
+
+
 def to_chapter_text(chapters: DataFrame, by: str = "path", *, numbered: bool = True) -> DataFrame:
     """The CHAPTERnn= form, or one ``time title`` line a chapter."""
     n = F.lpad(F.col("seq").cast("string"), 2, "0")
