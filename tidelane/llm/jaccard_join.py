@@ -17,8 +17,9 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
     Every candidate is verified on whole sets by binary probes of the shorter set into the longer.
 5.  A pair without a common short list must reach T on long lists alone, so only members whose long
     lists weigh T matter there.  Where such members are outside the largest component of their family,
-    they ask all members of other components: blocks of outsiders are inverted into lists, and each
-    member's occurrences are counted over them.
+    they ask all members of other components, in blocks of ``BLOCK_BYTES``: bit maps of the sets bound
+    their difference from below, which leaves few pairs to be probed on whole sets.  A family that fits
+    one block is not copied; a block gives spanning links only, never all pairs.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing; a text of
 fewer than five words is one shingle; repeated rows are copies of one class; an empty table gives no
@@ -45,7 +46,9 @@ SHORT = 32
 SAMPLE_CLASSES = 4096
 HOT_IN_SAMPLE = 8
 CHUNK_TOKENS = 1_500_000
-BLOCK = 128
+#: Bytes of sets that one task compares with as many others.
+BLOCK_BYTES = 16 << 20
+MAP_BITS = 1024
 #: Representatives (16 bytes each) that are broadcast at most; beyond, they meet their texts by shuffle.
 BROADCAST_REPS = 1_000_000
 #: Ids of dropped documents (8 bytes each) that are broadcast at most; beyond, they meet their texts by shuffle.
@@ -246,16 +249,19 @@ def inverted_lists(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return lists.groupBy("list", "class").agg(F.max("n").alias("n"), F.sum("w").cast("int").alias("w"))
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity: the smaller one's shingles are probed in the larger one."""
+    if len(a) > len(b):
+        a, b = b, a
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= 75 * (len(a) + len(b) - common)
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = ([np.frombuffer(v.as_buffer(), U64) for v in batch.column(k)] for k in ("ta", "tb"))
-        linked = np.zeros(batch.num_rows, bool)
-        for i, (a, b) in enumerate(zip(x, y)):
-            if len(a) > len(b):
-                a, b = b, a
-            common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-            linked[i] = 100 * common >= 75 * (len(a) + len(b) - common)
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(linked)) for k in ("a", "b")], names=["a", "b"])
+        linked = pa.array([similar(a, b) for a, b in zip(x, y)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(linked) for k in ("a", "b")], names=["a", "b"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,12 +281,20 @@ def best_pivots(lists: DataFrame, scratch: Scratch) -> DataFrame:
     return top.select(F.least("class", "top.p").alias("a"), F.greatest("class", "top.p").alias("b")).distinct()
 
 
+def bit_maps(sets: list[np.ndarray]) -> np.ndarray:
+    """A map of ``MAP_BITS`` bits of each set; sets whose maps differ in k bits differ in k shingles at least."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    bit = np.concatenate(sets) % U64(MAP_BITS)
+    maps = np.zeros((len(sets), MAP_BITS // 64), U64)
+    np.bitwise_or.at(maps, (owner, (bit >> U64(6)).astype(np.int64)), U64(1) << (bit & U64(63)))
+    return maps
+
+
 def _probe(table: pa.Table) -> pa.Table:
-    """Links that span those between the outsiders and the members of a block: T-occurrence counts over the outsiders' inverted lists."""
+    """Links that span those between the outsiders and the members of a block."""
     asks = table.column("asks").to_numpy()
     cls, comp = table.column("class").to_numpy(), table.column("comp").to_numpy()
     sets = [np.frombuffer(x.as_buffer(), U64) for x in table.column("tokens")]
-    q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
     up: dict[int, int] = {}
     out: list[tuple[int, int]] = []
 
@@ -290,22 +304,20 @@ def _probe(table: pa.Table) -> pa.Table:
             c = up[c]
         return c
 
-    if len(q) and len(m):
-        size = np.array([len(sets[i]) for i in q])
-        token, owner = np.concatenate([sets[i] for i in q]), np.repeat(np.arange(len(q)), size)
-        order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
-        for i in m:
-            x = sets[i]
-            lo, hi = np.searchsorted(token, x), np.searchsorted(token, x, "right")
-            n = hi - lo
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            common = np.bincount(owner[at], minlength=len(q))
-            for j in np.flatnonzero((100 * common >= 75 * (size + len(x) - common)) & (comp[q] != comp[i])):
-                one, two = root(int(comp[q[j]])), root(int(comp[i]))
-                if one != two:  # a link that the block's other links do not imply
+    if asks.any() and not asks.all():
+        maps, size = bit_maps(sets), np.array([len(x) for x in sets])
+        members = np.flatnonzero(~asks)
+        members = members[np.argsort(size[members], kind="stable")]
+        sizes = size[members]
+        for q in np.flatnonzero(asks).tolist():
+            lo, hi = np.searchsorted(sizes, -(-3 * size[q] // 4)), np.searchsorted(sizes, 4 * size[q] // 3, "right")
+            near = members[lo:hi]
+            apart = np.bitwise_count(maps[near] ^ maps[q]).sum(1, dtype=np.int64)
+            for m in near[(7 * apart <= size[near] + size[q]) & (comp[near] != comp[q])].tolist():
+                one, two = root(int(comp[q])), root(int(comp[m]))
+                if one != two and similar(sets[q], sets[m]):  # a link that the block's other links do not imply
                     up[one] = two
-                    out.append((int(cls[q[j]]), int(cls[i])))
+                    out.append((int(cls[q]), int(cls[m])))
     links = np.array(out, np.int64).reshape(-1, 2)
     return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
@@ -314,17 +326,16 @@ def long_list_links(members: DataFrame, families: DataFrame, roots: DataFrame, s
     """Links between classes that share long lists only.
 
     Families are what long lists connect.  In each, the members outside the family's largest
-    component are compared with all members of other components, both in blocks of ``BLOCK``.
+    component are compared with all members of other components, both in blocks of ``BLOCK_BYTES``.
     """
     placed = members.join(families, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("family"))
-    placed = scratch.keep(placed, "in_family").join(roots, F.col("class") == F.col("node"), "left").select("class", "family", F.coalesce("root", "class").alias("comp"))
-    placed = scratch.keep(placed, "in_component")
-    sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.groupBy("family").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.select(F.col("family").alias("f"), F.col("top.comp").alias("top"), blocks(F.col("m") - F.col("top.c")).alias("asking"), blocks(F.col("m")).alias("asked"))
-    open_ = placed.join(scratch.keep(sizes, "families"), F.col("family") == F.col("f")).join(sets.dropDuplicates(["class"]), "class")
-    open_ = scratch.keep(open_, "open")
+    placed = placed.join(roots, F.col("class") == F.col("node"), "left").select("class", "family", F.coalesce("root", "class").alias("comp"))
+    placed = scratch.keep(placed.join(sets.dropDuplicates(["class"]), "class"), "in_component")
+    sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("tokens")).alias("bytes"))
+    sizes = sizes.groupBy("family").agg(F.max(F.struct("c", "comp", "bytes")).alias("top"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / BLOCK_BYTES).cast("int")
+    sizes = sizes.select(F.col("family").alias("f"), F.col("top.comp").alias("top"), blocks(F.col("bytes") - F.col("top.bytes")).alias("asking"), blocks(F.col("bytes")).alias("asked"))
+    open_ = placed.join(scratch.keep(sizes, "families"), F.col("family") == F.col("f"))
     dealt = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = open_.where(F.col("comp") != F.col("top")).withColumn("i", dealt("asking")).withColumn("j", numbers("asked")).withColumn("asks", F.lit(True))
@@ -333,8 +344,8 @@ def long_list_links(members: DataFrame, families: DataFrame, roots: DataFrame, s
     return both.groupBy("family", "i", "j").applyInArrow(_probe, "a long, b long")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that connect all classes that a chain of similar pairs connects."""
+def linked_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of all classes that a chain of similar pairs connects, but those that are their own root."""
     spark = docs.sparkSession
     with arrow_rows(spark, 2000):
         hot = frequent_shingles(docs, classes)
@@ -375,10 +386,13 @@ def link_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataF
     long_lists = scratch.keep(open_lists.where(F.col("m") > SHORT).select("list", "class").join(heavy, "class", "left_semi"), "long_lists")
     scratch.drop("open_lists", "merged")
     scratch.release()
+    if long_lists.isEmpty():
+        return roots
     heads = scratch.keep(long_lists.groupBy(F.col("list").alias("l")).agg(F.min("class").alias("head")), "heads_of_lists")
     families = connected_components(long_lists.join(heads, F.col("list") == F.col("l")).select(F.col("class").alias("a"), F.col("head").alias("b")), scratch, "families")
     with arrow_rows(spark, 256):
-        return scratch.keep(links.unionByName(long_list_links(heavy, families, roots, sets, scratch)), "links")
+        more = scratch.keep(long_list_links(heavy, families, roots, sets, scratch), "long_links")
+    return roots if more.isEmpty() else connected_components(links.unionByName(more), scratch, "cc2")
 
 
 def _rooted_groups(docs: DataFrame) -> DataFrame:
@@ -387,8 +401,7 @@ def _rooted_groups(docs: DataFrame) -> DataFrame:
     with arrow_rows(docs.sparkSession, 2000):
         heads = scratch.keep(read_sets(docs), "heads")
     classes = scratch.keep(heads.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
-    links = link_classes(docs, classes, scratch)
-    roots = connected_components(links, scratch, "final")
+    roots = linked_classes(docs, classes, scratch)
     placed = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("root", "class").alias("comp"))
     placed = scratch.keep(placed, "placed")
     least = scratch.keep(placed.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
