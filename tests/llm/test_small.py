@@ -533,18 +533,20 @@ LONG_TEXT = " ".join(words(180_000, 77, 10**6))
 
 
 @pytest.fixture(scope="module")
-def crowded(spark, odd):
-    """``odd`` and a text above one slice, with every name that the modules use inside as a column."""
+def plain_docs(spark, odd):
+    """``odd`` and a text above one slice."""
+    assert len(LONG_TEXT) > 1 << 20
+    return odd.unionByName(spark.createDataFrame([(50, LONG_TEXT, "en", "a", 1)], DOCS)).cache()
+
+
+def crowded(docs, *modules):
+    """``docs`` with every column name that the modules use inside."""
     import inspect
 
-    modules = [chain_dedup, decontamination, jaccard_join, mixing, quality_lm, quality_rules, sharding, suffix_dedup, toxicity, warc, components, prefix, seeding, storage]
-    names = {n for m in modules for n in re.findall(r"""["']([A-Za-z_]\w*)["']""", inspect.getsource(m))}
-    names |= {f"{a}{b}" for a in ("n", "comp", "lw", "c", "d", "l", "h", "w", "k", "p") for b in "ab"} | {"a", "b"}
-    assert len(LONG_TEXT) > 1 << 20
-    plain = odd.unionByName(spark.createDataFrame([(50, LONG_TEXT, "en", "a", 1)], DOCS))
-    taken = {c.lower() for c in plain.columns} | {"html", "url", "page_id"}
-    own = {n.lower(): n for n in sorted(names) if n.lower() not in taken and len(n) < 20}
-    return plain, plain.withColumns({n: F.lit("own") for n in own.values()})
+    names = {n for m in modules for n in re.findall(r"""(?:col|alias|withColumn|withColumns|select|agg|join|groupBy)\(\{?["']([A-Za-z_]\w*)["']""", inspect.getsource(m))}
+    names |= {"a", "b", "row", "chunk", "spans", "k_id", "copies", "epochs", "cut", "c_id", "s_id", "__class", "__copy"}
+    own = {n.lower(): n for n in sorted(names) if n.lower() not in {c.lower() for c in docs.columns}}
+    return docs.withColumns({n: F.lit("own") for n in own.values()})
 
 
 def outputs(spark):
@@ -566,8 +568,9 @@ def outputs(spark):
 
 
 @pytest.mark.parametrize("name", ["repeat_rows", "decontaminate", "decontaminate spans", "keep_one_of_each", "quality_rules", "classify", "fuzzy_passages", "drop_toxic", "remove_repeats", "external_shuffle"])
-def test_clashing_columns_change_nothing(spark, crowded, name):
-    plain, full = crowded
+def test_clashing_columns_change_nothing(spark, plain_docs, name):
+    home = {"repeat_rows": mixing, "keep_one_of_each": jaccard_join, "quality_rules": quality_rules, "classify": quality_lm, "fuzzy_passages": chain_dedup, "drop_toxic": toxicity, "remove_repeats": suffix_dedup, "external_shuffle": sharding}
+    plain, full = plain_docs, crowded(plain_docs, home.get(name, decontamination))
     run = outputs(spark)[name]
     want, got = run(plain), run(full)
     same = [c for c in want.columns if not (name == "external_shuffle" and c in ("shard", "slot"))]
@@ -579,11 +582,11 @@ def test_clashing_columns_change_nothing(spark, crowded, name):
         assert got.columns == full.columns
 
 
-def test_warc_with_clashing_columns(spark, crowded, tmp_path):
-    pages = crowded[1].select(F.col("doc_id").alias("page_id"), F.lit("http://x/").alias("url"), F.col("text").alias("html"), *[c for c in crowded[1].columns if c not in crowded[0].columns])
+def test_warc_with_clashing_columns(spark, plain_docs, tmp_path):
+    pages = crowded(plain_docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x/").alias("url"), F.col("text").alias("html")), warc)
     warc.write_archive(pages, f"file://{tmp_path}/w")
     got = warc.resolve_revisits(warc.read_archive(spark, f"file://{tmp_path}/w")).collect()
-    assert len(got) == crowded[0].count() and max(r.payload_bytes for r in got) == len(LONG_TEXT)
+    assert len(got) == plain_docs.count() and max(r.payload_bytes for r in got) == len(LONG_TEXT)
 
 
 def test_equal_rows_fill_no_bucket(spark):

@@ -2,8 +2,9 @@
 
 Benchmark texts are cut into windows of 13 consecutive normalised words (a shorter text is one
 window).  The distinct windows are broadcast in a hash table keyed by the hash of the whole window; the
-scan hashes every window of the training texts, looks it up and verifies a hit word by word.  Hit words
-are the union of the occurrences.  A benchmark above ``BROADCAST_BYTES`` is dealt into slices by the
+scan hashes every window of the training texts, looks it up and verifies a hit by its length and a
+second, independent hash of its words (128 bits in all), so no words travel with a window.  Hit words are the
+union of the occurrences.  A benchmark above ``BROADCAST_BYTES`` is dealt into slices by the
 hash, each broadcast to a scan of its own; the work grows with their number and nothing else changes.
 
 Defined results: a null or wordless text has no words and no hits; repeated rows each get their own
@@ -35,40 +36,72 @@ def normal_words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def window_hashes(words: Column, length: int) -> Column:
-    """(pos, len, h) of every window of ``length`` words, pos from 1."""
-    last = F.size(words) - (length - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.slice(words, i, length)).alias("h")))
+def hash_levels(df: DataFrame, name: str, window: int) -> DataFrame:
+    """Add columns ``name``1, 2, 4 ...: hashes of the windows of so many words from each place of ``words`` on.
+
+    Each level is made from two places of the level below, so a window costs a few hashes of numbers whatever its
+    length; places too near the end hold nothing of use.  The name is the seed.
+    """
+    df = df.withColumn(f"{name}1", F.transform("words", lambda w: F.xxhash64(F.lit(name), w)))
+    k = 1
+    while 2 * k <= window:
+        below = F.col(f"{name}{k}")
+        rest = F.slice(below, k + 1, F.greatest(F.size(below), F.lit(1)))
+        df = df.withColumn(f"{name}{2 * k}", F.zip_with(below, rest, lambda x, y: F.xxhash64(x, y)))
+        k *= 2
+    return df
+
+
+def window_hashes(name: str, length: int) -> Column:
+    """The hashes of all windows of ``length`` words, from the levels whose sum it is."""
+    held, at = None, 0
+    for bit in reversed(range(length.bit_length())):
+        if length >> bit & 1:
+            level = F.col(f"{name}{1 << bit}")
+            part = level if not at else F.slice(level, at + 1, F.greatest(F.size(level), F.lit(1)))
+            held = part if held is None else F.zip_with(held, part, lambda x, y: F.xxhash64(x, y))
+            at += 1 << bit
+    return F.slice(held, 1, F.greatest(F.size("words") - (length - 1), F.lit(0)))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows of the benchmark: b_words, their hash b_hash and the ids of the items that hold them."""
+    """Distinct windows of the benchmark: their length, two hashes of the words, and the ids of the items that hold them."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), normal_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(window))
     wins = items.select("item", "words", length.alias("len"), F.explode(F.sequence(F.lit(1), F.size("words") - length + 1)).alias("pos"))
-    wins = wins.select("item", F.slice("words", F.col("pos"), F.col("len")).alias("b_words"))
-    return wins.groupBy("b_words").agg(F.collect_set("item").alias("items")).withColumn("b_hash", F.xxhash64("b_words"))
+    wins = wins.select("item", F.slice("words", F.col("pos"), F.col("len")).alias("words"))
+    wins = wins.groupBy("words").agg(F.collect_set("item").alias("items"))
+    for name in ("h", "g"):
+        own = F.lit(None).cast("long")
+        for k in range(1, window + 1):
+            own = F.when(F.size("words") == k, F.try_element_at(window_hashes(name, k), F.lit(1))).otherwise(own)
+        wins = hash_levels(wins, name, window).withColumn(f"b_{name}", own)
+    return wins.select(F.size("words").alias("b_len"), "items", "b_h", "b_g")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: doc_id, text_hash, n_words, hits (sorted spans of words, 1-based) and items."""
-    wins = benchmark_windows(benchmark, window)
-    size = F.octet_length(F.array_join("b_words", " ")) + F.octet_length(F.array_join("items", " ")) + 64
-    total, lengths = wins.agg(F.coalesce(F.sum(size), F.lit(0)), F.collect_set(F.size("b_words"))).first()
+    wins = Scratch(docs.sparkSession, "windows").keep(benchmark_windows(benchmark, window), "windows")
+    size = F.octet_length(F.array_join("items", " ")) + 100
+    total, lengths = wins.agg(F.coalesce(F.sum(size), F.lit(0)), F.collect_set("b_len")).first()
     slices = max(1, -(-total // broadcast_bytes))
-    words = F.col("words")
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), normal_words(F.col("text")).alias("words"))
+    for name in ("h", "g"):
+        base = hash_levels(base, name, max(lengths, default=1))
+    none = F.lit(None).cast("long")
     found = None
     for k in range(slices):
-        marker = [F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h")))] if k == 0 else []
-        spots = F.concat(*marker, *[window_hashes(words, n) for n in sorted(lengths)]) if marker or lengths else None
-        rows = base.select("doc_id", "text_hash", "words", F.explode(spots).alias("s"))
-        rows = rows.select("doc_id", "text_hash", "words", "s.pos", "s.len", "s.h")
-        due = wins if slices == 1 else wins.where(F.pmod("b_hash", F.lit(slices)) == k)
-        hits = rows.join(F.broadcast(due), F.col("h") == F.col("b_hash"), "left")
-        hits = hits.where((F.col("pos") == 0) | (F.slice(words, F.greatest("pos", F.lit(1)), F.col("len")) == F.col("b_words")))
-        hits = hits.select("doc_id", "text_hash", F.when(F.col("pos") == 0, F.size("words")).alias("n"), "pos", "len", "items")
+        marker = [F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), none.alias("h"), none.alias("g")))] if k == 0 else []
+        both = lambda n: F.zip_with(window_hashes("h", n), window_hashes("g", n), lambda h, g: F.struct(h.alias("h"), g.alias("g")))
+        spot = lambda n: F.transform(both(n), lambda x, i: F.struct((i + 1).alias("pos"), F.lit(n).alias("len"), x["h"].alias("h"), x["g"].alias("g")))
+        spots = F.concat(*marker, *[spot(n) for n in sorted(lengths)]).alias("spots")
+        # the words end here: a row for each window must not carry those of its document
+        rows = base.select("doc_id", "text_hash", F.size("words").alias("n"), spots).select("doc_id", "text_hash", "n", F.explode_outer("spots").alias("s"))
+        rows = rows.select("doc_id", "text_hash", "n", "s.pos", "s.len", "s.h", "s.g")
+        due = wins if slices == 1 else wins.where(F.pmod("b_h", F.lit(slices)) == k)
+        verified = (F.col("h") == F.col("b_h")) & (F.col("g").bitwiseXOR(F.col("b_g")) == 0) & (F.col("len") == F.col("b_len"))
+        hits = rows.join(F.broadcast(due), verified, "left").where((F.col("pos") == 0) | F.col("b_h").isNotNull())
+        hits = hits.select("doc_id", "text_hash", F.when(F.col("pos") == 0, F.col("n")).alias("n"), "pos", "len", "items")
         found = hits if found is None else found.unionByName(hits)
     per = found.groupBy("doc_id", "text_hash").agg(
         F.max("n").alias("n_words"),
