@@ -90,7 +90,7 @@ def external_shuffle(df: DataFrame, row_bytes: Column, *, shards: int = SHARDS,
 def write_shards(sharded: DataFrame, path: str) -> DataFrame:
     """Write each shard as a folder of files in slot order, and return the rows as read from there."""
     sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return sharded.sparkSession.read.schema(sharded.schema).parquet(path)
+    return sharded.sparkSession.read.schema(sharded.schema).parquet(path).select(*sharded.columns)
 
 
 def text_crc32(text: Column) -> Column:

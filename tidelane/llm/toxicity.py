@@ -252,7 +252,10 @@ def add_toxicity(docs: DataFrame, model: ToxicModel, *, text_col: str = "text",
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
     """``docs`` without the rows scored at or above ``threshold``."""
-    return add_toxicity(docs, fit_toxicity(docs, labels, **options), score_col="__score").where(F.col("__score") < threshold).drop("__score")
+    score = "__score"
+    while score in docs.columns:
+        score += "_"
+    return add_toxicity(docs, fit_toxicity(docs, labels, **options), score_col=score).where(F.col(score) < threshold).drop(score)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
