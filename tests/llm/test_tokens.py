@@ -140,9 +140,22 @@ def test_no_piece_has_a_mark_behind_another_character():
     assert not [p for p in map(model.id_to_piece, range(model.get_piece_size())) if "▁" in p.lstrip("▁")]
 
 
-def test_merge_ends():
-    assert alignment.merge_ends([1, 2, 3], [2, 3, 1], [7, 8], [5, 1]) == [([1, 2], [7]), ([3], [8])]
-    assert alignment.links([([1, 1], [5, 6]), ([1], [5])]) == Counter({(1, 5): 3, (1, 6): 2})
+def test_groups_and_links_equal_two_pointers():
+    rng = random.Random(6)
+    for _ in range(300):
+        total = rng.randrange(1, 40)
+        cut = lambda: sorted({total, *(rng.randrange(1, total + 1) for _ in range(rng.randrange(12)))})  # noqa: B023, E731
+        a, b = cut(), cut()
+        assert alignment.common_ends(np.array(a), np.array(b)).tolist() == sorted(set(a) & set(b))
+    ids = np.array([1, 1, 2, 3], np.int64)
+    for most in (0, 4096):
+        alignment.PAIRS_OF_GROUP, before = most, alignment.PAIRS_OF_GROUP
+        group, keys, times = alignment.group_links(ids, np.array([0, 3, 4]), np.array([5, 6, 5], np.int64), np.array([0, 2, 3]))
+        alignment.PAIRS_OF_GROUP = before
+        found = Counter()
+        for g, k, t in zip(group.tolist(), keys.tolist(), times.tolist(), strict=True):
+            found[g, k >> 32, k & 0xFFFFFFFF] += t
+        assert found == {(0, 1, 5): 2, (0, 1, 6): 2, (0, 2, 5): 1, (0, 2, 6): 1, (1, 3, 5): 1}
 
 
 def test_merging_states_loses_nothing():

@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 Inside ``mapInArrow`` (the form of mapInPandas that keeps null ids exact) the cumulative byte ends of both
-tokenizers' tokens are merged by two pointers; wherever both end, a group is complete, and all tokens of one
+tokenizers' tokens are merged; wherever both end, a group is complete, and all tokens of one
 side in it are linked with all of the other.  Each distinct unit of text is merged once.  A row keeps
 its distinct pairs of ids and how often each is linked.  Spark then counts the rows that hold each pair,
 takes each side's largest count, and joins both back to the rows.
@@ -18,8 +18,8 @@ they cannot clash.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.llm.storage import Scratch, arrow_rows
-from tidelane.llm.units import Ragged, UnitTable, tokenizer_file, unit_slices, word_tokenizer
+from tidelane.llm.units import TABLE_UNITS, Ragged, UnitTable, byte_level_alphabet, runs_of, tokenizer_file, unit_slices, word_tokenizer
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -38,52 +38,36 @@ FREQUENT_PAIRS = 2_000_000
 #: First-side ids whose largest counts are broadcast at most; a vocabulary is smaller.
 BROADCAST_IDS = 1_000_000
 
-Group = tuple[list[int], list[int]]
-
-
-def byte_level_alphabet() -> dict[str, int]:
-    """Characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-def merge_ends(a_ids: list[int], a_sizes: list[int], b_ids: list[int], b_sizes: list[int]) -> list[Group]:
-    """Two pointers over cumulative ends of equal total; a group closes where both sides end."""
-    groups: list[Group] = []
-    i = j = a_end = b_end = 0
-    a_group: list[int] = []
-    b_group: list[int] = []
-    while i < len(a_ids) or j < len(b_ids):
-        if a_end <= b_end and i < len(a_ids):
-            a_group.append(a_ids[i])
-            a_end += a_sizes[i]
-            i += 1
-        else:
-            b_group.append(b_ids[j])
-            b_end += b_sizes[j]
-            j += 1
-        if a_end == b_end and a_group and b_group:
-            groups.append((a_group, b_group))
-            a_group, b_group = [], []
-    return groups
-
-
-def links(groups: list[Group]) -> Counter:
-    """How often each pair of ids is linked."""
-    found: Counter = Counter()
-    for a, b in groups:
-        if len(a) == 1 and len(b) == 1:
-            found[a[0], b[0]] += 1
-            continue
-        for x, n in Counter(a).items():
-            for y, m in Counter(b).items():
-                found[x, y] += n * m
-    return found
-
-
-def digest_text(groups: list[Group]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+#: Links of one group that are listed by occurrences.
+PAIRS_OF_GROUP = 1 << 12
+JOINED_CHARS = 1 << 13
+
+
+def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Where both of two ascending lists of ends have one: the two pointers of a merge, moved for all ends at once."""
+    pointer = np.searchsorted(a_ends, b_ends)
+    met = pointer < len(a_ends)
+    met[met] = a_ends[pointer[met]] == b_ends[met]
+    return b_ends[met]
+
+
+def group_links(a_ids: np.ndarray, a_first: np.ndarray, b_ids: np.ndarray, b_first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, pair key, times) of all links; group g has the tokens from ``first[g]`` to ``first[g + 1]`` of each side.
+
+    Occurrence pairs of small groups are given one by one, those of large ones by distinct ids.
+    """
+    na, nb = np.diff(a_first), np.diff(b_first)
+    small = na * nb <= PAIRS_OF_GROUP
+    n = np.where(small, na * nb, 0)
+    group = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
+    a, b = a_ids[a_first[group] + nth // nb[group]], b_ids[b_first[group] + nth % nb[group]]
+    parts = [(group, a << 32 | b, np.ones(len(group), np.int64))]
+    for g in np.flatnonzero(~small).tolist():
+        x, n_x = np.unique(a_ids[a_first[g] : a_first[g + 1]], return_counts=True)
+        y, n_y = np.unique(b_ids[b_first[g] : b_first[g + 1]], return_counts=True)
+        parts.append((np.full(len(x) * len(y), g), (x[:, None] << 32 | y).ravel(), (n_x[:, None] * n_y).ravel()))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
 class Sides:
@@ -95,43 +79,88 @@ class Sides:
         self.a = word_tokenizer(byte_bpe, specials_are_text=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(piece_bpe))
         alphabet = byte_level_alphabet()
-        self.a_bytes = [bytes(alphabet[c] for c in self.a.id_to_token(i)) if all(c in alphabet for c in self.a.id_to_token(i)) else self.a.id_to_token(i).encode() for i in range(self.a.get_vocab_size())]
+        a_names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
+        self.a_bytes = [bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t in a_names]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
+        self.a_size, self.b_size = np.array([*map(len, self.a_bytes)]), np.array([*map(len, self.b_bytes)])
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Both sides' ids of each text, the leading space of which sentencepiece adds itself."""
+        return [(a.ids, b) for a, b in zip(self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1), strict=True)]
 
-    def groups(self, units: list[str]) -> Iterator[list[Group] | None]:
-        """The groups of each unit; None where one side does not give back its bytes."""
-        encoded = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
-        for u, a, b in zip(units, encoded, self.b.encode(units, num_threads=1), strict=True):
-            want, a_ids = (" " + u).encode(), a.ids
-            a_parts, b_parts = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b]
-            whole = b"".join(a_parts) == want == b"".join(b_parts)
-            yield merge_ends(a_ids, [*map(len, a_parts)], b, [*map(len, b_parts)]) if whole else None
+    def whole(self, text: str, a: list[int], b: list[int]) -> bool:
+        want = text.encode()
+        return b"".join([self.a_bytes[i] for i in a]) == want == b"".join([self.b_bytes[i] for i in b])
 
 
 class UnitGroups:
-    """Figures, digest texts and pairs of units, each distinct unit merged once."""
+    """Figures, digest texts and pairs of units, each distinct unit encoded and merged once."""
 
     def __init__(self, sides: Sides):
         self.sides = sides
-        self.table = UnitTable(self._encode, self._reset)
+        self.table = UnitTable(self._encode, self._reset, TABLE_UNITS // 2)
+        self.digits = [b",%d" % i for i in range(max(len(sides.a_bytes), len(sides.b_bytes)))]
+        self.opens, self.bars = [b";" + d[1:] for d in self.digits], [b"|" + d[1:] for d in self.digits]
+        self.digit_size = np.array([*map(len, self.digits)])
         self._reset()
 
     def _reset(self) -> None:
-        self.text: list[str] = []
-        self.figures = Ragged()
+        self.text: list[bytes] = []
+        self.figures = np.zeros((0, 5), np.int64)
         self.keys, self.times = Ragged(), Ragged()
 
     def _encode(self, new: list[str]) -> None:
-        figures, keys, times = [], [], []
-        for groups in self.sides.groups(new):
-            found = links(groups or [])
-            figures.append([groups is None, sum(len(a) for a, _ in groups or []), sum(len(b) for _, b in groups or []), len(groups or []), sum(found.values())])
-            keys.append([(a << 32) | b for a, b in found])
-            times.append([*found.values()])
-            self.text.append(digest_text(groups or []))
-        self.figures.extend(figures)
-        self.keys.extend(keys)
-        self.times.extend(times)
+        a_ids: list[int] = []
+        b_ids: list[int] = []
+        bad = np.zeros(len(new), bool)
+        at = 0
+        runs = [*runs_of(new, JOINED_CHARS)]
+        for run, (a, b) in zip(runs, self.sides.encode(["".join([" " + u for u in run]) for run in runs]), strict=True):
+            if self.sides.whole("".join([" " + u for u in run]), a, b):
+                a_ids += a
+                b_ids += b
+            else:  # some unit of this run does not come back: each is encoded alone
+                for i, (u, (a, b)) in enumerate(zip(run, self.sides.encode([" " + u for u in run]), strict=True), at):
+                    bad[i] = not self.sides.whole(" " + u, a, b)
+                    a_ids += [] if bad[i] else a
+                    b_ids += [] if bad[i] else b
+            at += len(run)
+        sizes = np.where(bad, 0, [1 + len(u) if u.isascii() else 1 + len(u.encode()) for u in new])
+        self._merge(np.array(a_ids, np.int64), np.array(b_ids, np.int64), sizes, bad)
+
+    def _merge(self, a_ids: np.ndarray, b_ids: np.ndarray, sizes: np.ndarray, bad: np.ndarray) -> None:
+        unit_ends = np.cumsum(sizes)
+        a_ends, b_ends = np.cumsum(self.sides.a_size[a_ids]), np.cumsum(self.sides.b_size[b_ids])
+        ends = common_ends(a_ends, b_ends)
+        unit = np.searchsorted(unit_ends, ends)  # of each group
+        a_group, b_group = np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends)
+        a_first, b_first = np.searchsorted(a_group, np.arange(len(ends) + 1)), np.searchsorted(b_group, np.arange(len(ends) + 1))
+        na, nb, n = np.diff(a_first), np.diff(b_first), len(sizes)
+        per_unit = lambda c: np.bincount(unit, c, n).astype(np.int64)
+        self.figures = np.vstack([self.figures, np.stack([bad, per_unit(na), per_unit(nb), np.bincount(unit, minlength=n), per_unit(na * nb)], 1)])
+        group, keys, times = group_links(a_ids, a_first, b_ids, b_first)
+        order = np.argsort(unit[group], kind="stable")
+        lengths = np.bincount(unit[group], minlength=n)
+        self.keys.extend_flat(keys[order], lengths)
+        self.times.extend_flat(times[order], lengths)
+        # the digest text of all units at once, then cut: each token's number behind its mark
+        place = np.concatenate([np.arange(len(a_ids)) + b_first[a_group], np.arange(len(b_ids)) + a_first[b_group + 1]])
+        marks = np.full(len(place), 0)
+        marks[np.arange(len(a_ids))[a_first[:-1]]] = 1
+        marks[len(a_ids) + np.arange(len(b_ids))[b_first[:-1]]] = 2
+        order = np.argsort(place)
+        ids, marks = np.concatenate([a_ids, b_ids])[order], marks[order]
+        tables = (self.digits, self.opens, self.bars)
+        joined = b"".join([tables[m][i] for m, i in zip(marks.tolist(), ids.tolist(), strict=True)])
+        of_unit = unit[np.concatenate([a_group, b_group])[order]]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(of_unit, self.digit_size[ids], n))]).astype(np.int64).tolist()
+        self.text += [joined[x + 1 : y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+@functools.cache
+def unit_groups(byte_bpe: str, piece_bpe: str) -> UnitGroups:
+    """One for each Python worker, which keeps it from task to task."""
+    return UnitGroups(Sides(byte_bpe, piece_bpe))
 
 
 FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
@@ -144,14 +173,14 @@ def align_batch(known: UnitGroups, texts: list[str | None]) -> tuple[np.ndarray,
     for row, found in unit_slices(texts):
         numbers = known.table.numbers(found)
         edges = np.flatnonzero(np.diff(row, prepend=-1, append=len(texts)))
-        figures[row[edges[:-1]]] += np.add.reduceat(known.figures.flat.reshape(-1, 5)[numbers], edges[:-1])
+        figures[row[edges[:-1]]] += np.add.reduceat(known.figures[numbers], edges[:-1])
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            part = ";".join([known.text[n] for n in numbers[a:b].tolist()])
+            part = b";".join([known.text[n] for n in numbers[a:b].tolist()])
             if (held := digests[row[a]]) is None:
                 digests[row[a]] = held = hashlib.sha256()
             else:
-                part = ";" + part
-            held.update(part.encode())
+                part = b";" + part
+            held.update(part)
         same, often = np.unique(row * len(known.text) + numbers, return_counts=True)
         unit = same % len(known.text)
         n = known.keys.lengths(unit)
@@ -172,7 +201,7 @@ def align_batch(known: UnitGroups, texts: list[str | None]) -> tuple[np.ndarray,
 
 def _align(byte_bpe: str, piece_bpe: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number = UnitGroups(Sides(byte_bpe, piece_bpe)), TaskContext.get().partitionId() << 33
+        known, number = unit_groups(byte_bpe, piece_bpe), TaskContext.get().partitionId() << 33
         for batch in batches:
             figures, digests, first, keys, times = align_batch(known, batch.column("text").to_pylist())
             n = batch.num_rows

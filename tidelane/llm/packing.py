@@ -18,6 +18,9 @@ of the input; a lost executor cannot change it, as ids and places are written be
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,43 +29,97 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidelane.llm.prefix import running_offsets
 from tidelane.llm.storage import Scratch, arrow_rows
-from tidelane.llm.units import Ragged, UnitTable, unit_slices, word_tokenizer
+from tidelane.llm.units import Ragged, UnitTable, byte_level_alphabet, runs_of, unit_slices, units, word_tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
 SEQUENCE = 4096
 END_ID = 2
 PAD_ID = 0
+LAST_MARKS = ".,;:!?"
+SEPARATORS = re.compile("[\x1c-\x1f]")
+JOINED_CHARS = 1 << 14
 #: Partitions (24 bytes each) whose offsets are broadcast at most; beyond, rows meet them by shuffle.
 BROADCAST_PARTITIONS = 1_000_000
 
 
+def words(text: str) -> list[str]:
+    """Word BPE drops white space, so its texts are cut there; U+001C to U+001F are white space to Python alone."""
+    return units(text) if SEPARATORS.search(text) else text.split()
+
+
 class IdsOfTexts:
-    """Token ids of texts, each distinct unit encoded once."""
+    """Token ids of texts.  Each distinct word is encoded once.
+
+    Words of European Latin letters, lowered and less a last mark, go to the model alone, as bytes: normalising and
+    splitting would not change them.  All others go through the whole tokenizer.
+    """
 
     def __init__(self, tokenizer: str):
         self.tokenizer = word_tokenizer(tokenizer, specials_are_text=False)
+        plain = json.loads(self.tokenizer.to_str())
+        plain["normalizer"], plain["pre_tokenizer"], plain["added_tokens"] = None, {"type": "WhitespaceSplit"}, []
+        self.of_letters = Tokenizer.from_str(json.dumps(plain))
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith(plain["model"]["end_of_word_suffix"]) for i in range(size)])
+        self.as_bytes = {b: c for c, b in byte_level_alphabet().items() if b != 0x20}
+        self.marks = {m: self._alone(m) for m in LAST_MARKS}
         self.ids = Ragged(np.int32)
         self.table = UnitTable(self._encode, self.ids.clear)
 
+    def _alone(self, unit: str) -> list[int]:
+        return self.tokenizer.encode(unit, add_special_tokens=False).ids
+
     def _encode(self, new: list[str]) -> None:
-        self.ids.extend([e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)])
+        letters: dict[str, int] = {}
+        others: list[str] = []
+        first, second = [], []  # of each word: its place among letters or (negative) others, and its last mark
+        for word in new:
+            core, mark = (word[:-1], word[-1]) if word[-1] in self.marks else (word, "")
+            if core.isalpha() and (core.isascii() or max(core) <= "ſ" and "İ" not in core):
+                first.append(letters.setdefault(core.lower(), len(letters)))
+                second.append(mark)
+            else:
+                others.append(word)
+                first.append(-len(others))
+                second.append("")
+        encoded = Ragged(np.int32)
+        if letters:
+            texts = [" ".join(run).encode().decode("latin-1").translate(self.as_bytes) for run in runs_of([*letters], JOINED_CHARS)]
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in self.of_letters.encode_batch_fast(texts, add_special_tokens=False)])
+            encoded.extend_flat(ids, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1))
+        more = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)] + [*self.marks.values()]
+        encoded.extend_flat(np.array([i for x in more for i in x], np.int32), np.array([len(x) for x in more]))
+        at = {"": -1} | {m: len(letters) + len(others) + i for i, m in enumerate(self.marks)}
+        core = np.array(first)
+        chosen = np.stack([np.where(core < 0, len(letters) - 1 - core, core), [at[m] for m in second]], 1)
+        flat = chosen.ravel()
+        flat = flat[flat >= 0]
+        lengths = encoded.lengths(chosen[:, 0]) + np.where(chosen[:, 1] >= 0, encoded.lengths(np.maximum(chosen[:, 1], 0)), 0)
+        self.ids.extend_flat(encoded.take(flat), lengths)
 
     def __call__(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by ``end_id``; number of ids of each)"""
         counts, parts = np.zeros(len(texts), np.int64), [np.empty(0, np.int32)]
-        for rows, found in unit_slices(texts):
+        for rows, found in unit_slices(texts, cut=words):
             numbers = self.table.numbers(found)
             parts.append(self.ids.take(numbers))
             counts += np.bincount(rows, self.ids.lengths(numbers), len(texts)).astype(np.int64)
         return np.insert(np.concatenate(parts), np.cumsum(counts), end_id), counts + 1
 
 
+@functools.cache
+def ids_of_texts(tokenizer: str) -> IdsOfTexts:
+    """One for each Python worker, which keeps it from task to task."""
+    return IdsOfTexts(tokenizer)
+
+
 def _tokenize(tokenizer: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before = IdsOfTexts(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, before = ids_of_texts(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, n = encode(batch.column("text").to_pylist(), end_id)
             ends = np.cumsum(n)

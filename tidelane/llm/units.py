@@ -16,9 +16,9 @@ import numpy as np
 
 CUT = re.compile(r" (?=[^\s▁])(?<=[^\s▁] )")
 BLOCK_CHARS = 1 << 20
-#: Units that a table holds at most, and the longest unit that stays in it from one block to the next.
-TABLE_UNITS = 1 << 18
-TABLE_CHARS = 64
+#: Units that a table keeps from one block to the next, and the longest that it keeps, in characters.
+TABLE_UNITS = 1 << 20
+LONG_UNIT = 1 << 12
 
 
 def tokenizer_file(name: str) -> str:
@@ -40,6 +40,13 @@ def word_tokenizer(name: str, specials_are_text: bool):
     return found
 
 
+def byte_level_alphabet() -> dict[str, int]:
+    """Characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def units(text: str) -> list[str]:
     return CUT.split(text) if text else []
 
@@ -56,7 +63,7 @@ def blocks(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def unit_slices(texts: list[str | None], size: int = BLOCK_CHARS) -> Iterator[tuple[np.ndarray, list[str]]]:
+def unit_slices(texts: list[str | None], size: int = BLOCK_CHARS, cut: Callable[[str], list[str]] = units) -> Iterator[tuple[np.ndarray, list[str]]]:
     """(row of each unit, units) of runs of whole blocks of about ``size`` characters; null and empty texts have none."""
     rows: list[int] = []
     counts: list[int] = []
@@ -66,10 +73,10 @@ def unit_slices(texts: list[str | None], size: int = BLOCK_CHARS) -> Iterator[tu
         if not text:
             continue
         for block in blocks(text, size):
-            cut = units(block)
+            got = cut(block)
             rows.append(row)
-            counts.append(len(cut))
-            found += cut
+            counts.append(len(got))
+            found += got
             held += len(block)
             if held >= size:
                 yield np.repeat(rows, counts), found
@@ -78,15 +85,39 @@ def unit_slices(texts: list[str | None], size: int = BLOCK_CHARS) -> Iterator[tu
         yield np.repeat(rows, counts), found
 
 
+def runs_of(found: list[str], chars: int) -> Iterator[list[str]]:
+    """Consecutive units of about ``chars`` characters together."""
+    first, held = 0, 0
+    for i, u in enumerate(found):
+        held += len(u) + 1
+        if held >= chars:
+            yield found[first : i + 1]
+            first, held = i + 1, 0
+    if first < len(found):
+        yield found[first:]
+
+
+class Numbers(dict):
+    """Numbers in order of first use; ``new`` lists the units that came since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        self.new.append(unit)
+        return n
+
+
 class UnitTable:
-    """Numbers for units; ``encode`` is told each unit new to the table, in order of its numbers.
+    """Numbers for units; ``encode`` is told the units new to the table, in order of their numbers.
 
     When the table is full, or has held a long unit, it is emptied before the next block, and ``reset`` is called.
     """
 
     def __init__(self, encode: Callable[[list[str]], None], reset: Callable[[], None], most: int = TABLE_UNITS):
         self.encode, self.reset, self.most = encode, reset, most
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.long = False
 
     def numbers(self, found: list[str]) -> np.ndarray:
@@ -94,12 +125,12 @@ class UnitTable:
             self.number.clear()
             self.long = False
             self.reset()
-        new = [u for u in dict.fromkeys(found) if u not in self.number]
-        if new:
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.long = max(map(len, new)) > TABLE_CHARS * 64
+        got = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+        if new := self.number.new:
+            self.long = max(map(len, new)) > LONG_UNIT
             self.encode(new)
-        return np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+            self.number.new = []
+        return got
 
 
 class Ragged:
@@ -112,10 +143,9 @@ class Ragged:
     def clear(self) -> None:
         self.flat, self.start = np.empty(0, self.dtype), np.zeros(1, np.int64)
 
-    def extend(self, lists: list) -> None:
-        ends = self.start[-1] + np.cumsum([len(x) for x in lists])
-        self.flat = np.concatenate([self.flat, *(np.asarray(x, self.dtype) for x in lists)])
-        self.start = np.concatenate([self.start, ends])
+    def extend_flat(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
+        self.flat = np.concatenate([self.flat, flat])
 
     def lengths(self, chosen: np.ndarray) -> np.ndarray:
         return self.start[chosen + 1] - self.start[chosen]
