@@ -36,7 +36,7 @@ def test_query(spark, duck, name):
     got = sorted(tuple(plain(v) for v in r) for r in df.select(*columns).collect())
     assert got or name in plans.ORACLE_SQL
     if name in plans.ORACLE_SQL:
-        rows = duck.sql(f"SELECT {', '.join(columns)} FROM ({plans.ORACLE_SQL[name]})").fetchall()
+        rows = duck.sql('SELECT {} FROM ({})'.format(', '.join(f'"{c}"' for c in columns), plans.ORACLE_SQL[name])).fetchall()
         assert got == sorted(tuple(plain(v) for v in r) for r in rows)
 
 

@@ -1,5 +1,6 @@
 """Golden rows of the string, time and file functions."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidelane.functions import names, text, times
@@ -149,3 +150,14 @@ def test_nfo(spark):
     assert tuple(nfo.fill_from_show(e, s, "show").first()) == ("s", "Pilot", "Plot")
     back = spark.range(1).select(F.lit("a").alias("path"), nfo.to_nfo({"title": F.lit("T & U"), "season": F.lit(3)}).alias("text"))
     assert nfo.parse_nfo(back).select("title", "season").first() == ("T & U", 3)
+
+
+@pytest.mark.parametrize("n", [3, 102, 1001])
+def test_chapters_beyond_two_digits_round_trip(spark, n):
+    """Chapters in any order, numbered by start; hours of two digits and more."""
+    rows = [("f", (i * 37) % n, i * 450_000 + 7, f"Title {i}") for i in range(n)]
+    text = subtitles.to_chapter_text(spark.createDataFrame(rows, "path string, seq long, start_ms long, title string"))
+    got = subtitles.parse_chapters(text).orderBy("seq").collect()
+    assert [(r.path, r.seq, r.start_ms, r.title) for r in got] == [("f", i + 1, i * 450_000 + 7, f"Title {i}") for i in range(n)]
+    lines = text.first().text.splitlines()
+    assert lines[:2] == ["CHAPTER01=00:00:00.007", "CHAPTER01NAME=Title 0"] and lines[-1] == f"CHAPTER{n:02d}NAME=Title {n - 1}"

@@ -73,10 +73,16 @@ def in_id_list(column: Column, text: str) -> Column:
     return test
 
 
+def missing_ids(df: DataFrame, ident: str, wanted: DataFrame) -> DataFrame:
+    """The distinct ids of ``wanted``'s first column that the table lacks."""
+    asked = wanted.select(F.col(f"`{wanted.columns[0]}`").alias(ident)).where(F.col(ident).isNotNull()).distinct()
+    return asked.join(df.select(ident), ident, "left_anti")
+
+
 def require_ids(df: DataFrame, ident: str, wanted: list[int]) -> None:
-    """Raise for wanted ids that the table lacks."""
-    have = {r[0] for r in df.where(F.col(ident).isin(wanted)).select(ident).distinct().collect()}
-    if missing := sorted(set(wanted) - have):
+    """Raise for wanted ids (a list that a caller typed) that the table lacks."""
+    asked = df.sparkSession.createDataFrame([(i,) for i in wanted], f"{ident} long")
+    if missing := sorted(r[0] for r in missing_ids(df, ident, asked).collect()):
         raise KeyError(f"no track with id {missing}")
 
 
@@ -86,6 +92,18 @@ def rate_limited(df: DataFrame, by: list[str], time: str, ident: str, permits: i
     return df.withColumn("admitted", nth.isNull() | (F.col(time) - nth >= window))
 
 
+def delayed_requests(df: DataFrame, by: list[str], time: str, ident: str, permits: int, window: int) -> DataFrame:
+    """Add ``admitted_at``: requests in order of time wait until fewer than ``permits`` were admitted within ``window``.
+
+    A request waits for the one ``permits`` places before it, so each residue of the place is a chain of its own,
+    and its admission is a running maximum of times less ``window`` for each step.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(time, ident)) - 1
+    chained = df.withColumn("__k", place).withColumns({"__r": F.col("__k") % permits, "__m": F.floor(F.col("__k") / permits) * window})
+    w = Window.partitionBy(*by, "__r").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    return chained.withColumn("admitted_at", F.max(F.col(time) - F.col("__m")).over(w) + F.col("__m")).drop("__k", "__r", "__m")
+
+
 def fresh_entries(df: DataFrame, key: list[str], written: str, ident: str, now: int, max_age: int) -> DataFrame:
     """The latest entry of each key, if it is not older than ``max_age``."""
     latest = df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(written).desc(), F.col(ident).desc()))).where("__r = 1").drop("__r")

@@ -14,7 +14,7 @@ from tidelane.sources import containers, detect, nfo, subtitles
 _CUES = """
 c AS (SELECT CAST(o_custkey AS VARCHAR) AS path, o_orderkey AS k, o_orderkey * 1700 + 250 AS start_ms, o_orderkey * 1700 + 250 + 1 + o_orderkey % 1500 AS end_ms, o_orderpriority || chr(10) || o_orderstatus AS text FROM orders),
 n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY start_ms) AS seq FROM c)"""
-_MS = "lpad(CAST({0} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 1000 % 60 AS VARCHAR), 2, '0') || '{1}' || lpad(CAST({0} % 1000 AS VARCHAR), 3, '0')"
+_MS = "CASE WHEN {0} < 36000000 THEN '0' ELSE '' END || CAST({0} // 3600000 AS VARCHAR) || ':' || lpad(CAST({0} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 1000 % 60 AS VARCHAR), 2, '0') || '{1}' || lpad(CAST({0} % 1000 AS VARCHAR), 3, '0')"
 
 
 def _cues(spark: SparkSession, d: str) -> DataFrame:

@@ -483,14 +483,20 @@ def q_zip(spark: SparkSession, d: str) -> DataFrame:
     return joins.zip_by_position(a, b, ["user_id"], ["event_id"], ["back"]).select("user_id", "event_id", "other")
 
 
-@query("SELECT CAST(1 AS INT) AS missing WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = -5)")
+@query("SELECT DISTINCT CAST(o_custkey AS BIGINT) AS s_suppkey FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def q_missing_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Ids that a request names and the table lacks, as the error says."""
-    try:
-        rules.require_ids(_t(spark, d, "supplier"), "s_suppkey", [1, -5])
-    except KeyError as lacking:
-        return spark.createDataFrame([(str(lacking).count("-5"),)], "missing int")
-    raise AssertionError("id -5 is not in the table")
+    """Ids that requests (orders' customers) name and the table of suppliers lacks."""
+    return rules.missing_ids(_t(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey")), "s_suppkey", _t(spark, d, "orders").select(F.col("o_custkey").cast("long")))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) - 1 AS k FROM events)
+SELECT user_id, event_id, CAST(max(ms - k // 3 * 43200000) OVER (PARTITION BY user_id, k % 3 ORDER BY k) + k // 3 * 43200000 AS BIGINT) AS admitted_at FROM e
+""")
+def q_rate_delay(spark: SparkSession, d: str) -> DataFrame:
+    """At most three events of a user in half a day, the others later."""
+    e = _events(spark, d).select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return rules.delayed_requests(e, ["user_id"], "ms", "event_id", 3, 43_200_000).select("user_id", "event_id", "admitted_at")
 
 
 @query("""

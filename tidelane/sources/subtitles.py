@@ -112,8 +112,9 @@ def parse_chapter_titles(files: DataFrame) -> DataFrame:
 
 
 def to_chapter_text(chapters: DataFrame, by: str = "path", *, numbered: bool = True) -> DataFrame:
-    """The CHAPTERnn= form, or one ``time title`` line a chapter."""
-    n = F.lpad(F.col("seq").cast("string"), 2, "0")
+    """The CHAPTERnn= form, numbered anew by start (two digits at least), or one ``time title`` line a chapter."""
+    chapters = chapters.withColumn("seq", F.row_number().over(Window.partitionBy(by).orderBy("start_ms", "seq")))
+    n = F.concat(F.when(F.col("seq") < 10, "0").otherwise(""), F.col("seq").cast("string"))
     if numbered:
         line = F.concat(F.lit("CHAPTER"), n, F.lit("="), format_ms(F.col("start_ms")), F.lit("\nCHAPTER"), n, F.lit("NAME="), F.col("title"))
     else:
