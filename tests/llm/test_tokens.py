@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from tidelane.llm import alignment, packing, units, whitening
 from tidelane.llm.storage import Scratch
@@ -58,7 +59,7 @@ def test_packing(spark, request, name):
         texts[r.doc_id].append(r.text)
     want = {k: Counter(tuple(x) for x in whole_ids(v)) for k, v in texts.items()}
     laid = sorted(((g["sequence_id"] * 4096 + g["offset"], g) for g in got), key=lambda x: x[0])
-    at, stream_rows = 0, sorted(stream.collect(), key=lambda r: r["at"])
+    at, stream_rows = 0, sorted((Row(doc_id=r.doc_id, at=r["at"], ids=np.frombuffer(r.ids, "<u4").tolist()) for r in stream.collect()), key=lambda r: r["at"])
     flat = [i for r in stream_rows for i in r.ids]
     assert {k: Counter(tuple(r.ids) for r in stream_rows if r.doc_id == k) for k in want} == want
     for place, g in laid:

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -40,7 +39,7 @@ SEQUENCE = 4096
 END_ID = 2
 PAD_ID = 0
 LAST_MARKS = ".,;:!?"
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 JOINED_CHARS = 1 << 14
 #: Partitions (24 bytes each) whose offsets are broadcast at most; beyond, rows meet them by shuffle.
 BROADCAST_PARTITIONS = 1_000_000
@@ -48,7 +47,7 @@ BROADCAST_PARTITIONS = 1_000_000
 
 def words(text: str) -> list[str]:
     """Word BPE drops white space, so its texts are cut there; U+001C to U+001F are white space to Python alone."""
-    return units(text) if SEPARATORS.search(text) else text.split()
+    return units(text) if any(c in text for c in SEPARATORS) else text.split()
 
 
 class IdsOfTexts:
@@ -123,33 +122,41 @@ def _tokenize(tokenizer: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]
         for batch in batches:
             ids, n = encode(batch.column("text").to_pylist(), end_id)
             ends = np.cumsum(n)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), part)), pa.array(before + ends - n), lists], names=["doc_id", "part", "before", "ids"])
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+            columns = [batch.column("doc_id"), pa.array(np.full(len(n), part)), pa.array(before + ends - n), pa.array(n), packed]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "before", "n", "ids"])
             before += int(ends[-1]) if len(ends) else 0
 
     return run
 
 
 def token_stream(docs: DataFrame, scratch: Scratch, *, tokenizer: str = WORD_BPE, end_id: int = END_ID, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:
-    """Each document's ids and the place ``at`` of its first id in the stream of all documents."""
+    """Each document's ids (little-endian numbers of 32 bits) and the place ``at`` of its first id in the stream of all documents."""
     text = F.col("text") if text is None else text
     given = docs.select(F.col(id_col).alias("doc_id"), text.cast("string").alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
     with arrow_rows(docs.sparkSession, 256):
-        rows = scratch.keep(given.mapInArrow(_tokenize(tokenizer, end_id), f"doc_id {kind}, part long, before long, ids array<int>"), "ids")
-    totals = scratch.keep(rows.groupBy("part").agg(F.max(F.col("before") + F.size("ids")).alias("tokens")), "totals")
+        rows = scratch.keep(given.mapInArrow(_tokenize(tokenizer, end_id), f"doc_id {kind}, part long, before long, n long, ids binary"), "ids")
+    totals = scratch.keep(rows.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("tokens")), "totals")
     offsets = scratch.keep(running_offsets(totals, "part", F.col("tokens"), "offset").drop("tokens"), "offsets")
     if offsets.count() <= BROADCAST_PARTITIONS:
         offsets = F.broadcast(offsets)
     return rows.join(offsets, "part").select("doc_id", (F.col("offset") + F.col("before")).alias("at"), "ids")
 
 
+def id_edges(packed: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """(where each document's ids begin and end, counted in ids; their bytes)"""
+    edges = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // 4
+    return edges.astype(np.int64), memoryview(packed.buffers()[2] or b"")
+
+
 def _cut(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("ids")
-            edges = lists.offsets.to_numpy()
-            ids, at = lists.values.to_numpy(), batch.column("at").to_numpy()
+            if not batch.num_rows:
+                continue
+            edges, raw = id_edges(batch.column("ids"))
+            at = batch.column("at").to_numpy()
             n = np.diff(edges)
             pieces = (at + n - 1) // length - at // length + 1
             doc = np.repeat(np.arange(len(n)), pieces)
@@ -157,7 +164,6 @@ def _cut(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             start = np.maximum(sequence * length, at[doc]) - at[doc]
             size = np.minimum((sequence + 1) * length, (at + n)[doc]) - at[doc] - start
             first = edges[:-1][doc] + start
-            raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + size).tolist(), strict=True)]
             columns = {"doc_id": batch.column("doc_id").take(pa.array(doc)), "start": start, "length": size, "ids_crc32": np.array(crc, np.int64), "doc_tokens": n[doc].astype(np.int64), "sequence_id": sequence, "offset": (at[doc] + start) % length}
             yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns.values()], names=list(columns))
@@ -189,7 +195,7 @@ def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         start, held = 0, np.empty(0, np.int32)
         for batch in batches:
             for at, ids in zip(batch.column("at").to_pylist(), batch.column("ids"), strict=True):
-                ids = ids.values.to_numpy()
+                ids = np.frombuffer(ids.as_buffer(), "<i4")
                 if at != start + len(held):
                     if len(held):
                         yield cut(start, held, False)[0]
