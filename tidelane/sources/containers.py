@@ -190,6 +190,33 @@ def _lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
     return [*sizes, end - at - sum(sizes)], at
 
 
+def cluster_frames(data: bytes) -> Iterator[tuple]:
+    """(track, block, lace, time, keyframe, position, size) of the frames in a cluster's content; blocks count from 0 here."""
+    at, base, block = 0, 0, 0
+    try:
+        while at < len(data):
+            kind, at = ebml_number(data, at, keep_marker=True)
+            size, at = ebml_number(data, at)
+            if kind == _GROUP:
+                continue
+            end = len(data) if size is None else at + size
+            if end > len(data):
+                return
+            if kind == _TIME:
+                base = int.from_bytes(data[at:end])
+            elif kind in (_SIMPLE, _BLOCK):
+                track, here = ebml_number(data, at)
+                shift, flags = struct.unpack_from(">hB", data, here)
+                sizes, here = _lace_sizes(data, here + 3, end, flags >> 1 & 3)
+                for lace, each in enumerate(sizes):
+                    yield track, block, lace, base + shift, bool(flags & 0x80) if kind == _SIMPLE else None, here, each
+                    here += each
+                block += 1
+            at = end
+    except (IndexError, struct.error):
+        return
+
+
 def matroska_frames(data: bytes) -> Iterator[tuple]:
     """(track, cluster, block, lace, time, keyframe, position, size) of all frames; times in the segment's ticks."""
     at, base, cluster, block = 0, 0, -1, 0
