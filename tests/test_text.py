@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelane.functions import names, text, times
+from tidelane.operators import media, search
 from tidelane.sources import detect, subtitles
 
 
@@ -161,3 +162,19 @@ def test_chapters_beyond_two_digits_round_trip(spark, n):
     assert [(r.path, r.seq, r.start_ms, r.title) for r in got] == [("f", i + 1, i * 450_000 + 7, f"Title {i}") for i in range(n)]
     lines = text.first().text.splitlines()
     assert lines[:2] == ["CHAPTER01=00:00:00.007", "CHAPTER01NAME=Title 0"] and lines[-1] == f"CHAPTER{n:02d}NAME=Title {n - 1}"
+
+
+def test_lookups_are_equality_joins_and_keep_all_rows(spark):
+    """No nested loops in the plans; an empty dimension loses no row; the first of several entries wins."""
+    rows = spark.createDataFrame([(1, "143441"), (2, "uk"), (3, "germany"), (4, "Atlantis"), (5, None)], "k int, asked string")
+    stores = spark.createDataFrame([(143441, "US", "United States"), (143444, "GB", "United Kingdom"), (143443, "DE", "Germany"), (9, "de", "Germania")], "id int, iso string, name string")
+    found = search.find_storefront(rows, stores, "asked")
+    assert sorted((r.k, r.iso) for r in found.collect()) == [(1, "US"), (2, "GB"), (3, "DE"), (4, "US"), (5, "US")]
+    assert {(r.k, r.iso) for r in search.find_storefront(rows, stores.limit(0), "asked").collect()} == {(k, None) for k in range(1, 6)}
+    kinds = spark.createDataFrame([(*r[:4], r[3], r[4], i) for i, r in enumerate([*media.RATINGS, ("any", "*", "movie", "none", -1)])], "system string, country string, media string, code string, name string, value int, ord int")
+    asked = spark.createDataFrame([(1, "PG-13", None, "movie"), (2, "FSK 16", "DE", "tv"), (3, "unrated", "FR", "movie"), (4, None, "US", "movie"), (5, "tv14", "US", "tv"), (6, "12a", "GB", "tv")], "k int, certification string, country string, media string")
+    rated = media.lookup_ratings(asked, kinds)
+    assert sorted((r.k, r.r_system, r.r_code) for r in rated.collect()) == [(1, "mpaa", "PG-13"), (2, "de-tv", "Ab 16 Jahren"), (3, "any", "none"), (4, None, None), (5, "us-tv", "TV-14"), (6, "uk-movie", "12A")]
+    assert media.lookup_ratings(asked, kinds.limit(0)).count() == 6
+    for df in (found, rated):
+        assert "NestedLoop" not in df._jdf.queryExecution().toString() and "Cartesian" not in df._jdf.queryExecution().toString()

@@ -66,7 +66,7 @@ def normal_certification(c: Column) -> tuple[Column, Column]:
     return country, F.nullif(F.regexp_replace(c, r"(?i)^tv_", "TV-"), F.lit(""))
 
 
-def lookup_ratings(rows: DataFrame, ratings: DataFrame, key: list[str]) -> DataFrame:
+def lookup_ratings(rows: DataFrame, ratings: DataFrame) -> DataFrame:
     """Rating of (certification, country, media); no country means the US, and a US ``TV-`` code is one of TV whatever the media.
 
     Within the row's media, then within any: the same code, else the same name, else the same letters and digits, else
@@ -79,12 +79,21 @@ def lookup_ratings(rows: DataFrame, ratings: DataFrame, key: list[str]) -> DataF
     compact = lambda c: F.regexp_replace(F.upper(c), r"[^\p{L}\p{Nd}]", "")
     first_number = lambda c: F.regexp_extract(c, r"(\d+)", 1)
     mere = F.rlike(F.trim(F.regexp_replace("__c", "(?i)fsk", "")), F.lit(r"^[-+]?\s*\d+\s*\+?$"))
-    r = small_side(ratings.withColumnsRenamed({c: f"r_{c}" for c in ratings.columns}))
-    rank = F.when(F.upper("__c") == F.upper("r_code"), 0).when(F.upper("__c") == F.upper("r_name"), 1).when(compact(F.col("__c")) == compact(F.col("r_code")), 2).when(mere & (first_number("__c") == first_number("r_code")), 3)
-    unrated = F.when(F.upper("__c").isin("NR", "UNRATED", "NOT RATED") & (F.col("r_country") == "*"), 9)
-    rank = F.when(F.col("__country") == F.col("r_country"), rank + F.when(F.col("r_media") == F.col("__media"), 0).otherwise(4)).otherwise(unrated)
-    joined = asked.join(r, rank.isNotNull(), "left").withColumn("__rank", rank)
-    return first_match(joined, key, [F.asc_nulls_last("__rank"), F.asc_nulls_last("r_ord")]).drop("__c", "__country", "__media", "__rank")
+    r = ratings.withColumnsRenamed({c: f"r_{c}" for c in ratings.columns})
+    entry = F.struct(*r.columns)
+    same = [F.upper("r_code"), F.upper("r_name"), compact(F.col("r_code")), first_number("r_code")]
+    keys = lambda media, country, values: [F.concat_ws("|", m, country, F.lit(str(i)), v) for m in (media, F.lit("*")) for i, v in enumerate(values)]
+    table = r.select(entry.alias("entry"), F.explode(F.array(*keys(F.col("r_media"), F.col("r_country"), same), F.when(F.col("r_country") == "*", "unrated"))).alias("__key")).where("__key is not null")
+    first = table.groupBy("__key").agg(F.min_by("entry", "entry.r_ord").alias("entry"))
+    # each distinct question is answered once, by equality with its keys from the narrowest to the widest
+    by = ["__c", "__country", "__media"]
+    wanted = [F.upper("__c"), F.upper("__c"), compact(F.col("__c")), F.when(mere, first_number("__c"))]
+    usable = [F.when(F.col("__c").isNotNull() & v.isNotNull(), k) for k, v in zip(keys(F.col("__media"), F.col("__country"), wanted), wanted * 2, strict=True)]
+    unrated = F.when(F.upper("__c").isin("NR", "UNRATED", "NOT RATED"), "unrated")
+    questions = asked.select(*by).distinct().select(*by, F.posexplode(F.array(*usable, unrated)).alias("__rank", "__key")).where("__key is not null")
+    answers = questions.join(small_side(first), "__key").groupBy(*by).agg(F.min_by("entry", "__rank").alias("entry"))
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    return asked.alias("a").join(answers.alias("b"), on, "left").select(*[F.col(f"a.`{c}`") for c in rows.columns], "b.entry.*")
 
 
 #: Words of names of auxiliary tracks.

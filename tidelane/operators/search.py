@@ -37,15 +37,20 @@ def release_certification(dates: DataFrame, movie: list[str], country: str) -> D
     return first_match(known.withColumn("__o", order), movie, [F.asc("__o"), F.asc("ord")]).drop("__o")
 
 
-def find_storefront(rows: DataFrame, storefronts: DataFrame, asked: str, key: list[str], default: str = "US") -> DataFrame:
-    """The storefront of a numeric id, else of an ISO code (UK means GB), else of a name; else the default one."""
+def find_storefront(rows: DataFrame, storefronts: DataFrame, asked: str, default: str = "US") -> DataFrame:
+    """The storefront of a numeric id, else of an ISO code (UK means GB), else of a name; else the default one (null without any)."""
     text = F.trim(F.col(asked))
     text = F.when(F.upper(text) == "UK", F.lit("GB")).otherwise(text)
-    s = small_side(storefronts)
     number = F.rlike(text, F.lit(r"^\d+$"))
-    rank = F.when(number & (F.col("id").cast("string") == text), 0).when(~number & (F.upper("iso") == F.upper(text)), 1).when(~number & (F.lower("name") == F.lower(text)), 2).when(F.col("iso") == default, 9)
-    joined = rows.join(s, rank.isNotNull()).withColumn("__rank", rank)
-    return first_match(joined, key, [F.asc("__rank"), F.asc("id")]).drop("__rank")
+    first = lambda name, c: small_side(storefronts.where(c.isNotNull()).groupBy(c.alias(name)).agg(F.min("id").alias(f"{name}_id")))
+    found = rows.withColumns({"__number": F.when(number, text), "__iso": F.when(~number, F.upper(text)), "__name": F.when(~number, F.lower(text))})
+    for name, c in (("__number", F.col("id").cast("string")), ("__iso", F.upper("iso")), ("__name", F.lower("name"))):
+        found = found.join(first(name, c), name, "left")
+    chosen = F.coalesce("__number_id", "__iso_id", "__name_id").cast("string")
+    keyed = storefronts.withColumn("__key", F.col("id").cast("string"))
+    given = storefronts.where(F.col("iso") == default).groupBy(F.lit("default").alias("__key")).agg(F.min_by(F.struct(*storefronts.columns), "id").alias("s")).select("s.*", "__key")
+    out = found.withColumn("__key", F.coalesce(chosen, F.lit("default"))).join(small_side(keyed.unionByName(given)), "__key", "left")
+    return out.select(*rows.columns, *storefronts.columns)
 
 
 def normal_date(c: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions import text
 from tidelane.functions.times import format_centi, format_ms
 from tidelane.plans.queries import _t, query
-from tidelane.sources import containers, detect, nfo, subtitles
+from tidelane.sources import containers, detect, mp4, nfo, programs, ranges, subtitles
+from tidelane.sources.workdir import new_place
 
 #: Orders stand in for cues: their customer is the file, the key gives the times.
 _CUES = """
@@ -92,8 +94,6 @@ WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS path, o_orderkey * 60000 AS ms,
 SELECT path, string_agg('CHAPTER' || CASE WHEN seq < 10 THEN '0' ELSE '' END || seq || '=' || {_MS.format('ms', '.')} || chr(10) || 'CHAPTER' || CASE WHEN seq < 10 THEN '0' ELSE '' END || seq || 'NAME=' || title, chr(10) ORDER BY seq) || chr(10) AS text FROM c GROUP BY path
 """)
 def q_chapters_write(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     seq = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
     c = _t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("path"), (F.col("o_orderkey") * 60000).alias("start_ms"), F.col("o_orderpriority").alias("title"), seq.alias("seq"))
     return subtitles.to_chapter_text(c)
@@ -188,3 +188,126 @@ def q_annexb(spark: SparkSession, d: str) -> DataFrame:
     units = containers.scan(files, containers.annexb_units, containers.ANNEXB_SCHEMA)
     first = F.conv(F.hex(containers.payload(F.col("content"), F.col("position"), F.lit(1))), 16, 10).cast("int")
     return units.join(files, "path").select("path", "n", first.alias("kind"), F.col("size").alias("bytes"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as samples: the brand is the file, each name a payload."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    p = _t(spark, d, "part").select(F.concat(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"), F.lit(".mp4")).alias("path"), "p_partkey", "p_size", "p_name", (F.row_number().over(w) - 1).cast("long").alias("n"))
+    cells = {"track": F.lit(1).cast("long"), "duration": F.col("p_size").cast("long") + 1, "shift": F.col("p_partkey") % 5 - 2, "sync": F.col("p_partkey") % 3 == 0, "timescale": F.lit(1000).cast("long")}
+    return p.withColumns(cells | {"handler": F.lit("vide"), "codec": F.lit("avc1"), "entry": F.lit(b""), "width": F.lit(16), "height": F.lit(16), "payload": F.encode("p_name", "UTF-8")})
+
+
+_PARTS = """
+p AS (SELECT regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') || '.mp4' AS path, p_partkey, p_name, CAST(p_size + 1 AS BIGINT) AS duration, CAST(p_partkey % 5 - 2 AS BIGINT) AS shift, p_partkey % 3 = 0 AS sync,
+        row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part)"""
+
+
+@query(f"""
+WITH {_PARTS} SELECT path, n, duration, CAST(coalesce(sum(duration) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS dts, shift, sync, p_name AS name FROM p
+""")
+def q_mp4_mux(spark: SparkSession, d: str) -> DataFrame:
+    """MP4 files written from samples and read again by index and by position."""
+    place = new_place(spark, "mp4")
+    mp4.written(mp4.mux(_packed(spark, d)), place, tasks=8).write.format("noop").mode("overwrite").save()
+    index = ranges.scan_ranges(ranges.file_ranges(ranges.listed(spark, place), tasks=8), ranges.mp4_index, ranges.INDEX_SCHEMA)
+    back = ranges.with_payload(mp4.movie_samples(index))
+    return back.select(F.regexp_extract("path", r"[^/]*$", 0).alias("path"), "n", "duration", "dts", "shift", "sync", F.decode("payload", "UTF-8").alias("name"))
+
+
+def _u32(c: Column | int) -> Column:
+    """Four big-endian bytes."""
+    return F.unhex(F.lpad(F.hex(F.lit(c) if isinstance(c, int) else c), 8, "0"))
+
+
+def _box(kind: str, *parts: Column) -> Column:
+    body = F.concat(*parts)
+    return F.concat(_u32(8 + F.octet_length(body)), F.encode(F.lit(kind), "UTF-8"), body)
+
+
+@query("""
+WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS f FROM orders),
+s AS (SELECT path, k, f, i, CASE WHEN f % 2 = 0 THEN 40 ELSE k % 50 + 1 END AS duration, k % 100 + i AS size FROM o, (VALUES (0), (1), (2)) v(i)),
+r AS (SELECT *, 3 * f + i AS n, max(CASE WHEN f % 5 = 4 THEN f END) OVER (PARTITION BY path ORDER BY f, i ROWS UNBOUNDED PRECEDING) AS told FROM s)
+SELECT path, n, CAST(size AS BIGINT) AS size, CAST(duration AS BIGINT) AS duration, i = 0 AS sync,
+       CAST(CASE WHEN told IS NULL THEN 0 ELSE 100000 * told END + sum(duration) OVER (PARTITION BY path, told ORDER BY n) - duration AS BIGINT) AS dts FROM r
+""")
+def q_fragmented(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders as fragments of three samples: durations of every second from the movie's defaults, the decode time told by every fifth."""
+    k, f = F.col("o_orderkey"), F.col("f")
+    o = _t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("path"), "o_orderkey", (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("f"))
+    even = f % 2 == 0
+    tfhd = F.when(even, _box("tfhd", _u32(0x20000), _u32(1))).otherwise(_box("tfhd", _u32(0x20008), _u32(1), _u32(k % 50 + 1)))
+    tfdt = F.when(f % 5 == 4, _box("tfdt", _u32(0), _u32(100_000 * f))).otherwise(F.lit(b""))
+    trun = _box("trun", _u32(0x205), _u32(3), _u32(0), _u32(0), *[_u32(k % 100 + i) for i in range(3)])
+    moofs = o.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("f", _box("moof", _box("traf", tfhd, tfdt, trun)).alias("b")))).alias("b"))
+    moov = _box("moov", _box("mvex", _box("trex", _u32(0), _u32(1), _u32(1), _u32(40), _u32(5), _u32(0x10000))))
+    files = moofs.select("path", F.concat(_box("ftyp", F.encode(F.lit("iso5"), "UTF-8")), moov, F.aggregate("b.b", F.lit(b""), lambda a, x: F.concat(a, x))).alias("content"))
+    index = ranges.scan_ranges(ranges.file_ranges(files, 1 << 20), ranges.mp4_index, ranges.INDEX_SCHEMA)
+    return mp4.fragment_samples(index).select("path", "n", "size", "duration", "sync", "dts")
+
+
+def _packets(p: DataFrame, pid: Column, pieces: Column) -> Column:
+    """Transport packets of the pieces of a payload, each stuffed to 184 bytes by an adaptation field."""
+    def one(x: Column, i: Column) -> Column:
+        room = 184 - F.octet_length(x)
+        stuffing = F.when(room == 0, F.lit(b"")).when(room == 1, F.lit(b"\0")).otherwise(F.concat(F.unhex(F.lpad(F.hex(room - 1), 2, "0")), F.lit(b"\0"), F.unhex(F.repeat(F.lit("FF"), (room - 2).cast("int")))))
+        head = F.concat(F.lit(b"\x47"), F.unhex(F.lpad(F.hex(pid + F.when(i == 0, 0x4000).otherwise(0)), 4, "0")), F.unhex(F.lpad(F.hex(F.when(room == 0, 0x10).otherwise(0x30) + i % 16), 2, "0")))
+        return F.concat(head, stuffing, x)
+
+    return F.aggregate(F.transform(pieces, one), F.lit(b""), lambda a, x: F.concat(a, x))
+
+
+def _pieces(data: Column) -> Column:
+    n = F.ceil(F.octet_length(data) / 184)
+    return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.substring(data, (i * 184 + 1).cast("int"), F.lit(184)))
+
+
+@query("""
+SELECT CAST(s_suppkey AS VARCHAR) AS path, 7 AS program, CAST(512 + i AS INT) AS pid, CAST(CASE i % 3 WHEN 0 THEN 27 WHEN 1 THEN 15 ELSE 6 END AS INT) AS stream_type, CASE WHEN i % 3 = 2 THEN 'eng' END AS language, CAST(s_suppkey % 32 AS INT) AS version
+FROM supplier, range(0, 40) r(i)
+""")
+def q_program_tables(spark: SparkSession, d: str) -> DataFrame:
+    """A file a supplier with an association and a map of 40 streams over three packets, before it a damaged copy of another version; the check sums are made by the reader's own CRC."""
+    @F.pandas_udf("binary")
+    def checked(heads: pd.Series) -> pd.Series:
+        return heads.map(bytes) + pd.Series([int(c).to_bytes(4) for c in programs.mpeg_crc32([bytes(h) for h in heads])], index=heads.index)
+
+    def section(table: int, extension: int, version: Column, body: Column) -> Column:
+        u16 = lambda c: F.unhex(F.lpad(F.hex(c), 4, "0"))
+        return checked(F.concat(F.unhex(F.lpad(F.hex(F.lit(table)), 2, "0")), u16(0xB000 + F.octet_length(body) + 9), u16(F.lit(extension)), F.unhex(F.lpad(F.hex(0xC1 + version * 2), 2, "0")), F.lit(b"\0\0"), body))
+
+    kinds, entries = (0x1B, 0x0F, 0x06), []
+    for i in range(40):
+        held = b"\x0a\x04eng\0" if i % 3 == 2 else b""
+        entries.append(bytes([kinds[i % 3]]) + (0xE200 + i).to_bytes(2) + (0xF000 + len(held)).to_bytes(2) + held)
+    streams = F.lit(b"\xe2\x00\xf0\x00" + b"".join(entries))
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), (F.col("s_suppkey") % 32).cast("int").alias("v"))
+    s = s.withColumns({"pat": section(0, 1, F.lit(0), F.lit(b"\x00\x07\xe1\x00")), "pmt": section(2, 7, F.col("v"), streams), "other": section(2, 7, (F.col("v") + 1) % 32, streams)})
+    damaged = F.concat(F.substring(F.col("other"), F.lit(1), F.lit(100)), F.lit(b"\x99\x99\x99"), F.substring(F.col("other"), F.lit(104), F.octet_length("other")))
+    parts = [_packets(s, F.lit(pid), _pieces(F.concat(F.lit(b"\0"), c))) for pid, c in ((0, F.col("pat")), (0x100, F.col("pmt")), (0x100, damaged))]
+    files = s.select("path", F.concat(*parts).alias("content"))
+    packets = ranges.scan_ranges(ranges.file_ranges(files, 500), ranges.ts_packets, ranges.PACKET_SCHEMA)
+    return programs.programs(packets).select("path", "program", "pid", "stream_type", "language", "version")
+
+
+@query("""
+WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, o_orderkey AS k, o_orderpriority AS text, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)
+SELECT path, i // 4 AS cluster, i % 4 AS block, CAST(k % 7 + 1 AS BIGINT) AS track, CAST(1000 * (i // 4) + k % 100 AS BIGINT) AS time, k % 2 = 0 AS keyframe, text FROM o
+""")
+def q_matroska_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """A film a customer, four frames a cluster, read in ranges of 100 bytes whose borders fall anywhere."""
+    k, i = F.col("o_orderkey"), F.col("i")
+    byte = lambda c: F.unhex(F.lpad(F.hex(c), 2, "0"))
+    sized = lambda c: F.concat(F.unhex(F.concat(F.lit("01"), F.lpad(F.hex(F.octet_length(c)), 14, "0"))), c)
+    o = _t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("path"), "o_orderkey", "o_orderpriority", (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("i"))
+    body = F.concat(byte(0x80 + k % 7 + 1), F.unhex(F.lpad(F.hex(k % 100), 4, "0")), F.when(k % 2 == 0, F.lit(b"\x80")).otherwise(F.lit(b"\0")), F.encode("o_orderpriority", "UTF-8"))
+    join = lambda c: F.aggregate(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["b"]), F.lit(b""), lambda a, x: F.concat(a, x))
+    clusters = o.groupBy("path", F.floor(i / 4).alias("c")).agg(join(F.struct("i", F.concat(F.lit(b"\xa3"), sized(body)).alias("b"))).alias("frames"))
+    held = F.concat(F.lit(b"\xe7\x84"), _u32(1000 * F.col("c")), "frames")
+    films = clusters.groupBy("path").agg(join(F.struct("c", F.concat(F.lit(ranges.CLUSTER), sized(held)).alias("b"))).alias("all"))
+    files = films.select("path", F.concat(F.lit(b"\x1a\x45\xdf\xa3\x80\x18\x53\x80\x67\x01" + b"\xff" * 7), "all").alias("content"))
+    frames = ranges.scan_ranges(ranges.file_ranges(files, 100), ranges.matroska_frames, ranges.FRAME_SCHEMA)
+    nth = F.dense_rank().over(Window.partitionBy("path").orderBy("cluster")) - 1
+    named = frames.withColumn("nth", nth).join(files, "path")
+    return named.select("path", F.col("nth").cast("long").alias("cluster"), "block", "track", "time", "keyframe", F.decode(containers.payload(F.col("content"), F.col("position"), F.col("size")), "UTF-8").alias("text"))

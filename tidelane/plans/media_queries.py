@@ -91,7 +91,7 @@ def q_ratings(spark: SparkSession, d: str) -> DataFrame:
     table = spark.createDataFrame([(*r[:4], r[3], r[4], i) for i, r in enumerate(media.RATINGS)], "system string, country string, media string, code string, name string, value int, ord int")
     forms = F.array(*[F.struct(F.lit(c).alias("certification"), F.lit(n).cast("string").alias("country"), F.lit(m).alias("media")) for c, n, m in asked])
     rows = _t(spark, d, "orders").select("o_orderkey", F.element_at(forms, (F.col("o_orderkey") % 16 + 1).cast("int")).alias("a")).select("o_orderkey", "a.*")
-    found = media.lookup_ratings(rows, table, ["o_orderkey"])
+    found = media.lookup_ratings(rows, table)
     return found.select("o_orderkey", F.when(F.col("r_code").isNotNull(), F.concat_ws("|", "r_system", "r_name", "r_value")).alias("rating"))
 
 

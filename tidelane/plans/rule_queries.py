@@ -361,7 +361,7 @@ def q_storefront(spark: SparkSession, d: str) -> DataFrame:
     stores = spark.createDataFrame([(143441, "US", "United States"), (143444, "GB", "United Kingdom"), (143443, "DE", "Germany"), (143442, "FR", "France")], "id int, iso string, name string")
     asked = F.array(*[F.lit(x) for x in ("us", "UK", " germany ", "143444", "DE", "Atlantis", None, "France")])
     rows = _t(spark, d, "orders").select("o_orderkey", F.element_at(asked, (F.col("o_orderkey") % 8 + 1).cast("int")).alias("asked"))
-    return search.find_storefront(rows, stores, "asked", ["o_orderkey"]).select("o_orderkey", "iso")
+    return search.find_storefront(rows, stores, "asked").select("o_orderkey", "iso")
 
 
 @query("""

@@ -26,7 +26,7 @@ _TABLES = {"stts": 8, "ctts": 8, "stsc": 12, "stco": 4, "co64": 8, "stss": 4}
 def _table(data: bytes, body: int, end: int, width: int) -> np.ndarray:
     """The rows of a counted table as big-endian 32-bit words (one 64-bit word a row for width 8 of co64)."""
     n = min(struct.unpack_from(">I", data, body + 4)[0], (end - body - 8) // width)
-    return np.frombuffer(data, ">u4", n * width // 4, body + 8).astype(np.int64).reshape(n, -1)
+    return np.frombuffer(data, ">u4", n * width // 4, body + 8).astype(np.int64).reshape(n, width // 4)
 
 
 def moov_tracks(data: bytes) -> Iterator[dict]:
