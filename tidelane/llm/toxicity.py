@@ -9,7 +9,7 @@ toxic passage; in training, each round picks every text's most suspicious passag
 far, so labels of whole texts suffice.
 
 Training texts are a bounded sample (``max_train_docs`` rows and ``max_train_bytes`` of text, by a hash
-of the id) of labelled rows; scoring is a map over all rows without a shuffle.  As the model is linear in subword vectors, scoring
+of the id) of labelled rows; texts above a sixteenth of these bytes are passed over, and if that leaves none, ``ValueError`` says so.  Scoring is a map over all rows without a shuffle.  As the model is linear in subword vectors, scoring
 keeps one number for each bucket.
 
 Defined results: null, empty and wordless texts get the score of an empty bag (the bias alone) and
@@ -33,6 +33,8 @@ from tidelane.llm.textkernel import U64, TextKernel, Words, mix64, text_slices
 
 MAX_TRAIN_DOCS = 4000
 MAX_TRAIN_BYTES = 64 << 20
+#: A text larger than this part of the bytes is not learned from.
+TEXT_SHARE = 16
 
 
 @dataclass(frozen=True)
@@ -226,9 +228,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = MA
     """Train on labelled rows outside the held-out fifth, in the order of a hash of the id, up to the bounds."""
     known = labels.where("toxic is not null and doc_id is not null").where(in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
-    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # max_train_docs rows at most
-    table = rows.withColumn("upto", upto).where(F.coalesce("upto", F.lit(0)) <= max_train_bytes).orderBy("doc_id").select("text", "toxic").toArrow()
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    heads = texts.select("doc_id", "h", "size").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("h", "size")).alias("x"), F.max("toxic").alias("toxic"))
+    fitting = heads.where(F.col("x.size") * TEXT_SHARE <= max_train_bytes).select("doc_id", "x.h", "x.size", "toxic")
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # max_train_docs narrow rows at most
+    taken = fitting.withColumn("upto", upto).where(F.col("upto") <= max_train_bytes).select("doc_id", "h", "toxic")
+    rows = texts.join(F.broadcast(taken), ["doc_id", "h"]).groupBy("doc_id").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    table = rows.orderBy("doc_id").select("text", "toxic").toArrow()
+    if not table.num_rows and heads.limit(1).count():
+        raise ValueError(f"labelled texts exist, but none is of max_train_bytes / {TEXT_SHARE} at most")
     return train(table.column("text").combine_chunks(), table.column("toxic").to_numpy().astype(np.int64), settings)
 
 
