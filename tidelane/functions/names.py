@@ -18,7 +18,18 @@ RELEASE_WORDS = [
 #: How seasons' folders are called.
 SEASON_FOLDERS = "Season Series Staffel Saison Temporada S".split()
 
-_TAG = rf"(?:{'|'.join(RELEASE_WORDS)})(?![A-Za-z0-9])"
+
+
+def _by_first_letter(words: list[str]) -> str:
+    """One pattern for all words; those that begin with a plain letter share it, so most are not tried at a place."""
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        plain = w[0].isalpha() and (len(w) == 1 or w[1] not in "?*+{|")
+        groups.setdefault(w[0] if plain else "", []).append(w[1:] if plain else w)
+    return "|".join("|".join(rest) if not first else f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
+
+
+_TAG = rf"(?:{_by_first_letter(RELEASE_WORDS)})(?![A-Za-z0-9])"
 _GAP = r"[\s._\-]"
 _YEAR = r"(?:19|20)\d{2}"
 #: Patterns after a lazily matched title: season (group 2), episode (3) and further episodes (4).
@@ -44,7 +55,8 @@ def clean_title(c: Column) -> Column:
     starts = F.rlike(c, F.lit(rf"(?i)^{_TAG}"))
     c = F.when(starts, c).otherwise(F.regexp_replace(c, rf"(?is)^(.+?)(?<![A-Za-z0-9]){_TAG}.*$", "$1"))
     acronyms = F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9])(?:[A-Za-z]\.){2,}(?:[A-Za-z](?![A-Za-z0-9]))?"), F.lit(0))
-    c = F.aggregate(acronyms, c, lambda text, a: F.replace(text, a, F.translate(a, ".", "\u0001")))
+    kept = F.aggregate(acronyms, c, lambda text, a: F.replace(text, a, F.translate(a, ".", "\u0001")))
+    c = F.when(F.rlike(c, F.lit(r"[A-Za-z]\.[A-Za-z]\.")), kept).otherwise(c)
     c = F.regexp_replace(c, r"(?:_|\.(?!\s))+|\s+", " ")
     c = F.regexp_replace(F.replace(c, F.lit("\u0001"), F.lit(".")), r"\(\s*\)|\[\s*\]", " ")
     return F.regexp_replace(F.regexp_replace(c, r"\s{2,}", " "), r"^[ \-–,(\[{~]+|[ \-–,(\[{~]+$", "")

@@ -487,7 +487,7 @@ def q_name_parse(spark: SparkSession, d: str) -> DataFrame:
     show, season, episode, year = k % 97, k % 12 + 1, k % 140 + 1, k % 70 + 1950
     day = F.format_string("0%d.1%d", season % 9 + 1, episode % 10)
     shown = F.array(*[F.format_string(x, show, season, episode, year, episode + 1, day) for x in forms])
-    rows = _t(spark, d, "orders").select("o_orderkey", F.element_at(shown, (k % 11 + 1).cast("int")).alias("input"))
+    rows = _t(spark, d, "orders").select("o_orderkey", F.element_at(shown, (k % 11 + 1).cast("int")).alias("input")).repartition(spark.sparkContext.defaultParallelism)  # narrow rows, much work each
     lower = F.when(k % 11 == 1, F.regexp_replace("title", "^river (.*) gate$", "River $1 Gate")).otherwise(F.col("title"))
     return names.parse_names(rows, "input", 2025).withColumn("title", lower).drop("input")
 
