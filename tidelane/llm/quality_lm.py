@@ -14,7 +14,8 @@ or broadcast; what a scoring run gathers grows with the distinct n-grams of the
     the sharded tables there, and the answers go back to the chunk, where they are summed for each document.
 4.  A document is kept when its perplexity is between a low and a high quantile of the trusted
     documents of its language that the model has not seen (with a margin); languages without such
-    documents use those of all languages.
+    documents use those of all languages.  The low bound does not hold for texts that the model was trained on, nor
+    for their copies, as their own counts lower their perplexity.
 
 Defined results: null texts and texts of fewer than five bytes have no perplexity and are not kept;
 a null language is a language of its own; rows without a doc_id are scored but never trusted; repeated
@@ -186,7 +187,7 @@ def log_probabilities(tables: list[np.ndarray], p: np.ndarray, gamma: np.ndarray
 
 
 def _scores(docs: pa.Table, answers: pa.Table, shards: int) -> pa.Table:
-    """(doc_id, lang, n: n-grams, ll: sum of log probabilities) of the documents of a chunk."""
+    """(doc_id, lang, h, n: n-grams, ll: sum of log probabilities) of the documents of a chunk."""
     codes = _chunk_codes(docs.column("text"))
     tables = lower_orders(codes)
     keys = keyed(tables) if len(codes) else np.zeros(0, np.int64)
@@ -201,20 +202,19 @@ def _scores(docs: pa.Table, answers: pa.Table, shards: int) -> pa.Table:
         code, doc = byte_runs(buf, offsets)
         n.append(np.bincount(doc, minlength=b - a))
         ll.append(np.bincount(doc, log_p[np.searchsorted(codes, code)], b - a))
-    return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "n": pa.array(np.concatenate(n) if n else [], pa.int64()), "ll": pa.array(np.concatenate(ll) if ll else [], pa.float64())})
+    return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "h": docs.column("h"), "n": pa.array(np.concatenate(n) if n else [], pa.int64()), "ll": pa.array(np.concatenate(ll) if ll else [], pa.float64())})
 
 
 def add_log_likelihood(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, lang, n, ll) of every row of ``docs`` (doc_id, lang, text)."""
+    """(doc_id, lang, h, n, ll) of every row of ``docs`` (doc_id, lang, text); ``h`` is a hash of the text."""
     spark = docs.sparkSession
     if not has_files(docs):
         docs = scratch.keep(docs, "docs")  # chunks need rows that stay where they are
     shards = shard_count(docs) | 1  # odd: keys of all shapes spread
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
-    split_bytes = int(split.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(split[-1], 0)
+    split_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     parts = max(1, split_bytes // CHUNK_BYTES)
     chunk = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).alias("chunk")
-    rows = docs.select("doc_id", "lang", "text", chunk)
+    rows = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("h"), chunk)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -239,7 +239,7 @@ def add_log_likelihood(docs: DataFrame, model: DataFrame, scratch: Scratch) -> D
     meet = lambda q, m: _answers(q, m) if q.num_rows else none
     answers = questions.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(meet, "chunk long, shard int, p binary, gamma binary")
     scored = rows.groupBy("chunk").cogroup(scratch.keep(answers, "answers").groupBy("chunk"))
-    scored = scratch.keep(scored.applyInArrow(lambda d, a: _scores(d, a, shards), "doc_id long, lang string, n long, ll double"), "scored")
+    scored = scratch.keep(scored.applyInArrow(lambda d, a: _scores(d, a, shards), "doc_id long, lang string, h long, n long, ll double"), "scored")
     scratch.drop("answers")
     return scored
 
@@ -273,7 +273,10 @@ def classify(docs: DataFrame, trusted: DataFrame, limits: Limits = Limits()) ->
     joined = scored.join(F.broadcast(bounds) if bounds.count() <= BROADCAST_IDS // 10 else bounds, F.col("lang").eqNullSafe(F.col("b_lang")), "left")
     at = lambda i, other, f: (F.coalesce(F.element_at("ends", i), F.lit(other)) * f)
     joined = joined.withColumns({"low": at(1, low, 1 - limits.margin), "high": at(2, high, 1 + limits.margin)})
-    kept = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(False))
+    learned = scratch.keep(train.select(F.xxhash64("text").alias("h")).distinct().withColumn("learned", F.lit(True)), "learned")
+    joined = joined.join(small(learned) if learned.count() <= BROADCAST_IDS else learned, "h", "left")
+    above = (F.col("perplexity") >= F.col("low")) | F.coalesce("learned", F.lit(False))
+    kept = F.coalesce((F.col("perplexity") <= F.col("high")) & above, F.lit(False))
     return joined.select("doc_id", "lang", F.col("n").alias("n_grams"), "perplexity", "low", "high", kept.alias("kept"))
 
 
