@@ -10,8 +10,8 @@ in each shard that it reaches, one or two, without a further shuffle.
 
 Defined results: a null text has size 8 and the checksum of empty bytes; repeated rows get ranks of
 their own, in any order among themselves; a null id sorts below all others; very long texts travel
-whole; an empty table gives no rows; extra columns travel with their row, but ``shard`` and ``slot``, and
-names that begin with ``__``, are replaced.  The order is the same in every run, however the table is partitioned.
+whole; an empty table gives no rows; extra columns travel with their row, but columns
+``shard`` and ``slot`` are replaced.  The order is the same in every run, however the table is partitioned.
 """
 
 from __future__ import annotations
@@ -60,13 +60,14 @@ def _shuffler(seed: int, shards: int, rows: int) -> Callable[[pa.Table], pa.Tabl
 
 def external_shuffle(df: DataFrame, row_bytes: Column, *, shards: int = SHARDS, seed: int = 17, id_col: str = "doc_id", text_crc: Column | None = None, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Deal all rows into ``shards`` shards in a seeded random order; adds ``shard`` and ``slot``."""
-    df = df.drop(*[c for c in df.columns if c in ("shard", "slot") or c.startswith("__")])
+    df = df.drop("shard", "slot")
     scratch = Scratch(df.sparkSession, "shuffle")
     crc = text_crc if text_crc is not None else F.lit(0).cast("long")
     rest = [c for c, kind in df.dtypes if c != id_col and not kind.startswith(("map", "variant"))]
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0).cast("long")
     same = ["__id", "__crc", "__tie"]
-    keyed = df.withColumns({"__bytes": row_bytes, "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))), "__crc": crc, "__tie": tie})
+    keys = [row_bytes.alias("__bytes"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("__id"), crc.alias("__crc"), tie.alias("__tie")]
+    keyed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], *keys)  # the input's names are free
     groups = keyed.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.sum("__bytes").alias("size"))
     n, size = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     hot = scratch.keep(groups.where((F.col("n") > 1) & ((F.col("n") > bucket_rows // 4) | (F.col("size") > bucket_bytes // 4))).select(*same), "hot")
@@ -83,8 +84,8 @@ def external_shuffle(df: DataFrame, row_bytes: Column, *, shards: int = SHARDS,
     counts = scratch.keep(keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
     offsets = running_offsets(counts, "__bucket", F.col("n"), "__offset").drop("n")
     placed = keyed.join(offsets, "__bucket")
-    schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return placed.groupBy("__bucket").applyInArrow(_shuffler(seed, shards, n), schema)
+    schema = T.StructType([*[T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(df.schema.fields)], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    return placed.groupBy("__bucket").applyInArrow(_shuffler(seed, shards, n), schema).toDF(*df.columns, "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> DataFrame:
