@@ -111,18 +111,18 @@ def grouped(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order, start, least, second
 
 
-def pack_entries(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, flag: np.ndarray, shards: int) -> list[tuple]:
-    """One row a shard, entries by key; keys are cut to 48 bits and sent as differences."""
+def pack_entries(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, flag: np.ndarray, shards: int, cut: int = 16) -> list[tuple]:
+    """One row a shard, entries by key; keys lose their last ``cut`` bits and are sent as differences."""
     order = np.argsort(key, kind="stable")
     key, doc, pos, flag = key[order], doc[order], pos[order], flag[order]
     shard = ((key >> U64(32)) * U64(shards)) >> U64(32)
-    value = (key >> U64(16)).astype(np.int64)
+    value = (key >> U64(cut)).astype(np.int64)
     rows = []
     cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(key)]]) if len(key) else np.zeros(1, int)
     for a, b in zip(cuts[:-1], cuts[1:]):
         used, local = np.unique(doc[a:b], return_inverse=True)
         step = np.diff(value[a:b])
-        keys = value[a : a + 1].tobytes() + step.astype(np.uint32 if step.max(initial=0) < 1 << 32 else np.int64).tobytes()
+        keys = value[a : a + 1].tobytes() + step.astype(np.uint32 if step.max(initial=0) < 1 << 32 and step.min(initial=0) >= 0 else np.int64).tobytes()
         rows.append(_row(shard=int(shard[a]), keys=keys, owners=local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes(), docs=used.tobytes(), pos=pos[a:b].astype(np.uint32).tobytes(), flags=np.packbits(flag[a:b]).tobytes()))
     return rows
 

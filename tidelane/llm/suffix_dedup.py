@@ -10,9 +10,9 @@
     repeats; overlapping ones unite to spans, so a span is as long as the match.
 
 A word is in a span if and only if it lies in a run of ``min_words`` words that another document holds
-too.  Words are compared by 64-bit hashes and runs by the leading 48 bits of theirs, so among n runs a
-false match is to be expected once n is near 2^24 in one key, or 10^7 to 10^8 in all; callers that cut
-text at that scale compare the spans' words first.
+too.  Words and extended suffixes are compared by 64-bit hashes; only the first exchange, which decides what
+is extended, sends 48 bits of a hash.  Among n extended suffixes n^2 / 2^65 false matches are to be expected,
+one from about 6 * 10^9 on.
 
 Defined results: null and short texts have no spans; repeats inside one document, and rows that
 repeat a doc_id, are no repeats across documents; rows without a doc_id (null in the result, too) are
@@ -110,7 +110,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 51) -> DataFrame:
                     yield key[np.searchsorted(place, starts)], ids[a + doc], starts - words.first[doc]
 
         # none is settled in its chunk: partners are the least documents of all chunks
-        yield from chunked(pieces(), lambda k, d, p: pack_entries(k, d, p, np.zeros(len(k), bool), shards))
+        yield from chunked(pieces(), lambda k, d, p: pack_entries(k, d, p, np.zeros(len(k), bool), shards, cut=0))
 
     def united(table: pa.Table) -> pa.Table:
         doc, pos, partner = bucket_entries(table)
