@@ -1,13 +1,14 @@
-"""Queries of codec headers, first-sample detectors and chapters in containers, over bytes made from table rows."""
+"""Queries of codec headers, detectors, chapters, tags, frames and written films, over bytes made from table rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelane.operators import headers
 from tidelane.plans.queries import _events, _t, query
-from tidelane.sources import chapters, ranges
+from tidelane.sources import chapters, containers, elementary, mkv, mp4, ranges, tagbytes
+from tidelane.sources.workdir import new_place
 
 
 def _ue(c: Column) -> Column:
@@ -107,3 +108,74 @@ def q_mp4_chapters(spark: SparkSession, d: str) -> DataFrame:
     files = p.select("path", F.concat(box("ftyp", F.encode(F.lit("isom"), "UTF-8"), u(4, 0)), box("mdat", joined(0, "rows")), moov).alias("content"))
     index = ranges.scan_ranges(ranges.file_ranges(files, 1 << 20), ranges.mp4_index, ranges.INDEX_SCHEMA)
     return chapters.track_chapters(index, files).select("path", "seq", "start_ms", "title")
+
+
+@query("""
+WITH o AS (SELECT CAST(o_custkey AS VARCHAR) || '.mkv' AS path, o_orderkey AS k, o_orderpriority AS text, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)
+SELECT path, CAST(k % 3 + 1 AS BIGINT) AS track, CAST(n * 1700 AS BIGINT) AS time, k % 2 = 0 AS keyframe, text FROM o
+""")
+def q_matroska_mux(spark: SparkSession, d: str) -> DataFrame:
+    """A film a customer, written with clusters and cues and read again in ranges, payloads by position."""
+    k = F.col("o_orderkey")
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    o = _t(spark, d, "orders").select(F.concat(F.col("o_custkey").cast("string"), F.lit(".mkv")).alias("path"), (k % 3 + 1).cast("long").alias("track"), n.cast("long").alias("n"), (n * 1700).cast("long").alias("time_ms"), (k % 2 == 0).alias("keyframe"), F.encode("o_orderpriority", "UTF-8").alias("payload"))
+    kinds = F.element_at(F.array(F.lit("video"), F.lit("audio"), F.lit("subtitle")), F.col("track").cast("int"))
+    samples = o.withColumns({"kind": kinds, "codec": F.lit("V_TEST"), "private": F.lit(None).cast("binary"), "width": F.lit(16), "height": F.lit(16), "rate": F.lit(48_000.0), "channels": F.lit(2)})
+    place = new_place(spark, "mkv")
+    mp4.written(mkv.mux(samples), place, tasks=8).write.format("noop").mode("overwrite").save()
+    frames = ranges.scan_ranges(ranges.file_ranges(ranges.listed(spark, place), 1 << 20, tasks=8), ranges.matroska_frames, ranges.FRAME_SCHEMA)
+    return ranges.with_payload(frames).select(F.regexp_extract("path", r"[^/]*$", 0).alias("path"), "track", "time", "keyframe", F.decode("payload", "UTF-8").alias("text"))
+
+
+@query("""
+SELECT p_brand AS path, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS BIGINT) AS pos, CASE WHEN p_partkey % 3 = 0 THEN '----:com.example:' || p_type ELSE chr(169) || 'nam' END AS name, p_name AS value FROM part
+""")
+def q_tag_items(spark: SparkSession, d: str) -> DataFrame:
+    """Item lists written from rows and read again."""
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("----:com.example:"), "p_type")).otherwise(F.lit("©nam"))
+    items = _t(spark, d, "part").select(F.col("p_brand").alias("path"), F.col("p_partkey").cast("long").alias("pos"), name.alias("name"), F.lit(1).alias("kind"), F.encode("p_name", "UTF-8").alias("value"))
+    return tagbytes.read_items(tagbytes.write_items(items)).select("path", "pos", "name", F.decode("value", "UTF-8").alias("value"))
+
+
+@query("SELECT p_brand AS path, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS BIGINT) AS pos, upper(p_type) AS name, p_name || '=1' AS value FROM part")
+def q_vorbis_blocks(spark: SparkSession, d: str) -> DataFrame:
+    tags = _t(spark, d, "part").select(F.col("p_brand").alias("path"), F.col("p_partkey").cast("long").alias("pos"), F.lower("p_type").alias("name"), F.concat("p_name", F.lit("=1")).alias("value"))
+    return tagbytes.read_comments(tagbytes.write_comments(tags)).select("path", "pos", "name", "value")
+
+
+@query("SELECT p_brand AS path, CASE WHEN p_partkey % 2 = 0 THEN 50 ELSE 30 END AS level, CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size % 5 AS BIGINT) END AS track_uid, p_type AS name, p_name AS value, 'und' AS language FROM part")
+def q_matroska_tags(spark: SparkSession, d: str) -> DataFrame:
+    odd = F.col("p_partkey") % 2 == 1
+    tags = _t(spark, d, "part").select(F.col("p_brand").alias("path"), F.col("p_partkey").cast("long").alias("pos"), F.when(odd, 30).otherwise(50).alias("level"), F.when(odd, (F.col("p_size") % 5).cast("long")).alias("track_uid"), F.col("p_type").alias("name"), F.col("p_name").alias("value"), F.lit(None).cast("string").alias("language"))
+    return tagbytes.read_matroska_tags(tagbytes.write_matroska_tags(tags)).select("path", "level", "track_uid", "name", "value", "language")
+
+
+@query("""
+WITH p AS (SELECT p_brand AS path, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part)
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY k) - 1 AS n, CAST(96 + k % 300 AS INT) AS size, CAST(512 AS INT) AS samples, CAST(CASE WHEN k % 2 = 0 THEN 48000 ELSE 44100 END AS INT) AS rate FROM p
+""")
+def q_dts_frames(spark: SparkSession, d: str) -> DataFrame:
+    """A stream a brand with a false sync word in each frame's payload."""
+    k = F.col("p_partkey")
+    size = 96 + k % 300
+    bits = F.lit((1 << 47) | (31 << 42) | (15 << 34)) + (size - 1) * (1 << 20) + F.when(k % 2 == 0, 13 << 10).otherwise(8 << 10)
+    frame = F.concat(F.lit(elementary.DTS_SYNC), F.unhex(F.lpad(F.hex(bits.cast("long")), 12, "0")), F.lit(elementary.DTS_SYNC), F.unhex(F.repeat(F.lit("55"), (size - 14).cast("int"))))
+    streams = _t(spark, d, "part").groupBy(F.col("p_brand").alias("path")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", frame.alias("b")))).alias("rows"))
+    files = streams.select("path", F.concat(F.lit(b"\x7f\xfe\x80\x01"), F.aggregate("rows.b", F.lit(b""), lambda a, x: F.concat(a, x))).alias("content"))
+    return containers.scan(files, elementary.dts_frames, elementary.DTS_SCHEMA).select("path", "n", "size", "samples", "rate")
+
+
+@query("""
+SELECT p_brand AS path, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n, CAST(CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 6 END AS INT) AS kind, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE CAST(octet_length(encode(p_name)) * (p_partkey % 9) AS BIGINT) END AS size FROM part
+""")
+def q_av1_units(spark: SparkSession, d: str) -> DataFrame:
+    """A stream a brand: delimiters and frames with sizes of one to three bytes."""
+    k = F.col("p_partkey")
+    hex2 = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
+    body = F.when(k % 4 == 0, F.lit("")).otherwise(F.repeat("p_name", (k % 9).cast("int")))
+    n = F.octet_length(body)
+    size = F.when(n < 128, hex2(n)).when(n < 1 << 14, F.concat(hex2(128 + n % 128), hex2(F.floor(n / 128)))).otherwise(F.concat(hex2(128 + n % 128), hex2(128 + F.floor(n / 128) % 128), hex2(F.floor(n / (1 << 14)))))
+    unit = F.concat(F.when(k % 4 == 0, F.lit(b"\x12")).otherwise(F.lit(b"\x32")), F.unhex(size), F.encode(body, "UTF-8"))
+    streams = _t(spark, d, "part").groupBy(F.col("p_brand").alias("path")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", unit.alias("b")))).alias("rows"))
+    files = streams.select("path", F.aggregate("rows.b", F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
+    return containers.scan(files, elementary.obu_units, elementary.OBU_SCHEMA).select("path", "n", "kind", "size")
