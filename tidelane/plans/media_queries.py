@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelane.functions import markup
 from tidelane.operators import media, rules, stateful, timeline
 from tidelane.plans.queries import HOUR, _events, _t, query
 
@@ -160,3 +161,18 @@ def q_prefill(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     found = media.prefill(F.when(k % 3 == 0, F.col("c_name")), F.when(k % 2 == 0, 1), F.when(k % 5 == 0, F.col("c_mktsegment")), F.lit("file"), F.lit("x"))
     return _t(spark, d, "customer").select("c_custkey", found.alias("p")).select("c_custkey", "p.kind", "p.title")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_name AS a, p_brand AS b, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 3 END AS style FROM part)
+SELECT p_partkey, a || ' & ' || chr(10) || b AS text, '0-' || length(a) || ':' || style || ';' || length(a) + 4 || '-' || length(a) + 4 + length(b) || ':3' AS runs,
+       CASE style WHEN 1 THEN '<b>' WHEN 2 THEN '<i>' WHEN 4 THEN '<u>' ELSE '<b><i>' END || a || CASE style WHEN 1 THEN '</b>' WHEN 2 THEN '</i>' WHEN 4 THEN '</u>' ELSE '</i></b>' END || ' &amp; ' || chr(10) || '<b><i>' || b || '</i></b>' AS vtt FROM p
+""")
+def q_markup_formats(spark: SparkSession, d: str) -> DataFrame:
+    """ASS text to styled text, to a timed text sample and back, and on to WebVTT."""
+    tags = F.element_at(F.array(*[F.lit(x) for x in ("\\b1", "\\i1", "\\u1", "\\b700\\i1")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    ass = F.concat(F.lit("{\\an8}{"), tags, F.lit("}"), "p_name", F.lit("{\\r} & {a comment}\\N{\\i1\\b1}"), "p_brand")
+    read = _t(spark, d, "part").select("p_partkey", markup.ass_styled(ass).alias("s"))
+    back = read.select("p_partkey", markup.tx3g_styled(markup.to_tx3g(F.col("s.text"), F.col("s.runs"))).alias("s"))
+    shown = F.array_join(F.transform("s.runs", lambda r: F.format_string("%d-%d:%d", r["start"], r["end"], r["style"])), ";")
+    return back.select("p_partkey", F.col("s.text").alias("text"), shown.alias("runs"), markup.to_vtt_markup(F.col("s.text"), F.col("s.runs")).alias("vtt"))
