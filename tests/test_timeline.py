@@ -146,3 +146,54 @@ def test_rules(spark):
     assert sorted(rows_of(rules.restart_jobs(queue), "status")) == [("Completed",), ("Ready",)]
     edits = spark.createDataFrame([(1, 1, "set", "t", "x"), (2, 2, "set", "t", "y"), (3, 2, "undo", None, None)], "seq int, txn int, op string, field string, new string")
     assert rows_of(rules.current_state(edits, ["field"]), "field", "value") == [("t", "x")]
+
+
+def test_cuts_and_snaps_equal_plain_loops_over_batches(spark):
+    """Long and short pieces, times that go back, runs that reach over Arrow batches."""
+    import random
+
+    rng = random.Random(8)
+    rows, t = [], 0
+    for i in range(4000):
+        t += rng.choice([0, 1, 2, 3, -2, 40, 900 if i % 97 == 0 else 5])
+        rows.append((("a", "b")[i % 50 == 0], i, t, rng.randrange(1, 9), rng.random() < 0.1))
+    df = spark.createDataFrame(rows, "k string, i long, t long, d long, key boolean").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        cut = {r.i: r.chunk for r in stateful.greedy_cut(df, ["k"], ["i"], "t", 60, "d", 200).collect()}
+        clusters = {r.i: r.cluster for r in stateful.cluster_cut(df, ["k"], ["i"], "t", "d", "key", max_ms=100, video_ms=30, max_bytes=150).collect()}
+        snapped = {r.i: r.snapped for r in stateful.snap_contiguous(df, ["k"], ["i"], "t", "d", 25).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for k in "ab":
+        start = size = at = base = held = end = None
+        chunk = cluster = -1
+        for _, i, t, d, key in (r for r in rows if r[0] == k):
+            if start is None or t - start > 60 or size + d > 200:
+                start, size, chunk = t, 0, chunk + 1
+            size += d
+            assert cut[i] == chunk
+            if base is None or t - base >= 100 or t - base < -(1 << 15) or held + d > 150 or (key and t - base >= 30):
+                base, held, cluster = max(t, 0), 0, cluster + 1
+            held += d
+            assert clusters[i] == cluster
+            at = end if end is not None and abs(t - end) <= 25 else t
+            end = at + d
+            assert snapped[i] == at
+
+
+def test_deep_reordering_by_a_heap(spark):
+    import heapq
+    import random
+
+    rng = random.Random(4)
+    pts = [rng.randrange(1000) for _ in range(300)]
+    heap, want = [], []
+    for p in pts:
+        heapq.heappush(heap, p)
+        if len(heap) > 16:
+            want.append(heapq.heappop(heap))
+    want += [heapq.heappop(heap) for _ in range(len(heap))]
+    df = spark.createDataFrame([("a", i, p) for i, p in enumerate(pts)], "k string, i long, pts long")
+    assert [r.dts for r in stateful.bounded_reorder(df, ["k"], ["i"], "pts").orderBy("i").collect()] == want
