@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions.text import name_format
+from tidelane.operators.joins import small_side
 from tidelane.operators.timeline import islands
 
 _LOG = logging.getLogger(__name__)
@@ -67,7 +68,7 @@ def first_existing(places: DataFrame, names: DataFrame, files: DataFrame, by: li
 
 def attached_packets(packets: DataFrame, wanted: DataFrame, pid: str = "pid") -> DataFrame:
     """Packets of the streams that someone reads (``wanted`` has a handful of pids); all others are dropped before assembly."""
-    return packets.join(F.broadcast(wanted.select(pid).distinct()), pid, "left_semi")
+    return packets.join(small_side(wanted.select(pid).distinct()), pid, "left_semi")
 
 
 def export_plan(tracks: DataFrame, codec: str = "codec") -> DataFrame:

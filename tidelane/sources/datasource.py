@@ -6,14 +6,17 @@ columns name and content).  Paths are local, ``file://`` or anything else that A
 
 from __future__ import annotations
 
+import itertools
 import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidelane.sources import containers
@@ -39,8 +42,8 @@ class FilePartition(InputPartition):
 class FrameReader(DataSourceReader):
     """One partition a file."""
 
-    def __init__(self, path: str, kind: str):
-        self.path, self.kind = path, kind
+    def __init__(self, path: str, kind: str, schema: StructType):
+        self.path, self.kind, self.schema = path, kind, schema
 
     def partitions(self) -> list[FilePartition]:
         files, root = opened(self.path)
@@ -50,12 +53,14 @@ class FrameReader(DataSourceReader):
         found = files.get_file_info(arrow_fs.FileSelector(root, recursive=True))
         return [FilePartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.type == arrow_fs.FileType.File]
 
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
+    def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
         files, _ = opened(self.path)
         with files.open_input_stream(partition.path) as stream:
             data = stream.read()
-        for row in KINDS[self.kind][0](data):
-            yield (partition.path, *row)
+        schema = to_arrow_schema(self.schema)
+        rows = ((partition.path, *row) for row in KINDS[self.kind][0](data))
+        while held := list(itertools.islice(rows, containers.BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 class FrameSource(DataSource):
@@ -67,7 +72,7 @@ class FrameSource(DataSource):
         return f"path string, {KINDS[self.options['kind']][1]}"
 
     def reader(self, schema: StructType) -> FrameReader:
-        return FrameReader(self.options["path"], self.options["kind"])
+        return FrameReader(self.options["path"], self.options["kind"], schema)
 
 
 @dataclass
