@@ -134,10 +134,15 @@ def nearest_rate(wanted: Column, supported: list[int]) -> Column:
     return F.array_min(F.array(*[F.struct(F.abs(wanted - r).alias("d"), F.lit(r).alias("r")) for r in supported]))["r"]
 
 
-def pivot_statistics(tags: DataFrame, tracks: DataFrame, names: list[str]) -> DataFrame:
-    """Statistics tags (uid, name, value) by their track's number."""
+def pivot_statistics(tags: DataFrame, tracks: DataFrame, names: list[str], bridge: DataFrame | None = None) -> DataFrame:
+    """Statistics tags (uid, name, value) by their track.
+
+    Where tracks have numbers but no uids, ``bridge`` (number, uid) leads from one to the other; a uid that it lacks is lost.
+    """
     wide = tags.groupBy("uid").pivot("name", names).agg(F.max("value"))
-    return tracks.join(wide, "uid", "left")
+    if bridge is None:
+        return tracks.join(wide, "uid", "left")
+    return tracks.join(wide.join(bridge.select("number", "uid"), "uid").drop("uid"), "number", "left")
 
 
 def add_imported(tracks: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:

@@ -144,3 +144,32 @@ def group_contiguous(df: DataFrame, by: list[str], order: list[str], position: s
     runs = islands(df.withColumn("__g", gap), by, order, F.col("__g"), "__run").drop("__g")
     inside = F.floor((F.row_number().over(_w([*by, "__run"], order)) - 1) / cap)
     return runs.withColumn("part", inside).withColumnRenamed("__run", "run")
+
+
+def fixed_times(df: DataFrame, by: list[str], order: list[str], dts: str, pts: str, video: Column) -> DataFrame:
+    """``fixed_dts`` strictly increasing; presentation times of video stay (``fixed_pts``), others move with their decode time."""
+    raised = strictly_increasing(df, by, order, dts, "fixed_dts")
+    return raised.withColumn("fixed_pts", F.when(video, F.col(pts)).otherwise(F.col(pts) + F.col("fixed_dts") - F.col(dts)))
+
+
+def end_trim(df: DataFrame, by: list[str], order: list[str], duration: str, known: str) -> DataFrame:
+    """(by, trim): what the last row's known end takes off the anchored timeline, the last row's duration at most."""
+    placed = anchored_timeline(df, by, order, duration, known, "__start")
+    last = placed.groupBy(*by).agg(F.max_by(F.struct("__start", duration, known), F.struct(*order)).alias("r"))
+    over = F.col("r.__start") + F.col(f"r.{duration}") - F.col(f"r.{known}")
+    return last.select(*by, F.coalesce(F.when(over > 0, F.least(over, F.col(f"r.{duration}"))), F.lit(0)).alias("trim"))
+
+
+def peak_rate(df: DataFrame, by: list[str], time: str, size: str, unit: int) -> DataFrame:
+    """(by, peak, total): the most bytes in any stretch of ``unit`` ticks that begins at a multiple of it."""
+    buckets = df.groupBy(*by, F.floor(F.col(time) / unit).alias("__b")).agg(F.sum(size).alias("__s"))
+    return buckets.groupBy(*by).agg(F.max("__s").alias("peak"), F.sum("__s").alias("total"))
+
+
+def roll_up_cues(boxes: DataFrame, by: list[str], order: list[str], start: str, end: str, forced: str, y: str, x: str, text: str) -> DataFrame:
+    """Adjacent boxes that begin together as one cue: the latest end, forced if any is, texts a line each from top to bottom, then left to right."""
+    runs = islands(boxes.withColumn("__g", F.col(start) != F.lag(start).over(_w(by, order))), by, order, F.col("__g"), "cue")
+    lines = F.array_sort(F.collect_list(F.struct(F.col(y), F.col(x), F.struct(*order).alias("__o"), F.col(text).alias("__t"))))
+    grouped = runs.groupBy(*by, "cue").agg(F.min(start).alias(start), F.max(end).alias(end), F.bool_or(F.coalesce(F.col(forced), F.lit(False))).alias(forced), lines.alias("__l"))
+    shown = F.filter(F.transform("__l", lambda r: r["__t"]), lambda t: F.coalesce(t, F.lit("")) != "")
+    return grouped.withColumn(text, F.array_join(shown, "\n")).drop("__l")

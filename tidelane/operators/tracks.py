@@ -156,11 +156,28 @@ def table_summary(runs: DataFrame, by: list[str], n: str, size: str, fixed: str)
 def unpacked_pictures(samples: DataFrame, by: list[str], order: str) -> DataFrame:
     """Rows that pack two pictures (``pictures`` = 2) give two; the second takes the slot of the placeholder that follows.
 
-    Adds ``part`` (0 or 1) and ``slot``, the row whose time a picture takes; placeholders (``pictures`` = 0) vanish.
-    Without a placeholder behind it, the second picture takes the next row's slot and that row moves one on,
-    which is left to the caller (``slot`` is null at the end of a track).
+    Adds ``part`` (0 or 1), ``slot``, the row whose time a picture takes, and ``late``, whether it comes one sample's duration
+    after that; placeholders (``pictures`` = 0) vanish.  Without a placeholder behind it, the second picture takes the
+    next row's slot and that row's first picture is late (``slot`` is null at the end of a track).
     """
     w = Window.partitionBy(*by).orderBy(order)
-    opened = samples.withColumn("__next", F.lead(order).over(w)).where("pictures > 0")
+    opened = samples.withColumns({"__next": F.lead(order).over(w), "__late": F.coalesce(F.lag("pictures").over(w) == 2, F.lit(False))}).where("pictures > 0")
     opened = opened.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("pictures") - 1)))
-    return opened.withColumn("slot", F.when(F.col("part") == 0, F.col(order)).otherwise(F.col("__next"))).drop("__next")
+    opened = opened.withColumn("late", (F.col("part") == 0) & F.col("__late"))
+    return opened.withColumn("slot", F.when(F.col("part") == 0, F.col(order)).otherwise(F.col("__next"))).drop("__next", "__late")
+
+
+def typical_duration(runs: DataFrame, by: list[str], order: str, n: str, delta: str) -> DataFrame:
+    """The duration of the longest single run of a track's table (the first of several; runs of 0 do not count; 0 without any)."""
+    rank = F.when(F.col(delta) > 0, F.struct(F.col(n), -F.col(order)))
+    return runs.groupBy(*by).agg(F.coalesce(F.max_by(delta, rank), F.lit(0)).alias("typical"))
+
+
+def rank_artwork(art: DataFrame, by: list[str], language: str, score: str, ident: str, wanted: list[str], out: str = "place") -> DataFrame:
+    """Places from 1: by the language (the first of ``wanted`` before the others of it, then none, then any other), then by score (none is 0)."""
+    known = F.nullif(F.lower(F.trim(language)), F.lit(""))
+    rank = F.when(known.isNull(), 0)
+    for i, w in enumerate(wanted):
+        rank = rank.when(known == w.lower(), len(wanted) - i)
+    w = Window.partitionBy(*by).orderBy(rank.otherwise(-1).desc(), F.coalesce(F.col(score), F.lit(0)).desc(), ident)
+    return art.withColumn(out, F.row_number().over(w).cast("long"))

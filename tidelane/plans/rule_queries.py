@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.functions import audio
-from tidelane.operators import joins, media, rules, search, stateful, tags, tracks
+from tidelane.operators import joins, media, rules, search, stateful, tags, timeline, tracks
 from tidelane.plans.queries import _events, _t, query
 
 #: Orders stand in for tracks: their customer is the file.
@@ -509,3 +509,83 @@ def q_json_rows(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))).alias("json"), redact(url).alias("address"))
 
 
+@query("""
+WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 2 WHEN 'error' THEN 0 ELSE 1 END AS pictures FROM events),
+b AS (SELECT *, lag(pictures) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e)
+SELECT user_id, event_id, pictures, coalesce(before = 2, false) AS late FROM b WHERE pictures > 0
+""")
+def q_late_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """First pictures that come a duration late, as the row before them packed two."""
+    pictures = F.when(F.col("event_type") == "view", 2).when(F.col("event_type") == "error", 0).otherwise(1)
+    opened = tracks.unpacked_pictures(_t(spark, d, "events").select("user_id", "event_id", pictures.alias("pictures")), ["user_id"], "event_id")
+    return opened.where("part = 0").select("user_id", "event_id", "pictures", "late")
+
+
+@query("""
+WITH r AS (SELECT p_brand, p_size % 12 AS n, p_partkey % 5 AS delta, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_partkey % 5 > 0 THEN p_size % 12 ELSE -1 END DESC, p_partkey) AS r FROM part)
+SELECT p_brand, CAST(delta AS BIGINT) AS typical FROM r WHERE r = 1
+""")
+def q_typical_duration(spark: SparkSession, d: str) -> DataFrame:
+    runs = _t(spark, d, "part").select("p_brand", "p_partkey", (F.col("p_size") % 12).alias("n"), (F.col("p_partkey") % 5).cast("long").alias("delta"))
+    return tracks.typical_duration(runs, ["p_brand"], "p_partkey", "n", "delta")
+
+
+@query("""
+SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE -1 END DESC, o_totalprice DESC, o_orderkey) AS place FROM orders
+""")
+def q_artwork(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.rank_artwork(_t(spark, d, "orders"), ["o_custkey"], "o_orderstatus", "o_totalprice", "o_orderkey", ["f", "o"]).select("o_custkey", "o_orderkey", "place")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 3600000000 AS dts, epoch_us(ts) // 3600000000 + 2 AS pts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+f AS (SELECT *, max(dts - rn) OVER (PARTITION BY user_id ORDER BY event_id) + rn AS fixed_dts FROM e)
+SELECT user_id, event_id, fixed_dts, CASE WHEN event_type = 'view' THEN pts ELSE pts + fixed_dts - dts END AS fixed_pts FROM f
+""")
+def q_fixed_times(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d).select("user_id", "event_id", "event_type", F.floor(F.col("t") / 3_600_000_000).alias("dts")).withColumn("pts", F.col("dts") + 2)
+    return timeline.fixed_times(e, ["user_id"], ["event_id"], "dts", "pts", F.col("event_type") == "view").select("user_id", "event_id", "fixed_dts", "fixed_pts")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, 1 + event_id % 900 AS dur, CASE WHEN event_id % 3 > 0 THEN 1000 + event_id % 5000 END AS granule FROM events),
+s AS (SELECT *, sum(dur) OVER (PARTITION BY user_id ORDER BY event_id) AS upto FROM e),
+a AS (SELECT user_id, arg_min(granule - upto, event_id) FILTER (WHERE granule IS NOT NULL) AS shift, arg_max(dur, event_id) AS dur, max(upto) AS upto, max_by(coalesce(granule, -1), event_id) AS granule FROM s GROUP BY user_id)
+SELECT user_id, CAST(CASE WHEN granule >= 0 AND coalesce(shift, 0) + upto > granule THEN least(coalesce(shift, 0) + upto - granule, dur) ELSE 0 END AS BIGINT) AS trim FROM a
+""")
+def q_end_trim(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    e = _t(spark, d, "events").select("user_id", "event_id", (k % 900 + 1).alias("dur"), F.when(k % 3 > 0, k % 5000 + 1000).alias("granule"))
+    return timeline.end_trim(e, ["user_id"], ["event_id"], "dur", "granule").select("user_id", F.col("trim").cast("long").alias("trim"))
+
+
+@query("""
+WITH b AS (SELECT user_id, epoch_us(ts) // 86400000000 AS day, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS s FROM events GROUP BY ALL) SELECT user_id, max(s) AS peak, CAST(sum(s) AS BIGINT) AS total FROM b GROUP BY user_id
+""")
+def q_peak_rate(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d).select("user_id", "t", F.round(F.col("value") * 100).cast("long").alias("size"))
+    return timeline.peak_rate(e, ["user_id"], "t", "size", 86_400_000_000)
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 86400000000 AS s, epoch_us(ts) // 86400000000 + event_id % 4 AS f, event_type = 'error' AS forced, event_id % 3 AS y, event_id % 5 AS x, CASE WHEN event_id % 7 > 0 THEN event_type ELSE '' END AS text FROM events),
+g AS (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS c FROM e),
+i AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS cue FROM g)
+SELECT user_id, CAST(cue AS BIGINT) AS cue, min(s) AS s, max(f) AS f, bool_or(forced) AS forced, coalesce(string_agg(text, chr(10) ORDER BY y, x, event_id) FILTER (WHERE text <> ''), '') AS text FROM i GROUP BY user_id, cue
+""")
+def q_cue_rollup(spark: SparkSession, d: str) -> DataFrame:
+    k, day = F.col("event_id"), F.floor(F.col("t") / 86_400_000_000)
+    e = _events(spark, d).select("user_id", "event_id", day.alias("s"), (day + k % 4).alias("f"), (F.col("event_type") == "error").alias("forced"), (k % 3).alias("y"), (k % 5).alias("x"), F.when(k % 7 > 0, F.col("event_type")).otherwise("").alias("text"))
+    return timeline.roll_up_cues(e, ["user_id"], ["event_id"], "s", "f", "forced", "y", "x", "text").select("user_id", "cue", "s", "f", "forced", "text")
+
+
+@query("""
+WITH s AS (SELECT user_id, max(CASE WHEN event_type = 'view' THEN n END) AS view, max(CASE WHEN event_type = 'click' THEN n END) AS click FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id)
+SELECT CAST(c_custkey AS BIGINT) AS number, view, click FROM customer LEFT JOIN s ON c_custkey * 2 = user_id AND c_custkey % 5 > 0
+""")
+def q_stats_bridge(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics by uid reach tracks that have numbers alone; a fifth of the numbers has no uid."""
+    tags = _t(spark, d, "events").groupBy(F.col("user_id").alias("uid"), F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("value"))
+    numbers = _t(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("number"))
+    bridge = numbers.where("number % 5 > 0").select("number", (F.col("number") * 2).alias("uid"))
+    return media.pivot_statistics(tags, numbers, ["view", "click"], bridge)
