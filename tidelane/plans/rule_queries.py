@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions import audio
-from tidelane.operators import joins, media, rules, search, stateful, tags, timeline, tracks
+from tidelane.operators import edits, joins, media, rules, search, stateful, tags, timeline, tracks
 from tidelane.plans.queries import _events, _t, query
 
 #: Orders stand in for tracks: their customer is the file.
@@ -589,3 +589,41 @@ def q_stats_bridge(spark: SparkSession, d: str) -> DataFrame:
     numbers = _t(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("number"))
     bridge = numbers.where("number % 5 > 0").select("number", (F.col("number") * 2).alias("uid"))
     return media.pivot_statistics(tags, numbers, ["view", "click"], bridge)
+
+
+@query("""
+WITH p AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) - p_size AS place, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+b AS (SELECT *, r = 5 OR p_partkey % 4 IN (0, 3) OR (p_partkey % 4 = 1 AND p_size % 2 = 1) AS usable FROM p),
+i AS (SELECT *, sum(CASE WHEN usable THEN 0 ELSE 1 END) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS blocked FROM b),
+s AS (SELECT p_brand, blocked, min(place) AS slot_start, max(place + p_size) AS slot_end, bool_or(r = n) AS at_end FROM i WHERE usable GROUP BY p_brand, blocked HAVING bool_or(r = 5))
+SELECT p_brand, CAST(slot_start AS BIGINT) AS slot_start, CAST(slot_end AS BIGINT) AS slot_end,
+       CASE WHEN at_end THEN 'tail' WHEN slot_end - slot_start - 40 = 0 OR slot_end - slot_start - 40 >= 8 THEN 'slot' ELSE 'rewrite' END AS plan,
+       CAST(CASE WHEN NOT at_end AND (slot_end - slot_start - 40 = 0 OR slot_end - slot_start - 40 >= 8) THEN slot_end - slot_start - 40 ELSE 0 END AS BIGINT) AS filler FROM s
+""")
+def q_index_edit(spark: SparkSession, d: str) -> DataFrame:
+    """A file a brand: its fifth part is the index, others are free, data or foreign boxes; the new index has 40 bytes."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    kind = F.when(F.row_number().over(w) == 5, "moov").otherwise(F.element_at(F.array(*[F.lit(x) for x in ("free", "mdat", "uuid", "skip")]), (k % 4 + 1).cast("int")))
+    boxes = _t(spark, d, "part").select("p_brand", kind.alias("kind"), (F.sum(size).over(w) - size).alias("offset"), size.alias("size"), (F.col("p_size") % 2 == 0).alias("referenced"))
+    slots = edits.index_slots(boxes, ["p_brand"]).withColumns({"moov": F.lit(30), "extra": F.lit(10)})
+    return edits.index_edit(slots, "moov", "extra").select("p_brand", "slot_start", "slot_end", "plan", F.col("filler").cast("long").alias("filler"))
+
+
+@query("""
+WITH n AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS rn, count(*) OVER (PARTITION BY o_custkey) - 1 AS mx FROM orders)
+SELECT o_custkey, o_orderstatus, arg_max(o_orderpriority, rn) AS value FROM n WHERE rn % 5 = 0 OR (rn % 5 = 1 AND rn // 5 = mx // 5 AND mx % 5 IN (1, 3)) GROUP BY o_custkey, o_orderstatus
+""")
+def q_undo_redo(spark: SparkSession, d: str) -> DataFrame:
+    """Logs of a customer that repeat edit, edit, undo, redo, undo; one edit in five lasts."""
+    rn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    op = F.when(rn % 5 < 2, "edit").when(rn % 5 == 3, "redo").otherwise("undo")
+    log = _t(spark, d, "orders").select("o_custkey", "o_orderstatus", F.col("o_orderkey").alias("seq"), op.alias("op"), F.col("o_orderkey").alias("txn"), F.lit(None).cast("string").alias("old"), F.col("o_orderpriority").alias("new"))
+    return edits.current_values(log, ["o_custkey"], ["o_orderstatus"])
+
+
+@query("SELECT user_id, arg_max(event_id, (CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END, value, -event_id)) AS event_id FROM events GROUP BY user_id")
+def q_best_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Events as readings: errors are blank, the value is the confidence."""
+    e = _t(spark, d, "events").select("user_id", "event_id", "value", F.when(F.col("event_type") != "error", F.col("event_type")).alias("text"))
+    return edits.best_readings(e, ["user_id"], "value", "event_id").select("user_id", "event_id")
