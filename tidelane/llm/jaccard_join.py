@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelane.llm.components import connected_components
-from tidelane.llm.storage import Scratch, arrow_rows, shard_count
+from tidelane.llm.storage import Scratch, arrow_rows, memory_returned, shard_count
 from tidelane.llm.textkernel import U64, TextKernel, mix64, text_slices, window_hashes
 
 SHINGLE = 5
@@ -113,7 +113,7 @@ def read_sets(docs: DataFrame) -> DataFrame:
                 _, _, n, digest = shingle_sets(kernel, buf, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(digest)], names=["doc_id", "n", "class"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, class long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(memory_returned(run), "doc_id long, n long, class long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -135,11 +135,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(digest[rows]), pa.array(tokens, pa.binary())], names=["class", "tokens"])
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("rep", "class"), F.col("doc_id") == F.col("rep"))
-    sets = joined.select("text", "class").mapInArrow(run, "class long, tokens binary")
+    sets = joined.select("text", "class").mapInArrow(memory_returned(run), "class long, tokens binary")
     unnamed = wanted.where("rep is null").select("class")
     if unnamed.isEmpty():
         return sets
-    nameless = docs.where("doc_id is null").select("text", F.lit(None).cast("long").alias("class")).mapInArrow(run, "class long, tokens binary")
+    nameless = docs.where("doc_id is null").select("text", F.lit(None).cast("long").alias("class")).mapInArrow(memory_returned(run), "class long, tokens binary")
     return sets.unionByName(nameless.join(unnamed, "class", "left_semi").dropDuplicates(["class"]))
 
 
@@ -244,7 +244,7 @@ def inverted_lists(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         if size:
             yield flush()
 
-    packed = docs.select("text").mapInArrow(run, "shard int, tokens binary, owners binary, classes binary, sizes binary")
+    packed = docs.select("text").mapInArrow(memory_returned(run), "shard int, tokens binary, owners binary, classes binary, sizes binary")
     lists = packed.groupBy("shard").applyInArrow(_lists, "list long, class long, n int, w int")
     return lists.groupBy("list", "class").agg(F.max("n").alias("n"), F.sum("w").cast("int").alias("w"))
 
@@ -269,7 +269,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("class").alias("ca"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("class").alias("cb"), F.col("tokens").alias("tb"))
     joined = pairs.join(a, F.col("a") == F.col("ca")).join(b, F.col("b") == F.col("cb"))
-    return joined.select("a", "b", "ta", "tb").mapInArrow(_overlaps, "a long, b long")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(memory_returned(_overlaps), "a long, b long")
 
 
 def best_pivots(lists: DataFrame, scratch: Scratch) -> DataFrame:
@@ -426,7 +426,7 @@ def _with_class(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc"), pa.array(shingle_sets(kernel, buf, offsets)[3])], names=["row", "doc", "cls"])
 
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField("cls", T.LongType())]))
+    return rows.mapInArrow(memory_returned(run), T.StructType([*rows.schema.fields[:2], T.StructField("cls", T.LongType())]))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelane.llm.prefix import numbered, running_offsets
-from tidelane.llm.storage import Scratch
+from tidelane.llm.storage import Scratch, give_back
 
 SHARDS = 24
 BUCKET_BYTES = 16 << 20
@@ -53,6 +53,7 @@ def _shuffler(seed: int, shards: int, rows: int) -> Callable[[pa.Table], pa.Tabl
         shard = rank * shards // rows
         taken = table.take(pa.array(canonical[fisher_yates(table.num_rows, seed * 1_000_003 + bucket)]))
         taken = taken.drop_columns(["__bucket", "__offset", "__id", "__crc", "__tie"])
+        give_back()  # of the buckets before
         return taken.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(rank - -(-shard * rows // shards)))
 
     return shuffle

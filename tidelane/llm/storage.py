@@ -8,10 +8,14 @@ folder uses a folder of our own in local mode (tests, a notebook), and raises on
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +88,36 @@ class arrow_rows:
         self.spark.conf.set(self.KEY, self.before)
 
 
+def memory_returned(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for ``mapInArrow`` whose large arrays go back to the system when they are freed, and all else at its end.
+
+    Python workers outlive their tasks, and what the C library keeps for them counts against the executor.
+    """
+
+    @functools.wraps(run)
+    def kept_small(batches: Iterator) -> Iterator:
+        give_back(at_once=1 << 20)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return kept_small
+
+
+def give_back(at_once: int = 0) -> None:
+    """Return freed memory to the system, and from now on blocks of ``at_once`` bytes as soon as they are freed (glibc; nothing elsewhere)."""
+    try:
+        library = ctypes.CDLL(None)
+        if at_once:
+            library.mallopt(-3, at_once)  # M_MMAP_THRESHOLD
+        else:
+            library.malloc_trim(0)
+            pa.default_memory_pool().release_unused()
+    except (AttributeError, OSError):
+        pass
+
+
 def has_files(df: DataFrame) -> bool:
     """Whether ``df`` is a plain scan of files, so that rows stay in their file splits."""
     try:

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelane.llm.storage import memory_returned
 from tidelane.llm.textkernel import U64, TextKernel, Words, mix64, text_slices
 
 MAX_TRAIN_DOCS = 4000
@@ -255,7 +256,7 @@ def add_toxicity(docs: DataFrame, model: ToxicModel, *, text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([rows.column(n) for n in names] + [pa.array(score_texts(kernel, held, buf, offsets))], names=[*names, score_col])
 
     columns = names if text_col in names else [*names, text_col]
-    return docs.select(*columns).mapInArrow(run, T.StructType([*passed, T.StructField(score_col, T.DoubleType())]))
+    return docs.select(*columns).mapInArrow(memory_returned(run), T.StructType([*passed, T.StructField(score_col, T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
