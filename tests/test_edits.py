@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidelane.operators import edits
+from tidelane.operators import edits, rules
 
 
 def test_index_slots_and_plans(spark):
@@ -95,3 +95,12 @@ def test_best_readings(spark):
     rows = [(1, 0, "a", 0.5), (1, 1, "b", 0.9), (1, 2, "c", 0.9), (2, 0, " ", 0.99), (2, 1, "x", 0.1), (3, 0, None, None), (3, 1, "", 0.2)]
     got = edits.best_readings(spark.createDataFrame(rows, "picture int, engine int, text string, sure double"), ["picture"], "sure", "engine").collect()
     assert {r.picture: r.engine for r in got} == {1: 1, 2: 1, 3: 1}
+
+
+def test_pairs_of_audio_tracks(spark):
+    rows = [("f", 1, "aac_plus_ac3", True, False, 0), ("f", 2, None, True, True, 3), ("f", 3, "aac_plus_passthrough", False, False, 7), ("g", 1, "convert", True, False, 0)]
+    got = rules.audio_pairs(spark.createDataFrame(rows, "file string, pos long, action string, enabled boolean, is_default boolean, alt_group int"), ["file"], "pos")
+    assert [tuple(r[c] for c in ("file", "new_pos", "pos", "action", "enabled", "is_default", "alt_group", "fallback")) for r in got.orderBy("file", "new_pos").collect()] == [
+        ("f", 1, 1, "aac", True, True, 1, None), ("f", 2, 1, "ac3", False, False, 1, 1), ("f", 3, 2, None, True, True, 3, None),
+        ("f", 4, 3, "aac", False, False, 7, None), ("f", 5, 3, "passthrough", False, False, 7, 4), ("g", 1, 1, "convert", True, False, 0, None),
+    ]

@@ -279,3 +279,18 @@ def test_detectors(spark):
     got = {r.track: tuple(r)[1:] for r in headers.detect(spark.createDataFrame(rows, "track string, codec string, n long, data binary").repartition(4), ["track"], "n").collect()}
     none = (False, False, False, False)
     assert got == {"a": (True, False, False, False), "b": (False, False, True, False), "c": (False, False, False, True), "d": none, "e": none, "f": none}
+
+
+def test_access_units_of_blocks(spark):
+    """Leading units go; the first major sync sets rate and time; blocks hold one unit or several."""
+    unit = lambda n, major=None: (0x4000 | n // 2).to_bytes(2) + b"\0\0" + (headers.MAJOR_SYNC + bytes([major << 4]) if major is not None else b"") + bytes(n - 4 - 5 * (major is not None))
+    rows = [("a", 0, 0, unit(20)), ("a", 1, 1000, unit(30) + unit(40, 1) + unit(22)), ("a", 2, 1002, unit(10) + unit(12, 1)), ("b", 0, 500, unit(50, 8)), ("c", 0, 0, unit(30)), ("d", 0, 0, None)]
+    df = spark.createDataFrame(rows, "track string, n long, pts long, data binary")
+    got = [tuple(r) for r in headers.truehd_units(df, ["track"], "n", "pts", 1000).orderBy("track", "unit").collect()]
+    start = 96_000 + 80
+    assert got == [
+        ("a", 0, 1, 30, 40, True, start, 80, 96_000), ("a", 1, 1, 70, 22, False, start + 80, 80, 96_000), ("a", 2, 2, 0, 10, False, start + 160, 80, 96_000),
+        ("a", 3, 2, 10, 12, True, start + 240, 80, 96_000), ("b", 0, 0, 0, 50, True, 22_050, 40, 44_100),
+    ]
+    with pytest.raises(Exception, match="breaks off"):
+        headers.truehd_units(spark.createDataFrame([("a", 0, 0, unit(20)[:-1])], df.schema), ["track"], "n", "pts", 1000).collect()

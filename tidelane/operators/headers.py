@@ -254,3 +254,47 @@ def detect(samples: DataFrame, by: list[str], order: str, codec: str = "codec",
     few = few.withColumn("__n", nth)  # of the few rows alone
     flags = [F.coalesce(F.max((F.col("__n") <= n) & F.col(codec).isin(*codecs) & holds(F.col(data))), F.lit(False)).alias(name) for name, (codecs, n, holds) in detectors.items()]
     return few.groupBy(*by).agg(*flags)
+
+
+# --- access units of lossless audio ----------------------------------------------------------------
+
+#: The mark of a TrueHD major sync, and the sampling rates by their codes.
+MAJOR_SYNC = b"\xf8\x72\x6f\xba"
+TRUEHD_RATES = {0: 48_000, 1: 96_000, 2: 192_000, 8: 44_100, 9: 88_200, 10: 176_400}
+
+
+def truehd_units(blocks: DataFrame, by: list[str], order: str, pts: str, timescale: int, data: str = "data") -> DataFrame:
+    """(by, unit, position, size, sync, dts, duration, rate) of the access units that the blocks of a track hold, split by their lengths.
+
+    A track begins with its first major sync; its time is that block's, and units follow each other by 1/1200 of a second
+    (a rate's forty samples at 48 kHz, and as much at others), so the rounding of containers is left behind.  A block
+    that breaks off inside a unit raises ``ValueError``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, nth, position, size, sync, rate = [], [], [], [], [], []
+            for row, cell in enumerate(batch.column(data)):
+                content, at, n = cell.as_py() or b"", 0, 0
+                while at < len(content):
+                    length = 2 * (int.from_bytes(content[at : at + 2]) & 0x0FFF)
+                    if length < 4 or at + length > len(content):
+                        raise ValueError(f"access unit {n} of a block breaks off at byte {at}")
+                    major = content[at + 4 : at + 8] == MAJOR_SYNC
+                    for held, v in zip((owner, nth, position, size, sync, rate), (row, n, at, length, major, TRUEHD_RATES.get(content[at + 8] >> 4) if major and length > 8 else None), strict=True):
+                        held.append(v)
+                    at, n = at + length, n + 1
+            kept = [batch.column(c).take(pa.array(owner, pa.int64())) for c in [*by, order, pts]]
+            made = [pa.array(nth, pa.int64()), pa.array(position, pa.int64()), pa.array(size, pa.int64()), pa.array(sync, pa.bool_()), pa.array(rate, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*by, order, pts, "i", "position", "size", "sync", "rate"])
+
+    kinds = ", ".join(f"`{c}` {dict(blocks.dtypes)[c]}" for c in [*by, order, pts])
+    units = blocks.select(*by, order, pts, data).mapInArrow(run, f"{kinds}, i long, position long, size long, sync boolean, rate long")
+    w = Window.partitionBy(*by).orderBy(order, "i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    begun = units.withColumn("__s", F.sum(F.col("sync").cast("long")).over(upto)).where("__s > 0")
+    first = lambda c: F.first(c).over(upto)
+    timed = begun.withColumns({"unit": F.row_number().over(w).cast("long") - 1, "__rate": first("rate"), "__pts": first(pts), "__i": first("i")})
+    duration = F.floor(F.col("__rate") * 40 / F.when(F.col("__rate") % 48_000 == 0, 48_000).otherwise(44_100))
+    start = F.bround(F.col("__pts") * F.col("__rate") / timescale).cast("long") + F.col("__i") * duration
+    return timed.select(*by, "unit", F.col(order), "position", "size", "sync", (start + F.col("unit") * duration).alias("dts"), duration.alias("duration"), F.col("__rate").alias("rate"))

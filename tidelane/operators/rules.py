@@ -53,6 +53,29 @@ def expand_plan(df: DataFrame, order: str, by: list[str], expands: Column, first
     return opened.withColumn("new_pos", F.row_number().over(Window.partitionBy(*by).orderBy(order, "part")).cast("long"))
 
 
+#: Actions that make two tracks of one, and what then happens to the track itself.
+PAIR_ACTIONS = {"aac_plus_passthrough": "passthrough", "aac_plus_ac3": "ac3"}
+
+
+def audio_pairs(tracks: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Tracks whose action asks for a pair get an AAC track before them, which takes over their state; they fall back on it.
+
+    ``tracks``: by, order, action, enabled, is_default, alt_group and others, which the new track shares.  The track itself is
+    disabled and copied or converted, both stand in its group (group 1 without one), and ``fallback`` is the
+    new track's place.  Adds ``new_pos`` from 1.
+    """
+    paired = F.coalesce(F.col("action").isin(*PAIR_ACTIONS), F.lit(False))
+    after = F.coalesce(*[F.when(F.col("action") == asked, then) for asked, then in PAIR_ACTIONS.items()], "action")
+    opened = tracks.withColumns({"__pair": paired, "part": F.explode(F.when(paired, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))})
+    new, old = F.col("__pair") & (F.col("part") == 0), F.col("__pair") & (F.col("part") == 1)
+    state = opened.withColumns({
+        "is_default": F.when(new, F.col("is_default") | F.col("enabled")).when(old, False).otherwise(F.col("is_default")), "enabled": F.when(old, False).otherwise(F.col("enabled")),
+        "alt_group": F.when(F.col("__pair"), F.when(F.col("alt_group") > 0, F.col("alt_group")).otherwise(1)).otherwise(F.col("alt_group")), "action": F.when(new, "aac").when(old, after).otherwise(F.col("action")),
+    })
+    numbered = state.withColumn("new_pos", F.row_number().over(Window.partitionBy(*by).orderBy(order, "part")).cast("long"))
+    return numbered.withColumn("fallback", F.when(old, F.col("new_pos") - 1)).drop("__pair", "part")
+
+
 def parse_id_list(text: str) -> list[tuple[int, int]]:
     """``"1,3-5"`` as ranges; blanks are allowed, an inverted or malformed range is an error."""
     found = []

@@ -179,3 +179,20 @@ def q_av1_units(spark: SparkSession, d: str) -> DataFrame:
     streams = _t(spark, d, "part").groupBy(F.col("p_brand").alias("path")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", unit.alias("b")))).alias("rows"))
     files = streams.select("path", F.aggregate("rows.b", F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
     return containers.scan(files, elementary.obu_units, elementary.OBU_SCHEMA).select("path", "n", "kind", "size")
+
+
+@query("""
+WITH p AS (SELECT p_brand AS track, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part),
+u AS (SELECT track, k, n, i, CASE WHEN i = 0 THEN 10 + 2 * (k % 30) ELSE 8 END AS size, i = 0 AND k % 4 = 0 AS sync FROM p, (VALUES (0), (1)) v(i)),
+f AS (SELECT *, min(CASE WHEN sync THEN n END) OVER (PARTITION BY track) AS first FROM u)
+SELECT track, 2 * (n - first) + i AS unit, CAST(size AS BIGINT) AS size, sync, CAST(first * 1920 + (2 * (n - first) + i) * 40 AS BIGINT) AS dts FROM f WHERE n >= first
+""")
+def q_truehd_units(spark: SparkSession, d: str) -> DataFrame:
+    """A track a brand, blocks of two access units; one block in four begins with a major sync, and those before the first go."""
+    k = F.col("p_partkey")
+    size = 10 + 2 * (k % 30)
+    head = F.concat(F.unhex(F.lpad(F.hex((0x4000 + size / 2).cast("long")), 4, "0")), F.lit(b"\0\0"))
+    first = F.when(k % 4 == 0, F.concat(head, F.lit(headers.MAJOR_SYNC + b"\0"), F.unhex(F.repeat(F.lit("00"), (size - 9).cast("int"))))).otherwise(F.concat(head, F.unhex(F.repeat(F.lit("11"), (size - 4).cast("int")))))
+    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    blocks = _t(spark, d, "part").select(F.col("p_brand").alias("track"), n.cast("long").alias("n"), (n * 40).cast("long").alias("pts"), F.concat(first, F.lit(b"\x40\x04\0\0abcd")).alias("data"))
+    return headers.truehd_units(blocks, ["track"], "n", "pts", 1000).select("track", "unit", "size", "sync", "dts")

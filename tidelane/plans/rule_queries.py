@@ -627,3 +627,15 @@ def q_best_readings(spark: SparkSession, d: str) -> DataFrame:
     """Events as readings: errors are blank, the value is the confidence."""
     e = _t(spark, d, "events").select("user_id", "event_id", "value", F.when(F.col("event_type") != "error", F.col("event_type")).alias("text"))
     return edits.best_readings(e, ["user_id"], "value", "event_id").select("user_id", "event_id")
+
+
+@query("""
+WITH p AS (SELECT p_brand, p_partkey, CASE p_size % 3 WHEN 0 THEN 'aac_plus_ac3' WHEN 1 THEN 'aac_plus_passthrough' END AS asked, p_partkey % 2 = 0 AS enabled, CAST(p_size % 4 AS INT) AS alt FROM part),
+o AS (SELECT *, 0 AS part FROM p WHERE asked IS NOT NULL UNION ALL SELECT *, 1 FROM p)
+SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey, part) AS new_pos, CASE WHEN part = 0 THEN 'aac' WHEN asked = 'aac_plus_ac3' THEN 'ac3' WHEN asked IS NOT NULL THEN 'passthrough' END AS action,
+       enabled AND (part = 0 OR asked IS NULL) AS enabled, CASE WHEN asked IS NULL OR alt > 0 THEN alt ELSE 1 END AS alt_group, CASE WHEN part = 1 AND asked IS NOT NULL THEN row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey, part) - 1 END AS fallback FROM o
+""")
+def q_audio_pairs(spark: SparkSession, d: str) -> DataFrame:
+    asked = F.when(F.col("p_size") % 3 == 0, "aac_plus_ac3").when(F.col("p_size") % 3 == 1, "aac_plus_passthrough")
+    p = _t(spark, d, "part").select("p_brand", "p_partkey", asked.alias("action"), (F.col("p_partkey") % 2 == 0).alias("enabled"), F.lit(False).alias("is_default"), (F.col("p_size") % 4).cast("int").alias("alt_group"))
+    return rules.audio_pairs(p, ["p_brand"], "p_partkey").select("p_brand", "p_partkey", "new_pos", "action", "enabled", "alt_group", "fallback")
