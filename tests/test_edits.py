@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidelane.operators import edits, rules
+from tidelane.operators import edits, media, rules
 
 
 def test_index_slots_and_plans(spark):
@@ -104,3 +104,10 @@ def test_pairs_of_audio_tracks(spark):
         ("f", 1, 1, "aac", True, True, 1, None), ("f", 2, 1, "ac3", False, False, 1, 1), ("f", 3, 2, None, True, True, 3, None),
         ("f", 4, 3, "aac", False, False, 7, None), ("f", 5, 3, "passthrough", False, False, 7, 4), ("g", 1, 1, "convert", True, False, 0, None),
     ]
+
+
+def test_rules_of_levels_and_contexts(spark):
+    tags = spark.createDataFrame([("f", "Title", 1, 50, "tv"), ("f", "TITLE", 2, 70, "tv"), ("f", "title", 3, 50, "movie"), ("f", "part", 4, 30, "tv")], "file string, name string, pos int, level int, context string")
+    given = spark.createDataFrame([("title", "show", 1, 70, "tv"), ("title", "episode", 2, 50, "tv"), ("title", "film", 3, None, "movie"), ("part", "episode", 4, None, None), ("title", "other", 5, None, None)], "rule string, target string, ord int, level int, context string")
+    got = media.consume_by_rules(tags, given, ["file"], "rule", "name", within=["level", "context"])
+    assert sorted((r.target, r.pos, r.level) for r in got.collect()) == [("episode", 1, 50), ("film", 3, 50), ("show", 2, 70)]

@@ -38,12 +38,18 @@ def edit_offsets(edits: DataFrame, by: list[str], order: str, duration: str, med
     return marked.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("__seen") == 0, F.col(duration))), F.lit(0)).alias("start_offset"), F.max(F.when(F.col("__first"), F.col(media_time))).alias("media_start"), F.max(end).alias("media_end"))
 
 
-def consume_by_rules(tags: DataFrame, rules: DataFrame, by: list[str], rule_key: str, tag_key: str) -> DataFrame:
+def consume_by_rules(tags: DataFrame, rules: DataFrame, by: list[str], rule_key: str, tag_key: str, within: list[str] | None = None) -> DataFrame:
     """Match tags to ordered rules by upper-cased name; each tag serves one rule and each target takes one tag, first wins.
 
-    ``rules`` (rule_key, target, ord) is a small dimension, ``tags`` has by, tag_key and pos.
+    ``rules`` (rule_key, target, ord) is a small dimension, ``tags`` has by, tag_key and pos.  Both have the columns ``within``
+    (a level, a context): a rule that names one holds for tags of it alone, one that leaves it null for all.
     """
-    joined = tags.join(small_side(rules), F.upper(F.col(tag_key)) == F.upper(F.col(rule_key)))
+    within = within or []
+    named = small_side(rules.withColumnsRenamed({c: f"__{c}" for c in within}))
+    on = F.upper(F.col(tag_key)) == F.upper(F.col(rule_key))
+    for c in within:
+        on = on & (F.col(f"__{c}").isNull() | (F.col(f"__{c}") == F.col(c)))
+    joined = tags.join(named, on).drop(*[f"__{c}" for c in within])
     once = first_match(joined, [*by, "pos"], [F.asc("ord")])
     return first_match(once, [*by, "target"], [F.asc("ord"), F.asc("pos")])
 

@@ -81,6 +81,21 @@ def q_tag_rules(spark: SparkSession, d: str) -> DataFrame:
     return media.consume_by_rules(tags, u, ["user_id"], "rule_name", "event_type").select("user_id", "target", "pos")
 
 
+@query("""
+WITH u(rule, target, ord, level, context) AS (VALUES ('VIEW', 'seen', 1, 1, NULL), ('view', 'looked', 2, NULL, 'odd'), ('click', 'pressed', 3, 0, 'odd'), ('click', 'seen', 4, 2, NULL), ('error', 'pressed', 5, NULL, NULL)),
+t AS (SELECT user_id, event_type, event_id AS pos, event_id % 3 AS level, CASE WHEN event_id % 2 = 1 THEN 'odd' ELSE 'even' END AS context FROM events),
+a AS (SELECT t.user_id, u.target, t.pos, u.ord, row_number() OVER (PARTITION BY t.user_id, t.pos ORDER BY u.ord) AS r FROM t JOIN u ON upper(u.rule) = upper(t.event_type) AND coalesce(u.level, t.level) = t.level AND coalesce(u.context, t.context) = t.context),
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id, target ORDER BY ord, pos) AS q FROM a WHERE r = 1)
+SELECT user_id, target, pos FROM b WHERE q = 1
+""")
+def q_tag_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that hold at one level, in one context, or anywhere."""
+    u = spark.createDataFrame([("VIEW", "seen", 1, 1, None), ("view", "looked", 2, None, "odd"), ("click", "pressed", 3, 0, "odd"), ("click", "seen", 4, 2, None), ("error", "pressed", 5, None, None)], "rule string, target string, ord int, level int, context string")
+    k = F.col("event_id")
+    tags = _t(spark, d, "events").select("user_id", "event_type", k.alias("pos"), (k % 3).cast("int").alias("level"), F.when(k % 2 == 1, "odd").otherwise("even").alias("context"))
+    return media.consume_by_rules(tags, u, ["user_id"], "rule", "event_type", within=["level", "context"]).select("user_id", "target", "pos")
+
+
 @query("""
 WITH want(k, rating) AS (VALUES (0, 'mpaa|PG-13|300'), (1, 'mpaa|R|400'), (2, 'mpaa|PG-13|300'), (3, 'mpaa|PG|200'), (4, 'us-tv|TV-14|500'), (5, 'us-tv|TV-MA|600'), (6, 'us-tv|TV-PG|400'), (7, 'de-movie|Ab 16 Jahren|500'),
   (8, 'de-tv|Ab 12 Jahren|200'), (9, 'uk-movie|15|350'), (10, 'uk-movie|12A|325'), (11, 'mpaa|NR|0'), (12, NULL), (13, NULL), (14, NULL), (15, 'de-movie|Ab 16 Jahren|500'))
