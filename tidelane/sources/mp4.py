@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.sources.containers import mp4_boxes
+from tidelane.sources.ranges import joined_batches
 
 SAMPLE_SCHEMA = "track long, n long, position long, size long, dts long, duration long, shift long, sync boolean, timescale long, handler string, codec string"
 _TABLES = {"stts": 8, "ctts": 8, "stsc": 12, "stco": 4, "co64": 8, "stss": 4}
@@ -98,7 +99,7 @@ def movie_samples(index: DataFrame) -> DataFrame:
                     names = ["path", *(x.split()[0] for x in SAMPLE_SCHEMA.split(", "))]
                     yield pa.RecordBatch.from_arrays([cells[c] for c in names], names=names)
 
-    return index.where("kind = 'moov'").select("path", "box").mapInArrow(run, f"path string, {SAMPLE_SCHEMA}")
+    return index.where("kind = 'moov'").select("path", "box").mapInArrow(lambda batches: joined_batches(run(batches)), f"path string, {SAMPLE_SCHEMA}")
 
 
 # --- fragments -------------------------------------------------------------------------------------
@@ -187,7 +188,7 @@ def fragment_samples(index: DataFrame, start_dts: DataFrame | None = None) -> Da
 
     trex = index.where("kind = 'moov'").select("path", "box").mapInArrow(defaults, "path string, trex array<array<bigint>>")
     moofs = index.where("kind = 'moof'").select("path", "offset", "box").join(trex, "path", "left")
-    rows = moofs.select("path", "offset", "box", "trex").mapInArrow(runs, f"path string, {FRAGMENT_SCHEMA}")
+    rows = moofs.select("path", "offset", "box", "trex").mapInArrow(lambda batches: joined_batches(runs(batches)), f"path string, {FRAGMENT_SCHEMA}")
     order = ["moof", "fragment", "run", "i"]
     w = Window.partitionBy("path", "track").orderBy(*order)
     rows = rows.withColumns({"n": F.row_number().over(w).cast("long") - 1, "told": F.count("tfdt").over(w.rowsBetween(Window.unboundedPreceding, 0))})

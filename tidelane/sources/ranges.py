@@ -65,13 +65,27 @@ def file_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES, tasks: int | N
     return rows.repartition(tasks, "path", "start") if tasks else rows.repartition("path", "start")
 
 
+def joined_batches(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of many small batches in fewer ones of about ``rows`` rows or ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    n = held_bytes = 0
+    for batch in batches:
+        held.append(batch)
+        n, held_bytes = n + batch.num_rows, held_bytes + batch.nbytes
+        if n >= rows or held_bytes >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, held_bytes = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def scan_ranges(ranges: DataFrame, reader: Callable[[Source, int, int], Iterator[Columns]], schema: str) -> DataFrame:
     """Rows of ``reader`` for each range, after the path and the range's start."""
     full = T.StructType.fromDDL(f"path string, range long, {schema}")
     arrow = to_arrow_schema(full)
     inline = "content" in ranges.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 path, start, stop = (batch.column(c)[i].as_py() for c in ("path", "start", "stop"))
@@ -81,7 +95,7 @@ def scan_ranges(ranges: DataFrame, reader: Callable[[Source, int, int], Iterator
                     cells = {"path": pa.array([path] * n, pa.string()), "range": pa.array(np.full(n, start)), **columns}
                     yield pa.RecordBatch.from_arrays([c if isinstance(c := cells[f.name], pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow)
 
-    return ranges.mapInArrow(run, full)
+    return ranges.mapInArrow(lambda batches: joined_batches(pieces(batches)), full)
 
 
 def numbered_over_ranges(rows: DataFrame, order: list[str], out: str) -> DataFrame:
