@@ -69,6 +69,7 @@ class Scratch:
     def release(self) -> None:
         """Let Spark delete the shuffle files of finished jobs now, not when the driver next collects garbage."""
         gc.collect()
+        give_back()
         self.spark._jvm.System.gc()
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelane.llm.storage import memory_returned
+from tidelane.llm.storage import give_back, memory_returned
 from tidelane.llm.textkernel import U64, TextKernel, Words, mix64, text_slices
 
 MAX_TRAIN_DOCS = 4000
@@ -238,7 +238,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = MA
     table = rows.orderBy("doc_id").select("text", "toxic").toArrow()
     if not table.num_rows and heads.limit(1).count():
         raise ValueError(f"labelled texts exist, but none is of max_train_bytes / {TEXT_SHARE} at most")
-    return train(table.column("text").combine_chunks(), table.column("toxic").to_numpy().astype(np.int64), settings)
+    give_back(at_once=1 << 20)
+    model = train(table.column("text").combine_chunks(), table.column("toxic").to_numpy().astype(np.int64), settings)
+    del table
+    give_back()  # training runs at the driver, on a bounded sample
+    return model
 
 
 def add_toxicity(docs: DataFrame, model: ToxicModel, *, text_col: str = "text", score_col: str = "score", keep_text: bool = True) -> DataFrame:
