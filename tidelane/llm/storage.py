@@ -90,14 +90,13 @@ class arrow_rows:
 
 
 def memory_returned(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function for ``mapInArrow`` whose large arrays go back to the system when they are freed, and all else at its end.
+    """A function for ``mapInArrow`` that gives freed memory back to the system at its end.
 
     Python workers outlive their tasks, and what the C library keeps for them counts against the executor.
     """
 
     @functools.wraps(run)
     def kept_small(batches: Iterator) -> Iterator:
-        give_back(at_once=1 << 20)
         try:
             yield from run(batches)
         finally:
