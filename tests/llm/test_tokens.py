@@ -130,6 +130,13 @@ def test_alignment(request, name, bound):
     assert sorted((str(r.doc_id), *r[1:]) for r in got) == brute_alignment([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_alignment_of_white_space_at_the_edges_of_texts(spark):
+    """No text here has a U+2581, so units are encoded together; those with white edges must not run into their neighbours."""
+    texts = [" ", "trail ", "  lead", "a", "trail\t", "\t\tlead", "x  ", "  \n", " \x1c", "b \u3000", "\u2003 c", "\x85d\x1e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sorted((str(r.doc_id), *r[1:]) for r in alignment.align(docs).collect()) == brute_alignment([*enumerate(texts)])
+
+
 def test_alignment_of_an_empty_table(odd):
     assert alignment.align(odd.limit(0)).count() == 0
 

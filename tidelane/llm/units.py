@@ -86,9 +86,15 @@ def unit_slices(texts: list[str | None], size: int = BLOCK_CHARS, cut: Callable[
 
 
 def runs_of(found: list[str], chars: int) -> Iterator[list[str]]:
-    """Consecutive units of about ``chars`` characters together."""
+    """Consecutive units of about ``chars`` characters together; one that no cut may border (white space at the edge of a text) alone."""
     first, held = 0, 0
     for i, u in enumerate(found):
+        if any(c.isspace() or c == "▁" for c in (u[0], u[-1])):
+            if first < i:
+                yield found[first:i]
+            yield [u]
+            first, held = i + 1, 0
+            continue
         held += len(u) + 1
         if held >= chars:
             yield found[first : i + 1]
