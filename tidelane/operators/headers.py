@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -200,31 +201,44 @@ def codec_headers(units: DataFrame, codec: str = "codec", data: str = "data", re
 # --- first samples ---------------------------------------------------------------------------------
 
 
+#: Rows that a task holds before it cuts their tracks.
+HELD_ROWS = 1 << 16
+
+
 def first_samples(samples: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
     """The ``n`` rows of each track with the least ``order`` (whole numbers).
 
-    Each task keeps its own ``n`` least of a track (a partial aggregate, with the bound in hand no more than ``n`` rows a
-    track go on), and groups of these are cut again; no track is sorted, and no window goes over all rows.
+    Each task cuts tracks to their ``n`` least whenever it holds ``HELD_ROWS`` rows, and hands on what it holds where half
+    of them would stay (many tracks), so its memory does not grow with tracks; groups of what is handed on are cut again.
+    No track is sorted, and no window goes over all rows.
     """
     schema = samples.schema
 
+    def cut(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        track = np.zeros(table.num_rows, np.int64)
+        for c in by:
+            codes = pc.dictionary_encode(table.column(c).combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            track = np.unique(track * (codes.max(initial=0) + 1) + codes, return_inverse=True)[1]
+        rows = np.lexsort((table.column(order).to_numpy(), track))
+        first = np.flatnonzero(np.diff(track[rows], prepend=-1))
+        nth = np.arange(len(rows)) - np.repeat(first, np.diff(first, append=len(rows)))
+        return table.take(pa.array(rows[nth < n])).combine_chunks().to_batches()
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[tuple[int, pa.RecordBatch]]] = {}
-        bound: dict[tuple, int] = {}
+        held: list[pa.RecordBatch] = []
+        count = 0
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True)) if by else [()] * batch.num_rows
-            at = batch.column(order).to_numpy(zero_copy_only=False)
-            for i, key in enumerate(keys):
-                if at[i] <= bound.get(key, np.iinfo(np.int64).max):
-                    mine = held.setdefault(key, [])
-                    mine.append((int(at[i]), batch.slice(i, 1)))
-                    if len(mine) >= 2 * n:
-                        mine.sort(key=lambda x: x[0])
-                        del mine[n:]
-                        bound[key] = mine[-1][0]
-        for mine in held.values():
-            mine.sort(key=lambda x: x[0])
-            yield from pa.Table.from_batches([b for _, b in mine[:n]]).combine_chunks().to_batches()
+            held.append(batch)
+            count += batch.num_rows
+            if count >= HELD_ROWS:
+                held = cut(held)
+                count = sum(b.num_rows for b in held)
+                if 2 * count > HELD_ROWS:
+                    yield from held
+                    held, count = [], 0
+        if held:
+            yield from cut(held)
 
     few = samples.mapInArrow(partial, schema)
     rest = F.struct(F.col(order).alias("__o"), F.struct("*").alias("row"))
