@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelane.functions.bits import joined_bytes
 from tidelane.operators import headers
 from tidelane.plans.queries import _events, _t, query
 from tidelane.sources import chapters, containers, elementary, mkv, mp4, ranges, tagbytes
@@ -19,10 +20,7 @@ def _ue(c: Column) -> Column:
 
 def _unit(bits: Column, head: str) -> Column:
     """A unit's bytes of text of bits: closed by a one, filled up, kept free of start codes."""
-    text = F.concat(bits, F.lit("1"))
-    n = F.ceil(F.length(text) / 8)
-    text = F.rpad(text, (n * 8).cast("int"), "0")
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.lpad(F.conv(F.substring(text, (i * 8 + 1).cast("int"), F.lit(8)), 2, 16), 2, "0"))
+    cells = F.transform(F.regexp_extract_all(F.concat(bits, F.lit("10000000")), F.lit("[01]{8}"), F.lit(0)), lambda x: F.lpad(F.conv(x, 2, 16), 2, "0"))
     safe = F.regexp_replace(F.concat(F.array_join(cells, ","), F.lit(",")), "00,00,(?=0[0-3],)", "00,00,03,")
     return F.unhex(F.concat(F.lit(head), F.replace(safe, F.lit(","), F.lit(""))))
 
@@ -39,7 +37,7 @@ def q_codec_headers(spark: SparkSession, d: str) -> DataFrame:
     high = F.when(even, F.lit("")).otherwise(F.concat(_ue(F.lit(1)), _ue(F.lit(2)), _ue(F.lit(2)), zero, zero))
     bits = F.concat(F.when(even, u(8, F.lit(66))).otherwise(u(8, F.lit(100))), F.lit("00000000"), u(8, size), _ue(F.lit(0)), high, _ue(F.lit(0)), _ue(F.lit(2)), _ue(F.lit(4)), zero, _ue(size - 1), _ue(k % 70), zero, zero, one, one, _ue(F.lit(0)), _ue(F.lit(0)), _ue(F.lit(1)), _ue(F.lit(1)))
     bits = F.concat(bits, one, one, u(8, F.lit(2)), zero, zero, zero, one, u(32, F.lit(1001)), u(32, k))
-    units = _t(spark, d, "part").select("p_partkey", F.lit("h264").alias("codec"), _unit(bits, "67").alias("data"))
+    units = _t(spark, d, "part").select("p_partkey", bits.alias("bits")).select("p_partkey", F.lit("h264").alias("codec"), _unit(F.col("bits"), "67").alias("data"))
     return headers.codec_headers(units).select("p_partkey", "profile", "level", "width", "height", "bit_depth", "rate_ticks", "rate_scale", "aspect_width", "whole")
 
 
@@ -76,13 +74,11 @@ def q_matroska_chapters(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey").cast("long")
     shown = lambda title: _element(b"\x80", _element(b"\x85", F.encode(title, "UTF-8")))
     start = lambda ms: _element(b"\x91", F.unhex(F.lpad(F.hex(ms * 1_000_000), 16, "0")))
-    deep = _element(b"\xb6", start(k * 1000 + 200), shown(F.lit("deep")))
-    inner = _element(b"\xb6", start(k * 1000 + 500), _element(b"\x98", F.when(k % 3 == 0, F.lit(b"\1")).otherwise(F.lit(b"\0"))), shown(F.col("o_orderstatus")), deep)
-    atom = _element(b"\xb6", start(k * 1000), shown(F.col("o_orderpriority")), inner)
-    o = _t(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.aggregate(F.collect_list(atom), F.lit(b""), lambda a, x: F.concat(a, x)).alias("atoms"))
-    first = _element(b"\x45\xb9", _element(b"\x45\xdb", F.lit(b"\0")), F.col("atoms"))
-    chosen = _element(b"\x45\xb9", _element(b"\x45\xdb", F.lit(b"\1")), F.col("atoms"))
-    files = o.select("path", F.concat(F.lit(b"\x1a\x45\xdf\xa3\x80\x18\x53\x80\x67\x01" + b"\xff" * 7 + b"\xec\x83abc"), _element(b"\x10\x43\xa7\x70", first, chosen)).alias("content"))
+    o = _t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("path"), "o_orderkey", "o_orderstatus", shown(F.col("o_orderpriority")).alias("shown"), _element(b"\xb6", start(k * 1000 + 200), shown(F.lit("deep"))).alias("deep"))
+    o = o.withColumn("inner", _element(b"\xb6", start(k * 1000 + 500), _element(b"\x98", F.when(k % 3 == 0, F.lit(b"\1")).otherwise(F.lit(b"\0"))), shown(F.col("o_orderstatus")), F.col("deep")))
+    o = o.groupBy("path").agg(F.collect_list(_element(b"\xb6", start(k * 1000), F.col("shown"), F.col("inner"))).alias("atoms")).select("path", joined_bytes(F.col("atoms")).alias("atoms"))
+    o = o.select("path", *[_element(b"\x45\xb9", _element(b"\x45\xdb", F.lit(bytes([n]))), F.col("atoms")).alias(name) for n, name in enumerate(("first", "chosen"))])
+    files = o.select("path", F.concat(F.lit(b"\x1a\x45\xdf\xa3\x80\x18\x53\x80\x67\x01" + b"\xff" * 7 + b"\xec\x83abc"), _element(b"\x10\x43\xa7\x70", F.col("first"), F.col("chosen"))).alias("content"))
     return chapters.matroska_chapters(ranges.file_ranges(files, 1 << 20)).select("path", "seq", "start_ms", "title")
 
 
@@ -95,17 +91,19 @@ def q_mp4_chapters(spark: SparkSession, d: str) -> DataFrame:
     u = lambda n, c: F.unhex(F.lpad(F.hex(F.lit(c) if isinstance(c, int) else c), 2 * n, "0"))
     box = lambda kind, *parts: F.concat(u(4, 8 + F.octet_length(F.concat(*parts))), F.encode(F.lit(kind), "UTF-8"), *parts)
     full = lambda kind, *parts: box(kind, u(4, 0), *parts)
-    joined = lambda c, name: F.aggregate(F.col(name), F.lit(b""), lambda a, x: F.concat(a, x["b" if c == 0 else "s" if c == 1 else "t"]))
     name = F.encode("p_name", "UTF-8")
     sample = F.concat(u(2, F.octet_length(name)), name)
-    p = _t(spark, d, "part").groupBy(F.col("p_brand").alias("path")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", sample.alias("b"), u(4, F.octet_length(sample)).alias("s"), F.concat(u(4, 1), u(4, F.col("p_size"))).alias("t")))).alias("rows"))
-    n = F.size("rows")
-    table = box("stbl", full("stsz", u(4, 0), u(4, n), joined(1, "rows")), full("stts", u(4, n), joined(2, "rows")), full("stsc", u(4, 1), u(4, 1), u(4, n), u(4, 1)), full("stco", u(4, 1), u(4, 24)))
-    media = box("mdia", full("mdhd", u(8, 0), u(4, 100), u(4, 0)), full("hdlr", u(4, 0), F.encode(F.lit("text"), "UTF-8"), u(4, 0)), box("minf", table))
+    p = _t(spark, d, "part").select(F.col("p_brand").alias("path"), "p_partkey", "p_size", sample.alias("b"))
+    p = p.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "b", u(4, F.octet_length("b")).alias("s"), F.concat(u(4, 1), u(4, F.col("p_size"))).alias("t")))).alias("rows"))
+    p = p.select("path", F.size("rows").alias("n"), *[joined_bytes(F.col(f"rows.{c}")).alias(c) for c in "bst"])
+    n = F.col("n")
+    p = p.withColumn("table", F.concat(full("stsz", u(4, 0), u(4, n), F.col("s")), full("stts", u(4, n), F.col("t")), full("stsc", u(4, 1), u(4, 1), u(4, n), u(4, 1)), full("stco", u(4, 1), u(4, 24))))
     edit = box("edts", full("elst", u(4, 1), u(4, 150), u(4, 0xFFFFFFFF), u(4, 0x10000)))
-    tracks = [box("trak", full("tkhd", u(8, 0), u(4, 1)), box("tref", box("chap", u(4, 2)))), box("trak", full("tkhd", u(8, 0), u(4, 2)), edit, media)]
-    moov = box("moov", full("mvhd", u(8, 0), u(4, 600)), *tracks)
-    files = p.select("path", F.concat(box("ftyp", F.encode(F.lit("isom"), "UTF-8"), u(4, 0)), box("mdat", joined(0, "rows")), moov).alias("content"))
+    p = p.withColumn("media", F.concat(full("mdhd", u(8, 0), u(4, 100), u(4, 0)), full("hdlr", u(4, 0), F.encode(F.lit("text"), "UTF-8"), u(4, 0)), box("minf", box("stbl", F.col("table")))))
+    p = p.withColumn("text", F.concat(full("tkhd", u(8, 0), u(4, 2)), edit, box("mdia", F.col("media"))))
+    first = box("trak", full("tkhd", u(8, 0), u(4, 1)), box("tref", box("chap", u(4, 2))))
+    p = p.withColumn("movie", F.concat(full("mvhd", u(8, 0), u(4, 600)), first, box("trak", F.col("text"))))
+    files = p.select("path", F.concat(box("ftyp", F.encode(F.lit("isom"), "UTF-8"), u(4, 0)), box("mdat", F.col("b")), box("moov", F.col("movie"))).alias("content"))
     index = ranges.scan_ranges(ranges.file_ranges(files, 1 << 20), ranges.mp4_index, ranges.INDEX_SCHEMA)
     return chapters.track_chapters(index, files).select("path", "seq", "start_ms", "title")
 
@@ -161,7 +159,7 @@ def q_dts_frames(spark: SparkSession, d: str) -> DataFrame:
     bits = F.lit((1 << 47) | (31 << 42) | (15 << 34)) + (size - 1) * (1 << 20) + F.when(k % 2 == 0, 13 << 10).otherwise(8 << 10)
     frame = F.concat(F.lit(elementary.DTS_SYNC), F.unhex(F.lpad(F.hex(bits.cast("long")), 12, "0")), F.lit(elementary.DTS_SYNC), F.unhex(F.repeat(F.lit("55"), (size - 14).cast("int"))))
     streams = _t(spark, d, "part").groupBy(F.col("p_brand").alias("path")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", frame.alias("b")))).alias("rows"))
-    files = streams.select("path", F.concat(F.lit(b"\x7f\xfe\x80\x01"), F.aggregate("rows.b", F.lit(b""), lambda a, x: F.concat(a, x))).alias("content"))
+    files = streams.select("path", F.concat(F.lit(b"\x7f\xfe\x80\x01"), joined_bytes(F.col("rows.b"))).alias("content"))
     return containers.scan(files, elementary.dts_frames, elementary.DTS_SCHEMA).select("path", "n", "size", "samples", "rate")
 
 
@@ -177,7 +175,7 @@ def q_av1_units(spark: SparkSession, d: str) -> DataFrame:
     size = F.when(n < 128, hex2(n)).when(n < 1 << 14, F.concat(hex2(128 + n % 128), hex2(F.floor(n / 128)))).otherwise(F.concat(hex2(128 + n % 128), hex2(128 + F.floor(n / 128) % 128), hex2(F.floor(n / (1 << 14)))))
     unit = F.concat(F.when(k % 4 == 0, F.lit(b"\x12")).otherwise(F.lit(b"\x32")), F.unhex(size), F.encode(body, "UTF-8"))
     streams = _t(spark, d, "part").groupBy(F.col("p_brand").alias("path")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", unit.alias("b")))).alias("rows"))
-    files = streams.select("path", F.aggregate("rows.b", F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
+    files = streams.select("path", joined_bytes(F.col("rows.b")).alias("content"))
     return containers.scan(files, elementary.obu_units, elementary.OBU_SCHEMA).select("path", "n", "kind", "size")
 
 

@@ -193,7 +193,10 @@ def track_chapters(index: DataFrame, payloads: DataFrame | None = None) -> DataF
     if payloads is None:
         read = ranges.with_payload(samples)
     else:
-        read = samples.join(payloads, "path").withColumn("payload", F.substring(F.col("content"), (F.col("position") + 1).cast("int"), F.col("size").cast("int")))
+        # a file's content meets its samples once, not once a sample
+        wanted = samples.groupBy("path").agg(F.collect_list(F.struct(*[c for c in samples.columns if c != "path"])).alias("rows"))
+        cut = lambda x: F.struct(x.alias("row"), F.substring(F.col("content"), (x["position"] + 1).cast("int"), x["size"].cast("int")).alias("payload"))
+        read = wanted.join(payloads, "path").select("path", F.transform("rows", cut).alias("rows")).select("path", F.explode("rows").alias("x")).select("path", "x.row.*", "x.payload")
     late = F.coalesce(F.col("empty_edit") * 1000 / F.nullif(F.col("movie_scale"), F.lit(0)), F.lit(0.0))
     start = F.greatest(F.floor(F.col("dts") * 1000 / F.col("timescale") + late), F.lit(0))
     return _numbered(read.select("path", start.cast("long").alias("start_ms"), sample_title(F.col("payload")).alias("title"), "track", "n"), ["start_ms", "track", "n"])

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelane.functions.bits import joined_bytes
 from tidelane.sources.chapters import ebml_tree
 from tidelane.sources.containers import mp4_boxes
 
@@ -90,7 +91,7 @@ def _box(kind: Column, *parts: Column) -> Column:
 
 def _joined(df: DataFrame, piece: Column) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.struct("pos", piece.alias("b"))))
-    return df.groupBy("path").agg(F.aggregate(rows, F.lit(b""), lambda a, x: F.concat(a, x["b"])).alias("content"), F.count(F.lit(1)).alias("n"))
+    return df.groupBy("path").agg(joined_bytes(F.transform(rows, lambda x: x["b"])).alias("content"), F.count(F.lit(1)).alias("n"))
 
 
 def write_items(items: DataFrame) -> DataFrame:
@@ -190,7 +191,7 @@ def write_matroska_tags(tags: DataFrame) -> DataFrame:
     text = lambda c: F.encode(F.coalesce(c, F.lit("")), "UTF-8")
     simple = _element(SIMPLE, _element(NAME, text(F.col("name"))), F.when(F.col("value").isNotNull(), _element(TEXT, text(F.col("value")))).otherwise(F.lit(b"")), _element(LANGUAGE, text(F.coalesce("language", F.lit("und")))))
     rows = F.sort_array(F.collect_list(F.struct("pos", simple.alias("b"))))
-    grouped = tags.groupBy("path", "level", "track_uid").agg(F.min("pos").alias("pos"), F.aggregate(rows, F.lit(b""), lambda a, x: F.concat(a, x["b"])).alias("simples"))
+    grouped = tags.groupBy("path", "level", "track_uid").agg(F.min("pos").alias("pos"), joined_bytes(F.transform(rows, lambda x: x["b"])).alias("simples"))
     uid = F.when(F.col("track_uid").isNotNull(), _element(TRACK_UID, F.unhex(F.lpad(F.hex(F.coalesce("track_uid", F.lit(0).cast("long"))), 16, "0")))).otherwise(F.lit(b""))
     target = _element(TARGETS, _element(LEVEL, F.unhex(F.lpad(F.hex(F.col("level")), 2, "0"))), uid)
     return _joined(grouped, _element(TAG, target, F.col("simples"))).select("path", "content")
