@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelane.functions import text
+from tidelane.functions.bits import joined_bytes
 from tidelane.functions.times import format_centi, format_ms
 from tidelane.plans.queries import _t, query
 from tidelane.sources import containers, detect, mp4, nfo, programs, ranges, subtitles
@@ -240,9 +241,10 @@ def q_fragmented(spark: SparkSession, d: str) -> DataFrame:
     tfhd = F.when(even, _box("tfhd", _u32(0x20000), _u32(1))).otherwise(_box("tfhd", _u32(0x20008), _u32(1), _u32(k % 50 + 1)))
     tfdt = F.when(f % 5 == 4, _box("tfdt", _u32(0), _u32(100_000 * f))).otherwise(F.lit(b""))
     trun = _box("trun", _u32(0x205), _u32(3), _u32(0), _u32(0), *[_u32(k % 100 + i) for i in range(3)])
-    moofs = o.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("f", _box("moof", _box("traf", tfhd, tfdt, trun)).alias("b")))).alias("b"))
+    o = o.select("path", "f", F.concat(tfhd, tfdt, trun).alias("traf")).select("path", "f", _box("traf", F.col("traf")).alias("traf"))
+    moofs = o.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("f", _box("moof", F.col("traf")).alias("b")))).alias("b"))
     moov = _box("moov", _box("mvex", _box("trex", _u32(0), _u32(1), _u32(1), _u32(40), _u32(5), _u32(0x10000))))
-    files = moofs.select("path", F.concat(_box("ftyp", F.encode(F.lit("iso5"), "UTF-8")), moov, F.aggregate("b.b", F.lit(b""), lambda a, x: F.concat(a, x))).alias("content"))
+    files = moofs.select("path", F.concat(_box("ftyp", F.encode(F.lit("iso5"), "UTF-8")), moov, joined_bytes(F.col("b.b"))).alias("content"))
     index = ranges.scan_ranges(ranges.file_ranges(files, 1 << 20), ranges.mp4_index, ranges.INDEX_SCHEMA)
     return mp4.fragment_samples(index).select("path", "n", "size", "duration", "sync", "dts")
 
@@ -255,7 +257,7 @@ def _packets(p: DataFrame, pid: Column, pieces: Column) -> Column:
         head = F.concat(F.lit(b"\x47"), F.unhex(F.lpad(F.hex(pid + F.when(i == 0, 0x4000).otherwise(0)), 4, "0")), F.unhex(F.lpad(F.hex(F.when(room == 0, 0x10).otherwise(0x30) + i % 16), 2, "0")))
         return F.concat(head, stuffing, x)
 
-    return F.aggregate(F.transform(pieces, one), F.lit(b""), lambda a, x: F.concat(a, x))
+    return joined_bytes(F.transform(pieces, one))
 
 
 def _pieces(data: Column) -> Column:
@@ -302,7 +304,7 @@ def q_matroska_ranges(spark: SparkSession, d: str) -> DataFrame:
     sized = lambda c: F.concat(F.unhex(F.concat(F.lit("01"), F.lpad(F.hex(F.octet_length(c)), 14, "0"))), c)
     o = _t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("path"), "o_orderkey", "o_orderpriority", (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("i"))
     body = F.concat(byte(0x80 + k % 7 + 1), F.unhex(F.lpad(F.hex(k % 100), 4, "0")), F.when(k % 2 == 0, F.lit(b"\x80")).otherwise(F.lit(b"\0")), F.encode("o_orderpriority", "UTF-8"))
-    join = lambda c: F.aggregate(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["b"]), F.lit(b""), lambda a, x: F.concat(a, x))
+    join = lambda c: joined_bytes(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["b"]))
     clusters = o.groupBy("path", F.floor(i / 4).alias("c")).agg(join(F.struct("i", F.concat(F.lit(b"\xa3"), sized(body)).alias("b"))).alias("frames"))
     held = F.concat(F.lit(b"\xe7\x84"), _u32(1000 * F.col("c")), "frames")
     films = clusters.groupBy("path").agg(join(F.struct("c", F.concat(F.lit(ranges.CLUSTER), sized(held)).alias("b"))).alias("all"))

@@ -175,20 +175,37 @@ def fragment_samples(index: DataFrame, start_dts: DataFrame | None = None) -> Da
             rows = [[list(d) for d in track_defaults(box.as_py())] for box in batch.column("box")]
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(rows, pa.list_(pa.list_(pa.int64())))], names=["path", "trex"])
 
+    def batch_of(held: list[tuple[str, int, dict]]) -> pa.RecordBatch:
+        """The samples of the runs held, made column by column and not run by run."""
+        n = np.array([len(r["size"]) for _, _, r in held])
+        first = np.cumsum(n) - n
+        told = np.full(int(n.sum()), None, object)
+        for at, (_, _, r) in zip(first.tolist(), held, strict=True):
+            if len(r["size"]):
+                told[at] = r["tfdt"]
+        cells = {"path": pa.array(np.repeat(np.array([p for p, _, _ in held], object), n), pa.string()), "moof": pa.array(np.repeat([at for _, at, _ in held], n), pa.int64())}
+        cells |= {c: pa.array(np.repeat([r[c] for _, _, r in held], n), pa.int64() if c == "track" else pa.int32()) for c in ("track", "fragment", "run")}
+        cells |= {"i": pa.array(np.arange(len(told)) - np.repeat(first, n)), "tfdt": pa.array(told, pa.int64())}
+        cells |= {c: pa.array(np.concatenate([r[c] for _, _, r in held])) for c in ("position", "size", "duration", "shift", "sync")}
+        return pa.RecordBatch.from_arrays(list(cells.values()), names=list(cells))
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, int, dict]] = []
+        rows = 0
         for batch in batches:
             for path, at, box, trex in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "box", "trex")), strict=True):
                 for r in moof_samples(box, at, {t: tuple(rest) for t, *rest in trex or []}):
-                    n = len(r["size"])
-                    first = pa.array([r["tfdt"], *[None] * (n - 1)] if n else [], pa.int64())
-                    same = {"moof": at, "track": r["track"], "fragment": r["fragment"], "run": r["run"]}
-                    cells = {"path": pa.array([path] * n, pa.string()), **{k: pa.array(np.full(n, v, np.int32 if k in ("fragment", "run") else np.int64)) for k, v in same.items()}, "i": pa.array(np.arange(n)), "tfdt": first}
-                    cells |= {c: pa.array(r[c]) for c in ("position", "size", "duration", "shift", "sync")}
-                    yield pa.RecordBatch.from_arrays(list(cells.values()), names=list(cells))
+                    held.append((path, at, r))
+                    rows += len(r["size"])
+                    if rows >= 8192 or len(held) >= 8192:
+                        yield batch_of(held)
+                        held, rows = [], 0
+        if held:
+            yield batch_of(held)
 
     trex = index.where("kind = 'moov'").select("path", "box").mapInArrow(defaults, "path string, trex array<array<bigint>>")
     moofs = index.where("kind = 'moof'").select("path", "offset", "box").join(trex, "path", "left")
-    rows = moofs.select("path", "offset", "box", "trex").mapInArrow(lambda batches: joined_batches(runs(batches)), f"path string, {FRAGMENT_SCHEMA}")
+    rows = moofs.select("path", "offset", "box", "trex").mapInArrow(runs, f"path string, {FRAGMENT_SCHEMA}")
     order = ["moof", "fragment", "run", "i"]
     w = Window.partitionBy("path", "track").orderBy(*order)
     rows = rows.withColumns({"n": F.row_number().over(w).cast("long") - 1, "told": F.count("tfdt").over(w.rowsBetween(Window.unboundedPreceding, 0))})

@@ -85,17 +85,35 @@ def scan_ranges(ranges: DataFrame, reader: Callable[[Source, int, int], Iterator
     arrow = to_arrow_schema(full)
     inline = "content" in ranges.columns
 
+    def batch_of(held: list[tuple[str, int, Columns, int]]) -> pa.RecordBatch:
+        """The rows of the pieces held as one batch, made column by column and not piece by piece."""
+        n = [h[3] for h in held]
+        cells = {"path": pa.array(np.repeat(np.array([h[0] for h in held], object), n), pa.string()), "range": pa.array(np.repeat([h[1] for h in held], n), pa.int64())}
+        for f in list(arrow)[2:]:
+            parts = [h[2][f.name] for h in held]
+            if not all(isinstance(c, pa.Array) for c in parts):
+                parts = [pa.array(np.concatenate(parts), f.type)] if all(isinstance(c, np.ndarray) for c in parts) else [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c in parts]
+            cells[f.name] = pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
+        return pa.RecordBatch.from_arrays([cells[f.name] for f in arrow], schema=arrow)
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, int, Columns, int]] = []
+        rows = size = 0
         for batch in batches:
             for i in range(batch.num_rows):
                 path, start, stop = (batch.column(c)[i].as_py() for c in ("path", "start", "stop"))
                 source = Source.of(batch.column("content")[i].as_py()) if inline else opened(path)
                 for columns in reader(source, start, stop):
                     n = len(next(iter(columns.values())))
-                    cells = {"path": pa.array([path] * n, pa.string()), "range": pa.array(np.full(n, start)), **columns}
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c := cells[f.name], pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow)
+                    held.append((path, start, columns, n))
+                    rows, size = rows + n, size + sum(c.nbytes for c in columns.values())
+                    if rows >= 4096 or size >= 8 << 20 or len(held) >= 4096:
+                        yield batch_of(held)
+                        held, rows, size = [], 0, 0
+        if held:
+            yield batch_of(held)
 
-    return ranges.mapInArrow(lambda batches: joined_batches(pieces(batches)), full)
+    return ranges.mapInArrow(pieces, full)
 
 
 def numbered_over_ranges(rows: DataFrame, order: list[str], out: str) -> DataFrame:
@@ -249,14 +267,22 @@ def matroska_frames(source: Source, start: int, stop: int) -> Iterator[Columns]:
 
     if source.read(0, 4) != b"\x1a\x45\xdf\xa3":
         return
+    held: list[tuple] = []
     at = next_cluster(source, start, stop)
     while at is not None:
         first, end = cluster_at(source, at)
-        rows = list(cluster_frames(source.read(first, end - first)))
-        if rows:
-            track, block, lace, time, key, position, size = zip(*rows, strict=True)
-            yield {"cluster": np.full(len(rows), at), "track": np.array(track), "block": np.array(block), "lace": np.array(lace, np.int32), "time": np.array(time), "keyframe": pa.array(key, pa.bool_()), "position": np.array(position) + first, "size": np.array(size)}
+        held += [(at, track, block, lace, time, key, position + first, size) for track, block, lace, time, key, position, size in cluster_frames(source.read(first, end - first))]
+        if len(held) >= 4096:
+            yield _frame_columns(held)
+            held = []
         at = next_cluster(source, end, stop)
+    if held:
+        yield _frame_columns(held)
+
+
+def _frame_columns(rows: list[tuple]) -> Columns:
+    cluster, track, block, lace, time, key, position, size = zip(*rows, strict=True)
+    return {"cluster": np.array(cluster), "track": np.array(track), "block": np.array(block), "lace": np.array(lace, np.int32), "time": np.array(time), "keyframe": pa.array(key, pa.bool_()), "position": np.array(position), "size": np.array(size)}
 
 
 FRAME_SCHEMA = "cluster long, track long, block long, lace int, time long, keyframe boolean, position long, size long"
