@@ -120,8 +120,10 @@ def q_matroska_mux(spark: SparkSession, d: str) -> DataFrame:
     kinds = F.element_at(F.array(F.lit("video"), F.lit("audio"), F.lit("subtitle")), F.col("track").cast("int"))
     samples = o.withColumns({"kind": kinds, "codec": F.lit("V_TEST"), "private": F.lit(None).cast("binary"), "width": F.lit(16), "height": F.lit(16), "rate": F.lit(48_000.0), "channels": F.lit(2)})
     place = new_place(spark, "mkv")
-    mp4.written(mkv.mux(samples), place, tasks=8).write.format("noop").mode("overwrite").save()
-    frames = ranges.scan_ranges(ranges.file_ranges(ranges.listed(spark, place), 1 << 20, tasks=8), ranges.matroska_frames, ranges.FRAME_SCHEMA)
+    made = new_place(spark, "made")  # the list of files that the writer gives; many small ones are slow to list again
+    mp4.written(mkv.mux(samples), place, tasks=8).write.parquet(f"{made}/files")
+    files = spark.read.parquet(f"{made}/files").select(F.concat(F.lit(f"{place}/"), "path").alias("path"), F.col("bytes").alias("size"))
+    frames = ranges.scan_ranges(ranges.file_ranges(files, 1 << 20, tasks=8), ranges.matroska_frames, ranges.FRAME_SCHEMA)
     return ranges.with_payload(frames).select(F.regexp_extract("path", r"[^/]*$", 0).alias("path"), "track", "time", "keyframe", F.decode("payload", "UTF-8").alias("text"))
 
 
