@@ -22,7 +22,8 @@ def with_clock(rows: DataFrame, late: str, **columns: str) -> DataFrame:
     ``columns`` are the caller's columns by the names that processors know them by (Spark renames some others).
     """
     marked = rows.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()], F.explode(F.array(F.lit(True), F.lit(False))).alias("tick"))
-    return marked.withColumn("clock", F.when(F.col("tick"), F.timestamp_millis(F.col("t")))).withWatermark("clock", late)
+    timed = marked.withColumn("clock", F.when(F.col("tick"), F.timestamp_millis(F.col("t")))).withWatermark("clock", late)
+    return timed.where(F.col("clock").isNull())  # ticks have moved the watermark and need not reach the processors
 
 
 def by_key(given: DataFrame, processor: StatefulProcessor, key: str, columns: str, names: dict[str, str]) -> DataFrame:
