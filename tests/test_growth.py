@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as registry
 from tidelane.operators import headers
-from tidelane.sources import containers, mkv
+from tidelane.sources import containers, detect, mkv
 
 
 class Given:
@@ -72,3 +72,14 @@ def test_clusters_are_made_without_a_call_for_each(spark):
     samples = spark.createDataFrame(rows, "path string, track long, n long, time_ms long, keyframe boolean, kind string, codec string, private binary, width int, height int, rate double, channels int, payload binary")
     made = mkv.mux(samples)
     assert made.count() == 3 + 2 and "GroupsInArrow" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sidecars_are_dealt_by_the_counted_files(spark, monkeypatch):
+    plan = registry.queries()["q_sidecars"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    monkeypatch.setattr(detect, "FOLDER_ROWS", 10, raising=False)
+    names = [f"/m/{i}/{n}" for i in range(30) for n in ("b.mkv", "B.en.srt", "b.srt", "c.srt")]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    found = detect.sidecars(files, files.where("path like '%.mkv'"))
+    assert ", 12)" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted((f"/m/{i}/b.mkv", f"/m/{i}/{n}", k) for i in range(30) for k, n in ((1, "B.en.srt"), (2, "b.srt")))

@@ -38,11 +38,20 @@ def image_kind(data: str) -> Column:
     return F.when(h.startswith("FFD8FF"), "jpeg").when(h.startswith("89504E47"), "png").when(h.startswith("47494638"), "gif").when(h.startswith("424D"), "bmp")
 
 
+#: Files that a task of ``sidecars`` sorts.
+FOLDER_ROWS = 250_000
+
+
 def sidecars(files: DataFrame, bases: DataFrame) -> DataFrame:
-    """Files that start with a base's name in the same folder, in order of name."""
+    """Files that start with a base's name in the same folder, in order of name.
+
+    Folders are dealt to tasks by the counted files, so neither side is broadcast (rows made by an explode look few to
+    the planner) and what a task sorts does not grow with the files.
+    """
+    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-files.count() // FOLDER_ROWS))
     folder = lambda c: F.regexp_extract(c, r"^(.*/)?", 1)
     stem = lambda c: F.lower(F.regexp_replace(F.regexp_extract(c, r"([^/]*)$", 1), r"\.[^.]*$", ""))
     b = bases.select(F.col("path").alias("base"), folder("path").alias("folder"), stem("path").alias("stem"))
     f = files.select("path", folder("path").alias("folder"), F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).alias("name"))
-    found = f.join(b, "folder").where(F.col("name").startswith(F.col("stem")) & (F.col("path") != F.col("base")))
-    return found.select("base", "path", F.row_number().over(Window.partitionBy("base").orderBy("path")).cast("long").alias("ord"))
+    found = f.repartition(tasks, "folder").join(b.repartition(tasks, "folder").hint("merge"), "folder").where(F.col("name").startswith(F.col("stem")) & (F.col("path") != F.col("base")))
+    return found.select("base", "path", F.row_number().over(Window.partitionBy("folder", "base").orderBy("path")).cast("long").alias("ord"))
