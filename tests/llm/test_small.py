@@ -406,6 +406,28 @@ def test_recall_on_edited_families_beside_fragments(spark):
     assert len(truth & seen) >= 0.9 * len(truth) and seen <= truth
 
 
+def test_edited_pair_whose_seeds_have_other_holders_below_and_beside(spark):
+    """Two edited copies of 90 words; fragments of 30 words stand in documents below both and between them."""
+    p, edited = words(90, 740, 10**6), words(90, 740, 10**6)
+    edited[22], edited[45], edited[68] = "one", "two", "three"
+    fill = lambda k: words(30, 9000 + k, 10**6)
+    rows = [(1000, " ".join(fill(1) + p + fill(2))), (2000, " ".join(fill(3) + edited + fill(4)))]
+    rows += [(first + at, " ".join(fill(first + at) + edited[at : at + 30] + fill(first + at + 100))) for first in (10, 1500) for at in range(0, 61, 10)]
+    found = chain_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.other_doc_id) for r in found} == {(2000, 30, 120, 1000)}
+
+
+def test_all_pairs_of_seeds_by_brute_force():
+    rng = random.Random(32)
+    key, doc, pos = (np.array([rng.randrange(n) for _ in range(600)], np.int64) for n in (40, 12, 10**6))
+    key = np.where(rng.random() + np.arange(600) % 3 > 1.5, key, key % 3)
+    more = key == 7
+    keys = key.tolist()
+    want = sorted((int(doc[i]), int(doc[j]), int(pos[i]), int(pos[j])) for i in range(600) for j in range(600) if keys[i] == keys[j] and doc[i] < doc[j] and keys.count(keys[i]) <= chain_dedup.PAIRED and not more[i])
+    assert want and max(map(keys.count, keys)) > chain_dedup.PAIRED
+    assert sorted(zip(*(x.tolist() for x in chain_dedup.all_matches(key, doc, pos, more)))) == want
+
+
 def test_rows_without_ids_are_documents_of_their_own(spark):
     p = words(80, 33, 10**6)
     rows = [(None, " ".join(words(20, 8000 + i, 10**6) + p)) for i in range(2)] + [(-1, " ".join(p + words(20, 8010, 10**6))), (None, None), (None, "")]
