@@ -428,6 +428,50 @@ def test_all_pairs_of_seeds_by_brute_force():
     assert sorted(zip(*(x.tolist() for x in chain_dedup.all_matches(key, doc, pos, more)))) == want
 
 
+def test_near_repeats_and_matches_of_repeats_by_brute_force():
+    rng = random.Random(33)
+    for _ in range(20):
+        key, doc, pos = (np.array([rng.randrange(n) for _ in range(300)], np.int64) for n in (4, 5, 200))
+        kept, cells = [], {}
+        for i in sorted(range(300), key=lambda i: pos[i]):
+            first, last, cell = cells.get((key[i], doc[i]), (0, -(10**9), 0))
+            if pos[i] - last >= 7:  # far from the one before: a run of its own
+                first, cell = pos[i], -1
+            if (pos[i] - first) // 7 != cell:
+                kept.append((key[i], doc[i], pos[i]))
+            cells[key[i], doc[i]] = first, pos[i], (pos[i] - first) // 7
+        keep = chain_dedup.without_near_repeats(key, doc, pos, 7)
+        assert (np.diff(keep) > 0).all() and sorted(zip(key[keep], doc[keep], pos[keep])) == sorted(kept)
+        of = {}
+        for k, d, p in sorted(zip(key.tolist(), doc.tolist(), pos.tolist())):
+            of.setdefault(k, {}).setdefault(d, []).append(p)
+        want = []
+        for docs in of.values():
+            ids = sorted(docs)
+            for n, d in enumerate(ids[1:], 1):
+                for other in {ids[0], ids[n - 1]}:
+                    want += [(other, d, docs[other][min(i, len(docs[other]) - 1)], p) for i, p in enumerate(docs[d])]
+        matches, ends = chain_dedup.neighbour_matches(key, doc, pos)
+        assert sorted(zip(*(x.tolist() for x in matches))) == sorted(want)
+        assert sorted(ends.tolist()) == [i for i in range(300) if doc[i] in (min(of[key[i]]), max(of[key[i]]))]
+
+
+def test_runs_of_a_repeated_word_pair(spark, monkeypatch):
+    """Sixty documents hold one word pair 150 times over: a run is one chain with each of two others, and one whole passage."""
+    made, plain = [], chain_dedup.Scratch.keep
+
+    def keep(self, df, name):
+        out = plain(self, df, name)
+        made.extend([out.count()] if name == "chains" else [])
+        return out
+
+    monkeypatch.setattr(chain_dedup.Scratch, "keep", keep)
+    rows = [(i, " ".join(words(20, 500 + i, 10**6) + ["left", "right"] * 150 + words(20, 600 + i, 10**6))) for i in range(60)]
+    found = chain_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert made[0] <= 5 * 60
+    assert {r.doc_id for r in found if r.end_word - r.start_word >= 300 and r.identity == 1} == set(range(1, 60))
+
+
 def test_rows_without_ids_are_documents_of_their_own(spark):
     p = words(80, 33, 10**6)
     rows = [(None, " ".join(words(20, 8000 + i, 10**6) + p)) for i in range(2)] + [(-1, " ".join(p + words(20, 8010, 10**6))), (None, None), (None, "")]
