@@ -83,3 +83,16 @@ def test_sidecars_are_dealt_by_the_counted_files(spark, monkeypatch):
     found = detect.sidecars(files, files.where("path like '%.mkv'"))
     assert ", 12)" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == sorted((f"/m/{i}/b.mkv", f"/m/{i}/{n}", k) for i in range(30) for k, n in ((1, "B.en.srt"), (2, "b.srt")))
+
+
+def test_a_content_is_read_once_for_all_its_samples(spark):
+    plan = registry.queries()["q_mp4_chapters"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # a column would be copied out of its row, whole, for each sample
+    assert plan.count("substring(lambda ") == 1 and "substring(content" not in plan
+
+
+@pytest.mark.parametrize("name", ["q_mp4_chapters", "q_fragmented", "q_matroska_chapters"])
+def test_contents_are_sent_with_their_first_range_alone(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan[plan.index("RepartitionByExpression [path") :].split("\n")[1:3]
+    assert any("Filter (start" in line and "= 0)" in line for line in dealt)

@@ -104,7 +104,7 @@ def q_mp4_chapters(spark: SparkSession, d: str) -> DataFrame:
     first = box("trak", full("tkhd", u(8, 0), u(4, 1)), box("tref", box("chap", u(4, 2))))
     p = p.withColumn("movie", F.concat(full("mvhd", u(8, 0), u(4, 600)), first, box("trak", F.col("text"))))
     files = p.select("path", F.concat(box("ftyp", F.encode(F.lit("isom"), "UTF-8"), u(4, 0)), box("mdat", F.col("b")), box("moov", F.col("movie"))).alias("content"))
-    index = ranges.scan_ranges(ranges.file_ranges(files, 1 << 20), ranges.mp4_index, ranges.INDEX_SCHEMA)
+    index = ranges.scan_ranges(ranges.first_ranges(ranges.file_ranges(files, 1 << 20)), ranges.mp4_index, ranges.INDEX_SCHEMA)
     return chapters.track_chapters(index, files).select("path", "seq", "start_ms", "title")
 
 

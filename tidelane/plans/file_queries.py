@@ -245,7 +245,7 @@ def q_fragmented(spark: SparkSession, d: str) -> DataFrame:
     moofs = o.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("f", _box("moof", F.col("traf")).alias("b")))).alias("b"))
     moov = _box("moov", _box("mvex", _box("trex", _u32(0), _u32(1), _u32(1), _u32(40), _u32(5), _u32(0x10000))))
     files = moofs.select("path", F.concat(_box("ftyp", F.encode(F.lit("iso5"), "UTF-8")), moov, joined_bytes(F.col("b.b"))).alias("content"))
-    index = ranges.scan_ranges(ranges.file_ranges(files, 1 << 20), ranges.mp4_index, ranges.INDEX_SCHEMA)
+    index = ranges.scan_ranges(ranges.first_ranges(ranges.file_ranges(files, 1 << 20)), ranges.mp4_index, ranges.INDEX_SCHEMA)
     return mp4.fragment_samples(index).select("path", "n", "size", "duration", "sync", "dts")
 
 

@@ -113,7 +113,7 @@ def matroska_chapters(files: DataFrame) -> DataFrame:
 
     ``files``: rows of ``ranges.file_ranges``.
     """
-    rows = ranges.scan_ranges(files, atoms, ATOM_SCHEMA)
+    rows = ranges.scan_ranges(ranges.first_ranges(files), atoms, ATOM_SCHEMA)
     chosen = rows.groupBy("path").agg(F.coalesce(F.min(F.when(F.col("is_default"), F.col("edition"))), F.min("edition")).alias("edition"))
     kept = rows.join(chosen, ["path", "edition"]).where("enabled and not hidden")
     return _numbered(kept.withColumns({"start_ms": F.floor(F.col("start_ns") / 1_000_000), "title": F.coalesce("title", F.lit(""))}), ["start_ns", "atom"])
@@ -193,10 +193,12 @@ def track_chapters(index: DataFrame, payloads: DataFrame | None = None) -> DataF
     if payloads is None:
         read = ranges.with_payload(samples)
     else:
-        # a file's content meets its samples once, not once a sample
+        # a file's content meets its samples once and is bound by the outer lambda: a column would be copied whole at each use;
+        # no list is empty, and an inner explode would have the join make them all once more to tell
         wanted = samples.groupBy("path").agg(F.collect_list(F.struct(*[c for c in samples.columns if c != "path"])).alias("rows"))
-        cut = lambda x: F.struct(x.alias("row"), F.substring(F.col("content"), (x["position"] + 1).cast("int"), x["size"].cast("int")).alias("payload"))
-        read = wanted.join(payloads, "path").select("path", F.transform("rows", cut).alias("rows")).select("path", F.explode("rows").alias("x")).select("path", "x.row.*", "x.payload")
+        cut = lambda content, x: F.struct(x.alias("row"), F.substring(content, (x["position"] + 1).cast("int"), x["size"].cast("int")).alias("payload"))
+        rows = F.element_at(F.transform(F.array("content"), lambda content: F.transform("rows", lambda x: cut(content, x))), 1)
+        read = wanted.join(payloads, "path").select("path", rows.alias("rows")).select("path", F.explode_outer("rows").alias("x")).select("path", "x.row.*", "x.payload")
     late = F.coalesce(F.col("empty_edit") * 1000 / F.nullif(F.col("movie_scale"), F.lit(0)), F.lit(0.0))
     start = F.greatest(F.floor(F.col("dts") * 1000 / F.col("timescale") + late), F.lit(0))
     return _numbered(read.select("path", start.cast("long").alias("start_ms"), sample_title(F.col("payload")).alias("title"), "track", "n"), ["start_ms", "track", "n"])

@@ -65,6 +65,11 @@ def file_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES, tasks: int | N
     return rows.repartition(tasks, "path", "start") if tasks else rows.repartition("path", "start")
 
 
+def first_ranges(ranges: DataFrame) -> DataFrame:
+    """The first range of each file, for readers that give all by it; a content at hand is then not sent once for every range."""
+    return ranges.where("start = 0")
+
+
 def joined_batches(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of many small batches in fewer ones of about ``rows`` rows or ``size`` bytes."""
     held: list[pa.RecordBatch] = []
