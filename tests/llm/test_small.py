@@ -417,6 +417,47 @@ def test_edited_pair_whose_seeds_have_other_holders_below_and_beside(spark):
     assert {(r.doc_id, r.start_word, r.end_word, r.other_doc_id) for r in found} == {(2000, 30, 120, 1000)}
 
 
+def test_pairs_whose_seeds_stand_in_many_documents(spark):
+    """Two edited copies of 90 words, each seed of which stands in 40 documents below and 40 between them, in fragments of 30 words."""
+    p, edited = words(90, 740, 10**6), words(90, 740, 10**6)
+    edited[22], edited[45], edited[68] = "one", "two", "three"
+    fill = lambda k: words(30, 9000 + k, 10**6)
+    rows = [(10_000, " ".join(fill(1) + p + fill(2))), (20_000, " ".join(fill(3) + edited + fill(4)))]
+    rows += [(first + 40 * at + k, " ".join(fill(first + 40 * at + k) + edited[at : at + 30] + fill(first + 40 * at + k + 50_000))) for first in (100, 15_000) for at in range(0, 61, 10) for k in range(40)]
+    found = chain_dedup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert (20_000, 30, 120, 10_000) in {(r.doc_id, r.start_word, r.end_word, r.other_doc_id) for r in found}
+
+
+def test_frequent_seeds_of_pairs_by_brute_force():
+    rng = np.random.default_rng(35)
+    doc, key, pos = np.unique(np.stack([rng.integers(0, 9, 500), rng.integers(0, 12, 500), 13 * rng.integers(0, 90, 500)]), axis=1)
+    a, b, x, y = rng.integers(0, 5, 40), rng.integers(5, 12, 40), rng.integers(0, 1200, 40), rng.integers(0, 1200, 40)
+    want = set()
+    for i in range(len(doc)):
+        for j in range(len(doc)):
+            if key[i] == key[j]:
+                near = [(a == doc[i]) & (b == doc[j]) & (abs(v - w) <= 128) for v, w in ((x, pos[i]), (y, pos[j]))]
+                want |= {(int(doc[i]), int(doc[j]), int(pos[i]), int(pos[j]))} if near[0].any() and near[1].any() else set()
+    got = chain_dedup.frequent_matches(a, b, x, y, doc, key, pos, 128)
+    assert len(want) > 50 and set(zip(*(v.tolist() for v in got))) == want
+
+
+def test_regions_are_labelled_by_their_links():
+    rng, nodes = random.Random(36), [(k, d, 7 * d) for k in (3, 5) for d in range(30)]
+    links = [(k, a, 7 * a, b, 7 * b) for k in (3, 5) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(18 + 40 * (k == 5)))]
+    links += [(5, 0, 0, d, 7 * d) for d in range(30)]
+    table = chain_dedup.pa.Table.from_pylist([dict(zip(("key", "doc", "lo", "other", "other_lo"), (*r, None, None)[:5])) for r in nodes + links])
+    rows = chain_dedup._labelled(table).to_pylist()
+    of = {(r["key"], r["doc"]): r["label"] for r in rows}
+    group = {n[:2]: {n[:2]} for n in nodes}
+    for k, a, _, b, _ in links:
+        both = group[k, a] | group[k, b]
+        for n in both:
+            group[n] = both
+    assert len(rows) == 60 and all((of[m] == of[n]) == (m in group[n]) for m in of for n in of)
+    assert {r["key"] for r in rows if r["settled"]} == {5} and {r["regions"] for r in rows} == {30}
+
+
 def test_all_pairs_of_seeds_by_brute_force():
     rng = random.Random(32)
     key, doc, pos = (np.array([rng.randrange(n) for _ in range(600)], np.int64) for n in (40, 12, 10**6))
